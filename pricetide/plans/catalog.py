@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from pricetide.plans import model_queries  # noqa: F401
+from pricetide.plans import model_queries, sync_queries  # noqa: F401
 from pricetide.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -30,7 +30,7 @@ SELECT event_id AS id, event_type AS source,
 FROM events""",
     "v_existing": """
 SELECT id, source, source_post_id, source_link, title, price, img,
-       CASE WHEN id % 10 = 0 THEN views + 1 ELSE views END AS views,
+       CASE WHEN id % 8 = 0 THEN views + 1 ELSE views END AS views,
        comments, likes, registered_at,
        registered_at + CAST(id % 5 AS INT) * INTERVAL '1' HOUR AS updated_at,
        CASE WHEN id % 29 = 0 THEN registered_at END AS deleted_at
@@ -86,6 +86,16 @@ SELECT page_id, url, replace(replace(replace(html, '</head>',
          '<div class="comment-count">2</div><div class="comment-list"><ul><li>' || CASE WHEN page_id % 3 = 0 THEN '역대급 감사합니다' ELSE '그냥' END
          || '</li><li>' || CASE WHEN page_id % 4 = 1 THEN '바이럴업체' ELSE '안 사요' END || '</li></ul></div><footer>') AS html
 FROM pages""",
+    "v_links": """
+SELECT event_id AS id, ts AS registered_at,
+       CASE event_id % 5 WHEN 0 THEN 'ppomppu' WHEN 1 THEN 'quasar' WHEN 2 THEN 'ruliweb' ELSE 'fmkorea' END AS source,
+       CASE event_id % 5
+         WHEN 0 THEN 'https://m.ppomppu.co.kr/new/bbs_view.php?id=deals&page=2&no=' || CAST(user_id AS STRING) || '#reply'
+         WHEN 1 THEN 'http://quasarzone.com/bbs/qb_saleinfo/views/' || CAST(user_id AS STRING) || '?page=3'
+         WHEN 2 THEN 'https://bbs.ruliweb.com/market/board/1020/read/' || CAST(user_id AS STRING)
+         WHEN 3 THEN 'https://www.fmkorea.com/index.php?mid=hotdeal&document_srl=' || CAST(user_id AS STRING)
+         ELSE CASE WHEN event_id % 2 = 0 THEN 'https://www.fmkorea.com/' || CAST(user_id AS STRING) ELSE 'https://www.fmkorea.com/best' END END AS link
+FROM events""",
     "v_drafts": """
 SELECT item_id AS id, item_id AS pos, regexp_extract(text, '^([^.]*)', 1) AS title, text AS body,
        regexp_extract(text, '([A-Za-z]+)', 1) AS product,
@@ -104,7 +114,7 @@ VIEW_INPUTS = {
     "v_deals": ["events"], "v_existing": ["v_deals"], "v_incoming": ["v_deals"], "v_posts": ["part"],
     "v_subscriptions": ["customer", "part"], "v_devices": ["events"], "v_comments": ["conversations"],
     "v_reports": ["labels"], "v_objects": ["pages"], "v_refs": ["documents"],
-    "v_pages": ["pages"], "v_drafts": ["benchmark"], "v_board": ["documents"],
+    "v_pages": ["pages"], "v_links": ["events"], "v_drafts": ["benchmark"], "v_board": ["documents"],
 }
 
 
