@@ -22,6 +22,12 @@ REPLY_TAG = "reply-to"
 CATEGORY_TAG = "category"
 
 
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once per row: inside a higher-order function an outer
+    expression would be evaluated again for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def collapse(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(col, F.lit("")), r"\s+", " "))
 
@@ -48,16 +54,18 @@ def normalize_term(col: Column) -> Column:
 
 def candidate_terms(normalized: Column, max_n: int = 3, min_len: int = 2, max_len: int = 20) -> Column:
     """F8: distinct 1..n-word phrases of a normalised text, 2 to 20 characters long."""
-    words = F.filter(F.split(normalized, " "), lambda w: w != "")
-    size = F.size(words)
-    grams = [words]
-    for n in range(2, max_n + 1):
-        starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(words, i, F.lit(n)), " ")))
-    phrases = F.flatten(F.array(*grams))
-    return F.array_distinct(
-        F.filter(phrases, lambda p: F.char_length(p).between(min_len, max_len))
-    )
+    def phrases(words: Column) -> Column:
+        # words is a bound value here, so a long text is split once and not once per position.
+        def of_length(n: int) -> Column:
+            heads = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
+            return F.transform(
+                heads, lambda w, i: F.concat_ws(" ", w, *[F.get(words, i + k) for k in range(1, n)]))
+
+        grams = F.flatten(F.array(words, *[of_length(n) for n in range(2, max_n + 1)]))
+        kept = F.filter(grams, lambda p: F.char_length(p).between(min_len, max_len))
+        return F.array_distinct(kept)
+
+    return bind(F.filter(F.split(normalized, " "), lambda w: w != ""), phrases)
 
 
 def broad_keyword(term: Column, stop: list[str] = BROAD_KEYWORDS) -> Column:

@@ -150,9 +150,11 @@ def plan_sync(
         .when(is_changed(matched, "", "prev_", tracked), "update")
         .otherwise("unchanged")
     )
-    changes = matched.withColumn("action", action).select(
-        "action", "key", F.coalesce("prev_id", F.lit(None)).alias("id"), "source", "source_link")
-    eligible = eligible_incoming(matched, cutoff)
+    # Classified once and stored: the change list, the guard counts and the missing test all read it.
+    classified = scale.cut_lineage(matched.select(
+        action.alias("action"), "key", "legacy_key", F.col("prev_id").alias("id"), "source", "source_link"))
+    changes = classified.drop("legacy_key")
+    eligible = classified.where("action <> 'skip_expired'")
     guard = delete_guard(existing, incoming, eligible, sources, stale, min_rows, ratio)
     active = existing.where(
         F.col("deleted_at").isNull() & F.col("source").isin(sources)
@@ -264,6 +266,7 @@ def apply_plan(
     existing: DataFrame, incoming: DataFrame, plan: DataFrame, now: str | Column, payload: list[str]
 ) -> DataFrame:
     """The stored table after a plan: changed rows written and revived, deletes stamped."""
+    plan = scale.cut_lineage(plan.select("action", "key"))
     changed = plan.where(F.col("action").isin("insert", "reactivate", "update")).select("key")
     changes = (
         incoming.join(changed, "key", "left_semi").select("key", "id", *payload)

@@ -132,6 +132,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(T.StructType(instants)).parquet(path)
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table for work that is heavy per row: when the scan has fewer tasks than the session has
+    cores, its rows are dealt out first. A table of many files is read as it is."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view; its inputs are passed by reference, so no temp view name can clash."""
     if name not in VIEW_SQL:
