@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pricetide.functions.keys import text_or_empty
 from pricetide.functions.times import parse_iso
@@ -92,7 +93,7 @@ def is_useful_meta(title: Column, description: Column, image: Column) -> Column:
     return out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """All named and numeric character references."""
     return text.map(html_lib.unescape, na_action="ignore")
@@ -146,7 +147,7 @@ class _CommentText(HTMLParser):
             self.found.append(data)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def comment_section_text(html: pd.Series) -> pd.Series:
     """Text inside containers whose id or class marks comments; '' when a page has none."""
     def one(page):
@@ -175,7 +176,7 @@ def content_chunk(html: Column, marker: str, bonus: str = r"document_\d+") -> Co
     article, else the one with the most text (a numbered document class wins). '' when there is none."""
     opening = rf"""(?i)<(div|section)\b[^>]*\bclass\s*=\s*["'][^"']*\b{marker}\b[^"']*["'][^>]*>"""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def walk(pages: pd.Series) -> pd.Series:
         starts, article, numbered = re.compile(opening), re.compile(r"(?i)<article\b[^>]*>"), re.compile(rf"(?i)\b{bonus}")
 
