@@ -293,8 +293,16 @@ def useful_meta(spark, sf_dir):
 
 TEXT = r"""regexp_replace(regexp_replace(regexp_replace({0}, '(?s)<script.*?</script>|<style.*?</style>', ' ', 'gi'), '<br\s*/?>|</p\s*>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')"""
 
-@query("page_text", r"SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(" + TEXT.format("html") +
-       r", '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS body FROM pages")
+ENTITIES = [("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")]
+
+
+def decoded_sql(expr: str) -> str:
+    for entity, char in ENTITIES:
+        expr = f"replace({expr}, '{entity}', '{char}')"
+    return expr
+
+
+@query("page_text", rf"SELECT page_id, trim(regexp_replace({decoded_sql(TEXT.format('html'))}, '\s+', ' ', 'g')) AS body FROM pages")
 def page_text(spark, sf_dir):
     """X3 with all entities decoded."""
     return text_table(spark, sf_dir, "pages").select("page_id", G.html_to_text(F.col("html")).alias("body"))
