@@ -36,8 +36,8 @@ def keyword_match(
     """(deal_id, uid, term) for every enabled subscription whose term occurs as a 1-3 word phrase.
 
     Deal text loses punctuation while a stored term keeps it, so ``strict`` (the stored behaviour)
-    can never match a term such as ``c++``; ``strict=False`` normalises both sides. A term in very
-    many deals is salted by deal; Spark broadcasts the subscriptions itself while they fit.
+    can never match a term such as ``c++``; ``strict=False`` normalises both sides. Subscriptions are
+    broadcast while their checked number allows; beyond it a term in very many deals is salted by deal.
     """
     term = X.normalize_term(F.col("term"))
     if not strict:
@@ -46,7 +46,7 @@ def keyword_match(
         subscriptions.where("enabled")
         .select(F.col("uid"), term.alias("term")).where("term <> '' AND uid IS NOT NULL").distinct()
     )
-    return scale.salted_join(deal_terms(deals, text_cols, deal_id), wanted, ["term"], ["deal_id"]).select(
+    return scale.join_small_or_salted(deal_terms(deals, text_cols, deal_id), wanted, ["term"], ["deal_id"]).select(
         "deal_id", "uid", "term")
 
 
@@ -55,7 +55,7 @@ def validate_subscription(matches: DataFrame, index: DataFrame, user_keywords: D
     keys = ["uid", "term"]
     pairs = index.where("enabled").select(*keys).distinct().join(
         user_keywords.where("enabled").select(*keys).distinct(), keys, "left_semi")
-    return scale.salted_join(matches, pairs, keys, ["deal_id"], "left_semi")
+    return scale.join_small_or_salted(matches, pairs, keys, ["deal_id"], "left_semi")
 
 
 def suppress_already_matched(matches: DataFrame, ledger: DataFrame) -> DataFrame:

@@ -42,16 +42,33 @@ def keep_top(df: DataFrame, keys: Sequence[str | Column], k: int, *order: Column
     return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= k).drop("_rn")
 
 
+def local_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
+    """The table as local rows when it has at most ``max_rows`` of them, else None.
+
+    At most ``max_rows + 1`` rows travel to the driver, whatever the table's size.
+    """
+    rows = df.limit(max_rows + 1).toArrow()
+    return None if rows.num_rows > max_rows else df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Evaluate a (normally tiny) table once; broadcast it only if its row count proved small.
 
-    At most ``max_rows + 1`` rows travel. A larger table is checkpointed and joined unhinted, so it
-    shuffles and AQE splits skew.
+    A larger table is checkpointed and joined unhinted, so it shuffles and AQE splits skew.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
-        return cut_lineage(df)
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    small = local_if_small(df, max_rows)
+    return cut_lineage(df) if small is None else F.broadcast(small)
+
+
+def join_small_or_salted(
+    left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "inner",
+    max_rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """Map-side join when the right table proved small, else the salted shuffle join."""
+    small = local_if_small(right, max_rows)
+    if small is not None:
+        return left.join(F.broadcast(small), list(on), how)
+    return salted_join(left, right, on, spread, how)
 
 
 def salted_join(

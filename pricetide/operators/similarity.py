@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricetide.functions.keys import text_or_empty
-from pricetide.functions.text import DATE_SUFFIX, URL_PATTERN, collapse, plain_body, similarity_text, similarity_tokens
+from pricetide.functions.text import DATE_SUFFIX, URL_PATTERN, bind, collapse, plain_body, similarity_text, similarity_tokens
 from pricetide.functions.times import as_ts, kst_date
 from pricetide.functions.urls import video_key
 from pricetide.operators import scale
@@ -35,48 +35,47 @@ def token_jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, row
     first ``n - ceil(t*n) + 1`` must share one in any qualifying pair. Frequent words hardly ever lie in
     a prefix, and the joins on words are salted by their counts.
     """
-    members, reps = {}, {}
+    parts, members = [], {}
     for name, df in (("left", left), ("right", right)):
         tokens = F.array_sort(similarity_tokens(similarity_text(F.col(text))))
         sets = df.select(F.col(row_id).alias("member"), tokens.alias("tokens")).where(F.size("tokens") > 0)
         sets = sets.withColumn("sig", F.md5(F.array_join("tokens", " ")))
-        members[name] = sets.select("member", "sig")
-        reps[name] = sets.groupBy("sig").agg(F.any_value("tokens").alias("tokens"))
-    every = reps["left"].unionByName(reps["right"]).groupBy("sig").agg(F.any_value("tokens").alias("tokens"))
-    words = every.select("sig", F.explode("tokens").alias("token"))
-    counts = words.groupBy("token").agg(F.count(F.lit(1)).alias("_rows"))
+        members[name] = sets.select(F.col("member").alias(f"{name}_id"), F.col("sig").alias(f"{name}_sig"))
+        parts.append(sets.select("sig", "tokens", F.lit(name == "left").alias("l"), F.lit(name == "right").alias("r")))
+    # Texts are parsed once for the representatives and once more for the expansion at the end.
+    reps = scale.cut_lineage(parts[0].unionByName(parts[1]).groupBy("sig").agg(
+        F.any_value("tokens").alias("tokens"), F.bool_or("l").alias("l"), F.bool_or("r").alias("r")))
+    words = reps.select("sig", F.explode("tokens").alias("token"))
+    counts = scale.cut_lineage(words.groupBy("token").agg(F.count(F.lit(1)).alias("_rows")))
     ranked = scale.salted_join(
         words, counts.select("token", F.col("_rows").alias("df")), ["token"], ["sig"], key_counts=counts)
-    ordered = scale.cut_lineage(
-        ranked.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_o"))
-        .select("sig", F.transform("_o", lambda t: t["token"]).alias("tokens")))
-    size = F.size("tokens")
-    prefix = ordered.select(
-        "sig", size.alias("n"),
-        F.explode(F.slice("tokens", 1, (size - F.ceil(size * threshold) + 1).cast("int"))).alias("token"))
+    ordered = ranked.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_o")).select(
+        "sig", F.transform("_o", lambda t: t["token"]).alias("_t"))
+    size = F.size("_t")
+    prefix = scale.cut_lineage(ordered.join(reps.select("sig", "l", "r"), "sig").select(
+        "sig", "l", "r", size.alias("n"),
+        F.explode(F.slice("_t", 1, (size - F.ceil(size * threshold) + 1).cast("int"))).alias("token")))
 
     def side(name: str) -> DataFrame:
-        keys = reps[name].select("sig")
-        return prefix.join(keys, "sig", "left_semi").select(
-            "token", F.col("sig").alias(f"{name}_sig"), F.col("n").alias(f"{name}_n"))
+        return prefix.where(name[0]).select("token", F.col("sig").alias(f"{name}_sig"), F.col("n").alias(f"{name}_n"))
 
     small, big = F.least("left_n", "right_n"), F.greatest("left_n", "right_n")
     pairs = (
-        scale.salted_join(side("right"), side("left"), ["token"], ["right_sig"])
+        scale.join_small_or_salted(side("right"), side("left"), ["token"], ["right_sig"])
         .where(small >= big * threshold).select("left_sig", "right_sig").distinct()
     )
     words_of = {
-        name: ordered.select(F.col("sig").alias(f"{name}_sig"), F.col("tokens").alias(f"{name}_tokens"))
+        name: reps.where(name[0]).select(F.col("sig").alias(f"{name}_sig"), F.col("tokens").alias(f"{name}_tokens"))
         for name in ("left", "right")
     }
     both = pairs.join(words_of["left"], "left_sig").join(words_of["right"], "right_sig")
     shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
     jaccard = shared / (F.size("left_tokens") + F.size("right_tokens") - shared)
-    good = both.withColumn("jaccard", jaccard).where(F.col("jaccard") >= threshold).select(
-        "left_sig", "right_sig", "jaccard")
-    of = {n: members[n].select(F.col("member").alias(f"{n}_id"), F.col("sig").alias(f"{n}_sig")) for n in members}
-    wide = scale.salted_join(of["right"], good, ["right_sig"], ["right_id"])
-    return scale.salted_join(wide, of["left"], ["left_sig"], ["right_id"]).select("left_id", "right_id", "jaccard")
+    good = scale.cut_lineage(both.withColumn("jaccard", jaccard).where(F.col("jaccard") >= threshold).select(
+        "left_sig", "right_sig", "jaccard"))
+    wide = scale.join_small_or_salted(members["right"], good, ["right_sig"], ["right_id"])
+    return scale.join_small_or_salted(wide, members["left"], ["left_sig"], ["right_id"]).select(
+        "left_id", "right_id", "jaccard")
 
 
 def _common_subsequence(masks: dict[str, int], width: int, text: str) -> int:
@@ -138,7 +137,7 @@ def similar_text_join(
         hits = _ship_drafts(left, unique, limit)
     else:
         hits = _length_band_join(left, unique, limit)
-    return scale.salted_join(copies, hits, ["sig"], ["post_id"]).select("draft_id", "post_id", "similarity")
+    return scale.join_small_or_salted(copies, hits, ["sig"], ["post_id"]).select("draft_id", "post_id", "similarity")
 
 
 def _ship_drafts(left: DataFrame, unique: DataFrame, limit: float) -> DataFrame:
@@ -229,24 +228,24 @@ def product_cooldown_join(
     p = posts.where(F.col("created_at").isNull() | (F.col("created_at") >= cutoff)).select(
         F.col("pos").alias("post_pos"), collapse(F.col("title")).alias("post_title"), title.alias("key"))
     # Equal titles conflict alike; only the earliest matters.
-    p = p.groupBy("key").agg(F.min(F.struct("post_pos", "post_title")).alias("post"))
-
-    def grams(text: Column, q: int) -> Column:
-        last = F.char_length(text) - (q - 1)
-        spots = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(spots, lambda i: F.substring(text, i, F.lit(q)))
+    p = scale.cut_lineage(p.groupBy("key").agg(F.min(F.struct("post_pos", "post_title")).alias("post")))
+    d = scale.cut_lineage(d)
 
     def all_grams(text: Column, sizes: tuple[int, ...]) -> Column:
-        return F.array_distinct(F.flatten(F.array(*[grams(text, q) for q in sizes])))
+        # Characters are split once; taking substrings by position would rescan the text every time.
+        def of(chars: Column, q: int) -> Column:
+            return F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, q)]))
+        return bind(F.split(text, ""), lambda chars: F.array_distinct(F.array_compact(F.flatten(
+            F.array(*[of(chars, q) for q in sizes])))))
 
     terms = d.select("draft_id", F.explode("terms").alias("term")).where(F.char_length("term") >= 2)
     terms = terms.withColumn("gram", F.substring("term", 1, 4))
     titles = p.select("post", "key", F.explode(all_grams(F.col("key"), (2, 3, 4))).alias("gram"))
-    inside_title = scale.salted_join(titles, terms, ["gram"], ["key"]).where(
+    inside_title = scale.join_small_or_salted(titles, terms, ["gram"], ["key"]).where(
         F.col("key").contains(F.col("term"))).select("draft_id", "post")
     names = d.select("draft_id", "name", F.explode(all_grams(F.col("name"), (1, 2, 3, 4))).alias("gram"))
     heads = p.where("key <> ''").withColumn("gram", F.substring("key", 1, 4))
-    inside_name = scale.salted_join(names, heads, ["gram"], ["draft_id"]).where(
+    inside_name = scale.join_small_or_salted(heads, names, ["gram"], ["key"]).where(
         F.col("name").contains(F.col("key"))).select("draft_id", "post")
     blank = d.select("draft_id", p.where("key = ''").select(F.min("post")).scalar().alias("post")).where("post IS NOT NULL")
     return inside_title.unionByName(inside_name).unionByName(blank).groupBy("draft_id").agg(

@@ -241,12 +241,23 @@ def token_jaccard_documents(spark, sf_dir):
 
 @query("similar_text_join")
 def similar_text_join(spark, sf_dir):
-    """J21 in full (sequence ratio or word sets); no SQL engine has the ratio, so tests check it by brute force."""
+    """J21 in full (sequence ratio or word sets) over whole texts: benchmark items against documents. No SQL
+    engine has the ratio, so tests check it by brute force."""
     left = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
     right = text_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return B.similar_text_join(left, right, B.BODY_LIMIT)
 
 
+@query("similar_titles")
+def similar_titles(spark, sf_dir):
+    """J21 on short texts: every distinct product name against every product's name and kind."""
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.concat_ws(" ", "p_name", F.lower("p_type")).alias("text"))
+    drafts = names.distinct().select(F.col("text").alias("id"), "text")
+    posts = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("text"))
+    return B.similar_text_join(drafts, posts, B.TITLE_LIMIT)
+
+
 PC = r"replace({0}, ' ', '')"
 
 

@@ -97,8 +97,8 @@ SELECT event_id AS id, ts AS registered_at,
          ELSE CASE WHEN event_id % 2 = 0 THEN 'https://www.fmkorea.com/' || CAST(user_id AS STRING) ELSE 'https://www.fmkorea.com/best' END END AS link
 FROM events""",
     "v_drafts": """
-SELECT item_id AS id, item_id AS pos, regexp_extract(text, '^([^.]*)', 1) AS title, text AS body,
-       regexp_extract(text, '([A-Za-z]+)', 1) AS product,
+SELECT item_id AS id, item_id AS pos, regexp_extract(text, '^([^.]*)', 1) AS title, text || ' ' || text || ' ' || text AS body,
+       CASE WHEN item_id % 2 = 0 THEN regexp_extract(text, '([A-Za-z]+)', 1) ELSE 'sku' || lpad(CAST(item_id AS STRING), 6, '0') END AS product,
        'https://youtu.be/video' || lpad(CAST(item_id AS STRING), 6, '0') AS source_url
 FROM benchmark""",
     "v_board": """
