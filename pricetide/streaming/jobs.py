@@ -60,7 +60,7 @@ class AlertThrottle(StatefulProcessor):
         start, pending, titles, ids = self.window.get() or (None, 0, [], [])
         out = []
         for at, deal_id, title in zip(batch["at"], batch["deal_id"], batch["title"]):
-            at = int(at)
+            at, deal_id = int(at), str(deal_id)
             if start is None or at - start >= self.width:
                 out.append((uid, term, deal_id, at, "send", 0, pending, "|".join(titles)))
                 start, pending, titles, ids = at, 0, [], []
@@ -68,7 +68,7 @@ class AlertThrottle(StatefulProcessor):
             else:
                 pending += 1
                 titles = _kept(list(titles), str(title or "").strip(), A.MAX_PENDING_TITLES)
-                ids = _kept(list(ids), str(deal_id), A.MAX_PENDING_IDS)
+                ids = _kept(list(ids), deal_id, A.MAX_PENDING_IDS)
                 out.append((uid, term, deal_id, at, "queue", pending, 0, ""))
         self.window.update((start, pending, list(titles), list(ids)))
         yield pd.DataFrame(out, columns=ALERT_SCHEMA.names)
@@ -97,13 +97,13 @@ def alert_throttle_stream(
 ) -> DataFrame:
     """R1, R2 over a stream of (uid, term, deal_id, title, ts); needs the RocksDB state store.
 
-    State instants are plain microsecond numbers.
+    State instants are plain microsecond numbers. Rows of one instant go in ``deal_id`` order, as in the
+    batch form.
     """
     rows = matches.withWatermark("ts", delay) if flush else matches
     rows = rows.select(
         F.col("uid").cast("string").alias("uid"), F.col("term").cast("string").alias("term"),
-        F.col("deal_id").cast("string").alias("deal_id"),
-        (F.col("title") if "title" in matches.columns else F.lit("")).alias("title"),
+        "deal_id", (F.col("title") if "title" in matches.columns else F.lit("")).alias("title"),
         F.unix_micros("ts").alias("at"), *(["ts"] if flush else []))
     return rows.groupBy("uid", "term").transformWithStateInPandas(
         statefulProcessor=AlertThrottle(window_minutes, flush), outputStructType=ALERT_SCHEMA,
