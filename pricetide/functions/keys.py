@@ -75,10 +75,15 @@ def post_id_or_fallback(source: Column, link: Column, rules: dict[str, BoardRule
     return F.when(post_id != "", post_id).when(clean != "", digest).otherwise(F.lit(""))
 
 
-def canonical_link(source: Column, link: Column, rules: dict[str, BoardRule] = BOARD_RULES) -> Column:
-    """one link per post. Boards without a template keep scheme, host, path and the two id parameters."""
+def canonical_link(
+    source: Column, link: Column, rules: dict[str, BoardRule] = BOARD_RULES, post_id: Column | None = None
+) -> Column:
+    """one link per post. Boards without a template keep scheme, host, path and the two id parameters.
+
+    A caller that has the post id as a column already passes it, which keeps the expression small.
+    """
     clean = text_or_empty(link)
-    post_id = extract_post_id(source, clean, rules)
+    post_id = extract_post_id(source, clean, rules) if post_id is None else post_id
     out = clean
     for name, rule in rules.items():
         if rule.canonical:

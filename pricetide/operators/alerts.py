@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +26,14 @@ DIGEST_BODY = " 관련 새 딜 {n}개가 등록됐어요."
 
 
 def deal_terms(deals: DataFrame, text_cols: list[str], deal_id: str = "id") -> DataFrame:
-    """Distinct (deal, term) pairs; duplicates vanish inside the row, before any shuffle."""
+    """Distinct (deal, term) pairs; duplicates vanish inside the row, before any shuffle.
+
+    An inner explode would make the optimizer test the array's size first, parsing every text twice.
+    """
     normalized = X.normalize_text(*[F.col(c) for c in text_cols])
-    return deals.select(F.col(deal_id).alias("deal_id"), F.explode(X.candidate_terms(normalized)).alias("term"))
+    return deals.select(
+        F.col(deal_id).alias("deal_id"), F.explode_outer(X.candidate_terms(normalized)).alias("term")
+    ).where("term IS NOT NULL")
 
 
 def keyword_match(
@@ -137,45 +143,51 @@ def _gap_sessions(instants: DataFrame, keys: list[str], width: int) -> DataFrame
     return instants.join(sessions.select(*keys, "slot", "_session"), [*keys, "slot"])
 
 
-def send_starts(matches: DataFrame, keys: list[str], window_minutes: int = WINDOW_MINUTES) -> DataFrame:
-    """Instants (micros) at which an alert is sent: ``keys, start``.
+def alert_windows(matches: DataFrame, keys: list[str], window_minutes: int = WINDOW_MINUTES) -> DataFrame:
+    """The windows sent alerts open: ``keys, start`` (micros), ``n`` (matches inside, the sent one counted).
 
     Each sent alert is the first instant at least a window after the one before, a chain that has to be
-    walked in time order. Only distinct instants are shuffled, split at silences of a window or more
-    (after which the chain restarts by itself); a partition is sorted and then walked batch by batch
-    with one number of state, jumping from send to send, so no group is held in memory.
+    walked in time order. Only distinct instants with their counts are shuffled, split at silences of a
+    window or more (after which the chain restarts by itself); a partition is sorted and then walked
+    batch by batch with two numbers of state, jumping from send to send, so no group is held in memory.
     """
     width = window_minutes * 60 * 1_000_000
     at = F.unix_micros("ts")
-    instants = matches.select(*keys, at.alias("at"), F.floor(at / width).cast("bigint").alias("slot")).distinct()
-    split = _gap_sessions(instants, keys, width).select(*keys, "_session", "at")
+    instants = matches.select(*keys, at.alias("at"), F.floor(at / width).cast("bigint").alias("slot")).groupBy(
+        *keys, "at", "slot").agg(F.count(F.lit(1)).alias("c"))
+    split = _gap_sessions(instants, keys, width).select(*keys, "_session", "at", "c")
     ordered = split.repartition(*keys, "_session").sortWithinPartitions(*keys, "_session", "at")
     fields = [f for f in split.schema.fields if f.name in keys]
-    schema = T.StructType([*fields, T.StructField("start", T.LongType())])
+    schema = T.StructType([*fields, T.StructField("start", T.LongType()), T.StructField("n", T.LongType())])
+    group_cols = [*keys, "_session"]
 
     def walk(batches):
-        group, start = None, None
+        group, start, count = None, None, 0
         for pdf in batches:
-            at, n = pdf["at"].to_numpy(), len(pdf)
-            changes = np.zeros(n, dtype=bool)
-            for c in (*keys, "_session"):
-                values = pdf[c].to_numpy()
+            at, c, rows = pdf["at"].to_numpy(), pdf["c"].to_numpy(), len(pdf)
+            changes = np.zeros(rows, dtype=bool)
+            for name in group_cols:
+                values = pdf[name].to_numpy()
                 changes[1:] |= values[1:] != values[:-1]
-            bounds = [0, *np.flatnonzero(changes), n] if n else []
-            picked = []
+            bounds = [0, *np.flatnonzero(changes), rows] if rows else []
+            out = []
             for low, high in zip(bounds, bounds[1:]):
-                ident = tuple(pdf[c].iat[low] for c in (*keys, "_session"))
+                ident = tuple(pdf[name].iat[low] for name in group_cols)
                 if ident != group:
-                    group, start = ident, None
-                here = at[low:high]
-                i = 0 if start is None else int(np.searchsorted(here, start + width))
-                while i < len(here):
-                    start = here[i]
-                    picked.append(low + i)
-                    i = int(np.searchsorted(here, start + width))
-            out = pdf.iloc[picked][keys].copy()
-            out["start"] = at[picked]
-            yield out
+                    if group is not None:
+                        out.append((*group[:-1], start, count))
+                    group, start, count = ident, int(at[low]), 0
+                i = low
+                while i < high:
+                    end = low + int(np.searchsorted(at[low:high], start + width))
+                    count += int(c[i:end].sum())
+                    if end < high:
+                        out.append((*group[:-1], start, count))
+                        start, count = int(at[end]), 0
+                    i = end
+            yield pd.DataFrame(out, columns=[*keys, "start", "n"])
+        if group is not None:
+            yield pd.DataFrame([(*group[:-1], start, count)], columns=[*keys, "start", "n"])
 
     return ordered.mapInPandas(walk, schema)
 
@@ -189,21 +201,19 @@ def alert_throttle(matches: DataFrame, window_minutes: int = WINDOW_MINUTES) ->
     """
     keys = ["uid", "term"]
     width = window_minutes * 60 * 1_000_000
-    starts = send_starts(matches, keys, window_minutes)
+    # At most one window per key and half hour, so the lag below is over a short list.
+    pending = F.lag("n").over(Window.partitionBy(*keys).orderBy("start")) - 1
+    windows = alert_windows(matches, keys, window_minutes).withColumn("_digest", F.coalesce(pending, F.lit(0)))
     slot = F.floor(F.col("start") / width).cast("bigint")
-    reach = starts.select(*keys, "start", F.explode(F.array(slot, slot + 1)).alias("slot"))
+    reach = windows.select(*keys, "start", "_digest", F.explode(F.array(slot, slot + 1)).alias("slot"))
     at = F.unix_micros("ts")
     rows = matches.select(*keys, "deal_id", "ts", at.alias("_at"), F.floor(at / width).cast("bigint").alias("slot"))
     found = rows.join(reach, [*keys, "slot"]).where(
         (F.col("start") <= F.col("_at")) & (F.col("_at") - F.col("start") < width))
-    in_window = Window.partitionBy(*keys, "start").orderBy("_at", "deal_id")
-    ranked = found.withColumn("_rank", F.row_number().over(in_window))
-    sizes = ranked.groupBy(*keys, "start").agg(F.count(F.lit(1)).alias("_size"))
-    digests = sizes.withColumn(
-        "_digest", F.coalesce(F.lag("_size").over(Window.partitionBy(*keys).orderBy("start")) - 1, F.lit(0))
-    ).select(*keys, "start", "_digest")
+    ranked = found.withColumn(
+        "_rank", F.row_number().over(Window.partitionBy(*keys, "start").orderBy("_at", "deal_id")))
     sent = F.col("_rank") == 1
-    return ranked.join(digests, [*keys, "start"]).select(
+    return ranked.select(
         *keys, "deal_id", "ts",
         F.when(sent, "send").otherwise("queue").alias("action"),
         F.when(sent, F.lit(0)).otherwise(F.col("_rank") - 1).cast("bigint").alias("pending_count"),
@@ -214,15 +224,13 @@ def alert_throttle(matches: DataFrame, window_minutes: int = WINDOW_MINUTES) ->
 def due_digests(matches: DataFrame, now: str | Column, window_minutes: int = WINDOW_MINUTES) -> DataFrame:
     """R2, batch form: state per (uid, term) after all matches: a due window with pending matches is
     flushed as a digest, a due window without any is dropped, the others stay open."""
-    throttled = alert_throttle(matches, window_minutes)
-    last = throttled.groupBy("uid", "term").agg(F.max_by(
-        F.struct("action", "pending_count", "ts"), F.struct("ts", "deal_id")).alias("last"),
-        F.max(F.when(F.col("action") == "send", F.col("ts"))).alias("window_started_at"))
-    due_at = F.col("window_started_at") + F.expr(f"INTERVAL {window_minutes} MINUTES")
-    pending = F.col("last.pending_count")
-    state = (
-        F.when(due_at > as_ts(now), "open").when(pending > 0, "digest").otherwise("dropped"))
-    return last.select("uid", "term", "window_started_at", due_at.alias("due_at"),
+    windows = alert_windows(matches, ["uid", "term"], window_minutes)
+    last = windows.groupBy("uid", "term").agg(F.max(F.struct("start", "n")).alias("w"))
+    started = F.timestamp_micros(F.col("w.start"))
+    due_at = started + F.expr(f"INTERVAL {window_minutes} MINUTES")
+    pending = F.col("w.n") - 1
+    state = F.when(due_at > as_ts(now), "open").when(pending > 0, "digest").otherwise("dropped")
+    return last.select("uid", "term", started.alias("window_started_at"), due_at.alias("due_at"),
                        pending.alias("pending_count"), state.alias("state"))
 
 

@@ -211,7 +211,7 @@ def json_ld_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
     Rows keep the page's columns except the html; malformed scripts give no rows.
     """
     scripts = F.regexp_extract_all(F.col(html), F.lit(LD_JSON), 1)
-    rows = pages.withColumn("_s", F.explode(scripts)).drop(html)
+    rows = pages.withColumn("_s", F.explode_outer(scripts)).drop(html).where("_s IS NOT NULL")
     text = F.trim("_s")
     listed = F.when(text.startswith("["), F.from_json(text, "array<string>")).otherwise(F.array(text))
     rows = rows.withColumn("_n", F.explode(listed)).drop("_s")
@@ -282,7 +282,7 @@ def first_content_image(pages: DataFrame, html: str = "html", url: str = "url",
     """First acceptable picture of a page by position; a low-quality one only when no better exists."""
     tags = F.regexp_extract_all(
         F.col(html), F.lit(r"""(?i)<img[^>]+?(?:data-src|data-original|src)=["']([^"']+)["']"""), 1)
-    found = pages.select(page_id, url, F.posexplode(tags).alias("at", "src"))
+    found = pages.select(page_id, url, F.posexplode_outer(tags).alias("at", "src")).where("src IS NOT NULL")
     found = found.withColumn("image", absolute_url(F.col("src"), F.col(url)))
     none = F.lit(None).cast("int")
     usable = (

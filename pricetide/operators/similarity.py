@@ -38,13 +38,14 @@ def token_jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, row
     parts, members = [], {}
     for name, df in (("left", left), ("right", right)):
         tokens = F.array_sort(similarity_tokens(similarity_text(F.col(text))))
-        sets = df.select(F.col(row_id).alias("member"), tokens.alias("tokens")).where(F.size("tokens") > 0)
+        sets = df.select(F.col(row_id).alias("member"), tokens.alias("tokens"))
         sets = sets.withColumn("sig", F.md5(F.array_join("tokens", " ")))
         members[name] = sets.select(F.col("member").alias(f"{name}_id"), F.col("sig").alias(f"{name}_sig"))
         parts.append(sets.select("sig", "tokens", F.lit(name == "left").alias("l"), F.lit(name == "right").alias("r")))
     # Texts are parsed once for the representatives and once more for the expansion at the end.
     reps = scale.cut_lineage(parts[0].unionByName(parts[1]).groupBy("sig").agg(
-        F.any_value("tokens").alias("tokens"), F.bool_or("l").alias("l"), F.bool_or("r").alias("r")))
+        F.any_value("tokens").alias("tokens"), F.bool_or("l").alias("l"), F.bool_or("r").alias("r")
+    ).where(F.size("tokens") > 0))  # tested here: on the raw column it would parse every text twice
     words = reps.select("sig", F.explode("tokens").alias("token"))
     counts = scale.cut_lineage(words.groupBy("token").agg(F.count(F.lit(1)).alias("_rows")))
     ranked = scale.salted_join(
@@ -54,16 +55,24 @@ def token_jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, row
     size = F.size("_t")
     prefix = scale.cut_lineage(ordered.join(reps.select("sig", "l", "r"), "sig").select(
         "sig", "l", "r", size.alias("n"),
-        F.explode(F.slice("_t", 1, (size - F.ceil(size * threshold) + 1).cast("int"))).alias("token")))
+        F.posexplode(F.slice("_t", 1, (size - F.ceil(size * threshold) + 1).cast("int"))).alias("at", "token")))
 
     def side(name: str) -> DataFrame:
-        return prefix.where(name[0]).select("token", F.col("sig").alias(f"{name}_sig"), F.col("n").alias(f"{name}_n"))
+        return prefix.where(name[0]).select(
+            "token", F.col("sig").alias(f"{name}_sig"), F.col("n").alias(f"{name}_n"), F.col("at").alias(f"{name}_at"))
 
     small, big = F.least("left_n", "right_n"), F.greatest("left_n", "right_n")
-    pairs = (
+    met = (
         scale.join_small_or_salted(side("right"), side("left"), ["token"], ["right_sig"])
-        .where(small >= big * threshold).select("left_sig", "right_sig").distinct()
+        .where(small >= big * threshold)
+        .groupBy("left_sig", "right_sig").agg(
+            F.count(F.lit(1)).alias("_c"), F.max("left_n").alias("_ln"), F.max("right_n").alias("_rn"),
+            F.max("left_at").alias("_la"), F.max("right_at").alias("_ra"))
     )
+    # Words are ordered alike in both sets, so what lies behind the last common prefix word bounds the rest.
+    most = F.col("_c") + F.least(F.col("_ln") - 1 - F.col("_la"), F.col("_rn") - 1 - F.col("_ra"))
+    needed = (F.col("_ln") + F.col("_rn")) * F.lit(threshold / (1 + threshold))
+    pairs = met.where(most >= needed - F.lit(1e-9)).select("left_sig", "right_sig")
     words_of = {
         name: reps.where(name[0]).select(F.col("sig").alias(f"{name}_sig"), F.col("tokens").alias(f"{name}_tokens"))
         for name in ("left", "right")
@@ -114,8 +123,7 @@ class _Draft:
 
 def _normalized(df: DataFrame, row_id: str, text: str, name: str) -> DataFrame:
     norm = similarity_text(F.col(text))
-    return df.select(F.col(row_id).alias(f"{name}_id"), norm.alias(f"{name}_text")).where(
-        F.col(f"{name}_text") != "").withColumn(f"{name}_words", similarity_tokens(F.col(f"{name}_text")))
+    return df.select(F.col(row_id).alias(f"{name}_id"), norm.alias(f"{name}_text"))
 
 
 def similar_text_join(
@@ -128,11 +136,13 @@ def similar_text_join(
     and up to ``shipped`` of them go to the tasks, which read the posts once and emit matches only.
     Equal post texts are compared once. More drafts than that take the length-band join.
     """
-    left = scale.cut_lineage(_normalized(drafts, row_id, text, "draft"))
+    left = scale.cut_lineage(_normalized(drafts, row_id, text, "draft")).where("draft_text <> ''").withColumn(
+        "draft_words", similarity_tokens(F.col("draft_text")))
     right = _normalized(posts, row_id, text, "post")
     copies = right.select("post_id", F.md5("post_text").alias("sig"))
     unique = right.withColumn("sig", F.md5("post_text")).groupBy("sig").agg(
-        F.any_value("post_text").alias("post_text"), F.any_value("post_words").alias("post_words"))
+        F.any_value("post_text").alias("post_text")
+    ).where("post_text <> ''").withColumn("post_words", similarity_tokens(F.col("post_text")))
     if left.limit(shipped + 1).count() <= shipped:
         hits = _ship_drafts(left, unique, limit)
     else:

@@ -335,9 +335,17 @@ def negative_cap_rate(items: DataFrame) -> DataFrame:
         (F.col("sample_count") >= S.MIN_SAMPLES) & (F.col("negative_cap_rate") >= S.CONTAMINATED_RATE))
 
 
+REPORT_COLUMNS = ["id", "source", "temperature", "negative_cap_rate", "contaminated", *[f"{m}_usable" for m in S.METRICS]]
+
+
 def source_report(scored: DataFrame, sources: list[str]) -> DataFrame:
     """A10: count, mean, quartile points and top temperature plus active metrics for every listed
-    source; a source without rows reports zeros. ``scored`` is the output of ``temperature_scores``."""
+    source; a source without rows reports zeros. ``scored`` is the output of ``temperature_scores``; the
+    columns the reports read are stored once."""
+    return _source_report(scale.cut_lineage(scored.select(*REPORT_COLUMNS)), sources)
+
+
+def _source_report(scored: DataFrame, sources: list[str]) -> DataFrame:
     listed = scored.sparkSession.createDataFrame([(s,) for s in sources], "source string")
     active = F.concat_ws(",", *[F.when(F.first(f"{m}_usable"), F.lit(m)) for m in S.METRICS])
     stats = scored.groupBy("source").agg(
@@ -378,9 +386,8 @@ def mean_gap(report: DataFrame, stable: float = 8.0) -> DataFrame:
 
 def model_report(scored: DataFrame, trend: DataFrame, sources: list[str]) -> DataFrame:
     """M8: A10, A23-A25 and W13 as tidy (section, source, metric, value) rows."""
-    needed = ["id", "source", "temperature", "negative_cap_rate", "contaminated", *[f"{m}_usable" for m in S.METRICS]]
-    scored = scale.cut_lineage(scored.select(*needed))
-    report = scale.cut_lineage(source_report(scored, sources))
+    scored = scale.cut_lineage(scored.select(*REPORT_COLUMNS))
+    report = scale.cut_lineage(_source_report(scored, sources))
 
     def rows(df: DataFrame, section: str, source: Column, values: dict[str, Column]) -> DataFrame:
         pairs = F.array(*[

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricetide.functions.keys import (
-    BOARD_RULES, canonical_link, first_non_blank, legacy_key, post_id_or_fallback, sync_key, text_or_empty,
+    BOARD_RULES, canonical_link, extract_post_id, first_non_blank, legacy_key, text_or_empty,
 )
 from pricetide.functions.times import as_ts, kst_date, kst_label, parse_iso
 from pricetide.schemas import FEED_FILE
@@ -52,11 +52,15 @@ def _count(name: str) -> Column:
 
 def normalize_item(items: DataFrame, rules=BOARD_RULES) -> DataFrame:
     """Feed item to stored row, with its keys."""
-    source = first_non_blank(F.col("source"), F.lit(DEFAULTS["source"]))
-    link = canonical_link(source, F.col("sourceLink"), rules)
-    post_id = post_id_or_fallback(source, link, rules)
+    # Step by step: each column builds on the one before, and inlining them would multiply the code.
+    staged = items.withColumn("_src", first_non_blank(F.col("source"), F.lit(DEFAULTS["source"])))
+    staged = staged.withColumn("_pid", extract_post_id(F.col("_src"), F.col("sourceLink"), rules))
+    staged = staged.withColumn("_url", canonical_link(F.col("_src"), F.col("sourceLink"), rules, F.col("_pid")))
+    source, link = F.col("_src"), F.col("_url")
+    digest = F.concat(F.lit("link:"), F.substring(F.sha1(link), 1, 12))
+    post_id = F.when(F.col("_pid") != "", F.col("_pid")).when(link != "", digest).otherwise(F.lit(""))
     texts = {"desc": "desc", "price": "price", "img": "img", "detail_img": "detailImg", "date": "date"}
-    out = items.select(
+    out = staged.select(
         "pos", source.alias("source"), post_id.alias("source_post_id"), link.alias("source_link"),
         first_non_blank(F.col("buyLink"), link).alias("buy_link"),
         *[first_non_blank(F.col(c), F.lit(DEFAULTS[c])).alias(c) for c in ("title", "category", "area", "dist")],
@@ -68,9 +72,10 @@ def normalize_item(items: DataFrame, rules=BOARD_RULES) -> DataFrame:
         _count("negativeCommentSignals").alias("negative_comment_signals"),
         parse_iso(F.col("registeredAt")).alias("registered_at"),
     )
-    return out.withColumn(
-        "key", sync_key(F.col("source"), F.col("source_post_id"), F.col("source_link"), rules)
-    ).withColumn("legacy_key", legacy_key(F.col("source"), F.col("source_link")))
+    key = F.when(
+        F.col("source_post_id") != "", F.concat_ws("::", "source", F.lit("post"), "source_post_id")
+    ).otherwise(F.concat_ws("::", "source", F.lit("link"), "source_link"))
+    return out.withColumn("key", key).withColumn("legacy_key", legacy_key(F.col("source"), F.col("source_link")))
 
 
 def item_from_row(rows: DataFrame) -> DataFrame:

@@ -58,7 +58,8 @@ def publish(df: DataFrame, root: str, partition_by: list[str] = ()) -> int:
     """
     spark = df.sparkSession
     number = current_version(spark, root) + 1
-    writer = df.write.mode("overwrite")
+    # Static overwrite: a dynamic one commits through a staging folder and leaves no marker.
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{root}/v{number:09d}")

@@ -155,7 +155,8 @@ def keyword_match_stream(deals: DataFrame, subscriptions: DataFrame, text_cols:
     """Matches of new deals against the stored index (stream-static join J8): (deal_id, uid, term, ts)."""
     terms = deals.select(
         F.col("id").alias("deal_id"), F.col("ts"),
-        F.explode(A.X.candidate_terms(A.X.normalize_text(*[F.col(c) for c in text_cols]))).alias("term"))
+        F.explode_outer(A.X.candidate_terms(A.X.normalize_text(*[F.col(c) for c in text_cols]))).alias("term")
+    ).where("term IS NOT NULL")
     wanted = subscriptions.where("enabled").select(
         "uid", A.X.normalize_term(F.col("term")).alias("term")).distinct()
     return terms.join(wanted, "term")

@@ -83,9 +83,9 @@ def test_product_cooldown(spark):
     drafts = spark.createDataFrame([(1, "무선 선풍기"), (2, "공기청정기"), (3, "a"), (4, "abc"), (5, "robot arm")], "id int, product string")
     posts = spark.createDataFrame([
         (1, "선풍기, 예쁜 디자인보다 먼저 봐야 할 3가지", AT - dt.timedelta(days=77)), (2, "공기청정기 고르기", AT - dt.timedelta(days=121)),
-        (3, "b", AT), (4, "my ROBOT", None)]  # "b" lies inside "abc" and "robotarm", "pos int, title string, created_at timestamp")
+        (3, "b", AT), (4, "my ROBOT", None)], "pos int, title string, created_at timestamp")
     got = {r["draft_id"]: r["post_pos"] for r in B.product_cooldown_join(drafts, posts, NOW).collect()}
-    assert got == {1: 1, 4: 3, 5: 3}
+    assert got == {1: 1, 4: 3, 5: 3}  # the title "b" lies inside "abc" and "robotarm"
 
 
 def test_empty_title_conflicts_with_everything(spark):
