@@ -283,14 +283,14 @@ def first_content_image(pages: DataFrame, html: str = "html", url: str = "url",
     tags = F.regexp_extract_all(
         F.col(html), F.lit(r"""(?i)<img[^>]+?(?:data-src|data-original|src)=["']([^"']+)["']"""), 1)
     found = pages.select(page_id, url, F.posexplode_outer(tags).alias("at", "src")).where("src IS NOT NULL")
-    found = found.withColumn("image", absolute_url(F.col("src"), F.col(url)))
     none = F.lit(None).cast("int")
     usable = (
         ~F.col("src").startswith("data:") & ~F.col("src").rlike(r"(?i)\.svg($|\?)|transparent\.|blank\.")
-        & ~too_small_image(none, none, F.col("image")))
-    low = F.col("image").rlike(LOW_QUALITY_IMAGE)
-    return found.where(usable).groupBy(page_id).agg(
-        F.min_by("image", F.struct(low.cast("int").alias("low"), F.col("at"))).alias("image"))
+        & ~too_small_image(none, none, F.col("src")))
+    low = F.col("src").rlike(LOW_QUALITY_IMAGE)
+    best = found.where(usable).groupBy(page_id).agg(
+        F.min_by(F.struct("src", url), F.struct(low.cast("int").alias("low"), F.col("at"))).alias("_b"))
+    return best.select(page_id, absolute_url(F.col("_b.src"), F.col(f"_b.{url}")).alias("image"))
 
 
 def image_size_from_tag(tag: Column) -> tuple[Column, Column]:

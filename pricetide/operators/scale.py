@@ -87,14 +87,15 @@ def salted_join(
     spread over salts by a hash of ``spread`` and the matching right rows are repeated per salt. The
     hot-key table has at most ``max_hot`` rows, which is what makes its broadcast safe.
     ``how`` may be inner, left, left_semi or left_anti. ``key_counts`` (on columns and ``_rows``)
-    saves the counting pass where the caller has a histogram already.
+    saves the counting pass where the caller has a histogram already. Rows with a null key count as a
+    key of their own: many of them switch the salting on and are spread over ``NULL_SALTS``.
     """
     on = list(on)
     present = F.lit(True)
     for key in on:
         present = present & F.col(key).isNotNull()
     if key_counts is None:
-        key_counts = left.where(present).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+        key_counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
     hot = (
         key_counts.where(F.col("_rows") >= hot_rows)
         .orderBy(F.col("_rows").desc(), *on).limit(max_hot)
@@ -102,7 +103,7 @@ def salted_join(
     ).toArrow()
     if not hot.num_rows:
         return left.join(right, on, how)
-    names = F.broadcast(left.sparkSession.createDataFrame(hot))
+    names = F.broadcast(left.sparkSession.createDataFrame(hot).where(present))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     left_salted = (
         left.join(names, on, "left")

@@ -295,7 +295,11 @@ def cached_detail_enrich(rows: DataFrame, previous: DataFrame, cols: list[str])
     by_link = scale.keep_one(
         packed.where(text_or_empty(F.col("link")) != ""), ["link"], F.col("pos").desc()
     ).select("link", F.col("_c").alias("_b"))
-    found = rows.join(by_id, "id", "left").join(by_link, "link", "left")
+    # Blank look-up keys match nothing; as nulls they are spread instead of meeting in one task.
+    spread = [c for c in rows.columns if c not in ("id", "link")]
+    keyed = rows.withColumn("id", F.nullif("id", F.lit(""))).withColumn("link", F.nullif("link", F.lit("")))
+    found = scale.salted_join(
+        scale.salted_join(keyed, by_id, ["id"], spread, "left"), by_link, ["link"], spread, "left")
     hit = F.coalesce(F.col("_a"), F.col("_b"))
     out = found.withColumn("_hit", hit)
     for c in cols:

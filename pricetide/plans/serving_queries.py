@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pricetide.functions.times import in_feed_window
+from pricetide.functions.times import bucket_30min
+from pricetide.functions.urls import video_key
 from pricetide.operators import similarity as B
 from pricetide.operators import serving as V
 from pricetide.operators import storage as O
@@ -15,7 +17,7 @@ from pricetide.operators import temperature as M
 from pricetide.plans.model_queries import D as WINDOW_SQL
 from pricetide.plans.model_queries import W, score_sql, window_deals
 from pricetide.plans.registry import query, r, sql_ts, ts_text
-from pricetide.plans.views import NOW, SOURCES, oracle_with, table, text_table, view
+from pricetide.plans.views import NOW, oracle_with, table, text_table, view
 from pricetide.session import ensure_checkpoint_dir
 from pricetide.sources import feeds, tables
 from pricetide.streaming import jobs as J
@@ -31,7 +33,6 @@ def sort_deals(spark, sf_dir):
     ranged = V.sort_deals(e).withColumn("_part", F.spark_partition_id()).withColumn(
         "_in", F.monotonically_increasing_id() - F.shiftleft(F.col("_part").cast("bigint"), 33))
     stored = Y.scale.cut_lineage(ranged)
-    from pyspark.sql import Window
     sizes = stored.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = Y.scale.broadcast_checked(sizes.withColumn("_before", before).select("_part", "_before"))
@@ -93,7 +94,6 @@ f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY channel ORDER BY p
 SELECT id, url FROM f WHERE id % 900 NOT IN (SELECT doc_id % 900 FROM documents WHERE doc_id % 7 = 0) QUALIFY row_number() OVER (PARTITION BY url ORDER BY published_at DESC, pos) = 1""")
 def top_candidates(spark, sf_dir):
     """T9."""
-    from pricetide.functions.urls import video_key
     c = view(spark, sf_dir, "v_deals").select(
         F.col("source").alias("channel"), F.col("id").alias("pos"), F.col("registered_at").alias("published_at"), "id",
         F.expr("'https://youtu.be/vid' || lpad(CAST(id % 900 AS STRING), 5, '0')").alias("url"))
@@ -308,14 +308,14 @@ def _folder(spark, name):
 
 
 def _feed_files(spark, sf_dir):
-    """Feed files written from the deals: one JSON document per source and day."""
+    """Feed files written from the deals: one JSON document per source and half-hour, as a collector run writes it."""
     d = view(spark, sf_dir, "v_deals")
     item = F.struct(
         F.col("id").cast("string").alias("id"), "title", "price", "img", F.col("views").cast("int").alias("views"), F.col("comments").cast("int").alias("comments"),
         F.col("source_link").alias("sourceLink"), "source", F.date_format("registered_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("registeredAt"))
-    day = F.to_date("registered_at")
-    doc = d.groupBy("source", day.alias("day")).agg(F.array_sort(F.collect_list(item)).alias("items")).select(
-        F.col("source").alias("sourceKey"), (F.dayofmonth("day") == 3).alias("staleFallback"), F.expr("CASE WHEN source = 'view' THEN true END").alias("partialSnapshot"), "items")
+    run = bucket_30min(F.col("registered_at")).alias("run")
+    doc = d.groupBy("source", run).agg(F.array_sort(F.collect_list(item)).alias("items")).select(
+        F.col("source").alias("sourceKey"), (F.dayofmonth("run") == 3).alias("staleFallback"), F.expr("CASE WHEN source = 'view' THEN true END").alias("partialSnapshot"), "items")
     path = _folder(spark, "feeds")
     doc.write.json(path)
     return path
