@@ -18,7 +18,6 @@ from pyspark.sql import types as T
 from pricetide.functions.keys import text_or_empty
 from pricetide.functions.times import parse_iso
 from pricetide.functions.urls import too_small_image, url_host
-from pricetide.operators import scale
 
 # Challenge-page phrases, comment container marks, low-quality picture mark.
 BLOCKED_PHRASES = ["just a moment", "forbidden", "access denied", "봇 확인", "확인 안내"]

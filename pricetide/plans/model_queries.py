@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pricetide.functions import scoring as S
-from pricetide.functions.prices import infer_price
-from pricetide.functions.times import age_hours, bucket_30min, in_feed_window
+from pricetide.functions.times import bucket_30min, in_feed_window
 from pricetide.operators import scale
-from pricetide.operators import serving as V
 from pricetide.operators import snapshots as N
 from pricetide.operators import temperature as M
 from pricetide.plans.registry import query, r, sql_ts, ts_text

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pricetide.functions import prices as P
 from pricetide.functions import text as X
-from pricetide.functions.keys import BoardRule, legacy_key, sync_key, text_or_empty
+from pricetide.functions.keys import BoardRule, legacy_key, sync_key
 from pricetide.functions.times import as_ts, feed_window_kst, in_feed_window, is_future_dated, is_older_than
 from pricetide.functions.urls import blocked_image_candidate, too_small_image
 from pricetide.operators import dedup as D
