@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from pricetide.operators import dedup as D
 from pricetide.operators import devices as G
 from pricetide.plans.registry import query, sql_ts, ts_text
 from pricetide.plans.views import NOW, oracle_with, table, text_table, view
-from pricetide.session import ensure_checkpoint_dir
+from pricetide.session import work_path
 from pricetide.streaming import jobs as J
 
 NORM = r"trim(regexp_replace(regexp_replace(lower(regexp_replace({0}, '<!--[\s\S]*?-->|<[^>]*>', ' ', 'g')), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -197,8 +196,7 @@ def due_digests(spark, sf_dir):
 
 def _run(spark, stream, mode="append"):
     """Drives a stream over what its source holds, into a fresh folder beside the shared checkpoints."""
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    base = work_path(spark, "stream")
     return J.read_all(stream, f"{base}/checkpoint", f"{base}/rows", mode)
 
 
@@ -262,9 +260,8 @@ def _deal_stream(spark, sf_dir):
 @query("snapshot_stream", SNAP_SQL)
 def snapshot_stream(spark, sf_dir):
     """The same numbers as the batch series. Complete mode, so the open windows are read too."""
-    ensure_checkpoint_dir(spark)
     stats = J.snapshot_stream(_deal_stream(spark, sf_dir), ["views", "comments"])
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    base = work_path(spark, "stream")
     query_ = (
         stats.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
         .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{base}/rows/batch={i}")).start())

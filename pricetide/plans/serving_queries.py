@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ from pricetide.plans.model_queries import D as WINDOW_SQL
 from pricetide.plans.model_queries import W, score_sql, window_deals
 from pricetide.plans.registry import query, r, sql_ts, ts_text
 from pricetide.plans.views import NOW, oracle_with, table, text_table, view
-from pricetide.session import ensure_checkpoint_dir
+from pricetide.session import work_path
 from pricetide.sources import feeds, tables
 from pricetide.streaming import jobs as J
 
@@ -303,8 +302,7 @@ def posted_today(spark, sf_dir):
 # --- files and tables ----------------------------------------------------------------------------
 
 def _folder(spark, name):
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return work_path(spark, name)
 
 
 def _feed_files(spark, sf_dir):

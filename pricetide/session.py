@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,6 +15,8 @@ RECOMMENDED_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+_STAGED: list[str] = []
+
 STATE_STORE_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -30,21 +32,43 @@ def build_session(master: str | None = None, app: str = "pricetide", **conf: str
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; only a local session gets its own."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", "") or ""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: what the cluster names in ``spark.checkpoint.dir``, else one below the warehouse."""
+    configured = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pricetide-ckpt-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        return configured.rstrip("/") + "/pricetide"
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_pricetide"
+
+
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed by ``drop_staged``."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
+    return path
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """The table written once as Parquet in the shared folder and read back.
+
+    Later stages, and tasks repeated after a lost executor, read those files instead of computing the table again.
+    ``drop_staged`` removes what a session has written.
+    """
+    spark = df.sparkSession
+    path = work_path(spark, "stage")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession) -> int:
+    """Removes the tables ``stage`` has written in this process; call it once their readers are done."""
+    dropped = 0
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        dropped += 1
+    return dropped
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: later stages re-read shared files instead of recomputing the scan."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The table staged in the shared folder: later stages re-read files instead of recomputing the scan."""
+    return stage(df)
