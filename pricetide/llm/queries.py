@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pricetide.llm import chat, credentials, mixing, sharding
+from pricetide.llm import chat, credentials, langid, minhash, mixing, sharding
 from pricetide.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -69,3 +69,19 @@ def op10_credential_links(spark, sf_dir):
     return scanned.select(
         "doc_id", *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in ("assign", "access", "hex")],
         F.sha2(credentials.spans_text(base), 256).alias("base_sha256"), credentials.spans_text(F.col("spans")).alias("spans"))
+
+
+@query("op3_tensored_minhash")
+def op3_tensored_minhash(spark, sf_dir):
+    """Random hashes have no SQL; brute force in the tests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = minhash.near_duplicates(docs, words=3, threshold=0.85)
+    return found.select("doc_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), "component_id", "kept")
+
+
+@query("op4_string_kernel_language")
+def op4_string_kernel_language(spark, sf_dir):
+    """A fitted model has no SQL; held-out accuracy in the tests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.fit(docs.where("not held_out"))
+    return langid.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
