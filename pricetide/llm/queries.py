@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pricetide.llm import chat, credentials, langid, minhash, mixing, sharding
+from pricetide.llm import chat, credentials, langid, linededup, minhash, mixing, sharding
 from pricetide.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -85,3 +85,34 @@ def op4_string_kernel_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out(F.col("doc_id")))
     model = langid.fit(docs.where("not held_out"))
     return langid.identify(docs.drop("lang"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+# Variants as whole strings here; a line's place is (doc_id, position). Repeated (doc_id, text) rows do not occur.
+LINES_SQL = """
+WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+placed AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS raw_line FROM raw),
+trimmed AS (SELECT *, trim(raw_line, ' ' || chr(9) || chr(13)) AS line FROM placed),
+firsts AS (SELECT line, min((doc_id, pos)) AS first FROM trimmed WHERE line <> '' GROUP BY line),
+worded AS (SELECT line, first, string_split(line, ' ') AS w FROM firsts WHERE len(string_split(line, ' ')) >= 5),
+variants AS (
+  SELECT line, first, i, CASE WHEN i = 0 THEN line ELSE array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') END AS v,
+    CASE WHEN i = 0 THEN len(w) ELSE len(w) - 1 END AS m
+  FROM (SELECT *, unnest(range(0, len(w) + 1)) AS i FROM worded)),
+same AS (SELECT v, m, i, min(first) AS f FROM variants GROUP BY v, m, i),
+whole AS (SELECT v, m, min(f) FILTER (WHERE i = 0) AS f0, min(f) FILTER (WHERE i > 0) AS f1 FROM same GROUP BY v, m),
+near AS (
+  SELECT DISTINCT x.line FROM variants x JOIN same s ON s.v = x.v AND s.m = x.m AND s.i = x.i JOIN whole h ON h.v = x.v AND h.m = x.m
+  WHERE s.f < x.first OR (x.i > 0 AND h.f0 < x.first) OR (x.i = 0 AND h.f1 < x.first)),
+judged AS (
+  SELECT t.*, t.line <> '' AS said, t.line = '' OR (n.line IS NULL AND (t.doc_id, t.pos) = f.first) AS stays
+  FROM trimmed t LEFT JOIN firsts f ON f.line = t.line LEFT JOIN near n ON n.line = t.line),
+rebuilt AS (
+  SELECT doc_id, string_agg(raw_line, chr(10) ORDER BY pos) FILTER (WHERE stays) AS text, CAST(count(*) AS INTEGER) AS n_lines,
+    CAST(count(*) FILTER (WHERE NOT stays) AS INTEGER) AS n_dropped, count(*) FILTER (WHERE said AND stays) AS n_stay
+  FROM judged GROUP BY doc_id)
+SELECT doc_id, text, n_lines, n_dropped FROM rebuilt WHERE n_stay > 0 OR n_dropped = 0"""
+
+
+@query("op5_line_dedup", LINES_SQL)
+def op5_line_dedup(spark, sf_dir):
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
