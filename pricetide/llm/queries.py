@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pricetide.llm import chat, credentials, langid, linededup, minhash, mixing, sharding
+from pricetide.llm import bitsliced, chat, credentials, hnsw, langid, linededup, minhash, mixing, packing, sharding
 from pricetide.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -116,3 +116,34 @@ SELECT doc_id, text, n_lines, n_dropped FROM rebuilt WHERE n_stay > 0 OR n_dropp
 @query("op5_line_dedup", LINES_SQL)
 def op5_line_dedup(spark, sf_dir):
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op1_hnsw_search")
+def op1_hnsw_search(spark, sf_dir):
+    """Approximate; recall against brute force in the tests."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hnsw.nearest(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+@query("op2_length_buckets")
+def op2_length_buckets(spark, sf_dir):
+    """A dynamic programme has no SQL at this size; brute force in the tests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs).select("doc_id", "n_tokens", "bucket", "bound", "batch", "place")
+
+
+BITS_SQL = """
+WITH usable AS (
+  SELECT DISTINCT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum([p[1] * p[2] FOR p IN list_zip(q.v, c.v)]) AS BIGINT) AS score
+  FROM usable q JOIN usable c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10"""
+
+
+@query("op9_bit_sliced_top_k", BITS_SQL)
+def op9_bit_sliced_top_k(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return bitsliced.top_k(rows, rows.where("vec_id % 100 = 0"), k=10)
