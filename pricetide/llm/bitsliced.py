@@ -124,7 +124,7 @@ def _search(k: int):
             row, dim = index.iloc[0], int(queries["dim"].iloc[0])
             values = np.frombuffer(row["vectors"], np.int64).reshape(-1, dim)
             low, bits = np.frombuffer(row["low"], np.int64), np.frombuffer(row["bits"], np.int64)
-            maps = np.frombuffer(row["maps"], np.uint64).reshape(int(bits.sum()), -1)
+            maps = np.frombuffer(row["maps"], np.uint64).reshape(int(bits.sum()), -(-len(values) // 64))
             ids, ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["id_ends"], np.int64)
             for vector, q1, q2 in zip(queries["vector"], queries["h1"], queries["h2"]):
                 query = np.asarray(vector, np.int64)
