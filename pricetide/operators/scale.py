@@ -14,12 +14,9 @@ from pyspark.sql import functions as F
 
 from pricetide.session import cut_lineage
 
-# A table is broadcast only after its row count was checked against this bound.
+# A table is broadcast only after its rows, and the bytes they hold, were checked against these bounds.
 BROADCAST_ROWS = 20_000
-# A key with at least this many rows is spread over ceil(rows / HOT_ROWS) salts.
-HOT_ROWS = 2_000_000
-# At most this many keys are salted, heaviest first; the others join unsalted (AQE still splits them).
-HOT_KEYS = 256
+BROADCAST_BYTES = 16 << 20
 # Rows with a null key match nothing; they are spread this wide.
 NULL_SALTS = 4096
 # Value buckets per unit of log1p(|value|): a bucket spans about 0.1 % of its values.
@@ -42,80 +39,49 @@ def keep_top(df: DataFrame, keys: Sequence[str | Column], k: int, *order: Column
     return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= k).drop("_rn")
 
 
-def local_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame | None:
-    """The table as local rows when it has at most ``max_rows`` of them, else None.
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a table has at most ``max_rows`` rows that hold at most ``max_bytes``.
 
-    At most ``max_rows + 1`` rows travel to the driver, whatever the table's size.
+    Rows are weighed where they lie (as JSON text for the parts of variable width); one row of two numbers comes back.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    return None if rows.num_rows > max_rows else df.sparkSession.createDataFrame(rows, df.schema)
+    wide = [f.name for f in df.schema if not f.dataType.typeName() in ("boolean", "byte", "short", "integer", "long", "float", "double", "date", "timestamp")]
+    weight = F.lit(16 * len(df.columns))
+    if wide:
+        weight = weight + F.octet_length(F.to_json(F.struct(*wide)))
+    rows, weight = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.sum(weight)).first()
+    return rows <= max_rows and (weight or 0) <= max_bytes
 
 
-def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Evaluate a (normally tiny) table once; broadcast it only if its row count proved small.
-
-    A larger table is checkpointed and joined unhinted, so it shuffles and AQE splits skew.
-    """
-    small = local_if_small(df, max_rows)
-    return cut_lineage(df) if small is None else F.broadcast(small)
+def broadcast_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Evaluate a (normally tiny) table once; broadcast it only if its size proved small, else it shuffles."""
+    held = cut_lineage(df)
+    return F.broadcast(held) if is_small(held, max_rows, max_bytes) else held
 
 
 def join_small_or_salted(
     left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "inner",
     max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Map-side join when the right table proved small, else the salted shuffle join."""
-    small = local_if_small(right, max_rows)
-    if small is not None:
-        return left.join(F.broadcast(small), list(on), how)
-    return salted_join(left, right, on, spread, how)
-
-
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    spread: Sequence[str],
-    how: str = "inner",
-    hot_rows: int = HOT_ROWS,
-    max_hot: int = HOT_KEYS,
-    key_counts: DataFrame | None = None,
-) -> DataFrame:
-    """Equi-join whose left side may be dominated by a few keys.
-
-    Keys with at least ``hot_rows`` left rows are counted first (map-side combined); their rows are
-    spread over salts by a hash of ``spread`` and the matching right rows are repeated per salt. The
-    hot-key table has at most ``max_hot`` rows, which is what makes its broadcast safe.
-    ``how`` may be inner, left, left_semi or left_anti. ``key_counts`` (on columns and ``_rows``)
-    saves the counting pass where the caller has a histogram already. Rows with a null key count as a
-    key of their own: many of them switch the salting on and are spread over ``NULL_SALTS``.
+    """Map-side join when the right table proved small, else the shuffle join that splits skew."""
+    held = cut_lineage(right)
+    if is_small(held, max_rows):
+        return left.join(F.broadcast(held), list(on), how)
+    return salted_join(left, held, on, spread, how)
+
+
+def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join whose left side may be dominated by a few keys, for ``how`` inner, left, left_semi or left_anti.
+
+    Neither side is counted first: adaptive execution splits whatever partition of the left proves large, for any number
+    of hot keys. What it cannot help is null keys, which match nothing and would all meet in one task: a salt from a hash
+    of ``spread`` deals them out.
     """
     on = list(on)
     present = F.lit(True)
     for key in on:
         present = present & F.col(key).isNotNull()
-    if key_counts is None:
-        key_counts = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = (
-        key_counts.where(F.col("_rows") >= hot_rows)
-        .orderBy(F.col("_rows").desc(), *on).limit(max_hot)
-        .select(*on, F.ceil(F.col("_rows") / F.lit(hot_rows)).cast("int").alias("_salts"))
-    ).toArrow()
-    if not hot.num_rows:
-        return left.join(right, on, how)
-    names = F.broadcast(left.sparkSession.createDataFrame(hot).where(present))
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    left_salted = (
-        left.join(names, on, "left")
-        .withColumn("_n", F.when(present, salts).otherwise(NULL_SALTS).cast("bigint"))
-        .withColumn("_salt", F.pmod(F.xxhash64(*spread), F.col("_n")).cast("int")).drop("_n", "_salts")
-    )
-    right_salted = (
-        right.join(names, on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("_salts")
-    )
-    return left_salted.join(right_salted, [*on, "_salt"], how).drop("_salt")
+    salt = F.when(present, F.lit(0)).otherwise(F.pmod(F.xxhash64(*spread), F.lit(NULL_SALTS))).cast("int")
+    return left.withColumn("_salt", salt).join(right.withColumn("_salt", F.lit(0)), [*on, "_salt"], how).drop("_salt")
 
 
 def beside(*one_row: DataFrame) -> DataFrame:

@@ -121,28 +121,42 @@ def comment_thread(comments: DataFrame) -> DataFrame:
         "is_reply", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
-def comment_depths(comments: DataFrame, max_rounds: int = 40) -> DataFrame:
+def comment_depths(comments: DataFrame) -> DataFrame:
     """J16, full depth: (id, root_id, depth) by pointer doubling.
 
     Every round replaces a comment's ancestor by that ancestor's ancestor, so a thread of depth d takes
-    log2(d) joins on the unique comment id instead of d steps of recursion.
+    log2(d) joins on the unique comment id instead of d steps of recursion. Comments whose parents form a cycle have the
+    least id of the cycle as root: its parent is disregarded.
     """
-    parents = comments.select(
-        "id", F.nullif(F.trim("parent_id"), F.lit("")).alias("_parent"))
-    known = parents.select(F.col("id").alias("_parent"), F.lit(True).alias("_ok"))
-    state = scale.cut_lineage(
-        parents.join(known, "_parent", "left").select(
-            "id", F.when(F.col("_ok"), F.col("_parent")).otherwise(F.col("id")).alias("root_id"),
-            F.when(F.col("_ok"), F.lit(1)).otherwise(F.lit(0)).alias("depth")))
-    for _ in range(max_rounds):
-        up = state.select(F.col("id").alias("root_id"), F.col("root_id").alias("_root"), F.col("depth").alias("_up"))
-        moved = scale.cut_lineage(
-            scale.salted_join(state, up, ["root_id"], ["id"], "left").select(
-                "id", F.col("_root").alias("root_id"), (F.col("depth") + F.col("_up")).alias("depth"),
-                (F.col("_up") > 0).alias("_moved")))
-        state = moved.drop("_moved")
-        if moved.where("_moved").isEmpty():
-            break
+    named = comments.select("id", F.nullif(F.trim("parent_id"), F.lit("")).alias("_parent"))
+    known = named.select(F.col("id").alias("_parent"), F.lit(True).alias("_ok"))
+    parents = scale.cut_lineage(
+        scale.salted_join(named, known, ["_parent"], ["id"], "left").select("id", F.when(F.col("_ok"), F.col("_parent")).alias("_parent")))
+    state = _climb(parents)
+    endless = state.where("NOT done")
+    if endless.limit(1).count():
+        on_cycle = endless.select(F.col("root_id").alias("id")).distinct()
+        heads = state.join(on_cycle, "id", "left_semi").select(F.col("least").alias("id")).distinct().withColumn("_head", F.lit(True))
+        state = _climb(scale.cut_lineage(
+            parents.join(heads, "id", "left").select("id", F.when(F.col("_head").isNull(), F.col("_parent")).alias("_parent"))))
+    return state.select("id", "root_id", "depth")
+
+
+def _climb(parents: DataFrame) -> DataFrame:
+    """``id, root_id, depth, least, done`` once every comment has reached its root, or has climbed as many steps as there are
+    comments: then it goes round a cycle, ``root_id`` is one of the cycle and ``least`` the least id on the way."""
+    state = scale.cut_lineage(parents.select(
+        "id", F.coalesce("_parent", "id").alias("root_id"), F.when(F.col("_parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"),
+        F.least("id", F.coalesce("_parent", "id")).alias("least"), F.col("_parent").isNull().alias("done")))
+    steps, rows = 1, state.count()
+    while steps <= rows and state.where("NOT done").limit(1).count():
+        up = state.select(*[F.col(c).alias(f"_{c}") for c in state.columns])
+        open_rows = state.where("NOT done").withColumn("_id", F.col("root_id"))
+        climbed = scale.salted_join(open_rows, up, ["_id"], ["id"]).select(
+            "id", F.col("_root_id").alias("root_id"), (F.col("depth") + F.col("_depth")).alias("depth"),
+            F.least("least", "_least").alias("least"), F.col("_done").alias("done"))
+        state = scale.cut_lineage(state.where("done").unionByName(climbed))
+        steps *= 2
     return state
 
 

@@ -49,7 +49,7 @@ def token_jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, row
     words = reps.select("sig", F.explode("tokens").alias("token"))
     counts = scale.cut_lineage(words.groupBy("token").agg(F.count(F.lit(1)).alias("_rows")))
     ranked = scale.salted_join(
-        words, counts.select("token", F.col("_rows").alias("df")), ["token"], ["sig"], key_counts=counts)
+        words, counts.select("token", F.col("_rows").alias("df")), ["token"], ["sig"])
     ordered = ranked.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_o")).select(
         "sig", F.transform("_o", lambda t: t["token"]).alias("_t"))
     size = F.size("_t")

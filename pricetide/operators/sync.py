@@ -152,7 +152,7 @@ def plan_sync(
     )
     # Classified once and stored: the change list, the guard counts and the missing test all read it.
     classified = scale.cut_lineage(matched.select(
-        action.alias("action"), "key", "legacy_key", F.col("prev_id").alias("id"), "source", "source_link"))
+        action.alias("action"), "key", "legacy_key", "prev_key", F.col("prev_id").alias("id"), "source", "source_link"))
     changes = classified.drop("legacy_key")
     eligible = classified.where("action <> 'skip_expired'")
     guard = delete_guard(existing, incoming, eligible, sources, stale, min_rows, ratio)
@@ -160,13 +160,14 @@ def plan_sync(
         F.col("deleted_at").isNull() & F.col("source").isin(sources)
         & (text_or_empty(F.col("source_link")) != ""))
     old = is_older_than(F.col("registered_at"), none, cutoff) if cutoff is not None else F.lit(False)
+    active = active.withColumn("prev_key", F.col("key"))
     expired = active.where(old).withColumn("action", F.lit("delete_expired"))
     missing = (
         sync_missing(active.where(~old), eligible)
         .join(F.broadcast(guard.select("source", "guarded")), "source", "left")
         .withColumn("action", F.when(F.col("guarded"), "keep_guarded").otherwise("delete_missing"))
     )
-    names = ["action", "key", "id", "source", "source_link"]
+    names = ["action", "key", "prev_key", "id", "source", "source_link"]
     return changes.unionByName(expired.select(*names)).unionByName(missing.select(*names))
 
 
@@ -265,23 +266,32 @@ def purge_soft_deleted(base: DataFrame) -> DataFrame:
 def apply_plan(
     existing: DataFrame, incoming: DataFrame, plan: DataFrame, now: str | Column, payload: list[str]
 ) -> DataFrame:
-    """The stored table after a plan: changed rows written and revived, deletes stamped."""
-    plan = scale.cut_lineage(plan.select("action", "key"))
-    changed = plan.where(F.col("action").isin("insert", "reactivate", "update")).select("key")
+    """The stored table after a plan: changed rows written and revived, deletes stamped.
+
+    A change goes to the stored row the plan matched (``prev_key``), which then takes the new key; so a row found by its
+    legacy key is rewritten in place. Should two changes have matched one stored row, the one of the same key gets it
+    and the other is inserted.
+    """
+    plan = scale.cut_lineage(plan.select("action", "key", "prev_key"))
+    changed = plan.where(F.col("action").isin("insert", "reactivate", "update"))
+    claims = changed.where("prev_key IS NOT NULL")
+    owners = scale.keep_one(claims, ["prev_key"], (F.col("key") != F.col("prev_key")).asc(), F.col("key").asc()).select(
+        "key", F.col("prev_key").alias("_at"))
+    placed = changed.select("key").join(owners, "key", "left").select("key", F.coalesce("_at", "key").alias("_at"))
     changes = (
-        incoming.join(changed, "key", "left_semi").select("key", "id", *payload)
+        incoming.join(placed, "key").select("_at", "key", "id", *payload)
         .withColumn("updated_at", as_ts(now)).withColumn("deleted_at", F.lit(None).cast("timestamp"))
     )
-    written = upsert(existing, changes, ["key"], keep=["id"])
     deletes = plan.where(F.col("action").isin("delete_missing", "delete_expired")).select("key").withColumn(
         "_gone", F.lit(True))
     hit = F.coalesce(F.col("_gone"), F.lit(False)) & F.col("deleted_at").isNull()
-    return (
-        written.join(deletes, "key", "left")
+    stamped = (
+        existing.join(deletes, "key", "left")
         .withColumn("updated_at", F.when(hit, as_ts(now)).otherwise(F.col("updated_at")))
         .withColumn("deleted_at", F.when(hit, as_ts(now)).otherwise(F.col("deleted_at")))
-        .drop("_gone")
+        .drop("_gone").withColumn("_at", F.col("key"))
     )
+    return upsert(stamped, changes, ["_at"], keep=["id"]).select(*existing.columns)
 
 
 def cached_detail_enrich(rows: DataFrame, previous: DataFrame, cols: list[str]) -> DataFrame:

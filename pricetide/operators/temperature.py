@@ -159,7 +159,7 @@ def empirical_percentile(scored: DataFrame, row_id: str = "id") -> DataFrame:
     ranks = scale.histogram_ranks(hist, ["source"], "source_z").select(
         "source", "source_z", _mid_rank(F.col("below"), F.col("n"), F.col("total")).alias("source_pct"))
     return scale.salted_join(
-        scored, ranks, ["source", "source_z"], [row_id], "left", key_counts=hist.withColumnRenamed("n", "_rows"))
+        scored, ranks, ["source", "source_z"], [row_id], "left")
 
 
 def empirical_percentile_external(

@@ -362,9 +362,22 @@ def published_versions(spark, sf_dir):
     return tables.read_current(spark, root).agg(F.count(F.lit(1)).alias("rows_now"), F.count("deleted_at").alias("deleted"))
 
 
-@query("upsert_stream", "SELECT user_id, event_type, max(event_id) AS last_event FROM events GROUP BY ALL")
+LAST_EVENT = "SELECT user_id, event_type, max(event_id) AS last_event FROM events GROUP BY ALL"
+
+
+@query("upsert_stream", LAST_EVENT)
 def upsert_stream(spark, sf_dir):
     """Every micro-batch merges into a new table version."""
+    return _upsert_stream(spark, sf_dir, False)
+
+
+@query("upsert_stream_shared", LAST_EVENT)
+def upsert_stream_shared(spark, sf_dir):
+    """Two streams with checkpoints of their own, each over half of the events, and a foreign version after each."""
+    return _upsert_stream(spark, sf_dir, True)
+
+
+def _upsert_stream(spark, sf_dir, shared):
     root = _folder(spark, "merged")
     schema = "user_id BIGINT, event_type STRING, last_event BIGINT"
     tables.publish(spark.createDataFrame([], schema), root)
@@ -376,20 +389,24 @@ def upsert_stream(spark, sf_dir):
         return new.join(old, keys, "full_outer").select(*keys, F.greatest("last_event", "_old").alias("last_event"))
 
     events = table(spark, sf_dir, "events")
-    stream = tables.read_documents_stream(spark, f"{sf_dir}/events*.parquet", events.schema)
-    q = stream.writeStream.foreachBatch(J.upsert_sink(root, merge)).option(
-        "checkpointLocation", _folder(spark, "merged-ckpt")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    for run in range(2 if shared else 1):
+        checkpoint = _folder(spark, "merged-ckpt")
+        stream = tables.read_documents_stream(spark, f"{sf_dir}/events*.parquet", events.schema)
+        half = stream.where(F.col("event_id") % 2 == run) if shared else stream
+        half.writeStream.foreachBatch(J.upsert_sink(root, merge, checkpoint)).option(
+            "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+        if shared:  # another writer of the table between the two streams
+            tables.publish(tables.read_current(spark, root), root)
     return tables.read_current(spark, root)
 
 
 @query("ledger_stream", "SELECT DISTINCT event_type AS deal_id, user_id AS uid FROM events")
 def ledger_stream(spark, sf_dir):
     """R3, exact: the streamed pairs the ledger lacks, once each."""
-    root = _folder(spark, "ledger")
+    root, checkpoint = _folder(spark, "ledger"), _folder(spark, "ledger-ckpt")
     stream = tables.read_documents_stream(spark, f"{sf_dir}/events*.parquet", table(spark, sf_dir, "events").schema)
     pairs = stream.select(F.col("event_type").alias("deal_id"), F.col("user_id").alias("uid"))
-    q = pairs.writeStream.foreachBatch(J.ledger_sink(root)).option(
-        "checkpointLocation", _folder(spark, "ledger-ckpt")).trigger(availableNow=True).start()
+    q = pairs.writeStream.foreachBatch(J.ledger_sink(root, checkpoint)).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{root}/v*").select("deal_id", "uid")
+    return spark.read.parquet(f"{root}/batch=*").select("deal_id", "uid")

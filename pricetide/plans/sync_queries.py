@@ -335,12 +335,12 @@ def push_candidates(spark, sf_dir):
     return Y.push_candidates(_plan(spark, sf_dir, True)).select("key")
 
 
-@query("sync_apply", f"""{BASE}, {plan_sql(False)}, ch AS (SELECT inc.* FROM inc JOIN pl USING (key) WHERE action IN ('insert', 'reactivate', 'update')),
-gone AS (SELECT key FROM pl WHERE action IN ('delete_missing', 'delete_expired'))
-SELECT key, coalesce(e.id, c.id) AS id, CASE WHEN c.key IS NOT NULL THEN c.views ELSE e.views END AS views,
-  CASE WHEN c.key IS NOT NULL THEN NULL WHEN d.key IS NOT NULL AND e.deleted_at IS NULL THEN {sql_ts(T0)} ELSE {sql_ts('e.deleted_at')} END AS deleted_at,
-  CASE WHEN c.key IS NOT NULL OR (d.key IS NOT NULL AND e.deleted_at IS NULL) THEN {sql_ts(T0)} ELSE {sql_ts('e.updated_at')} END AS updated_at
-FROM ex e FULL JOIN ch c USING (key) LEFT JOIN gone d USING (key)""")
+@query("sync_apply", f"""{BASE}, {plan_sql(False)}, ch AS (SELECT * FROM a WHERE action IN ('insert', 'reactivate', 'update')),
+gone AS (SELECT id FROM pl WHERE action IN ('delete_missing', 'delete_expired'))
+SELECT coalesce(c.key, e.key) AS key, coalesce(e.id, c.id) AS id, CASE WHEN c.key IS NOT NULL THEN c.views ELSE e.views END AS views,
+  CASE WHEN c.key IS NOT NULL THEN NULL WHEN d.id IS NOT NULL AND e.deleted_at IS NULL THEN {sql_ts(T0)} ELSE {sql_ts('e.deleted_at')} END AS deleted_at,
+  CASE WHEN c.key IS NOT NULL OR (d.id IS NOT NULL AND e.deleted_at IS NULL) THEN {sql_ts(T0)} ELSE {sql_ts('e.updated_at')} END AS updated_at
+FROM ex e FULL JOIN ch c ON c.pid = e.id LEFT JOIN gone d ON d.id = e.id""")
 def sync_apply(spark, sf_dir):
     """The stored table after the plan."""
     existing, incoming = planned_tables(spark, sf_dir)

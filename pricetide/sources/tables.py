@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +21,32 @@ def read_deals(spark: SparkSession, path: str, columns: list[str] | None = None,
 def write_deals(df: DataFrame, path: str) -> None:
     """Deals partitioned by source and sorted by time inside the files, for pruning and min-max skipping.
 
-    ``repartition`` by source and a time slice keeps one source from landing in one task.
+    Rows are dealt by source, day and ``FILE_SALTS`` salts of the instant, so neither a source nor one of its days lands in
+    one task; adaptive execution joins what is small.
     """
-    slices = F.floor(F.unix_seconds("registered_at") / 86_400)
+    day, salt = F.floor(F.unix_seconds("registered_at") / 86_400), F.pmod(F.xxhash64("registered_at"), F.lit(FILE_SALTS))
     (
-        df.withColumn("_slice", slices).repartition("source", "_slice").drop("_slice")
+        df.withColumns({"_day": day, "_salt": salt}).repartition("source", "_day", "_salt").drop("_day", "_salt")
         .sortWithinPartitions("source", "registered_at").write.mode("overwrite").partitionBy("source").parquet(path)
     )
 
 
-def _versions(spark: SparkSession, root: str):
+# Tasks a day of one source is spread over when it is written.
+FILE_SALTS = 8
+VERSION = re.compile(r"v(\d+)(?:-([0-9a-f]+)-(\d+))?")
+
+
+class Version(NamedTuple):
+    """A finished version; ``stream`` and ``batch`` name the micro-batch that wrote it, if one did."""
+
+    number: int
+    stream: str | None
+    batch: int | None
+    path: str
+
+
+def versions(spark: SparkSession, root: str) -> list[Version]:
+    """The finished versions below ``root``, oldest first."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -35,26 +55,34 @@ def _versions(spark: SparkSession, root: str):
     done = []
     for status in fs.listStatus(path):
         name = status.getPath().getName()
-        marker = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_SUCCESS")
-        if name.startswith("v") and name[1:].isdigit() and fs.exists(marker):
-            done.append(int(name[1:]))
-    return sorted(done)
+        found = VERSION.fullmatch(name)
+        if found and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_SUCCESS")):
+            done.append(Version(int(found[1]), found[2], int(found[3]) if found[3] else None, f"{root}/{name}"))
+    return sorted(done, key=lambda v: (v.number, v.path))
+
+
+def folders(spark: SparkSession, root: str) -> int:
+    """Number of entries below ``root``; 0 when it does not exist."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return len(fs.listStatus(path)) if fs.exists(path) else 0
 
 
 def current_version(spark: SparkSession, root: str) -> int:
-    """Newest finished version below ``root``; 0 when there is none."""
-    found = _versions(spark, root)
-    return found[-1] if found else 0
+    """Number of the newest finished version below ``root``; 0 when there is none."""
+    found = versions(spark, root)
+    return found[-1].number if found else 0
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/v{current_version(spark, root):09d}")
+    return spark.read.parquet(versions(spark, root)[-1].path)
 
 
-def publish(df: DataFrame, root: str, partition_by: list[str] = ()) -> int:
+def publish(df: DataFrame, root: str, partition_by: list[str] = (), stream: str | None = None, batch: int | None = None) -> int:
     """Writes the next version; readers see it once the job's ``_SUCCESS`` marker exists.
 
-    The version being read is never overwritten, and a job that dies leaves no visible version.
+    The version being read is never overwritten, and a job that dies leaves no visible version. A micro-batch's mark is
+    part of the version's name, so data and mark appear in one step.
     """
     spark = df.sparkSession
     number = current_version(spark, root) + 1
@@ -62,10 +90,31 @@ def publish(df: DataFrame, root: str, partition_by: list[str] = ()) -> int:
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{root}/v{number:09d}")
+    writer.parquet(f"{root}/v{number:09d}" + (f"-{stream}-{batch}" if stream else ""))
     return number
 
 
+def has_batch(spark: SparkSession, root: str, stream: str, batch: int) -> bool:
+    """Whether the stream's micro-batch has been published."""
+    return any((v.stream, v.batch) == (stream, batch) for v in versions(spark, root))
+
+
+def expire_versions(spark: SparkSession, root: str, keep: int = 3) -> int:
+    """Removes all but the ``keep`` newest versions and, of each stream, the newest: it tells which batch came last."""
+    found = versions(spark, root)
+    last = {v.stream: v.path for v in found if v.stream}
+    old = [v for v in found[: max(0, len(found) - keep)] if v.path not in last.values()]
+    for v in old:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(v.path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(old)
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """Identity of the stream that keeps its progress in ``checkpoint``; a fresh checkpoint is another stream."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"].replace("-", "")
+
+
 def read_documents_stream(spark: SparkSession, path: str, schema, fmt: str = "parquet", **options: str) -> DataFrame:
     """New rows as they arrive in a directory."""
     reader = spark.readStream.format(fmt).schema(schema)

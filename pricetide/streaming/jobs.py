@@ -117,14 +117,14 @@ def alert_dedup_stream(matches: DataFrame, delay: str = "48 hours") -> DataFrame
 
 
 def late_and_future_filter(deals: DataFrame, now_col: str | None = None, late: str = "48 hours", skew_minutes: int = 10) -> DataFrame:
-    """Rows ahead of the clock by more than the skew dropped; the watermark drops late ones.
+    """Rows ahead of the clock by more than the skew, or behind it by more than ``late``, dropped.
 
-    ``now_col`` names an ingest-time column for replays; without it the batch's own clock is used.
+    ``now_col`` names an ingest-time column for replays; without it the batch's own clock is used. The watermark is set for
+    what follows; by itself it drops nothing.
     """
     clock = F.col(now_col) if now_col else F.current_timestamp()
-    kept = deals.where(F.col("registered_at") <= clock + F.expr(f"INTERVAL {skew_minutes} MINUTES"))
-    if now_col:
-        kept = kept.where(F.col("registered_at") >= clock - F.expr(f"INTERVAL {late}"))
+    at = F.col("registered_at")
+    kept = deals.where((at <= clock + F.expr(f"INTERVAL {skew_minutes} MINUTES")) & (at >= clock - F.expr(f"INTERVAL {late}")))
     return kept.withWatermark("registered_at", late)
 
 
@@ -162,27 +162,40 @@ def keyword_match_stream(deals: DataFrame, subscriptions: DataFrame, text_cols:
     return terms.join(wanted, "term")
 
 
-def upsert_sink(root: str, plan_batch):
-    """``foreachBatch`` writer. ``plan_batch(stored, batch) -> new table``; a batch id that was
-    already published is skipped, so a replayed batch changes nothing."""
+def upsert_sink(root: str, plan_batch, checkpoint: str):
+    """``foreachBatch`` writer. ``plan_batch(stored, batch) -> new table``.
+
+    Each version carries the stream and batch that wrote it; a batch is skipped only if that very pair is published, so a
+    replay changes nothing, and other writers of the table or a fresh ``checkpoint`` cost no batch.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if tables.current_version(spark, root) >= batch_id + 1 + _offset:
-            return
-        tables.publish(plan_batch(tables.read_current(spark, root), batch), root)
-    _offset = 1  # version 1 is the table the stream started from
+        stream = tables.stream_id(spark, checkpoint)
+        if not tables.has_batch(spark, root, stream, batch_id):
+            tables.publish(plan_batch(tables.read_current(spark, root), batch), root, stream=stream, batch=batch_id)
     return write
 
 
-def ledger_sink(root: str):
-    """R3, exact: writes the batch's (deal, user) pairs the ledger lacks, once each."""
+LEDGER_SLICES = 64
+
+
+def ledger_sink(root: str, checkpoint: str):
+    """R3, exact: writes the batch's (deal, user) pairs the ledger lacks, once each.
+
+    Files lie by a hash slice of the pair, so a batch reads only the slices it has pairs of. A batch's folder is named by
+    stream and batch: a replay replaces it, a fresh ``checkpoint`` starts folders of its own.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        pairs = batch.select("deal_id", "uid").distinct()
-        if tables.current_version(spark, root):
-            stored = spark.read.parquet(f"{root}/v*")
-            pairs = A.suppress_already_matched(pairs, stored.where(F.col("batch_id") != batch_id))
-        pairs.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{root}/v{batch_id + 1:09d}")
+        mark = f"{tables.stream_id(spark, checkpoint)}-{batch_id}"
+        pairs = batch.select("deal_id", "uid").distinct().withColumn(
+            "slice", F.pmod(F.xxhash64("deal_id", "uid"), F.lit(LEDGER_SLICES)).cast("int"))
+        if tables.folders(spark, root):
+            stored = spark.read.option("basePath", root).parquet(f"{root}/batch=*")
+            have = [r["slice"] for r in pairs.select("slice").distinct().limit(LEDGER_SLICES).collect()]
+            other = stored.where(F.col("slice").isin(have) & (F.col("batch") != mark)).select("deal_id", "uid")
+            pairs = pairs.join(other, ["deal_id", "uid"], "left_anti")
+        pairs.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("slice").parquet(f"{root}/batch={mark}")
     return write
 
 

@@ -19,7 +19,7 @@ def skewed(spark):
 def test_salted_join_equals_join(spark, skewed, how):
     right = spark.createDataFrame([("hot", 1), ("hot", 2), ("1", 3), ("2", 4), ("99", 5)], "k string, n int")
     want = sorted(map(tuple, skewed.join(right, "k", how).collect()), key=str)
-    got = scale.salted_join(skewed, right, ["k"], ["id"], how, hot_rows=50, max_hot=3)
+    got = scale.salted_join(skewed, right, ["k"], ["id"], how)
     assert sorted(map(tuple, got.select(*skewed.join(right, "k", how).columns).collect()), key=str) == want
 
 
@@ -35,6 +35,17 @@ def test_small_or_salted_takes_both_ways(spark, skewed):
     assert a.count() == b.count() == skewed.join(right, "k").count()
 
 
+def test_join_with_many_hot_keys(spark):
+    left = spark.range(30_000).select("id", (F.col("id") % 300).cast("string").alias("k"))
+    right = spark.range(300).select(F.col("id").cast("string").alias("k"), F.col("id").alias("n"))
+    assert scale.salted_join(left, right, ["k"], ["id"]).where("n = id % 300").count() == 30_000
+
+
+def test_wide_rows_are_not_broadcast(spark):
+    wide = spark.range(5).select("id", F.repeat(F.lit("x"), 1000).alias("t"))
+    assert scale.is_small(wide) and not scale.is_small(wide, max_bytes=3000)
+
+
 def test_broadcast_is_checked(spark):
     small, big = spark.range(5), spark.range(50)
     assert "ResolvedHint" in scale.broadcast_checked(small, 10)._jdf.queryExecution().analyzed().toString()

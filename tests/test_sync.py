@@ -119,3 +119,19 @@ def test_merge_keeps_last_filled(spark):
     a = spark.createDataFrame([("k", "x", "1", 1)], "k string, t string, p string, pos int")
     b = spark.createDataFrame([("k", "", "2", 1), ("k", "y", None, 2)], "k string, t string, p string, pos int")
     assert tuple(D.dedup_merge_nonempty(a, b, "k", ["t", "p"]).first()) == ("k", "y", "2")
+
+
+def test_row_found_by_its_legacy_key_is_rewritten_in_place(spark):
+    ex = existing(spark, [{"source": "quasar", "i": 3, "key": "quasar::https://b.example/3", "title": "before"}]).withColumn("updated_at", F.col("registered_at"))
+    inc = incoming(spark, "quasar", [3], title="after").withColumn("id", F.lit(77))
+    plan_ = Y.plan_sync(inc, ex, NOW, ["quasar"])
+    rows = Y.apply_plan(ex, inc, plan_, NOW, ["source", "source_link", "title", "registered_at"]).collect()
+    assert [(r["key"], r["id"], r["title"], r["deleted_at"]) for r in rows] == [("quasar::post::3", 3, "after", None)]
+
+
+def test_one_stored_row_has_one_owner(spark):
+    """A stored key that is the key of one new row and the legacy key of another."""
+    ex = existing(spark, [{"source": "quasar", "i": 1, "title": "before"}]).withColumn("updated_at", F.col("registered_at"))
+    inc = incoming(spark, "quasar", [1, 2], title="after").withColumn("legacy_key", F.lit("quasar::post::1")).withColumn("id", F.lit(70) + F.monotonically_increasing_id())
+    out = Y.apply_plan(ex, inc, Y.plan_sync(inc, ex, NOW, ["quasar"]), NOW, ["source", "source_link", "title", "registered_at"])
+    assert {r["key"] for r in out.collect()} == {"quasar::post::1", "quasar::post::2"} and out.count() == 2
