@@ -6,6 +6,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +23,9 @@ MISS = 1e-4
 SEED = 20_240_229
 # Shingles hashed at a time.
 BLOCK = 1 << 14
+# Nodes and shingles of a block in the comparison across components; a shingle of COMMON nodes is counted by matrix
+# products, COLUMNS such shingles at a time.
+BLOCK_NODES, BLOCK_SHINGLES, COMMON, COLUMNS = 512, 1 << 20, 16, 2048
 
 
 def collection_size(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -99,6 +103,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, alike: Column) -> DataFrame:
     return met.where(alike).select("a", "b")
 
 
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections: matrix products for common shingles, counted pairs for rare ones."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    token = np.concatenate(sets)
+    order = np.argsort(token, kind="stable")
+    owner, token = owner[order], token[order]
+    _, number, times = np.unique(token, return_inverse=True, return_counts=True)
+    met = np.zeros((len(sets), len(sets)), np.float32)
+    often = times >= COMMON
+    column = np.cumsum(often) - 1
+    for at in range(0, int(often.sum()), COLUMNS):
+        some = often[number] & (column[number] >= at) & (column[number] < at + COLUMNS)
+        holds = np.zeros((len(sets), COLUMNS), np.float32)
+        holds[owner[some], column[number[some]] - at] = 1
+        met += holds @ holds.T
+    rare = (times[number] > 1) & ~often[number]
+    owner, number = owner[rare], number[rare]
+    for step in range(1, COMMON - 1):
+        same = np.flatnonzero(number[step:] == number[:-step]) if step < len(number) else np.zeros(0, int)
+        both = np.bincount(owner[same] * len(sets) + owner[same + step], minlength=met.size).reshape(met.shape) if len(same) else 0
+        met += both + np.transpose(both)
+    return met
+
+
+def _block_links(percent: int):
+    """One link per pair of components that two blocks of a hub's members hold."""
+    def run(pdf):
+        sets = [np.asarray(s, np.int64) for s in pdf["shingles"]]
+        size = np.array([len(s) for s in sets])
+        component = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]
+        block = pdf["block"].to_numpy()
+        met = _intersections(sets)
+        linked = 100 * met >= percent * (size[:, None] + size[None, :] - met)
+        linked &= component[:, None] < component[None, :]
+        if pdf["low"].iloc[0] != pdf["high"].iloc[0]:
+            linked &= block[:, None] != block[None, :]
+        a, b = np.nonzero(linked)
+        first = np.unique(component[a] * len(sets) + component[b], return_index=True)[1]
+        return pd.DataFrame({"a": pdf["node"].to_numpy()[a[first]], "b": pdf["node"].to_numpy()[b[first]]})
+    return run
+
+
+def _across_components(stars: DataFrame, labels: DataFrame, sizes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between different components among the members of each hub's buckets.
+
+    A hub's members are dealt into blocks of bounded count and bounded shingles; every two blocks meet in one task.
+    """
+    members = stars.select("b", F.col("a").alias("node")).unionByName(stars.select("b", F.col("b").alias("node")).distinct())
+    placed = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sizes, "node")
+    hubs = placed.groupBy("b").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"),
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).where("least <> most")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = (
+        placed.join(hubs.select("b", "blocks"), "b").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .select("b", "node", "component", "block", other)
+        .select("b", "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+        .join(sets, "node"))
+    return dealt.groupBy("b", "low", "high").applyInPandas(_block_links(percent), "a binary, b binary").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rows: int = ROWS, percent: int | None = None) -> DataFrame:
     """Adds ``n_shingles``, ``component_id`` and ``kept`` to every row.
 
@@ -111,8 +176,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
     replaced; an empty table stays empty.
 
     Steps: (1) sketch every text; (2) tensored buckets of what can have a partner; (3) every bucket member is verified
-    against the bucket's heaviest node, and components are formed; (4) buckets that still hold several components: every
-    pair across them is verified. So no pair within a component is listed, and no candidate pair is left untested.
+    against the bucket's heaviest node, its hub, and components are formed; (4) where the members of a hub's buckets are
+    still of several components, they are compared in blocks inside tasks, and one link per pair of components comes out.
+    So no pair is listed but those of (3) and the links found, and no candidate pair is left untested.
     """
     percent = round(100 * threshold) if percent is None else percent
     docs = common.without(docs, "n_shingles", "component_id", "kept")
@@ -138,16 +204,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
     links = stage(_verified(stars, sets, alike))
     labels = connected_components(links)
 
-    placed = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    still = stage(placed.join(open_keys, "key", "left_semi").join(nodes.select("node", "n"), "node"))
-    one, two = (still.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n")]) for s in "ab")
-    sizes_fit = (F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b"))
-    rest = (
-        one.join(two, "key").where((F.col("component_a") < F.col("component_b")) & sizes_fit)
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
-    tested = stars.select("a", "b").unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = stage(_verified(rest.join(tested, ["a", "b"], "left_anti"), sets, alike))
+    more = stage(_across_components(stars, labels, nodes.select("node", "n"), sets, percent))
     if more.limit(1).count():
         labels = connected_components(links.unionByName(more))
     labels = stage(labels)
