@@ -20,21 +20,21 @@ class BoardRule:
     read_path_pattern: str = ""
 
 
-# Link shapes of the four boards.
+# Example boards, one for each way a link can carry the post id; a caller passes rules of its own.
 BOARD_RULES = {
-    "ppomppu": BoardRule(query_key="no", read_tag="no", read_query_key="no"),
-    "quasar": BoardRule(
-        path_pattern=r"/views/([0-9]+)", canonical="https://quasarzone.com/bbs/qb_saleinfo/views/{id}",
+    "alpha": BoardRule(query_key="no", read_tag="no", read_query_key="no"),
+    "beta": BoardRule(
+        path_pattern=r"/views/([0-9]+)", canonical="https://beta.example/board/sale/views/{id}",
         read_tag="view", read_path_pattern=r"/views/([0-9]+)"),
-    "fmkorea": BoardRule(
-        query_key="document_srl", path_pattern=r"fmkorea\.com/(?:index\.php/)?([0-9]+)",
-        canonical="https://m.fmkorea.com/?mid=hotdeal&document_srl={id}",
-        read_tag="doc", read_query_key="document_srl", read_path_pattern=r"fmkorea\.com/([0-9]+)"),
-    "ruliweb": BoardRule(
-        path_pattern=r"/read/([0-9]+)", canonical="https://m.ruliweb.com/market/board/1020/read/{id}",
+    "gamma": BoardRule(
+        query_key="doc", path_pattern=r"gamma\.example/(?:view/)?([0-9]+)",
+        canonical="https://m.gamma.example/?board=deals&doc={id}",
+        read_tag="doc", read_query_key="doc", read_path_pattern=r"gamma\.example/([0-9]+)"),
+    "delta": BoardRule(
+        path_pattern=r"/read/([0-9]+)", canonical="https://m.delta.example/board/20/read/{id}",
         read_tag="read", read_path_pattern=r"/read/([0-9]+)"),
 }
-FEED_SOURCES = ["ppomppu", "quasar", "fmkorea", "ruliweb"]
+FEED_SOURCES = ["alpha", "beta", "gamma", "delta"]
 
 
 def text_or_empty(col: Column) -> Column:

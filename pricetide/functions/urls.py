@@ -9,10 +9,10 @@ from pricetide.functions.keys import query_param, text_or_empty
 
 # Image proxy host, redirector hosts, placeholder tokens.
 IMAGE_PROXY_HOST = "wsrv.nl"
-REDIRECT_URL_HOST = "link.fmkorea.org"
-REDIRECT_BASE64_HOST = "s.ppomppu.co.kr"
+REDIRECT_URL_HOST = "link.gamma.example"
+REDIRECT_BASE64_HOST = "s.alpha.example"
 BLOCKED_IMAGE_TOKENS = ["transparent.", "blank.", "noimage", "no_image", "spacer."]
-BLOCKED_IMAGE_BY_SOURCE = {"ruliweb": r"ruliweb_bi\.png", "fmkorea": r"/cache/thumb/"}
+BLOCKED_IMAGE_BY_SOURCE = {"delta": r"board_logo\.png", "gamma": r"/cache/thumb/"}
 # Title prefixes of stores with a curated picture, in rule order.
 DEFAULT_IMAGE_RULES = [
     ("naver", r"(?i)^\[\s*네이버(?:\s*페이)?\s*\]", "defaults/naver-thumb-v1.webp", "defaults/naver-detail640-v1.webp"),

@@ -11,7 +11,7 @@ from pricetide.functions.times import parse_iso
 from pricetide.operators import scale
 
 # The policy filter.
-BLINDED_SOURCE = "quasar"
+BLINDED_SOURCE = "beta"
 BLINDED_PHRASE = "블라인드 처리된 글"
 
 

@@ -16,12 +16,12 @@ from pricetide.plans.views import NOW, oracle_with, table, text_table, view
 from pricetide.sources import feeds
 
 T0 = f"TIMESTAMP '{NOW}'"
-LINKS = f"""{oracle_with('v_links')}, pid AS (SELECT *, CASE source WHEN 'ppomppu' THEN regexp_extract(link, '[?&]no=([^&#]+)', 1) WHEN 'quasar' THEN regexp_extract(link, '/views/([0-9]+)', 1)
-  WHEN 'ruliweb' THEN regexp_extract(link, '/read/([0-9]+)', 1)
-  ELSE coalesce(nullif(regexp_extract(link, '[?&]document_srl=([^&#]+)', 1), ''), regexp_extract(link, 'fmkorea\\.com/(?:index\\.php/)?([0-9]+)', 1)) END AS p FROM v_links),
-can AS (SELECT *, CASE WHEN p = '' THEN link WHEN source = 'ppomppu' THEN regexp_replace(link, '[?#].*$', '') || '?id=' || regexp_extract(link, '[?&]id=([^&#]+)', 1) || '&no=' || p
-  WHEN source = 'quasar' THEN 'https://quasarzone.com/bbs/qb_saleinfo/views/' || p WHEN source = 'ruliweb' THEN 'https://m.ruliweb.com/market/board/1020/read/' || p
-  ELSE 'https://m.fmkorea.com/?mid=hotdeal&document_srl=' || p END AS canon,
+LINKS = f"""{oracle_with('v_links')}, pid AS (SELECT *, CASE source WHEN 'alpha' THEN regexp_extract(link, '[?&]no=([^&#]+)', 1) WHEN 'beta' THEN regexp_extract(link, '/views/([0-9]+)', 1)
+  WHEN 'delta' THEN regexp_extract(link, '/read/([0-9]+)', 1)
+  ELSE coalesce(nullif(regexp_extract(link, '[?&]doc=([^&#]+)', 1), ''), regexp_extract(link, 'gamma\\.example/(?:view/)?([0-9]+)', 1)) END AS p FROM v_links),
+can AS (SELECT *, CASE WHEN p = '' THEN link WHEN source = 'alpha' THEN regexp_replace(link, '[?#].*$', '') || '?id=' || regexp_extract(link, '[?&]id=([^&#]+)', 1) || '&no=' || p
+  WHEN source = 'beta' THEN 'https://beta.example/board/sale/views/' || p WHEN source = 'delta' THEN 'https://m.delta.example/board/20/read/' || p
+  ELSE 'https://m.gamma.example/?board=deals&doc=' || p END AS canon,
   CASE WHEN p <> '' THEN p ELSE 'link:' || left(sha1(link), 12) END AS pf FROM pid)"""
 
 
@@ -40,7 +40,7 @@ def canonical_links(spark, sf_dir):
 
 
 @query("deal_keys", f"""{LINKS} SELECT id, source || '::post::' || pf AS sync_key, source || '::' || link AS legacy_key,
-  CASE WHEN source = 'ppomppu' THEN source || '::no:' || p WHEN source = 'quasar' THEN source || '::view:' || p WHEN source = 'ruliweb' THEN source || '::read:' || p
+  CASE WHEN source = 'alpha' THEN source || '::no:' || p WHEN source = 'beta' THEN source || '::view:' || p WHEN source = 'delta' THEN source || '::read:' || p
        WHEN p <> '' THEN source || '::doc:' || p ELSE source || '::' || link END AS feed_key,
   CASE WHEN id % 3 = 0 THEN 'id:' || CAST(id AS VARCHAR) || ':' || strftime(registered_at, '%Y-%m-%d') WHEN id % 3 = 1 THEN link ELSE 'title:t' || CAST(id AS VARCHAR) || ':' || strftime(registered_at, '%Y-%m-%d') END AS deal_key FROM can""")
 def deal_keys(spark, sf_dir):
@@ -203,8 +203,8 @@ def outbound_links(spark, sf_dir):
     target = F.concat(F.lit("https://shop.example/p?a="), F.col("page_id").cast("string"))
     k = F.col("page_id") % 3
     link = (
-        F.when(k == 0, F.concat(F.lit("https://link.fmkorea.org/link.php?url="), F.url_encode(target)))
-        .when(k == 1, F.concat(F.lit("https://s.ppomppu.co.kr?target="), F.regexp_replace(F.base64(target.cast("binary")), "=+$", "")))
+        F.when(k == 0, F.concat(F.lit("https://link.gamma.example/link.php?url="), F.url_encode(target)))
+        .when(k == 1, F.concat(F.lit("https://s.alpha.example?target="), F.regexp_replace(F.base64(target.cast("binary")), "=+$", "")))
         .otherwise(F.col("url")))
     return p.select("page_id", U.outbound_link(link).alias("target"))
 

@@ -88,13 +88,13 @@ SELECT page_id, url, replace(replace(replace(html, '</head>',
 FROM pages""",
     "v_links": """
 SELECT event_id AS id, ts AS registered_at,
-       CASE event_id % 5 WHEN 0 THEN 'ppomppu' WHEN 1 THEN 'quasar' WHEN 2 THEN 'ruliweb' ELSE 'fmkorea' END AS source,
+       CASE event_id % 5 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'delta' ELSE 'gamma' END AS source,
        CASE event_id % 5
-         WHEN 0 THEN 'https://m.ppomppu.co.kr/new/bbs_view.php?id=deals&page=2&no=' || CAST(user_id AS STRING) || '#reply'
-         WHEN 1 THEN 'http://quasarzone.com/bbs/qb_saleinfo/views/' || CAST(user_id AS STRING) || '?page=3'
-         WHEN 2 THEN 'https://bbs.ruliweb.com/market/board/1020/read/' || CAST(user_id AS STRING)
-         WHEN 3 THEN 'https://www.fmkorea.com/index.php?mid=hotdeal&document_srl=' || CAST(user_id AS STRING)
-         ELSE CASE WHEN event_id % 2 = 0 THEN 'https://www.fmkorea.com/' || CAST(user_id AS STRING) ELSE 'https://www.fmkorea.com/best' END END AS link
+         WHEN 0 THEN 'https://m.alpha.example/board/view?id=deals&page=2&no=' || CAST(user_id AS STRING) || '#reply'
+         WHEN 1 THEN 'http://beta.example/board/sale/views/' || CAST(user_id AS STRING) || '?page=3'
+         WHEN 2 THEN 'https://www.delta.example/board/20/read/' || CAST(user_id AS STRING)
+         WHEN 3 THEN 'https://www.gamma.example/view?board=deals&doc=' || CAST(user_id AS STRING)
+         ELSE CASE WHEN event_id % 2 = 0 THEN 'https://www.gamma.example/' || CAST(user_id AS STRING) ELSE 'https://www.gamma.example/best' END END AS link
 FROM events""",
     "v_drafts": """
 SELECT item_id AS id, item_id AS pos, regexp_extract(text, '^([^.]*)', 1) AS title, text || ' ' || text || ' ' || text AS body,

@@ -12,7 +12,7 @@ from pricetide.functions.times import as_ts, kst_date, kst_label, parse_iso
 from pricetide.schemas import FEED_FILE
 
 # Texts for fields a feed leaves empty.
-DEFAULTS = {"title": "제목 없음", "category": "기타", "area": "뽐뿌 핫딜", "dist": "기타", "source": "feed"}
+DEFAULTS = {"title": "제목 없음", "category": "기타", "area": "게시판", "dist": "기타", "source": "feed"}
 
 
 def read_feed_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -21,13 +21,13 @@ def values(spark, fn, inputs):
 
 def test_post_ids(spark):
     rows = [
-        ("ppomppu", "https://m.ppomppu.co.kr/new/bbs_view.php?id=ppomppu&page=1&no=710000", "710000"),
-        ("quasar", "https://quasarzone.com/bbs/qb_saleinfo/views/12?page=2", "12"),
-        ("fmkorea", "https://m.fmkorea.com/?mid=hotdeal&document_srl=99", "99"),
-        ("fmkorea", "https://www.fmkorea.com/index.php/77", "77"),
-        ("ruliweb", "https://m.ruliweb.com/market/board/1020/read/5", "5"),
+        ("alpha", "https://m.alpha.example/board/view?id=alpha&page=1&no=710000", "710000"),
+        ("beta", "https://beta.example/board/sale/views/12?page=2", "12"),
+        ("gamma", "https://m.gamma.example/?board=deals&doc=99", "99"),
+        ("gamma", "https://www.gamma.example/view/77", "77"),
+        ("delta", "https://m.delta.example/board/20/read/5", "5"),
         ("other", "https://x.example/9", ""),
-        ("ppomppu", None, ""),
+        ("alpha", None, ""),
     ]
     df = spark.createDataFrame(rows, "s string, l string, want string")
     for r in df.select("want", K.extract_post_id(F.col("s"), F.col("l")).alias("got")).collect():
@@ -35,9 +35,9 @@ def test_post_ids(spark):
 
 
 def test_sync_key_ignores_paging(spark):
-    links = ["https://m.ppomppu.co.kr/new/bbs_view.php?id=ppomppu&no=710000&page=2", "https://m.ppomppu.co.kr/new/bbs_view.php?no=710000&id=ppomppu"]
-    got = values(spark, lambda c: K.sync_key(F.lit("ppomppu"), F.lit(""), c), links)
-    assert got == ["ppomppu::post::710000"] * 2
+    links = ["https://m.alpha.example/board/view?id=alpha&no=710000&page=2", "https://m.alpha.example/board/view?no=710000&id=alpha"]
+    got = values(spark, lambda c: K.sync_key(F.lit("alpha"), F.lit(""), c), links)
+    assert got == ["alpha::post::710000"] * 2
 
 
 def test_fallback_digest(spark):

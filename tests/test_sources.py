@@ -12,8 +12,8 @@ from pricetide.sources import feeds, tables
 NOW = "2026-05-29 01:00:00"
 
 
-def item(i, source="quasar", **kw):
-    return {"title": f"deal {i}", "source": source, "sourceLink": f"https://quasarzone.com/bbs/qb_saleinfo/views/{i}?page=2",
+def item(i, source="beta", **kw):
+    return {"title": f"deal {i}", "source": source, "sourceLink": f"https://beta.example/board/sale/views/{i}?page=2",
             "registeredAt": "2026-05-29T09:30:00+09:00", "views": i, "price": "1,000원", **kw}
 
 
@@ -24,20 +24,20 @@ def write(path, name, **doc):
 
 def test_items_fall_back_to_today_and_flags(spark, tmp_path):
     d = tmp_path / "feeds"
-    write(d, "a", sourceKey="quasar", staleFallback=True, items=[item(1), item(2)])
-    write(d, "b", sourceKey="ruliweb", partialSnapshot=True, grouped={"today": [item(3, "ruliweb")], "yesterday": []})
-    write(d, "c", sourceKey="fmkorea", items=[])
+    write(d, "a", sourceKey="beta", staleFallback=True, items=[item(1), item(2)])
+    write(d, "b", sourceKey="delta", partialSnapshot=True, grouped={"today": [item(3, "delta")], "yesterday": []})
+    write(d, "c", sourceKey="gamma", items=[])
     (d / "broken.json").write_text("{not json", encoding="utf-8")
     items, meta = feeds.read_feed_json(spark, str(d))
     assert sorted(r["title"] for r in items.collect()) == ["deal 1", "deal 2", "deal 3"]
     flags = {r["source"]: (r["delete_protected"], r["stale"]) for r in feeds.feed_protection_flags(meta).collect()}
-    assert flags == {"quasar": (True, True), "ruliweb": (True, False), "fmkorea": (False, False)}
+    assert flags == {"beta": (True, True), "delta": (True, False), "gamma": (False, False)}
 
 
 def test_positions_follow_file_and_list(spark, tmp_path):
     d = tmp_path / "feeds"
-    write(d, "a", sourceKey="quasar", items=[item(5), item(4)])
-    write(d, "b", sourceKey="quasar", items=[item(3)])
+    write(d, "a", sourceKey="beta", items=[item(5), item(4)])
+    write(d, "b", sourceKey="beta", items=[item(3)])
     items, _ = feeds.read_feed_json(spark, str(d))
     assert [r["title"] for r in items.orderBy("pos").collect()] == ["deal 5", "deal 4", "deal 3"]
 
@@ -78,10 +78,10 @@ def stored(spark, tmp_path):
 
     def row(i, views, deleted=None, when=at):
         base = {c: (0 if kinds.get(c) == "int" else "") for c in PAYLOAD}
-        base.update(source="quasar", source_post_id=str(i), source_link=f"https://quasarzone.com/bbs/qb_saleinfo/views/{i}",
-                    buy_link=f"https://quasarzone.com/bbs/qb_saleinfo/views/{i}", title=f"deal {i}", price="1,000원", category="기타", area="뽐뿌 핫딜",
+        base.update(source="beta", source_post_id=str(i), source_link=f"https://beta.example/board/sale/views/{i}",
+                    buy_link=f"https://beta.example/board/sale/views/{i}", title=f"deal {i}", price="1,000원", category="기타", area="게시판",
                     dist="기타", views=views, registered_at=when)
-        return (f"quasar::post::{i}", f"id{i}", *[base[c] for c in PAYLOAD], when, deleted)
+        return (f"beta::post::{i}", f"id{i}", *[base[c] for c in PAYLOAD], when, deleted)
     old = dt.datetime(2026, 5, 20, tzinfo=dt.timezone.utc)
     root = f"{tmp_path}/table"
     tables.publish(spark.createDataFrame([row(1, 1), row(2, 99), row(3, 3, at), row(4, 4), row(5, 5, None, old)], schema), root)
@@ -90,7 +90,7 @@ def stored(spark, tmp_path):
 
 def test_refresh_run(spark, tmp_path, stored):
     d = tmp_path / "feeds"
-    write(d, "q", sourceKey="quasar", items=[item(1), item(2), item(3), item(6), item(6, title="deal 6 again"), item(7, title="블라인드 처리된 글입니다")])
+    write(d, "q", sourceKey="beta", items=[item(1), item(2), item(3), item(6), item(6, title="deal 6 again"), item(7, title="블라인드 처리된 글입니다")])
     done = refresh(spark, str(d), stored, NOW)
     actions = {r["key"].split("::")[-1]: r["action"] for r in done.plan.collect()}
     assert actions == {"1": "unchanged", "2": "update", "3": "reactivate", "4": "delete_missing", "5": "delete_expired", "6": "insert"}

@@ -10,7 +10,7 @@ from pricetide.operators import sync as Y
 NOW = "2026-05-29 01:00:00"
 FRESH = dt.datetime(2026, 5, 29, tzinfo=dt.timezone.utc)
 OLD = dt.datetime(2026, 5, 26, tzinfo=dt.timezone.utc)
-ALL = ["ppomppu", "quasar", "fmkorea", "ruliweb"]
+ALL = ["alpha", "beta", "gamma", "delta"]
 IN = "key string, legacy_key string, source string, source_link string, title string, registered_at timestamp"
 EX = "key string, id int, source string, source_link string, title string, registered_at timestamp, deleted_at timestamp"
 
@@ -32,69 +32,69 @@ def plan(spark, inc, ex, **kw):
 
 
 def test_source_without_items_keeps_its_rows(spark):
-    ex = existing(spark, [{"source": "ppomppu", "i": 1}, {"source": "fmkorea", "i": 2}])
-    assert plan(spark, incoming(spark, "ppomppu", [1]), ex) == {"ppomppu::post::1": "unchanged", "fmkorea::post::2": "keep_guarded"}
+    ex = existing(spark, [{"source": "alpha", "i": 1}, {"source": "gamma", "i": 2}])
+    assert plan(spark, incoming(spark, "alpha", [1]), ex) == {"alpha::post::1": "unchanged", "gamma::post::2": "keep_guarded"}
 
 
 def test_stale_source_keeps_its_rows(spark):
-    ex = existing(spark, [{"source": "fmkorea", "i": 1}, {"source": "fmkorea", "i": 2}])
-    got = plan(spark, incoming(spark, "fmkorea", [1]), ex, stale=["fmkorea"])
-    assert got["fmkorea::post::2"] == "keep_guarded"
+    ex = existing(spark, [{"source": "gamma", "i": 1}, {"source": "gamma", "i": 2}])
+    got = plan(spark, incoming(spark, "gamma", [1]), ex, stale=["gamma"])
+    assert got["gamma::post::2"] == "keep_guarded"
 
 
 def test_sparse_source_is_guarded(spark):
-    ex = existing(spark, [{"source": "fmkorea", "i": i} for i in range(100, 130)])
-    got = plan(spark, incoming(spark, "fmkorea", [100, 101]), ex)
+    ex = existing(spark, [{"source": "gamma", "i": i} for i in range(100, 130)])
+    got = plan(spark, incoming(spark, "gamma", [100, 101]), ex)
     assert set(got.values()) == {"unchanged", "keep_guarded"}
 
 
 def test_missing_rows_are_deleted(spark):
-    ex = existing(spark, [{"source": "fmkorea", "i": 1}])
-    got = plan(spark, incoming(spark, "fmkorea", [2]), ex)
-    assert got == {"fmkorea::post::2": "insert", "fmkorea::post::1": "delete_missing"}
+    ex = existing(spark, [{"source": "gamma", "i": 1}])
+    got = plan(spark, incoming(spark, "gamma", [2]), ex)
+    assert got == {"gamma::post::2": "insert", "gamma::post::1": "delete_missing"}
 
 
 def test_expired_rows_go_even_when_stale(spark):
-    ex = existing(spark, [{"source": "fmkorea", "i": 1, "at": OLD}])
-    got = plan(spark, incoming(spark, "fmkorea", [2]), ex, stale=["fmkorea"])
-    assert got["fmkorea::post::1"] == "delete_expired"
+    ex = existing(spark, [{"source": "gamma", "i": 1, "at": OLD}])
+    got = plan(spark, incoming(spark, "gamma", [2]), ex, stale=["gamma"])
+    assert got["gamma::post::1"] == "delete_expired"
 
 
 def test_other_sources_are_left_alone(spark):
-    ex = existing(spark, [{"source": "ppomppu", "i": 1}, {"source": "fmkorea", "i": 2}])
-    got = plan(spark, incoming(spark, "fmkorea", [3]), ex, sources=["fmkorea"])
-    assert got == {"fmkorea::post::3": "insert", "fmkorea::post::2": "delete_missing"}
+    ex = existing(spark, [{"source": "alpha", "i": 1}, {"source": "gamma", "i": 2}])
+    got = plan(spark, incoming(spark, "gamma", [3]), ex, sources=["gamma"])
+    assert got == {"gamma::post::3": "insert", "gamma::post::2": "delete_missing"}
 
 
 def test_reactivate_update_legacy(spark):
     ex = existing(spark, [
-        {"source": "quasar", "i": 1, "deleted": FRESH}, {"source": "quasar", "i": 2, "title": "before"},
-        {"source": "quasar", "i": 3, "key": "quasar::https://b.example/3"}])
-    got = plan(spark, incoming(spark, "quasar", [1, 2, 3]), ex)
-    assert got == {"quasar::post::1": "reactivate", "quasar::post::2": "update", "quasar::post::3": "unchanged"}
+        {"source": "beta", "i": 1, "deleted": FRESH}, {"source": "beta", "i": 2, "title": "before"},
+        {"source": "beta", "i": 3, "key": "beta::https://b.example/3"}])
+    got = plan(spark, incoming(spark, "beta", [1, 2, 3]), ex)
+    assert got == {"beta::post::1": "reactivate", "beta::post::2": "update", "beta::post::3": "unchanged"}
 
 
 def test_old_incoming_is_skipped_and_not_counted(spark):
-    ex = existing(spark, [{"source": "quasar", "i": 1}])
-    got = plan(spark, incoming(spark, "quasar", [1], at=OLD), ex)
-    assert got["quasar::post::1"] in ("skip_expired", "delete_missing")
+    ex = existing(spark, [{"source": "beta", "i": 1}])
+    got = plan(spark, incoming(spark, "beta", [1], at=OLD), ex)
+    assert got["beta::post::1"] in ("skip_expired", "delete_missing")
     assert "unchanged" not in got.values()
 
 
 def test_applying_twice_changes_nothing(spark):
-    ex = existing(spark, [{"source": "quasar", "i": i, "title": "a"} for i in range(5)]).withColumn("updated_at", F.col("registered_at"))
-    inc = incoming(spark, "quasar", [2, 3, 4, 9], title="b").withColumn("id", F.lit(77))
+    ex = existing(spark, [{"source": "beta", "i": i, "title": "a"} for i in range(5)]).withColumn("updated_at", F.col("registered_at"))
+    inc = incoming(spark, "beta", [2, 3, 4, 9], title="b").withColumn("id", F.lit(77))
     payload = ["source", "source_link", "title", "registered_at"]
 
     def step(stored):
-        p = Y.plan_sync(inc, stored, NOW, ["quasar"])
+        p = Y.plan_sync(inc, stored, NOW, ["beta"])
         return p, Y.apply_plan(stored, inc, p, NOW, payload)
 
     _, once = step(ex)
     second_plan, twice = step(Y.scale.cut_lineage(once))
     assert {r["action"] for r in second_plan.collect()} == {"unchanged"}
     assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
-    assert {r["key"]: r["id"] for r in once.collect()}["quasar::post::2"] == 2
+    assert {r["key"]: r["id"] for r in once.collect()}["beta::post::2"] == 2
 
 
 def test_changed_ignores_kind_of_empty(spark):
@@ -122,16 +122,16 @@ def test_merge_keeps_last_filled(spark):
 
 
 def test_row_found_by_its_legacy_key_is_rewritten_in_place(spark):
-    ex = existing(spark, [{"source": "quasar", "i": 3, "key": "quasar::https://b.example/3", "title": "before"}]).withColumn("updated_at", F.col("registered_at"))
-    inc = incoming(spark, "quasar", [3], title="after").withColumn("id", F.lit(77))
-    plan_ = Y.plan_sync(inc, ex, NOW, ["quasar"])
+    ex = existing(spark, [{"source": "beta", "i": 3, "key": "beta::https://b.example/3", "title": "before"}]).withColumn("updated_at", F.col("registered_at"))
+    inc = incoming(spark, "beta", [3], title="after").withColumn("id", F.lit(77))
+    plan_ = Y.plan_sync(inc, ex, NOW, ["beta"])
     rows = Y.apply_plan(ex, inc, plan_, NOW, ["source", "source_link", "title", "registered_at"]).collect()
-    assert [(r["key"], r["id"], r["title"], r["deleted_at"]) for r in rows] == [("quasar::post::3", 3, "after", None)]
+    assert [(r["key"], r["id"], r["title"], r["deleted_at"]) for r in rows] == [("beta::post::3", 3, "after", None)]
 
 
 def test_one_stored_row_has_one_owner(spark):
     """A stored key that is the key of one new row and the legacy key of another."""
-    ex = existing(spark, [{"source": "quasar", "i": 1, "title": "before"}]).withColumn("updated_at", F.col("registered_at"))
-    inc = incoming(spark, "quasar", [1, 2], title="after").withColumn("legacy_key", F.lit("quasar::post::1")).withColumn("id", F.lit(70) + F.monotonically_increasing_id())
-    out = Y.apply_plan(ex, inc, Y.plan_sync(inc, ex, NOW, ["quasar"]), NOW, ["source", "source_link", "title", "registered_at"])
-    assert {r["key"] for r in out.collect()} == {"quasar::post::1", "quasar::post::2"} and out.count() == 2
+    ex = existing(spark, [{"source": "beta", "i": 1, "title": "before"}]).withColumn("updated_at", F.col("registered_at"))
+    inc = incoming(spark, "beta", [1, 2], title="after").withColumn("legacy_key", F.lit("beta::post::1")).withColumn("id", F.lit(70) + F.monotonically_increasing_id())
+    out = Y.apply_plan(ex, inc, Y.plan_sync(inc, ex, NOW, ["beta"]), NOW, ["source", "source_link", "title", "registered_at"])
+    assert {r["key"] for r in out.collect()} == {"beta::post::1", "beta::post::2"} and out.count() == 2
