@@ -10,11 +10,10 @@ from pricetide.session import stage
 
 # Lines of fewer words are matched exactly only: one word of five is the loosest near match.
 MIN_WORDS = 5
+# Marks on documents up to this size are broadcast, larger ones joined by a shuffle.
+SMALL_BYTES = 32 << 20
 # Low bits of a word's hash that are added up; 2^22 words fit a long.
 BITS = 40
-PLACE = ["row1", "row2", "pos"]
-
-
 def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
@@ -23,61 +22,79 @@ def _halves(words: Column) -> Column:
     """Keys of which lines within one word edit share at least one.
 
     For the shorter line's length n and h = n // 2, an edit leaves either the first h or the last n - h words alone.
-    A line takes the part of the shorter line once for its own length and once for one word less.
+    A line takes both parts once for its own length and once for one word less; two of the four are the same.
     """
     def keys(n: Column) -> list[Column]:
         h = F.floor(n / 2).cast("int")
-        return [F.xxhash64(n, F.lit(0), F.slice(words, F.lit(1), h)), F.xxhash64(n, F.lit(1), F.slice(words, F.size(words) - (n - h) + 1, n - h))]
+        return [F.xxhash64(F.lit(0), F.slice(words, F.lit(1), h)), F.xxhash64(F.lit(1), F.slice(words, F.size(words) - (n - h) + 1, n - h))]
 
     n = F.size(words)
-    return F.array(*keys(n), *keys(n - 1))
+    return F.array_distinct(F.array(*keys(n), *keys(n - 1)))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
     """``first`` (the line's place in the order of dedup), its digest ``h1, h2`` and the half keys of near candidates."""
-    line = rows.select("doc_id", "row1", "row2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    line = line.select("doc_id", *PLACE, _trimmed(F.col("line")).alias("line")).where("line <> ''")
+    line = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    line = line.select("doc_id", "row", "pos", _trimmed(F.col("line")).alias("line")).where("line <> ''")
     words = F.split("line", " ", -1)
     near = F.transform(F.array(words), lambda w: F.when(F.size(w) >= MIN_WORDS, _halves(w)))[0]
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *PLACE)
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "pos")
     return line.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), first.alias("first"), near.alias("halves"))
 
 
+def _by_document(places: DataFrame, *more: str) -> DataFrame:
+    return places.groupBy("first.doc_id", "first.row").agg(F.collect_list(F.struct("first.pos", *more)).alias("at"))
+
+
+def _beside_documents(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
+    """Joins ``doc_id, row, at`` to the documents they belong to.
+
+    Marks are broadcast if what they hold, added up first, is within ``SMALL_BYTES``; else both sides are shuffled.
+    """
+    held = marks.agg(F.sum(F.size("at") * F.lit(16) + F.lit(64)).alias("b")).first()["b"] or 0
+    marks = marks.select(F.col("doc_id").alias("_doc_id"), F.col("row").alias("_row"), "at")
+    marks = F.broadcast(marks) if held <= SMALL_BYTES else marks
+    return docs.join(marks, (docs["row"] == marks["_row"]) & docs["doc_id"].eqNullSafe(marks["_doc_id"]), how).drop("_doc_id", "_row")
+
+
 def _variants(candidates: DataFrame) -> DataFrame:
-    """Every candidate line's deletion neighbourhood: ``v1, v2, m`` (hash and length of the variant) and ``i``, the deleted
-    word's position (0: the line itself).
+    """Every candidate line's deletion neighbourhood: ``v``, the hash of the variant, and ``i``, the deleted word's
+    position (0: the line itself).
 
     The hash of a word sequence adds up hashes of (word, position), so running sums give all variants of a line in one
     pass: what stands before the deleted word keeps its position, what stands behind moves up by one.
     """
-    word = candidates.select("first", F.size("words").alias("n"), F.posexplode("words").alias("j", "word"))
+    word = candidates.repartition("h1").select("h1", F.size("words").alias("n"), F.posexplode("words").alias("j", "word"))
     low = lambda *cols: F.xxhash64(*cols).bitwiseAND(F.lit(2**BITS - 1))
     for k in (1, 2):
         word = word.withColumn(f"a{k}", low(F.lit(k), "word", F.col("j"))).withColumn(f"b{k}", low(F.lit(k), "word", F.col("j") - 1))
-    line = Window.partitionBy("first.row1", "first.row2", "first.pos")
+    word = word.drop("word")
+    line = Window.partitionBy("h1")
     upto = line.orderBy("j").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for k in (1, 2):
         before = F.sum(f"a{k}").over(upto) - F.col(f"a{k}")
         behind = F.sum(f"b{k}").over(line) - F.sum(f"b{k}").over(upto)
         word = word.withColumn(f"v{k}", before + behind).withColumn(f"t{k}", F.sum(f"a{k}").over(line))
-    deleted = F.struct((F.col("j") + 1).alias("i"), "v1", "v2", (F.col("n") - 1).alias("m"))
-    itself = F.struct(F.lit(0).alias("i"), F.col("t1").alias("v1"), F.col("t2").alias("v2"), F.col("n").alias("m"))
+    deleted = F.struct((F.col("j") + 1).alias("i"), F.xxhash64("v1", "v2", F.col("n") - 1).alias("v"))
+    itself = F.struct(F.lit(0).alias("i"), F.xxhash64("t1", "t2", "n").alias("v"))
     both = F.when(F.col("j") == 0, F.array(deleted, itself)).otherwise(F.array(deleted))
-    return word.select("first", F.explode(both).alias("v")).select("first", "v.*")
+    return word.select("h1", F.explode(both).alias("v")).select("h1", "v.*")
 
 
-def _earlier_neighbours(variants: DataFrame) -> DataFrame:
+def _earlier_neighbours(variants: DataFrame, firsts: DataFrame) -> DataFrame:
     """``first, earlier``: for each line the earliest line before it whose variant makes them neighbours.
 
-    Equal variants with the same position are one substitution apart; a variant equal to a whole line is one deletion
-    away. The least place per (variant, position) says it all, so no pairs inside a bucket are formed.
+    Variants that no other line has go before places are looked at. Equal variants with the same position are one
+    substitution apart; a variant equal to a whole line is one deletion away. The least place per (variant, position)
+    says it all, so no pairs inside a bucket are formed.
     """
-    key = ["v1", "v2", "m"]
-    per_position = variants.groupBy(*key, "i").agg(F.min("first").alias("same"), F.count(F.lit(1)).alias("n"))
-    per_key = per_position.groupBy(*key).agg(
-        F.min(F.when(F.col("i") == 0, F.col("same"))).alias("whole"), F.min(F.when(F.col("i") > 0, F.col("same"))).alias("cut"),
-        F.sum("n").alias("n")).where("n > 1").drop("n")
-    met = variants.join(per_key, key).join(per_position.drop("n"), [*key, "i"])
+    dealt = variants.repartition("v")
+    shared = dealt.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    placed = stage(dealt.join(shared, "v").join(firsts, "h1").select("v", "i", "first"))
+    per_position = placed.groupBy("v", "i").agg(F.min("first").alias("same"))
+    per_key = per_position.groupBy("v").agg(
+        F.min(F.when(F.col("i") == 0, F.col("same"))).alias("whole"), F.min(F.when(F.col("i") > 0, F.col("same"))).alias("cut"))
+    met = placed.join(per_key, "v").join(per_position, ["v", "i"])
     before = F.when(F.col("i") == 0, F.least("cut", "same")).otherwise(F.least("whole", "same"))
     return met.withColumn("earlier", before).where("earlier < first").groupBy("first").agg(F.min("earlier").alias("earlier"))
 
@@ -112,37 +129,51 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = common.without(docs, "n_lines", "n_dropped")
     names = docs.columns
     text = F.coalesce("text", F.lit(""))
-    rest = [c for c in names if c not in ("doc_id", "text")]
-    keyed = docs.withColumns({"row1": F.xxhash64("doc_id", text), "row2": F.xxhash64(F.lit(1), "doc_id", text)})
-    other = F.to_json(F.struct(*rest)) if rest else F.lit("")
-    alone = Window.partitionBy("row1", "row2").orderBy(other, F.col("text").isNull())
-    rows = keyed.withColumn("_rn", F.row_number().over(alone)).where("_rn = 1").drop("_rn")
-
-    lines = stage(_lines(keyed).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.first("halves").alias("halves")))
-    halves = lines.where("halves is not null").select("first", F.explode(F.array_distinct("halves")).alias("half")).repartition("half")
+    rows = _single_records(docs.withColumn("row", F.xxhash64(F.lit(7), text)) if "row" not in names else docs.withColumnRenamed("row", "_own_row").withColumn("row", F.xxhash64(F.lit(7), text)))
+
+    lines = stage(_lines(rows).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.first("halves").alias("halves")))
+    halves = lines.where("halves is not null").select("h1", F.explode("halves").alias("half")).repartition("half")
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    places = halves.join(shared, "half").select("first").distinct()
-    by_row = places.groupBy("first.row1", "first.row2").agg(F.collect_list("first").alias("firsts"))
+    hopeful = halves.join(shared, "half").select("h1").distinct()
+    firsts = stage(lines.join(hopeful, "h1").select("h1", "first"))
     candidates = stage(
-        keyed.select("row1", "row2", "text").join(by_row, ["row1", "row2"])
-        .select("firsts", F.split("text", "\n", -1).alias("all"))
-        .select(F.explode(F.transform("firsts", lambda f: F.struct(f.alias("first"), F.col("all")[f["pos"]].alias("line")))).alias("x"))
-        .select("x.first", F.split(_trimmed(F.col("x.line")), " ", -1).alias("words")).dropDuplicates(["first"]))
+        _beside_documents(rows.select("doc_id", "row", "text"), stage(_by_document(firsts, "first", "h1")), "inner")
+        .select("at", F.split("text", "\n", -1).alias("all"))
+        .select(F.explode(F.transform("at", lambda a: F.struct(a["h1"].alias("h1"), a["first"].alias("first"), F.col("all")[a["pos"]].alias("line")))).alias("x"))
+        .select("x.h1", "x.first", F.split(_trimmed(F.col("x.line")), " ", -1).alias("words")))
 
-    met = _earlier_neighbours(_variants(candidates))
+    met = _earlier_neighbours(_variants(candidates), firsts)
     side = lambda name: candidates.select(F.col("first").alias(name), F.col("words").alias(f"w_{name}"))
     near = met.join(side("first"), "first").join(side("earlier"), "earlier").where(_one_edit(F.col("w_first"), F.col("w_earlier"))).select("first")
 
-    stay = lines.select("first").join(near, "first", "left_anti").select("first.row1", "first.row2", "first.pos")
-    stay = stay.groupBy("row1", "row2").agg(F.collect_list("pos").alias("_stay"))
-    kept = (
-        rows.join(stay, ["row1", "row2"], "left")
+    stay = _by_document(lines.select("first").join(near, "first", "left_anti"))
+    said = F.size(F.filter(F.split("text", "\n", -1), lambda x: _trimmed(x) != ""))
+    spoken = rows.select("doc_id", "row", said.alias("said")).where("said > 0")
+    kept_of = stay.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("at.pos").alias("at"))
+    changed = stage(
+        spoken.join(kept_of, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
+        .select("doc_id", "row", F.coalesce("at", F.array().cast("array<int>")).alias("at"), "said").where("size(at) < said").drop("said"))
+
+    done = (
+        _beside_documents(rows, changed, "left").where("at is null or size(at) > 0")
         .withColumn("_all", F.split(text, "\n", -1))
         .withColumn("_blank", F.filter(F.sequence(F.lit(0), F.size("_all") - 1), lambda i: _trimmed(F.col("_all")[i]) == ""))
-        .withColumn("_stay", F.coalesce("_stay", F.array().cast("array<int>")))
-        .withColumn("n_dropped", F.size("_all") - F.size("_blank") - F.size("_stay"))
-        .where((F.size("_stay") > 0) | (F.col("n_dropped") == 0))
-        .withColumn("_text", F.array_join(F.transform(F.array_sort(F.concat("_stay", "_blank")), lambda i: F.col("_all")[i]), "\n"))
+        .withColumn("_new", F.array_join(F.transform(F.array_sort(F.concat("at", "_blank")), lambda i: F.col("_all")[i]), "\n"))
+        .withColumn("n_dropped", F.coalesce(F.size("_all") - F.size("_blank") - F.size("at"), F.lit(0)))
     )
-    new_text = F.when(F.col("n_dropped") > 0, F.col("_text")).otherwise(F.col("text")).alias("text")
-    return kept.select(*[new_text if c == "text" else F.col(c) for c in names], F.size("_all").alias("n_lines"), "n_dropped")
+    own = {"text": F.coalesce("_new", "text").alias("text"), "row": F.col("_own_row").alias("row") if "row" in names else None}
+    return done.select(*[own.get(c, F.col(c)) for c in names], F.size("_all").alias("n_lines"), "n_dropped")
+
+
+def _single_records(rows: DataFrame) -> DataFrame:
+    """Of rows that repeat doc_id and text, the one with the least other columns; the rest of the table does not move."""
+    repeated = rows.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "doc_id", "row", F.array(F.lit(0)).alias("at"))
+    repeated = stage(repeated)
+    if not repeated.limit(1).count():
+        return rows
+    marked = stage(_beside_documents(rows, repeated, "left"))
+    others = F.to_json(F.struct(*[c for c in rows.columns if c not in ("text", "row")]))
+    first = Window.partitionBy("doc_id", "row").orderBy(others, F.col("text").isNull())
+    single = marked.where("at is not null").withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn", "at")
+    return marked.where("at is null").drop("at").unionByName(single)
