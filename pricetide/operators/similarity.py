@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +19,15 @@ COOLDOWN_DAYS = 120
 GENERIC_TERMS = [
     "가정용", "기기", "미니", "무선", "생활", "세트", "스마트", "용품", "유선", "제품", "핸디", "휴대용",
 ]
-# A draft table up to this many rows travels to the tasks; a larger one is joined by length band.
-SHIPPED_DRAFTS = 2_000
 
 
-def token_jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, row_id: str = "id", text: str = "text") -> DataFrame:
-    """J21, token half, exact: (left_id, right_id, jaccard) with Jaccard of the word sets >= threshold.
+def _alike(left: DataFrame, right: DataFrame, threshold: float, row_id: str = "id", text: str = "text") -> tuple[dict[str, DataFrame], DataFrame]:
+    """J21, exact: rows by word set (``left_id, left_sig`` and ``right_id, right_sig``) and the pairs of word sets
+    ``left_sig, right_sig, jaccard`` with Jaccard >= threshold.
 
-    Texts with the same word set collapse to one representative first, so copies cost nothing until
-    the final expansion. Representatives meet on prefix tokens: words sorted rarest first, of which the
-    first ``n - ceil(t*n) + 1`` must share one in any qualifying pair. Frequent words hardly ever lie in
-    a prefix, and the joins on words are salted by their counts.
+    Texts with the same word set collapse to one representative, so copies cost nothing. Representatives meet on prefix
+    tokens: words sorted rarest first, of which the first ``n - ceil(t*n) + 1`` must share one in any qualifying pair.
+    Frequent words hardly ever lie in a prefix.
     """
     parts, members = [], {}
     for name, df in (("left", left), ("right", right)):
@@ -82,120 +76,37 @@ def token_jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, row
     jaccard = shared / (F.size("left_tokens") + F.size("right_tokens") - shared)
     good = scale.cut_lineage(both.withColumn("jaccard", jaccard).where(F.col("jaccard") >= threshold).select(
         "left_sig", "right_sig", "jaccard"))
+    return members, good
+
+
+def token_jaccard_pairs(left: DataFrame, right: DataFrame, threshold: float, row_id: str = "id", text: str = "text") -> DataFrame:
+    """(left_id, right_id, jaccard), for callers that want every pair of rows; see ``similar_counts`` and
+    ``first_similar`` for results that grow with the rows only."""
+    members, good = _alike(left, right, threshold, row_id, text)
     wide = scale.join_small_or_salted(members["right"], good, ["right_sig"], ["right_id"])
     return scale.join_small_or_salted(wide, members["left"], ["left_sig"], ["right_id"]).select(
         "left_id", "right_id", "jaccard")
 
 
-def _common_subsequence(masks: dict[str, int], width: int, text: str) -> int:
-    """Length of the longest common subsequence, bit-parallel over whole-text integers."""
-    ones = (1 << width) - 1
-    row = ones
-    for char in text:
-        hit = row & masks.get(char, 0)
-        row = ((row + hit) | (row - hit)) & ones
-    return width - row.bit_count()
-
-
-class _Draft:
-    """One draft text with the bounds that spare most exact comparisons."""
-
-    def __init__(self, key, text: str, words):
-        self.key, self.text, self.words = key, text, set(words)
-        self.masks: dict[str, int] = {}
-        for i, char in enumerate(text):
-            self.masks[char] = self.masks.get(char, 0) | (1 << i)
-
-    def score(self, text: str, words: set, limit: float) -> float:
-        """max(sequence ratio, word Jaccard), or 0 when below the limit."""
-        union = len(self.words | words)
-        jaccard = len(self.words & words) / union if union else 0.0
-        total = len(self.text) + len(text)
-        best = jaccard if jaccard >= limit else 0.0
-        # Matching blocks form a common subsequence, so 2*LCS/total bounds the ratio from above.
-        if 2 * min(len(self.text), len(text)) / total < limit:
-            return best
-        if 2 * _common_subsequence(self.masks, len(self.text), text) / total < limit:
-            return best
-        ratio = difflib.SequenceMatcher(None, self.text, text).ratio()
-        return max(best, ratio) if ratio >= limit else best
-
-
-def _normalized(df: DataFrame, row_id: str, text: str, name: str) -> DataFrame:
-    norm = similarity_text(F.col(text))
-    return df.select(F.col(row_id).alias(f"{name}_id"), norm.alias(f"{name}_text"))
-
-
-def similar_text_join(
-    drafts: DataFrame, posts: DataFrame, limit: float, row_id: str = "id", text: str = "text",
-    shipped: int = SHIPPED_DRAFTS,
-) -> DataFrame:
-    """J21, exact: (draft_id, post_id, similarity) with max(sequence ratio, word Jaccard) >= limit.
+def similar_counts(left: DataFrame, right: DataFrame, threshold: float, row_id: str = "id", text: str = "text") -> DataFrame:
+    """(left_id, similar), the number of right rows alike; copies count by weight and are never expanded."""
+    members, good = _alike(left, right, threshold, row_id, text)
+    weights = members["right"].groupBy("right_sig").agg(F.count(F.lit(1)).alias("_n"))
+    counts = good.join(weights, "right_sig").groupBy("left_sig").agg(F.sum("_n").alias("similar"))
+    return scale.salted_join(members["left"], counts, ["left_sig"], ["left_id"]).select("left_id", "similar")
 
-    A sequence ratio has no selective join key, so the side of fixed size travels: drafts are counted,
-    and up to ``shipped`` of them go to the tasks, which read the posts once and emit matches only.
-    Equal post texts are compared once. More drafts than that take the length-band join.
-    """
-    left = scale.cut_lineage(_normalized(drafts, row_id, text, "draft")).where("draft_text <> ''").withColumn(
-        "draft_words", similarity_tokens(F.col("draft_text")))
-    right = _normalized(posts, row_id, text, "post")
-    copies = right.select("post_id", F.md5("post_text").alias("sig"))
-    unique = right.withColumn("sig", F.md5("post_text")).groupBy("sig").agg(
-        F.any_value("post_text").alias("post_text")
-    ).where("post_text <> ''").withColumn("post_words", similarity_tokens(F.col("post_text")))
-    if left.limit(shipped + 1).count() <= shipped:
-        hits = _ship_drafts(left, unique, limit)
-    else:
-        hits = _length_band_join(left, unique, limit)
-    return scale.join_small_or_salted(copies, hits, ["sig"], ["post_id"]).select("draft_id", "post_id", "similarity")
-
-
-def _ship_drafts(left: DataFrame, unique: DataFrame, limit: float) -> DataFrame:
-    # Row count was checked by the caller; at most that many rows reach the driver.
-    rows = [(r["draft_id"], r["draft_text"], r["draft_words"]) for r in left.collect()]
-    id_type = dict(left.dtypes)["draft_id"]
-    shared = left.sparkSession.sparkContext.broadcast(rows)
-
-    def compare(batches):
-        ready = [_Draft(*row) for row in shared.value]
-        for pdf in batches:
-            out = []
-            for sig, text, words in zip(pdf["sig"], pdf["post_text"], pdf["post_words"]):
-                post_words = set(words)
-                for draft in ready:
-                    score = draft.score(text, post_words, limit)
-                    if score:
-                        out.append((draft.key, sig, score))
-            yield pd.DataFrame(out, columns=["draft_id", "sig", "similarity"])
-
-    return unique.mapInPandas(compare, f"draft_id {id_type}, sig string, similarity double")
-
-
-def _length_band_join(left: DataFrame, unique: DataFrame, limit: float) -> DataFrame:
-    """Every pair of compatible length (a ratio needs ``shorter >= longer * limit/(2-limit)``) compared,
-    united with the exact word-set join, for draft tables too large to travel.
-
-    Bands are salted, and pairs are scored where they meet instead of being stored.
-    """
-    step = math.log((2 - limit) / limit)
-
-    def band(length: Column) -> Column:
-        return F.floor(F.log(length) / step).cast("int")
 
-    near = left.select("*", F.explode(F.array(*[band(F.char_length("draft_text")) + d for d in (-1, 0, 1)])).alias("band"))
-    far = unique.withColumn("band", band(F.char_length("post_text")))
-    met = scale.salted_join(far, near, ["band"], ["sig"])
+def first_similar(drafts: DataFrame, posts: DataFrame, threshold: float) -> DataFrame:
+    """(draft_id, post_pos, post_title), per draft the first post (by ``pos``) with a similar text.
 
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_Draft(None, x, ()).score(y, set(), limit) for x, y in zip(a, b)])
-
-    scored = met.select("draft_id", "sig", ratio("draft_text", "post_text").alias("similarity")).where("similarity > 0")
-    words = token_jaccard_pairs(
-        left.select(F.col("draft_id").alias("id"), F.col("draft_text").alias("text")),
-        unique.select(F.col("sig").alias("id"), F.col("post_text").alias("text")), limit
-    ).select(F.col("left_id").alias("draft_id"), F.col("right_id").alias("sig"), F.col("jaccard").alias("similarity"))
-    return scored.unionByName(words).groupBy("draft_id", "sig").agg(F.max("similarity").alias("similarity"))
+    ``drafts`` has id and text, ``posts`` has pos, title and text. Word sets keep only their first post.
+    """
+    keyed = posts.select(F.struct("pos", "title").alias("id"), "text")
+    members, good = _alike(drafts, keyed, threshold)
+    firsts = members["right"].groupBy("right_sig").agg(F.min("right_id").alias("_first"))
+    found = good.join(firsts, "right_sig").groupBy("left_sig").agg(F.min("_first").alias("_first"))
+    return scale.salted_join(members["left"], found, ["left_sig"], ["left_id"]).select(
+        F.col("left_id").alias("draft_id"), F.col("_first.pos").alias("post_pos"), F.col("_first.title").alias("post_title"))
 
 
 def source_keys(posts: DataFrame) -> DataFrame:
@@ -269,18 +180,16 @@ def draft_gate(
     """(id, pos, source_url, reasons) with every rule a draft breaks; an empty list passes.
 
     ``drafts``: id, pos, title, body, product, source_url. ``posts``: id, pos, title, body, img,
-    created_at. ``trusted``: url.
+    created_at. ``trusted``: url. Similar means a Jaccard of the word sets at the limit or above.
     """
     d = drafts.withColumn("_title", collapse(F.col("title"))).withColumn("_body", plain_body(F.col("body")))
-    titles = similar_text_join(d.select("id", F.col("_title").alias("text")), posts.select("id", F.col("title").alias("text")), title_limit)
-    compared = posts.select("id", plain_body(F.col("body")).alias("text")).where(
-        F.char_length("text") >= MIN_COMPARED_BODY)
-    bodies = similar_text_join(d.select("id", F.col("_body").alias("text")), compared, body_limit)
-    order = posts.select(F.col("id").alias("post_id"), F.col("pos").alias("_pos"), collapse(F.col("title")).alias("_t"))
+    shown = collapse(F.col("title")).alias("title")
+    titles = first_similar(d.select("id", F.col("_title").alias("text")), posts.select("pos", shown, F.col("title").alias("text")), title_limit)
+    compared = posts.select("pos", shown, plain_body(F.col("body")).alias("text")).where(F.char_length("text") >= MIN_COMPARED_BODY)
+    bodies = first_similar(d.select("id", F.col("_body").alias("text")), compared, body_limit)
 
     def first(hits: DataFrame, name: str) -> DataFrame:
-        return hits.join(order, "post_id").groupBy(F.col("draft_id").alias("id")).agg(
-            F.min_by(F.substring("_t", 1, 60), "_pos").alias(name))
+        return hits.select(F.col("draft_id").alias("id"), F.substring("post_title", 1, 60).alias(name))
 
     cooled = product_cooldown_join(d, posts, now).select(
         F.col("draft_id").alias("id"), F.col("post_title").alias("_product"))

@@ -1,7 +1,6 @@
-"""Similarity joins against brute force with the standard library."""
+"""Similarity joins against brute force."""
 
 import datetime as dt
-import difflib
 import random
 import re
 
@@ -28,18 +27,6 @@ def jaccard(a, b):
     return len(words(a) & words(b)) / len(union) if union else 0.0
 
 
-def brute(left, right, limit):
-    out = {}
-    for i, x in left:
-        for j, y in right:
-            a, b = normalized(x), normalized(y)
-            if a and b:
-                s = max(difflib.SequenceMatcher(None, a, b).ratio(), jaccard(a, b))
-                if s >= limit:
-                    out[(i, j)] = round(s, 9)
-    return out
-
-
 @pytest.fixture(scope="module")
 def texts():
     rng = random.Random(11)
@@ -58,12 +45,15 @@ def frames(spark, texts):
     return [spark.createDataFrame(t, "id int, text string") for t in texts]
 
 
-@pytest.mark.parametrize("limit", [0.5, 0.72])
-@pytest.mark.parametrize("shipped", [1000, 3])
-def test_similar_text_join(spark, texts, limit, shipped):
+@pytest.mark.parametrize("limit", [0.3, 0.72])
+def test_first_similar_and_counts(spark, texts, limit):
     left, right = frames(spark, texts)
-    got = {(r["draft_id"], r["post_id"]): round(r["similarity"], 9) for r in B.similar_text_join(left, right, limit, shipped=shipped).collect()}
-    assert got == brute(*texts, limit)
+    alike = {i: [j for j, y in texts[1] if words(normalized(x)) and jaccard(normalized(x), normalized(y)) >= limit] for i, x in texts[0]}
+    posts = right.selectExpr("id as pos", "concat('t', id) as title", "text")
+    first = {r["draft_id"]: (r["post_pos"], r["post_title"]) for r in B.first_similar(left, posts, limit).collect()}
+    assert first == {i: (min(j), f"t{min(j)}") for i, j in alike.items() if j}
+    counts = {r["left_id"]: r["similar"] for r in B.similar_counts(left, right, limit).collect()}
+    assert counts == {i: len(j) for i, j in alike.items() if j}
 
 
 @pytest.mark.parametrize("limit", [0.3, 0.8, 1.0])
