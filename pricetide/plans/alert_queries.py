@@ -77,25 +77,26 @@ def keyword_matches(spark, sf_dir):
 
 
 @query("keyword_match_documents", f"""WITH b AS (SELECT doc_id AS id, text FROM documents), {grams_sql('b', 'text')},
-q AS (SELECT DISTINCT item_id AS uid, lower(regexp_extract(text, '([A-Za-z]+ [A-Za-z]+)', 1)) AS term FROM benchmark)
-SELECT uid, gram.id AS deal_id, term FROM gram JOIN q USING (term) WHERE term <> ''""")
+q AS (SELECT DISTINCT item_id AS uid, lower(unnest(regexp_extract_all(text, '[A-Za-z]+ [A-Za-z]+'))) AS term FROM benchmark)
+SELECT uid, term, count(*) AS deals FROM gram JOIN q USING (term) GROUP BY ALL""")
 def keyword_match_documents(spark, sf_dir):
-    """J8 over whole document texts, against two-word phrases taken from the benchmark items."""
+    """J8 over whole document texts, against the two-word phrases of whole benchmark items."""
     q = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("uid"), F.lower(F.regexp_extract("text", "([A-Za-z]+ [A-Za-z]+)", 1)).alias("term"), F.lit(True).alias("enabled"))
+        F.col("item_id").alias("uid"), F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+ [A-Za-z]+)"), 1)).alias("term"), F.lit(True).alias("enabled"))
     docs = text_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return A.keyword_match(docs, q, ["text"]).select("uid", "deal_id", "term")
+    return A.keyword_match(docs, q, ["text"]).groupBy("uid", "term").agg(F.count(F.lit(1)).alias("deals"))
 
 
 @query("keyword_match_loose", f"""WITH b AS (SELECT doc_id AS id, text FROM documents), {grams_sql('b', 'text')},
-q AS (SELECT DISTINCT item_id AS uid, {NORM.format("regexp_extract(text, '([A-Za-z]+, [A-Za-z]+)', 1)")} AS term FROM benchmark)
-SELECT uid, gram.id AS deal_id, term FROM gram JOIN q USING (term) WHERE term <> ''""")
+p AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]+, [A-Za-z]+')) AS phrase FROM benchmark),
+q AS (SELECT DISTINCT item_id AS uid, {NORM.format('phrase')} AS term FROM p)
+SELECT uid, term, count(*) AS deals FROM gram JOIN q USING (term) GROUP BY ALL""")
 def keyword_match_loose(spark, sf_dir):
     """J8 with punctuation removed from the stored terms too."""
     q = table(spark, sf_dir, "benchmark").select(
-        F.col("item_id").alias("uid"), F.regexp_extract("text", "([A-Za-z]+, [A-Za-z]+)", 1).alias("term"), F.lit(True).alias("enabled"))
+        F.col("item_id").alias("uid"), F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+, [A-Za-z]+)"), 1)).alias("term"), F.lit(True).alias("enabled"))
     docs = text_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    return A.keyword_match(docs, q, ["text"], strict=False).select("uid", "deal_id", "term")
+    return A.keyword_match(docs, q, ["text"], strict=False).groupBy("uid", "term").agg(F.count(F.lit(1)).alias("deals"))
 
 
 @query("validated_matches", f"{POSTS}, {MATCHES}, {UK} SELECT uid, count(*) AS matches FROM mt JOIN uk USING (uid, term) GROUP BY uid")
@@ -106,13 +107,14 @@ def validated_matches(spark, sf_dir):
         F.count(F.lit(1)).alias("matches"))
 
 
-@query("unmatched_pairs", f"""{POSTS}, {MATCHES}, lg AS (SELECT p.p_partkey AS deal_id, c.c_custkey AS uid FROM part p JOIN customer c ON c.c_custkey % 200 = p.p_partkey % 200)
+@query("unmatched_pairs", f"""{POSTS}, {MATCHES}, lg AS (SELECT deal_id, uid FROM mt WHERE deal_id % 3 = 0 UNION ALL SELECT p_partkey, c_custkey FROM part JOIN customer ON c_custkey = p_partkey + 1)
 SELECT uid, count(*) AS matches FROM mt WHERE NOT EXISTS (SELECT 1 FROM lg WHERE lg.deal_id = mt.deal_id AND lg.uid = mt.uid) GROUP BY uid""")
 def unmatched_pairs(spark, sf_dir):
     """J10."""
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("deal_id"), (F.col("p_partkey") % 200).alias("b"))
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), (F.col("c_custkey") % 200).alias("b"))
-    fresh = A.suppress_already_matched(_matches(spark, sf_dir), p.join(c, "b"))
+    matches = _matches(spark, sf_dir)
+    others = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("deal_id"), (F.col("p_partkey") + 1).alias("uid")).join(
+        table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid")), "uid").select("deal_id", "uid")
+    fresh = A.suppress_already_matched(matches, matches.where("deal_id % 3 = 0").select("deal_id", "uid").unionByName(others))
     return fresh.groupBy("uid").agg(F.count(F.lit(1)).alias("matches"))
 
 
@@ -138,7 +140,7 @@ def keyword_first_alerts(spark, sf_dir):
 
 
 @query("subscription_index", r"""SELECT sha1(CAST(uid AS VARCHAR) || '::' || term) AS id, uid, term AS term_normalized, left(sha1(term), 24) AS user_keyword_id
-FROM (SELECT DISTINCT c_custkey AS uid, p_name AS term FROM customer JOIN part ON p_partkey = c_custkey % 200 WHERE c_custkey % 5 <> 0)""")
+FROM (SELECT DISTINCT c_custkey AS uid, p_name || ' m' || CAST(p_partkey AS VARCHAR) AS term FROM customer JOIN part ON p_partkey = c_custkey WHERE c_custkey % 5 <> 0)""")
 def subscription_index(spark, sf_dir):
     """S13, F22."""
     rows = _subs(spark, sf_dir).withColumn("term_normalized", normalize_term(F.col("term")))
@@ -244,9 +246,11 @@ def alert_dedup(spark, sf_dir):
 
 
 SNAP_SQL = f"""{oracle_with('v_deals')}, b AS (SELECT *, time_bucket(INTERVAL 30 MINUTE, registered_at) AS captured_at FROM v_deals),
-l AS (SELECT source, captured_at, 'views' AS metric, views AS v FROM b UNION ALL SELECT source, captured_at, 'comments', comments FROM b)
+l AS (SELECT source, captured_at, 'views' AS metric, views AS v FROM b UNION ALL SELECT source, captured_at, 'comments', comments FROM b UNION ALL SELECT source, captured_at, 'likes', likes FROM b
+  UNION ALL SELECT source, captured_at, 'dislikes', dislikes FROM b UNION ALL SELECT source, captured_at, 'comment_signal_score', comment_signal_score FROM b)
 SELECT source, {sql_ts('captured_at')} AS captured_at, metric, count(*) AS sample_count, round(avg(v), 4) AS mean, round(var_pop(v), 4) AS variance,
-  round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.9), 4) AS p90 FROM l GROUP BY ALL"""
+  round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.75), 4) AS p75, round(quantile_cont(v, 0.9), 4) AS p90,
+  round(quantile_cont(v, 0.95), 4) AS p95 FROM l GROUP BY ALL"""
 
 
 def _deal_stream(spark, sf_dir):
@@ -254,13 +258,15 @@ def _deal_stream(spark, sf_dir):
     digits = F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")
     return e.select(
         F.col("event_id").alias("id"), F.col("event_type").alias("source"), F.floor(F.col("value") * 10).cast("bigint").alias("views"),
-        (digits % 20).alias("comments"), F.col("ts").alias("registered_at"))
+        (digits % 20).alias("comments"), (F.col("user_id") % 11).alias("likes"),
+        F.expr("CASE WHEN event_id % 37 = 0 THEN 3 WHEN event_id % 11 = 0 THEN 1 ELSE 0 END").alias("dislikes"), ((digits % 7 - 3) * 2).alias("comment_signal_score"),
+        F.col("ts").alias("registered_at"))
 
 
 @query("snapshot_stream", SNAP_SQL)
 def snapshot_stream(spark, sf_dir):
     """The same numbers as the batch series. Complete mode, so the open windows are read too."""
-    stats = J.snapshot_stream(_deal_stream(spark, sf_dir), ["views", "comments"])
+    stats = J.snapshot_stream(_deal_stream(spark, sf_dir), ["views", "comments", "likes", "dislikes", "comment_signal_score"])
     base = work_path(spark, "stream")
     query_ = (
         stats.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
@@ -269,7 +275,7 @@ def snapshot_stream(spark, sf_dir):
     rows = spark.read.schema(stats.schema).parquet(f"{base}/rows/*")
     # A window touched by several batches is written by each of them; the last one counts.
     latest = rows.groupBy("source", "captured_at", "metric").agg(
-        F.max_by(F.struct("sample_count", "mean", "variance", "p50", "p90"), "sample_count").alias("s"))
+        F.max_by(F.struct("sample_count", "mean", "variance", "p25", "p50", "p75", "p90", "p95"), "sample_count").alias("s"))
     return latest.select("source", ts_text("captured_at").alias("captured_at"), "metric", "s.*")
 
 
@@ -280,12 +286,12 @@ def late_filter_stream(spark, sf_dir):
     return _run(spark, J.late_and_future_filter(d, "clock").select("id", "source"))
 
 
-@query("event_trigger_match", """SELECT c_custkey % 10 AS bucket, count(*) AS n FROM customer c JOIN events e ON e.event_type = CASE c_custkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'signup' WHEN 3 THEN 'error' ELSE 'purchase' END GROUP BY 1""")
+@query("event_trigger_match", """SELECT c_custkey % 10 AS bucket, count(*) AS n FROM customer c JOIN events e ON e.user_id = c_custkey AND e.event_type = CASE c_custkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'signup' WHEN 3 THEN 'error' ELSE 'purchase' END GROUP BY 1""")
 def event_trigger_match(spark, sf_dir):
-    """Stream-static keyword match; every customer follows one event type."""
+    """Stream-static keyword match; every customer follows one event type of the user with the same number."""
     kind = F.element_at(F.array(*[F.lit(x) for x in ("click", "view", "signup", "error", "purchase")]), (F.col("c_custkey") % 5 + 1).cast("int"))
-    subs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), kind.alias("term"), F.lit(True).alias("enabled"))
-    e = _event_stream(spark, sf_dir).select(F.col("event_id").alias("id"), F.col("event_type").alias("title"), "ts")
+    subs = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"), F.concat_ws(" ", kind, F.col("c_custkey").cast("string")).alias("term"), F.lit(True).alias("enabled"))
+    e = _event_stream(spark, sf_dir).select(F.col("event_id").alias("id"), F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("title"), "ts")
     m = _run(spark, J.keyword_match_stream(e, subs, ["title"]))
     return m.groupBy((F.col("uid") % 10).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -348,19 +354,19 @@ def split_devices(spark, sf_dir):
 
 
 @query("attach_enabled_devices", f"""{oracle_with('v_devices')} SELECT c_custkey AS deal_id, count(*) AS devices, sum(d.id)::BIGINT AS id_sum
-FROM customer JOIN v_devices d ON d.uid = c_custkey % 160 AND d.enabled GROUP BY 1""")
+FROM customer JOIN v_devices d ON d.uid = c_custkey AND d.enabled GROUP BY 1""")
 def attach_enabled_devices(spark, sf_dir):
     """J11."""
-    m = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("deal_id"), (F.col("c_custkey") % 160).alias("uid"))
+    m = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("deal_id"), F.col("c_custkey").alias("uid"))
     return A.attach_enabled_devices(m, view(spark, sf_dir, "v_devices")).groupBy("deal_id").agg(
         F.count(F.lit(1)).alias("devices"), F.sum("device_id").alias("id_sum"))
 
 
 @query("drop_no_device", f"""{SPLIT} SELECT c_custkey AS deal_id, CASE WHEN sd.uid IS NOT NULL AND tokens + web_devices > 0 THEN 'ready' ELSE 'skipped' END AS status,
-  CASE WHEN sd.uid IS NOT NULL AND tokens + web_devices > 0 THEN '' ELSE 'no_tokens' END AS reason FROM customer LEFT JOIN sd ON sd.uid = c_custkey % 300""")
+  CASE WHEN sd.uid IS NOT NULL AND tokens + web_devices > 0 THEN '' ELSE 'no_tokens' END AS reason FROM customer LEFT JOIN sd ON sd.uid = c_custkey""")
 def drop_no_device(spark, sf_dir):
     """R4."""
-    alerts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("deal_id"), (F.col("c_custkey") % 300).alias("uid"))
+    alerts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("deal_id"), F.col("c_custkey").alias("uid"))
     return A.drop_no_device(alerts, A.split_devices(view(spark, sf_dir, "v_devices"))).select("deal_id", "status", "reason")
 
 

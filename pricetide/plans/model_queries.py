@@ -127,10 +127,10 @@ def scores_external_population(spark, sf_dir):
 x AS (SELECT id, greatest(-3, least(3, comment_signal_score / 2.0)) / sqrt(2) q FROM v_deals),
 y AS (SELECT id, q, 1 / (1 + 0.3275911::DOUBLE * abs(q)) t FROM x)
 SELECT id, round(0.5 * (1 + sign(q) * (1 - (0.254829592::DOUBLE * t - 0.284496736::DOUBLE * t ** 2 + 1.421413741::DOUBLE * t ** 3
-  - 1.453152027::DOUBLE * t ** 4 + 1.061405429::DOUBLE * t ** 5) * exp(-q * q))), 6) AS p FROM y WHERE q <> 0""")
+  - 1.453152027::DOUBLE * t ** 4 + 1.061405429::DOUBLE * t ** 5) * exp(-q * q))), 6) AS p FROM y""")
 def normal_cdf(spark, sf_dir):
-    """F38 (zero left out: the polynomial is only near zero there and its sign is a convention)."""
-    d = view(spark, sf_dir, "v_deals").where("comment_signal_score <> 0")
+    """F38."""
+    d = view(spark, sf_dir, "v_deals")
     return d.select("id", r(S.normal_cdf(F.col("comment_signal_score") / 2.0), 6).alias("p"))
 
 
@@ -422,11 +422,10 @@ def day_counts(spark, sf_dir):
     return N.day_counts(view(spark, sf_dir, "v_deals"), "2024-01-30 06:00:00", ["source"])
 
 
-@query("repeated_values", """SELECT regexp_extract(text, '^([^.]*)', 1) AS title, count(*) AS uses FROM documents
-WHERE trim(regexp_extract(text, '^([^.]*)', 1)) <> '' GROUP BY 1 HAVING count(*) >= 3""")
+@query("repeated_values", """SELECT text AS title, count(*) AS uses FROM documents WHERE trim(text) <> '' GROUP BY 1 HAVING count(*) >= 3""")
 def repeated_values(spark, sf_dir):
     """A22."""
-    titled = table(spark, sf_dir, "documents").select(F.regexp_extract("text", "^([^.]*)", 1).alias("title"))
+    titled = table(spark, sf_dir, "documents").select(F.col("text").alias("title"))
     return N.repeated_values(titled, "title")
 
 

@@ -139,15 +139,15 @@ def comments_topn_per_key(spark, sf_dir):
     return V.comments_for_keys(view(spark, sf_dir, "v_comments"), keys, 3, "turn").select("id", "deal_key")
 
 
-@query("author_nicknames", """SELECT doc_id AS id, CASE WHEN doc_id % 40 < 25 AND s_suppkey IS NOT NULL THEN s_name WHEN doc_id % 3 = 0 THEN 'session ' || lang WHEN doc_id % 3 = 1 THEN source ELSE '익명' END AS author
-FROM documents LEFT JOIN supplier ON s_suppkey = doc_id % 40""")
+@query("author_nicknames", """SELECT doc_id AS id, CASE WHEN s_suppkey % 40 < 25 THEN s_name WHEN doc_id % 3 = 0 THEN 'session ' || lang WHEN doc_id % 3 = 1 THEN source ELSE '익명' END AS author
+FROM documents LEFT JOIN supplier ON s_suppkey = doc_id % 1000""")
 def author_nicknames(spark, sf_dir):
     """J19."""
     posts = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), (F.col("doc_id") % 40).alias("user_key"), F.expr("CASE WHEN doc_id % 3 = 0 THEN 'session ' || lang ELSE '' END").alias("session_name"),
+        F.col("doc_id").alias("id"), (F.col("doc_id") % 1000).alias("user_key"), F.expr("CASE WHEN doc_id % 3 = 0 THEN 'session ' || lang ELSE '' END").alias("session_name"),
         F.expr("CASE WHEN doc_id % 3 = 1 THEN source END").alias("author"))
     profiles = table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("user_key"), F.expr("CASE WHEN s_suppkey % 40 < 25 THEN s_name ELSE ' ' END").alias("nickname")).where("user_key < 40")
+        F.col("s_suppkey").alias("user_key"), F.expr("CASE WHEN s_suppkey % 40 < 25 THEN s_name ELSE ' ' END").alias("nickname"))
     return V.author_nickname(posts, profiles).select("id", "author")
 
 
@@ -180,10 +180,10 @@ def orphan_objects(spark, sf_dir):
     return O.orphan_objects(view(spark, sf_dir, "v_objects"), view(spark, sf_dir, "v_refs"), CUT).select("path", "size")
 
 
-@query("missing_references", f"{oracle_with('v_objects', 'v_refs')} SELECT path FROM v_refs WHERE path NOT IN (SELECT path FROM v_objects WHERE size < 3000)")
+@query("missing_references", f"{oracle_with('v_objects', 'v_refs')} SELECT path FROM v_refs WHERE path NOT IN (SELECT path FROM v_objects)")
 def missing_references(spark, sf_dir):
     """J14 (large objects taken for lost)."""
-    return O.missing_references(view(spark, sf_dir, "v_refs"), view(spark, sf_dir, "v_objects").where("size < 3000"))
+    return O.missing_references(view(spark, sf_dir, "v_refs"), view(spark, sf_dir, "v_objects"))
 
 
 @query("storage_usage", f"""{oracle_with('v_objects', 'v_refs')} SELECT count(*) AS objects, sum(size)::BIGINT AS storage_bytes, (SELECT count(*) FROM v_refs) AS referenced,

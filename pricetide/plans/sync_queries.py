@@ -149,7 +149,7 @@ def required(spark, sf_dir):
 
 # --- dedup ---------------------------------------------------------------------------------------
 
-TITLED = "t AS (SELECT doc_id AS id, doc_id AS pos, source, lang, regexp_extract(text, '^([^.]*)', 1) AS title, source || '::' || CAST(n_chars AS VARCHAR) AS key FROM documents)"
+TITLED = "t AS (SELECT doc_id AS id, doc_id AS pos, source, lang, text AS title, source || '::' || CAST(n_chars AS VARCHAR) AS key FROM documents)"
 KEYED = "lower(trim(regexp_replace(title, '\\s+', ' ', 'g')))"
 
 
@@ -157,7 +157,7 @@ def _titled(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("id"), F.col("doc_id").alias("pos"), "source", "lang",
-        F.regexp_extract("text", "^([^.]*)", 1).alias("title"), F.concat_ws("::", "source", F.col("n_chars").cast("string")).alias("key"))
+        F.col("text").alias("title"), F.concat_ws("::", "source", F.col("n_chars").cast("string")).alias("key"))
 
 
 @query("dedup_feed", f"""WITH {TITLED}, f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY source, {KEYED} ORDER BY pos) = 1)

@@ -40,11 +40,11 @@ SELECT id, source, source_post_id, source_link, title, price, img, views, commen
 FROM v_deals WHERE id % 5 <> 0 AND NOT (source = 'error' AND id % 4 <> 1)""",
     "v_posts": """
 SELECT p_partkey AS id, p_brand AS source,
-       p_name || ' ' || lower(p_type) || ' (' || CAST(CAST(FLOOR(p_retailprice) AS BIGINT) AS STRING) || '원/무료)' AS title
+       p_name || ' m' || CAST(p_partkey AS STRING) || ' ' || lower(p_type) || ' (' || CAST(CAST(FLOOR(p_retailprice) AS BIGINT) AS STRING) || '원/무료)' AS title
 FROM part""",
     "v_subscriptions": """
-SELECT c.c_custkey AS uid, p.p_name AS term, c.c_custkey % 5 <> 0 AS enabled
-FROM customer c JOIN part p ON p.p_partkey = c.c_custkey % 200""",
+SELECT c.c_custkey AS uid, p.p_name || ' m' || CAST(p.p_partkey AS STRING) AS term, c.c_custkey % 5 <> 0 AS enabled
+FROM customer c JOIN part p ON p.p_partkey = c.c_custkey""",
     "v_devices": """
 SELECT event_id AS id, user_id AS uid, event_id % 7 <> 0 AS enabled,
        CASE WHEN event_id % 3 = 0 THEN 'standalone' ELSE 'browser' END AS display_mode,
@@ -107,7 +107,7 @@ SELECT doc_id AS id, doc_id AS pos, regexp_extract(text, '^([^.]*)', 1) AS title
        CASE WHEN doc_id % 50 = 0 THEN 'https://i.ytimg.com/vi/video' || lpad(CAST(CAST(FLOOR(doc_id / 50) AS BIGINT) AS STRING), 6, '0') || '/hq.jpg' ELSE '' END AS img
 FROM documents""",
     "v_refs": """
-SELECT DISTINCT 'pages/' || CAST(doc_id % 60 AS STRING) || '.html' AS path FROM documents WHERE doc_id % 4 = 0""",
+SELECT DISTINCT 'pages/' || CAST(doc_id AS STRING) || '.html' AS path FROM documents WHERE doc_id % 4 <> 1""",
 }
 
 VIEW_INPUTS = {
