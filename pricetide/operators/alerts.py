@@ -115,6 +115,23 @@ def split_devices(devices: DataFrame) -> DataFrame:
         suppressed.cast("bigint").alias("suppressed"))
 
 
+def send_targets(devices: DataFrame) -> DataFrame:
+    """Where a user's alerts go, one row each: ``uid, kind, target``.
+
+    ``token`` rows are the distinct messaging tokens, ``web`` rows the ids of devices with a web endpoint; browsers are left
+    out for users who have a stand-alone app. Only enabled devices count.
+    """
+    mode = normalize_display_mode(F.col("display_mode"))
+    pwa = (F.lower(F.coalesce(F.col("client_kind"), F.lit(""))) == "pwa") if "client_kind" in devices.columns else F.lit(False)
+    flagged = devices.where("enabled").select(
+        "uid", "id", text_or_empty(F.col("fcm_token")).alias("token"), (text_or_empty(F.col("endpoint")) != "").alias("web"),
+        (pwa | (mode == "standalone")).alias("app"), (~pwa & (mode == "browser")).alias("browser"))
+    tokens = flagged.where("token <> ''").select("uid", F.lit("token").alias("kind"), F.col("token").alias("target")).distinct()
+    apps = flagged.where("web AND app").select("uid").distinct().withColumn("_app", F.lit(True))
+    web = scale.salted_join(flagged.where("web"), apps, ["uid"], ["id"], "left").where("_app IS NULL OR NOT browser")
+    return tokens.unionByName(web.select("uid", F.lit("web").alias("kind"), F.col("id").cast("string").alias("target")))
+
+
 def drop_no_device(alerts: DataFrame, targets: DataFrame) -> DataFrame:
     """Ledger status per alert: ready, or skipped for want of any token or endpoint."""
     reachable = targets.where("tokens + web_devices > 0").select("uid").withColumn("_ok", F.lit(True))
@@ -234,6 +251,45 @@ def due_digests(matches: DataFrame, now: str | Column, window_minutes: int = WIN
                        pending.alias("pending_count"), state.alias("state"))
 
 
+def digest_contents(
+    matches: DataFrame, now: str | Column, subscriptions: DataFrame, targets: DataFrame, window_minutes: int = WINDOW_MINUTES,
+) -> DataFrame:
+    """``due_digests`` with what the digests hold: adds ``titles`` and ``deal_ids`` and settles the state.
+
+    The lists are the last ``MAX_PENDING_TITLES`` titles and ``MAX_PENDING_IDS`` ids queued in the window, each once, in the
+    order of their first match. A term no longer subscribed (``subscriptions``: uid, term) closes its window
+    (``keyword_deleted``); a due digest of a user without targets (``split_devices``) is emptied and opens no new window
+    (``no_tokens``). Lists are cut map-side, so a dense window is not gathered.
+    """
+    keys = ["uid", "term"]
+    due = due_digests(matches, now, window_minutes)
+    at = F.unix_micros("ts")
+    queued = (
+        matches.join(due.select(*keys, F.unix_micros("window_started_at").alias("_start")), keys).where(at >= F.col("_start"))
+        .withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(at, "deal_id"))).where("_place > 1")
+    )
+
+    def last_values(name: str, most: int) -> DataFrame:
+        value = F.trim(F.coalesce(F.col(name).cast("string"), F.lit("")))
+        once = queued.select(*keys, value.alias("_v"), "_place").where("_v <> ''").groupBy(*keys, "_v").agg(F.min("_place").alias("_place"))
+        kept = scale.keep_top(once, keys, most, F.col("_place").desc())
+        return kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_place", "_v"))).alias("_l")).select(
+            *keys, F.transform("_l", lambda x: x["_v"]).alias(f"_{name}"))
+
+    wanted = subscriptions.select(*keys).distinct().withColumn("_wanted", F.lit(True))
+    reached = targets.where("tokens + web_devices > 0").select("uid").withColumn("_reached", F.lit(True))
+    state = (
+        F.when(F.col("_wanted").isNull(), "keyword_deleted")
+        .when((F.col("state") == "digest") & F.col("_reached").isNull(), "no_tokens").otherwise(F.col("state")))
+    none = F.array().cast("array<string>")
+    return (
+        due.join(last_values("title", MAX_PENDING_TITLES), keys, "left").join(last_values("deal_id", MAX_PENDING_IDS), keys, "left")
+        .join(wanted, keys, "left").join(reached, "uid", "left")
+        .select(*keys, "window_started_at", "due_at", "pending_count", F.coalesce("_title", none).alias("titles"),
+                F.coalesce("_deal_id", none).alias("deal_ids"), state.alias("state"))
+    )
+
+
 def limited_unique_append(values: Column, value: Column, n: int) -> Column:
     """Append when absent, keep the last n."""
     clean = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.coalesce(v, F.lit("")) != "")

@@ -11,7 +11,7 @@ from pricetide.operators import alerts as A
 from pricetide.operators import dedup as D
 from pricetide.operators import devices as G
 from pricetide.plans.registry import query, sql_ts, ts_text
-from pricetide.plans.views import NOW, oracle_with, table, text_table, view
+from pricetide.plans.views import VIEW_SQL, NOW, oracle_with, table, text_table, view
 from pricetide.session import work_path
 from pricetide.streaming import jobs as J
 
@@ -157,6 +157,12 @@ def subscription_ids(spark, sf_dir):
 
 # --- throttling ----------------------------------------------------------------------------------
 
+SPLIT_F = """f AS (SELECT uid, count(DISTINCT nullif(fcm_token, '')) AS tokens, count(*) FILTER (endpoint <> '') AS web, count(*) FILTER (endpoint <> '' AND display_mode = 'browser') AS br,
+  bool_or(endpoint <> '' AND display_mode = 'standalone') AS sa FROM v_devices WHERE enabled{0} GROUP BY uid),
+sd AS (SELECT uid, tokens, web - CASE WHEN sa THEN br ELSE 0 END AS web_devices, CASE WHEN sa THEN br ELSE 0 END AS suppressed FROM f)"""
+SPLIT = f"{oracle_with('v_devices')}, {SPLIT_F.format('')}"
+SPLIT_CTES = f"v_devices AS ({VIEW_SQL['v_devices']}), {SPLIT_F.format(' AND uid % 4 <> 1')}"
+
 EV = "ev AS (SELECT user_id AS uid, event_type AS term, event_id AS deal_id, ts FROM events)"
 CHAIN = """ch AS (SELECT uid, term, min(ts) AS st FROM ev GROUP BY ALL
   UNION ALL SELECT c.uid, c.term, min(e.ts) FROM ch c JOIN ev e ON e.uid = c.uid AND e.term = c.term AND e.ts >= c.st + INTERVAL 30 MINUTE GROUP BY c.uid, c.term, c.st)"""
@@ -196,6 +202,33 @@ def due_digests(spark, sf_dir):
     return d.select("uid", "term", ts_text("window_started_at").alias("window_started_at"), "pending_count", "state")
 
 
+@query("digest_contents", f"""{THROTTLED}, {SPLIT_CTES}, ls AS (SELECT uid, term, max(st) AS st FROM aw GROUP BY ALL),
+q AS (SELECT uid, term, st, deal_id, 'deal ' || CAST(deal_id % 9 AS VARCHAR) AS title, rk FROM aw JOIN ls USING (uid, term, st) WHERE rk > 1),
+tt AS (SELECT uid, term, string_agg(title, '|' ORDER BY f) AS titles FROM (SELECT * FROM (SELECT uid, term, title, min(rk) AS f FROM q GROUP BY ALL) g
+  QUALIFY row_number() OVER (PARTITION BY uid, term ORDER BY f DESC) <= {A.MAX_PENDING_TITLES}) GROUP BY ALL),
+ii AS (SELECT uid, term, string_agg(CAST(deal_id AS VARCHAR), '|' ORDER BY rk) AS ids FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY uid, term ORDER BY rk DESC) <= {A.MAX_PENDING_IDS}) GROUP BY ALL),
+pd AS (SELECT uid, term, st, count(*) - 1 AS p FROM aw JOIN ls USING (uid, term, st) GROUP BY ALL)
+SELECT uid, term, {sql_ts('st')} AS window_started_at, p AS pending_count, coalesce(titles, '') AS titles, coalesce(ids, '') AS deal_ids,
+  CASE WHEN uid % 5 = 0 THEN 'keyword_deleted' WHEN st + INTERVAL 30 MINUTE > TIMESTAMP '2024-01-30 22:00:00' THEN 'open' WHEN p = 0 THEN 'dropped'
+       WHEN coalesce(tokens + web_devices, 0) = 0 THEN 'no_tokens' ELSE 'digest' END AS state
+FROM pd LEFT JOIN tt USING (uid, term) LEFT JOIN ii USING (uid, term) LEFT JOIN sd USING (uid)""")
+def digest_contents(spark, sf_dir):
+    """Pending titles and ids; windows of unsubscribed terms and of users no device of whom is left after a filter."""
+    m = _event_matches(spark, sf_dir).withColumn("title", F.concat(F.lit("deal "), (F.col("deal_id") % 9).cast("string")))
+    subscribed = m.where("uid % 5 <> 0").select("uid", "term")
+    d = A.digest_contents(m, "2024-01-30 22:00:00", subscribed, A.split_devices(view(spark, sf_dir, "v_devices").where("uid % 4 <> 1")))
+    return d.select("uid", "term", ts_text("window_started_at").alias("window_started_at"), "pending_count",
+                    F.array_join("titles", "|").alias("titles"), F.array_join("deal_ids", "|").alias("deal_ids"), "state")
+
+
+@query("send_targets", f"""{oracle_with('v_devices')}, e AS (SELECT * FROM v_devices WHERE enabled)
+SELECT DISTINCT uid, 'token' AS kind, fcm_token AS target FROM e WHERE fcm_token <> ''
+UNION ALL SELECT uid, 'web', CAST(id AS VARCHAR) FROM e WHERE endpoint <> '' AND NOT (display_mode = 'browser' AND uid IN (SELECT uid FROM e WHERE endpoint <> '' AND display_mode = 'standalone'))""")
+def send_targets(spark, sf_dir):
+    """The rows alerts are sent to."""
+    return A.send_targets(view(spark, sf_dir, "v_devices"))
+
+
 def _run(spark, stream, mode="append"):
     """Drives a stream over what its source holds, into a fresh folder beside the shared checkpoints."""
     base = work_path(spark, "stream")
@@ -342,11 +375,6 @@ def cleanup_summary(spark, sf_dir):
     return G.cleanup_summary(view(spark, sf_dir, "v_devices"), _cleanup(spark, sf_dir))
 
 
-SPLIT = f"""{oracle_with('v_devices')}, f AS (SELECT uid, count(DISTINCT nullif(fcm_token, '')) AS tokens, count(*) FILTER (endpoint <> '') AS web, count(*) FILTER (endpoint <> '' AND display_mode = 'browser') AS br,
-  bool_or(endpoint <> '' AND display_mode = 'standalone') AS sa FROM v_devices WHERE enabled GROUP BY uid),
-sd AS (SELECT uid, tokens, web - CASE WHEN sa THEN br ELSE 0 END AS web_devices, CASE WHEN sa THEN br ELSE 0 END AS suppressed FROM f)"""
-
-
 @query("split_devices", f"{SPLIT} SELECT * FROM sd")
 def split_devices(spark, sf_dir):
     """R5."""

@@ -19,11 +19,12 @@ ALERT_SCHEMA = T.StructType([
     T.StructField("uid", T.StringType()), T.StructField("term", T.StringType()),
     T.StructField("deal_id", T.StringType()), T.StructField("at", T.LongType()),
     T.StructField("action", T.StringType()), T.StructField("pending_count", T.LongType()),
-    T.StructField("digest_count", T.LongType()), T.StructField("digest_titles", T.StringType()),
+    T.StructField("digest_count", T.LongType()), T.StructField("digest_titles", T.StringType()), T.StructField("digest_ids", T.StringType()),
 ])
 STATE_SCHEMA = T.StructType([
     T.StructField("start", T.LongType()), T.StructField("pending", T.LongType()),
     T.StructField("titles", T.ArrayType(T.StringType())), T.StructField("deal_ids", T.ArrayType(T.StringType())),
+    T.StructField("reachable", T.BooleanType()),
 ])
 
 
@@ -37,7 +38,9 @@ class AlertThrottle(StatefulProcessor):
 
     The first match sends and opens a window; later ones queue; the first one after the window has run
     out sends and carries the digest. When event time passes the window's end, a timer flushes pending
-    matches as a digest and opens a new window, or drops the state when there are none.
+    matches as a digest and opens a new window, or drops the state when there are none. A row that is not
+    ``subscribed`` closes the window; a digest of a user who was not ``reachable`` at the last match is emptied
+    (``no_tokens``) and opens none.
     """
 
     def __init__(self, window_minutes: int = A.WINDOW_MINUTES, flush: bool = True):
@@ -56,21 +59,27 @@ class AlertThrottle(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         uid, term = key
+        start, pending, titles, ids, reachable = self.window.get() or (None, 0, [], [], True)
         batch = pd.concat(list(rows)).sort_values(["at", "deal_id"], kind="stable")
-        start, pending, titles, ids = self.window.get() or (None, 0, [], [])
         out = []
-        for at, deal_id, title in zip(batch["at"], batch["deal_id"], batch["title"]):
+        for at, deal_id, title, subscribed, reachable in zip(batch["at"], batch["deal_id"], batch["title"], batch["subscribed"], batch["reachable"]):
             at, deal_id = int(at), str(deal_id)
-            if start is None or at - start >= self.width:
-                out.append((uid, term, deal_id, at, "send", 0, pending, "|".join(titles)))
+            if not subscribed:
+                out.append((uid, term, deal_id, at, "skip", 0, 0, "", ""))
+                start, pending, titles, ids = None, 0, [], []
+            elif start is None or at - start >= self.width:
+                out.append((uid, term, deal_id, at, "send", 0, pending, "|".join(titles), "|".join(ids)))
                 start, pending, titles, ids = at, 0, [], []
                 self._arm(start)
             else:
                 pending += 1
                 titles = _kept(list(titles), str(title or "").strip(), A.MAX_PENDING_TITLES)
                 ids = _kept(list(ids), deal_id, A.MAX_PENDING_IDS)
-                out.append((uid, term, deal_id, at, "queue", pending, 0, ""))
-        self.window.update((start, pending, list(titles), list(ids)))
+                out.append((uid, term, deal_id, at, "queue", pending, 0, "", ""))
+        if start is None:
+            self.window.clear()
+        else:
+            self.window.update((start, pending, list(titles), list(ids), bool(reachable)))
         yield pd.DataFrame(out, columns=ALERT_SCHEMA.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -78,15 +87,18 @@ class AlertThrottle(StatefulProcessor):
         state = self.window.get()
         if state is None:
             return
-        start, pending, titles, _ = state
+        start, pending, titles, ids, reachable = state
+        due = start + self.width
         if pending <= 0:
             self.window.clear()
-            return
-        due = start + self.width
-        self.window.update((due, 0, [], []))
-        self._arm(due)
-        yield pd.DataFrame(
-            [(uid, term, "", due, "digest", 0, pending, "|".join(titles))], columns=ALERT_SCHEMA.names)
+        elif not reachable:
+            self.window.update((start, 0, [], [], False))
+            yield pd.DataFrame([(uid, term, "", due, "no_tokens", 0, pending, "", "")], columns=ALERT_SCHEMA.names)
+        else:
+            self.window.update((due, 0, [], [], True))
+            self._arm(due)
+            yield pd.DataFrame(
+                [(uid, term, "", due, "digest", 0, pending, "|".join(titles), "|".join(ids))], columns=ALERT_SCHEMA.names)
 
     def close(self) -> None:
         pass
@@ -98,12 +110,15 @@ def alert_throttle_stream(
     """R1, R2 over a stream of (uid, term, deal_id, title, ts); needs the RocksDB state store.
 
     State instants are plain microsecond numbers. Rows of one instant go in ``deal_id`` order, as in the
-    batch form.
+    batch form. Columns ``title``, ``subscribed`` and ``reachable`` may be absent: empty, true and true.
     """
+    def given(name: str, default) -> object:
+        return (F.coalesce(F.col(name), F.lit(default)) if name in matches.columns else F.lit(default)).alias(name)
+
     rows = matches.withWatermark("ts", delay) if flush else matches
     rows = rows.select(
         F.col("uid").cast("string").alias("uid"), F.col("term").cast("string").alias("term"),
-        "deal_id", (F.col("title") if "title" in matches.columns else F.lit("")).alias("title"),
+        "deal_id", given("title", ""), given("subscribed", True), given("reachable", True),
         F.unix_micros("ts").alias("at"), *(["ts"] if flush else []))
     return rows.groupBy("uid", "term").transformWithStateInPandas(
         statefulProcessor=AlertThrottle(window_minutes, flush), outputStructType=ALERT_SCHEMA,
@@ -191,7 +206,7 @@ def ledger_sink(root: str, checkpoint: str):
         pairs = batch.select("deal_id", "uid").distinct().withColumn(
             "slice", F.pmod(F.xxhash64("deal_id", "uid"), F.lit(LEDGER_SLICES)).cast("int"))
         if tables.folders(spark, root):
-            stored = spark.read.option("basePath", root).parquet(f"{root}/batch=*")
+            stored = spark.read.parquet(root)
             have = [r["slice"] for r in pairs.select("slice").distinct().limit(LEDGER_SLICES).collect()]
             other = stored.where(F.col("slice").isin(have) & (F.col("batch") != mark)).select("deal_id", "uid")
             pairs = pairs.join(other, ["deal_id", "uid"], "left_anti")

@@ -64,18 +64,19 @@ def test_timer_flushes_pending(spark, tmp_path):
         stream = J.tables.read_documents_stream(spark, source, with_ts[0].schema)
         out = J.read_all(J.alert_throttle_stream(stream), f"{tmp_path}/c", f"{tmp_path}/o")
     got = {(r["uid"], r["action"]): (r["deal_id"], r["digest_count"], r["digest_titles"]) for r in out.collect()}
-    assert got[("1", "digest")] == ("", 1, "b")
+    assert got[("1", "digest")] == ("", 1, "b") and {r["digest_ids"] for r in out.where("action = 'digest'").collect()} == {"2"}
     assert got[("1", "queue")][0] == "2" and got[("2", "send")][0] == "4"
 
 
 def test_ledger_and_replay(spark, tmp_path):
     root = f"{tmp_path}/{uuid.uuid4().hex}"
     batch = spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "deal_id int, uid int")
-    write = J.ledger_sink(root)
+    spark.createDataFrame([('{"id":"0-a"}',)], "value string").coalesce(1).write.text(f"{root}-c/metadata")
+    write = J.ledger_sink(root, f"{root}-c")
     write(batch, 0)
     write(batch, 0)
     write(batch.unionByName(spark.createDataFrame([(3, 1)], batch.schema)), 1)
-    rows = sorted((r["deal_id"], r["uid"]) for r in spark.read.parquet(f"{root}/v*").collect())
+    rows = sorted((r["deal_id"], r["uid"]) for r in spark.read.parquet(root).collect())
     assert rows == [(1, 1), (2, 1), (3, 1)]
 
 
@@ -134,3 +135,24 @@ def test_distinct_installations_stay(spark):
 def test_token_twice(spark):
     rows = [{"id": "o", "endpoint": "", "fcm_token": "t", "s": 10}, {"id": "n", "endpoint": "", "fcm_token": "t", "s": 20}, {"id": "x", "endpoint": "", "fcm_token": "t", "s": 99, "enabled": False}]
     assert cleanup(spark, rows) == {"o": ("duplicate_fcm_token", "n")}
+
+
+def test_unsubscribed_term_closes_its_window(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(1, "tv", 1, 0, True), (1, "tv", 2, 60, True), (1, "tv", 3, 90, False), (1, "tv", 4, 120, True)], "uid int, term string, deal_id int, s int, subscribed boolean")
+    m = rows.withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000)).drop("s")
+    m.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = J.tables.read_documents_stream(spark, f"{tmp_path}/in", m.schema)
+    out = J.read_all(J.alert_throttle_stream(stream, flush=False), f"{tmp_path}/c", f"{tmp_path}/o")
+    assert {int(r["deal_id"]): r["action"] for r in out.collect()} == {1: "send", 2: "queue", 3: "skip", 4: "send"}
+
+
+def test_digest_of_an_unreachable_user_is_emptied(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "tv", 1, 0), (1, "tv", 2, 60)], "uid int, term string, deal_id int, s int")
+    late = spark.createDataFrame([(2, "tv", 3, 7200), (2, "tv", 4, 9300)], rows.schema)
+    for d in (rows, late):
+        m = d.withColumn("reachable", F.col("uid") != 1).withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_000)).drop("s")
+        m.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = J.tables.read_documents_stream(spark, f"{tmp_path}/in", m.schema)
+        out = J.read_all(J.alert_throttle_stream(stream), f"{tmp_path}/c", f"{tmp_path}/o")
+    assert [r["digest_count"] for r in out.where("action = 'no_tokens'").collect()] == [1] and out.where("action = 'digest'").isEmpty()
