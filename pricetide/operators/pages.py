@@ -98,10 +98,16 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(html_lib.unescape, na_action="ignore")
 
 
+# Elements that hold no readable text, and those that begin and end a line.
+EMBEDDED = "script|style|noscript|iframe|object|svg|canvas"
+BLOCKS = "p|div|section|article|h[1-6]|li|blockquote|tr|table"
+
+
 def strip_tags(html: Column) -> Column:
-    """X3 up to the entities: scripts and styles dropped, breaks and paragraph ends as new lines."""
-    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<script.*?</script>|<style.*?</style>", " ")
-    text = F.regexp_replace(text, r"(?i)<br\s*/?>|</p\s*>", "\n")
+    """X3 up to the entities: comments and embedded parts dropped, breaks and the tags of blocks as new lines."""
+    text = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", " ")
+    text = F.regexp_replace(text, rf"(?is)<({EMBEDDED})\b[^>]*>.*?</\1\s*>", " ")
+    text = F.regexp_replace(text, rf"(?i)<br\s*/?>|</?(?:{BLOCKS})\b[^>]*>", "\n")
     return F.regexp_replace(text, r"<[^>]+>", " ")
 
 
@@ -158,43 +164,63 @@ def comment_section_text(html: pd.Series) -> pd.Series:
     return html.map(one)
 
 
-def _balanced(text: str, start: int, tag: str) -> str:
-    depth = 0
-    for token in re.finditer(rf"(?i)<(/?){tag}\b[^>]*?(/?)>", text[start:]):
-        if token.group(1):
-            depth -= 1
-        elif not token.group(2):
-            depth += 1
-        if depth == 0:
-            return text[start:start + token.end()]
-    return text[start:]
+class _Container:
+    """A container met on the way: where it starts and ends, and the visible characters before either place."""
+
+    def __init__(self, name: str, start: int, seen: int, marked: bool):
+        self.name, self.start, self.marked = name, start, marked
+        self.before, self.end, self.after = seen, None, None
+
+
+CONTAINER = re.compile(r"(?is)<(/?)(div|section|article)\b([^>]*)>")
+ANY_TAG = re.compile(r"<[^>]*>")
 
 
-def content_chunk(html: Column, marker: str, bonus: str = r"document_\d+") -> Column:
-    """The balanced div or section whose class has the marker word: the first one inside the first
-    article, else the one with the most text (a numbered document class wins). '' when there is none."""
-    opening = rf"""(?i)<(div|section)\b[^>]*\bclass\s*=\s*["'][^"']*\b{marker}\b[^"']*["'][^>]*>"""
+def _containers(page: str, marked) -> list[_Container]:
+    """Divs, sections and articles of a page in the order they start, from one pass with a stack per tag name.
+
+    An end tag closes the innermost open container of its name; what stays open reaches to the end of the page.
+    """
+    met, at, seen = [], 0, 0
+    stacks: dict[str, list[_Container]] = {"div": [], "section": [], "article": []}
+    for token in CONTAINER.finditer(page):
+        seen += len("".join(ANY_TAG.sub(" ", page[at : token.start()]).split()))
+        at = token.end()
+        stack = stacks[token.group(2).lower()]
+        if token.group(1):
+            if stack:
+                closed = stack.pop()
+                closed.end, closed.after = token.end(), seen
+        elif not token.group(3).endswith("/"):
+            met.append(_Container(token.group(2).lower(), token.start(), seen, marked(token.group(3))))
+            stack.append(met[-1])
+    seen += len("".join(ANY_TAG.sub(" ", page[at:]).split()))
+    for left in met:
+        if left.end is None:
+            left.end, left.after = len(page), seen
+    return met
+
+
+def content_chunk(html: Column, marker: str, scope: str = "article") -> Column:
+    """The balanced div or section whose class has the marker word: the first one inside the first ``scope`` container,
+    else the one with the most visible characters (the first of equals). '' when there is none.
+
+    A page is read once, whatever its nesting.
+    """
+    class_mark = re.compile(rf"""(?i)\bclass\s*=\s*["'][^"']*\b{marker}\b""")
 
     @F.pandas_udf(T.StringType())
     def walk(pages: pd.Series) -> pd.Series:
-        starts, article, numbered = re.compile(opening), re.compile(r"(?i)<article\b[^>]*>"), re.compile(rf"(?i)\b{bonus}")
-
         def one(page):
             page = page or ""
-            inside = article.search(page)
+            met = _containers(page, lambda attributes: class_mark.search(attributes) is not None)
+            found = [c for c in met if c.marked and c.name != "article"]
+            around = next((c for c in met if c.name == scope), None)
+            inside = [c for c in found if around and around.start < c.start < around.end]
             if inside:
-                body = _balanced(page, inside.start(), "article")
-                first = starts.search(body)
-                if first:
-                    return _balanced(body, first.start(), first.group(1).lower())
-            best, top = "", -1
-            for m in starts.finditer(page):
-                chunk = _balanced(page, m.start(), m.group(1).lower())
-                visible = len(" ".join(re.sub(r"<[^>]+>", " ", chunk).split()))
-                weight = visible + (10_000 if numbered.search(m.group(0)) else 0)
-                if weight > top:
-                    best, top = chunk, weight
-            return best
+                return page[inside[0].start : min(inside[0].end, around.end)]
+            best = max(found, key=lambda c: c.after - c.before, default=None)
+            return page[best.start : best.end] if best else ""
 
         return pages.map(one)
 

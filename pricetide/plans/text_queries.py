@@ -291,7 +291,11 @@ def useful_meta(spark, sf_dir):
     return m.select("page_id", G.is_useful_meta(title, F.col("description"), F.col("image")).alias("useful"))
 
 
-TEXT = r"""regexp_replace(regexp_replace(regexp_replace({0}, '(?s)<script.*?</script>|<style.*?</style>', ' ', 'gi'), '<br\s*/?>|</p\s*>', chr(10), 'gi'), '<[^>]+>', ' ', 'g')"""
+GONE = "|".join(rf"<{tag}\b[^>]*>.*?</{tag}\s*>" for tag in ("script", "style", "noscript", "iframe", "object", "svg", "canvas"))
+LINE_TAGS = r"<br\s*/?>|</?(?:p|div|section|article|h[1-6]|li|blockquote|tr|table)\b[^>]*>"
+TEXT = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(?s)<!--.*?-->', ' ', 'g'), '(?s)" + GONE.replace("{", "{{").replace("}", "}}")
+    + "', ' ', 'gi'), '" + LINE_TAGS + "', chr(10), 'gi'), '<[^>]+>', ' ', 'g')")
 
 ENTITIES = [("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")]
 

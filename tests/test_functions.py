@@ -153,6 +153,23 @@ def test_content_chunk_is_balanced(spark):
     assert got == ['<div class="xe_content a"><div>in<div>deep</div></div></div>', ""]
 
 
+def test_content_chunk_prefers_the_article_and_the_longest(spark):
+    pages = [
+        '<div class="x body">short</div><section class="body"><section>much longer</section> text</section>',
+        '<div class="body">long long long text outside</div><ARTICLE><p>a</p><div class="body">in<section class="body">deep</section></div></article>',
+        '<div class="body">open <b>end', '<div class="body"/><div class="somebody">no</div>', None,
+        "<div class='body'>" + "<div>" * 20_000 + "x"]
+    got = values(spark, lambda c: G.content_chunk(c, "body"), pages)
+    assert got == [
+        '<section class="body"><section>much longer</section> text</section>', '<div class="body">in<section class="body">deep</section></div>',
+        '<div class="body">open <b>end', "", "", pages[5]]
+
+
+def test_body_text_drops_what_is_not_read(spark):
+    page = "a<!-- <p>no</p> --><noscript>no</noscript><svg><g>no</g></svg><li>b</li><h2>c</h2><iframe src='x'>no</iframe>d"
+    assert values(spark, lambda c: G.html_to_text(c), [page]) == ["a b c d"]
+
+
 def test_published_at_skips_future(spark):
     html = "sale 2026.12.31 10:00 posted 2026.06.01 08:15"
     got = values(spark, lambda c: F.date_format(G.published_at(c, F.lit("2026-06-01").cast("date"), Z.as_ts("2026-06-02 00:00:00")), "yyyy-MM-dd HH:mm"), [html, "none"])
