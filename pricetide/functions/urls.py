@@ -101,6 +101,29 @@ def blocked_image_candidate(source: Column, url: Column) -> Column:
     return F.coalesce(out, F.lit(True))
 
 
+# Parts of links of pictures that do not show a post's content, for two boards.
+BODY_IMAGE_TOKENS = {
+    "beta": [
+        "thumb_no_image", "no_image", "/assets/images/", "/level/", "/store/", "/homepage/real/themes/", "util_bt_", "emoticon",
+        "avatar", "profile", "blank.", "transparent.",
+    ],
+    "alpha": [
+        "logo", "blank.", "transparent.", "noimage", "no_image", "btn_", "icon", "emoticon", "avatar", "profile",
+        "/images/main/", "/images/menu/", "/images/common/",
+    ],
+}
+
+
+def blocked_body_image(source: Column, url: Column, tokens: dict[str, list[str]] = BODY_IMAGE_TOKENS) -> Column:
+    """P15, pictures inside a post: not a web link, or a part its board's list names. Boards without a list block nothing more."""
+    low = F.lower(text_or_empty(url))
+    out = ~low.startswith("http")
+    for name, parts in tokens.items():
+        for part in parts:
+            out = out | ((source == name) & low.contains(part))
+    return F.coalesce(out, F.lit(True))
+
+
 # The size notations found in picture links (width group, height group).
 URL_SIZE_PATTERNS = [
     (r"(?i)(?<!\d)(\d{2,4})x(\d{2,4})(?!\d)", 1, 2),

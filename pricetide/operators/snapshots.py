@@ -105,7 +105,7 @@ def snapshot_population(
     )
     if excluded is not None:
         keep = keep & ~excluded
-    live = both.where(keep).join(observed.select("source").distinct(), "source", "left_semi")
+    live = both.where(keep).join(scale.broadcast_checked(observed.select("source").distinct()), "source", "left_semi")
     live = live.join(deleted.where(F.col("id").isNotNull()).select("id").distinct(), "id", "left_anti")
     return scale.keep_one(live, ["key"], F.col("_gen").desc(), F.col("pos").desc()).drop("_gen")
 

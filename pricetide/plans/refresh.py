@@ -70,6 +70,7 @@ def refresh(
 
     fresh = tables.read_current(spark, table_root)
     observed = incoming.where(~F.col("source").isin(stale)) if stale else incoming
-    population = fresh.where(F.col("deleted_at").isNull()).join(observed.select("source").distinct(), "source", "left_semi")
+    population = fresh.where(F.col("deleted_at").isNull()).join(
+        Y.scale.broadcast_checked(observed.select("source").distinct()), "source", "left_semi")
     snapshot = N.temperature_snapshot(window_rows(population.where(F.col("registered_at").isNotNull()), now), now, sources)
     return Refreshed(version, plan, snapshot, Y.push_candidates(plan))

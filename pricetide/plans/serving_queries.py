@@ -368,6 +368,21 @@ def write_feed_snapshot(spark, sf_dir):
     return back.groupBy("source_key", "feed_day").agg(F.count(F.lit(1)).alias("items"), F.sum("views").alias("views"))
 
 
+@query("feed_metadata", f"""{oracle_with('v_deals')}, d AS (SELECT *, CAST(registered_at + INTERVAL 9 HOUR AS DATE) AS day FROM v_deals WHERE registered_at >= TIMESTAMP '2024-01-28')
+SELECT source AS source_key, 48 AS range_hours, '2024-01-28 06:00:00.000000' AS since, '2024-01-30' AS today, '2024-01-29' AS yesterday, count(*) FILTER (day = DATE '2024-01-30') AS today_count,
+  count(*) FILTER (day = DATE '2024-01-29') AS yesterday_count, count(*) AS total_count,
+  coalesce(string_agg(source_post_id, '|' ORDER BY source_post_id) FILTER (views = 7), '') AS expired_post_ids FROM d GROUP BY source""")
+def feed_metadata(spark, sf_dir):
+    """The envelope written beside the items and read back."""
+    path = _folder(spark, "snapshot")
+    d = view(spark, sf_dir, "v_deals").where(F.col("registered_at") >= F.lit("2024-01-28 00:00:00").cast("timestamp"))
+    feeds.write_feed_snapshot(d, path, "2024-01-30 06:00:00", d.where("views = 7").select("source", "source_post_id"))
+    back = spark.read.schema(
+        "range_hours INT, since TIMESTAMP, today STRING, yesterday STRING, today_count BIGINT, yesterday_count BIGINT, total_count BIGINT, "
+        "expired_post_ids ARRAY<STRING>, source_key STRING").json(f"{path}_meta")
+    return back.withColumns({"since": ts_text("since"), "expired_post_ids": F.array_join("expired_post_ids", "|")})
+
+
 @query("stored_deals_scan", f"{oracle_with('v_deals')} SELECT id, views FROM v_deals WHERE source = 'click' AND registered_at >= TIMESTAMP '2024-01-20'")
 def stored_deals_scan(spark, sf_dir):
     """Partitioned, clustered table; source prunes partitions, time reaches the reader."""

@@ -8,7 +8,7 @@ from pricetide.functions import prices as P
 from pricetide.functions import text as X
 from pricetide.functions.keys import BoardRule, legacy_key, sync_key
 from pricetide.functions.times import as_ts, feed_window_kst, in_feed_window, is_future_dated, is_older_than
-from pricetide.functions.urls import blocked_image_candidate, too_small_image
+from pricetide.functions.urls import blocked_body_image, blocked_image_candidate, too_small_image
 from pricetide.operators import dedup as D
 from pricetide.operators import serving as V
 from pricetide.operators import snapshots as N
@@ -113,6 +113,19 @@ def blocked_images(spark, sf_dir):
     return d.select("id", blocked_image_candidate(F.col("source"), img).alias("blocked"))
 
 
+BODY_IMAGES = """SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END AS source,
+  CASE WHEN event_id % 13 = 0 THEN '' ELSE 'https://img.example/' END || CASE user_id % 8 WHEN 0 THEN 'LOGO/' WHEN 1 THEN 'level/' WHEN 2 THEN 'Avatar_' WHEN 3 THEN 'x/level/' WHEN 4 THEN 'icon-' WHEN 5 THEN 'store/' ELSE '' END
+  || CAST(event_id AS STRING) || '.png' AS url FROM events"""
+
+
+@query("blocked_body_images", f"""SELECT id, url NOT LIKE 'http%' OR (source = 'alpha' AND regexp_matches(lower(url), 'logo|avatar|icon'))
+  OR (source = 'beta' AND regexp_matches(lower(url), '/level/|/store/|avatar')) AS blocked FROM ({BODY_IMAGES})""")
+def blocked_body_images(spark, sf_dir):
+    """The lists of the boards."""
+    d = spark.sql(BODY_IMAGES.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+    return d.select("id", blocked_body_image(F.col("source"), F.col("url")).alias("blocked"))
+
+
 @query("small_images", """SELECT event_id AS id, (user_id % 90 + 20 <= 100) OR (event_id % 300 + 50 <= 100) AS small FROM events""")
 def small_images(spark, sf_dir):
     """Size written into the link in three notations."""

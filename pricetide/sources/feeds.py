@@ -110,8 +110,31 @@ def feed_envelope(items: DataFrame, now: str | Column, range_hours: int = 48) ->
         "generated_at", n).withColumn("since", n - F.expr(f"INTERVAL {range_hours} HOURS"))
 
 
-def write_feed_snapshot(items: DataFrame, path: str, now: str | Column) -> None:
-    """Replace the written sources' partitions only; the commit protocol publishes them at job end."""
+def feed_metadata(items: DataFrame, now: str | Column, range_hours: int = 48, expired: DataFrame | None = None) -> DataFrame:
+    """The envelope itself, one row per source: times and day labels, item counts by day, and the post ids seen in this run
+    that have expired (``expired``: source, source_post_id)."""
+    n = as_ts(now)
+    rows = feed_envelope(items, now, range_hours)
+    counts = rows.groupBy("source_key").agg(
+        F.count_if(F.col("feed_day") == "today").alias("today_count"), F.count_if(F.col("feed_day") == "yesterday").alias("yesterday_count"),
+        F.count(F.lit(1)).alias("total_count"))
+    out = counts.select(
+        "source_key", n.alias("generated_at"), F.lit(range_hours).alias("range_hours"), (n - F.expr(f"INTERVAL {range_hours} HOURS")).alias("since"),
+        kst_date(n).cast("string").alias("today"), F.date_sub(kst_date(n), 1).cast("string").alias("yesterday"),
+        "today_count", "yesterday_count", "total_count")
+    none = F.array().cast("array<string>")
+    if expired is None:
+        return out.withColumn("expired_post_ids", none)
+    gone = expired.select(F.col("source").alias("source_key"), F.col("source_post_id").cast("string").alias("_id")).distinct()
+    listed = gone.groupBy("source_key").agg(F.array_sort(F.collect_list("_id")).alias("_ids"))
+    return out.join(listed, "source_key", "left").withColumn("expired_post_ids", F.coalesce("_ids", none)).drop("_ids")
+
+
+def write_feed_snapshot(items: DataFrame, path: str, now: str | Column, expired: DataFrame | None = None) -> None:
+    """Replace the written sources' partitions only; the commit protocol publishes them at job end. The envelope goes to
+    ``<path>_meta``, one JSON line per source."""
+    feed_metadata(items, now, expired=expired).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "source_key").json(f"{path}_meta")
     (
         feed_envelope(items, now).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("source_key").json(path)
