@@ -34,27 +34,27 @@ def _halves(words: Column) -> Column:
 
 def _lines(rows: DataFrame) -> DataFrame:
     """``first`` (the line's place in the order of dedup), its digest ``h1, h2`` and the half keys of near candidates."""
-    line = rows.select("doc_id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    line = line.select("doc_id", "row", "pos", _trimmed(F.col("line")).alias("line")).where("line <> ''")
+    line = rows.select("doc_id", "_row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    line = line.select("doc_id", "_row", "pos", _trimmed(F.col("line")).alias("line")).where("line <> ''")
     words = F.split("line", " ", -1)
     near = F.transform(F.array(words), lambda w: F.when(F.size(w) >= MIN_WORDS, _halves(w)))[0]
-    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row", "pos")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row", "pos")
     return line.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), first.alias("first"), near.alias("halves"))
 
 
 def _by_document(places: DataFrame, *more: str) -> DataFrame:
-    return places.groupBy("first.doc_id", "first.row").agg(F.collect_list(F.struct("first.pos", *more)).alias("at"))
+    return places.groupBy("first.doc_id", "first._row").agg(F.collect_list(F.struct("first.pos", *more)).alias("_at"))
 
 
 def _beside_documents(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """Joins ``doc_id, row, at`` to the documents they belong to.
+    """Joins ``doc_id, _row, _at`` to the documents they belong to.
 
     Marks are broadcast if what they hold, added up first, is within ``SMALL_BYTES``; else both sides are shuffled.
     """
-    held = marks.agg(F.sum(F.size("at") * F.lit(16) + F.lit(64)).alias("b")).first()["b"] or 0
-    marks = marks.select(F.col("doc_id").alias("_doc_id"), F.col("row").alias("_row"), "at")
+    held = marks.agg(F.sum(F.size("_at") * F.lit(16) + F.lit(64)).alias("b")).first()["b"] or 0
+    marks = marks.select(F.col("doc_id").alias("_mark_id"), F.col("_row").alias("_mark_row"), "_at")
     marks = F.broadcast(marks) if held <= SMALL_BYTES else marks
-    return docs.join(marks, (docs["row"] == marks["_row"]) & docs["doc_id"].eqNullSafe(marks["_doc_id"]), how).drop("_doc_id", "_row")
+    return docs.join(marks, (docs["_row"] == marks["_mark_row"]) & docs["doc_id"].eqNullSafe(marks["_mark_id"]), how).drop("_mark_id", "_mark_row")
 
 
 def _variants(candidates: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = common.without(docs, "n_lines", "n_dropped")
     names = docs.columns
     text = F.coalesce("text", F.lit(""))
-    rows = _single_records(docs.withColumn("row", F.xxhash64(F.lit(7), text)) if "row" not in names else docs.withColumnRenamed("row", "_own_row").withColumn("row", F.xxhash64(F.lit(7), text)))
+    rows = _single_records(docs.withColumn("_row", F.xxhash64(F.lit(7), text)))
 
     lines = stage(_lines(rows).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.first("halves").alias("halves")))
     halves = lines.where("halves is not null").select("h1", F.explode("halves").alias("half")).repartition("half")
@@ -137,9 +137,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     hopeful = halves.join(shared, "half").select("h1").distinct()
     firsts = stage(lines.join(hopeful, "h1").select("h1", "first"))
     candidates = stage(
-        _beside_documents(rows.select("doc_id", "row", "text"), stage(_by_document(firsts, "first", "h1")), "inner")
-        .select("at", F.split("text", "\n", -1).alias("all"))
-        .select(F.explode(F.transform("at", lambda a: F.struct(a["h1"].alias("h1"), a["first"].alias("first"), F.col("all")[a["pos"]].alias("line")))).alias("x"))
+        _beside_documents(rows.select("doc_id", "_row", "text"), stage(_by_document(firsts, "first", "h1")), "inner")
+        .select("_at", F.split("text", "\n", -1).alias("all"))
+        .select(F.explode(F.transform("_at", lambda a: F.struct(a["h1"].alias("h1"), a["first"].alias("first"), F.col("all")[a["pos"]].alias("line")))).alias("x"))
         .select("x.h1", "x.first", F.split(_trimmed(F.col("x.line")), " ", -1).alias("words")))
 
     met = _earlier_neighbours(_variants(candidates), firsts)
@@ -148,32 +148,32 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     stay = _by_document(lines.select("first").join(near, "first", "left_anti"))
     said = F.size(F.filter(F.split("text", "\n", -1), lambda x: _trimmed(x) != ""))
-    spoken = rows.select("doc_id", "row", said.alias("said")).where("said > 0")
-    kept_of = stay.select(F.col("doc_id").alias("d"), F.col("row").alias("r"), F.col("at.pos").alias("at"))
+    spoken = rows.select("doc_id", "_row", said.alias("said")).where("said > 0")
+    kept_of = stay.select(F.col("doc_id").alias("d"), F.col("_row").alias("r"), F.col("_at.pos").alias("_at"))
     changed = stage(
-        spoken.join(kept_of, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-        .select("doc_id", "row", F.coalesce("at", F.array().cast("array<int>")).alias("at"), "said").where("size(at) < said").drop("said"))
+        spoken.join(kept_of, (F.col("_row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
+        .select("doc_id", "_row", F.coalesce("_at", F.array().cast("array<int>")).alias("_at"), "said").where("size(_at) < said").drop("said"))
 
     done = (
-        _beside_documents(rows, changed, "left").where("at is null or size(at) > 0")
+        _beside_documents(rows, changed, "left").where("_at is null or size(_at) > 0")
         .withColumn("_all", F.split(text, "\n", -1))
         .withColumn("_blank", F.filter(F.sequence(F.lit(0), F.size("_all") - 1), lambda i: _trimmed(F.col("_all")[i]) == ""))
-        .withColumn("_new", F.array_join(F.transform(F.array_sort(F.concat("at", "_blank")), lambda i: F.col("_all")[i]), "\n"))
-        .withColumn("n_dropped", F.coalesce(F.size("_all") - F.size("_blank") - F.size("at"), F.lit(0)))
+        .withColumn("_new", F.array_join(F.transform(F.array_sort(F.concat("_at", "_blank")), lambda i: F.col("_all")[i]), "\n"))
+        .withColumn("n_dropped", F.coalesce(F.size("_all") - F.size("_blank") - F.size("_at"), F.lit(0)))
     )
-    own = {"text": F.coalesce("_new", "text").alias("text"), "row": F.col("_own_row").alias("row") if "row" in names else None}
-    return done.select(*[own.get(c, F.col(c)) for c in names], F.size("_all").alias("n_lines"), "n_dropped")
+    new_text = F.coalesce("_new", "text").alias("text")
+    return done.select(*[new_text if c == "text" else F.col(c) for c in names], F.size("_all").alias("n_lines"), "n_dropped")
 
 
 def _single_records(rows: DataFrame) -> DataFrame:
     """Of rows that repeat doc_id and text, the one with the least other columns; the rest of the table does not move."""
-    repeated = rows.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
-        "doc_id", "row", F.array(F.lit(0)).alias("at"))
+    repeated = rows.groupBy("doc_id", "_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        "doc_id", "_row", F.array(F.lit(0)).alias("_at"))
     repeated = stage(repeated)
     if not repeated.limit(1).count():
         return rows
     marked = stage(_beside_documents(rows, repeated, "left"))
-    others = F.to_json(F.struct(*[c for c in rows.columns if c not in ("text", "row")]))
-    first = Window.partitionBy("doc_id", "row").orderBy(others, F.col("text").isNull())
-    single = marked.where("at is not null").withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn", "at")
-    return marked.where("at is null").drop("at").unionByName(single)
+    others = F.to_json(F.struct(*[c for c in rows.columns if c not in ("text", "_row")]))
+    first = Window.partitionBy("doc_id", "_row").orderBy(others, F.col("text").isNull())
+    single = marked.where("_at is not null").withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn", "_at")
+    return marked.where("_at is null").drop("_at").unionByName(single)

@@ -36,7 +36,7 @@ def source_rates(
 
 
 def _with_distribution(rates: DataFrame) -> DataFrame:
-    """``parts`` and ``cdf``: the cumulative Poisson probabilities of rate / parts, as far as 52 bits tell them from 1."""
+    """``_parts`` and ``_cdf``: the cumulative Poisson probabilities of rate / _parts, as far as 52 bits tell them from 1."""
     step = F.col("_r")
     terms = F.ceil(step + F.lit(12.0) * F.sqrt(step) + F.lit(24.0)).cast("int")
     start = F.struct(F.exp(-step).alias("p"), F.array(F.exp(-step)).alias("cdf"))
@@ -46,9 +46,9 @@ def _with_distribution(rates: DataFrame) -> DataFrame:
         return F.struct(p.alias("p"), F.array_append(acc["cdf"], F.element_at(acc["cdf"], -1) + p).alias("cdf"))
 
     return (
-        rates.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(RATE_PART))).cast("int"))
-        .withColumn("_r", F.col("rate") / F.col("parts"))
-        .withColumn("cdf", F.aggregate(F.sequence(F.lit(1), terms), start, add, lambda acc: acc["cdf"]))
+        rates.withColumn("_parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(RATE_PART))).cast("int"))
+        .withColumn("_r", F.col("rate") / F.col("_parts"))
+        .withColumn("_cdf", F.aggregate(F.sequence(F.lit(1), terms), start, add, lambda acc: acc["cdf"]))
         .drop("_r")
     )
 
@@ -67,17 +67,17 @@ def replicate(
     """
     docs = common.without(docs, "copies", "copy", "mix_key")
     rates = _with_distribution(source_rates(docs, weights, alpha, epochs)).select(
-        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_source"), "parts", "cdf")
+        F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("_source"), "_parts", "_cdf")
     key = common.record_key(F.col("doc_id"), F.col("text"))
 
     def draw(part):
         u = common.unit(F.concat(F.lit(seed + "|"), F.col("_key"), F.lit("|"), part.cast("string")))
-        return F.size(F.filter(F.col("cdf"), lambda c: c < u))
+        return F.size(F.filter(F.col("_cdf"), lambda c: c < u))
 
     counted = common.join_small(
         docs.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).withColumn("_key", key),
         rates, ["_source"], "inner",
-    ).withColumn("copies", F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda n, part: n + draw(part)))
+    ).withColumn("copies", F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda n, part: n + draw(part)))
     copies = counted.where("copies > 0").select(
         *docs.columns, "copies", "_key", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     mixed = copies.withColumn("mix_key", F.md5(F.concat(F.lit(seed + "|order|"), F.col("_key"), F.lit("|"), F.col("copy").cast("string"))))

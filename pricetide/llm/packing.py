@@ -94,9 +94,10 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 32_768, length: Colum
     limits = F.array(*[F.lit(b).cast("bigint") for b in bounds])
     bucket = F.size(F.filter(limits, lambda b: b < grid_length(F.col("n_tokens")))).alias("bucket")
     slots = sharding.with_slots(
-        keyed.select("_k1", "_k2", "n_tokens", bucket), "bucket", F.concat_ws("|", F.col("_k1"), F.col("_k2")), ["_k1", "_k2"])
+        keyed.select("_k1", "_k2", "n_tokens", bucket), "bucket", F.concat_ws("|", F.col("_k1"), F.col("_k2")), ["_k1", "_k2"],
+    ).withColumnRenamed("slot", "_slot")
     bound = limits[F.col("bucket")]
     room = F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(budget) / F.greatest(bound, F.lit(1))))
     bodies = keyed.drop("n_tokens").dropDuplicates(["_k1", "_k2"])
     return slots.join(bodies, ["_k1", "_k2"]).select(
-        *names, "n_tokens", "bucket", bound.alias("bound"), F.floor(F.col("slot") / room).alias("batch"), (F.col("slot") % room).alias("place"))
+        *names, "n_tokens", "bucket", bound.alias("bound"), F.floor(F.col("_slot") / room).alias("batch"), (F.col("_slot") % room).alias("place"))

@@ -87,7 +87,7 @@ def test_collections_are_large_enough():
 
 
 def test_extra_columns_and_empty_table(spark, make_docs):
-    docs = make_docs([(1, "a b c d e f")]).withColumnRenamed("n", "node").withColumnRenamed("shard", "kept")
+    docs = make_docs([(1, "a b c d e f")]).withColumnRenamed("shard", "kept")
     out = minhash.near_duplicates(docs)
     assert set(out.columns) == set(docs.columns) | {"n_shingles", "component_id"} and out.first().kept is True
     assert minhash.near_duplicates(make_docs([])).count() == 0
