@@ -6,7 +6,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pricetide.session import STATE_STORE_CONF, build_session  # noqa: E402
+from pricetide.session import STATE_STORE_CONF, build_session, drop_staged  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -16,4 +16,5 @@ def spark():
         "spark.ui.showConsoleProgress": "false", **STATE_STORE_CONF})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_staged(session)
     session.stop()
