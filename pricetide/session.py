@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +43,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed by ``drop_staged``."""
+    """A fresh path in the shared folder, removed by ``drop_staged`` or at the end of the process."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _STAGED:
+        atexit.register(_drop_at_exit, spark)
     _STAGED.append(path)
     return path
 
@@ -69,6 +73,13 @@ def drop_staged(spark: SparkSession) -> int:
     return dropped
 
 
+def _drop_at_exit(spark: SparkSession) -> None:
+    """Best effort: a session stopped earlier may have taken its file system along."""
+    with contextlib.suppress(Exception):
+        if spark.sparkContext._jsc is not None:
+            drop_staged(spark)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The table staged in the shared folder: later stages re-read files instead of recomputing the scan."""
     return stage(df)
