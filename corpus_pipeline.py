@@ -13,7 +13,8 @@ from pricetide.llm import langid, linededup, minhash, mixing, packing
 from pricetide.session import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# A document is rejected without any letter, or where no language's regression comes near its border (one half).
+# A document is rejected without any letter, where no language's regression comes near its border (one half), or where
+# its n-grams are not those of the labelled texts (``langid.identify``, ``familiar``); only the last tells foreign texts.
 LEAST_LANGUAGE_SCORE = 0.25
 # Documents are repeated this often on average, so few fall out of the mixture by a count of zero.
 EPOCHS = 2.0
@@ -26,10 +27,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     docs = docs.select(*COLUMNS)
     model = langid.fit(docs)
-    judged = langid.identify(docs, model)
+    judged = langid.identify(docs, model, "familiar")
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*COLUMNS)
+    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE) & F.col("familiar")).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ RIDGE = 1e-2
 # Texts scored together; bytes of a text looked at together.
 BATCH = 256
 PIECE = 1 << 20
+# A text is foreign where its share of known 3-grams is below this part of a low quantile of labelled texts' shares.
+KNOWN_QUANTILE, KNOWN_PART = 0.05, 0.75
 LETTER = re.compile(r"[^\W\d_]")
 
 # Bytes of lower-cased UTF-8 fall into 64 classes: 0 white space and signs, 1-26 letters, 27 digits, the rest by value.
@@ -31,6 +33,9 @@ _CLASS[np.arange(ord("0"), ord("9") + 1)] = 27
 _CLASS[128:] = 28 + np.arange(128) % 64 % 36
 # Codes of n-grams of one to three classes, one range each.
 CODES = 64 + 64**2 + 64**3
+# The 3-grams without a digit: ids, sums and keys are no evidence of a language.
+_WORDLY = np.zeros(CODES, bool)
+_WORDLY[64 + 64**2 :] = np.all(np.indices((64, 64, 64)) != 27, axis=0).ravel()
 
 
 class Spectrum:
@@ -60,6 +65,8 @@ class LanguageModel:
     languages: list[str]
     column: np.ndarray  # code -> column of the landmark vocabulary, -1 outside it
     weights: np.ndarray  # vocabulary x languages
+    common: np.ndarray | None = None  # code -> whether two sampled texts or more hold it
+    limits: np.ndarray | None = None  # least share of common 3-grams, by language
 
     def score(self, texts: list[np.ndarray]) -> np.ndarray:
         """Regression value of every text and language: presence rows times weights, over the text's own norm."""
@@ -71,6 +78,28 @@ class LanguageModel:
             norm[row] = max(1.0, len(codes)) ** 0.5
         return present @ self.weights / norm[:, None]
 
+    def familiar(self, codes: np.ndarray, language: int) -> bool:
+        """Whether the text's 3-grams are common enough for a text of the language."""
+        return _share(self.common[codes[_WORDLY[codes]]]) >= self.limits[language]
+
+
+def _share(common: np.ndarray) -> float:
+    """One common 3-gram is added, so a few rare ones do not decide on a short text."""
+    return (common.sum() + 1) / (len(common) + 1)
+
+
+def _evidence(codes: list[np.ndarray], langs: list[str], languages: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """``common`` and ``limits`` of a model. Equal texts count once, and each text is judged by the other ones,
+    as if it were held out, so a language with few labelled texts has a low limit."""
+    distinct = {(lang, c.tobytes()): c for lang, c in zip(langs, codes)}
+    held = np.zeros(CODES, np.int32)
+    for c in {c.tobytes(): c for c in codes}.values():
+        held[c] += 1
+    shares = {lang: [] for lang in languages}
+    for (lang, _), c in distinct.items():
+        shares[lang].append(_share(held[c[_WORDLY[c]]] - 1 >= 2))
+    return held >= 2, np.array([KNOWN_PART * np.quantile(shares[lang], KNOWN_QUANTILE) for lang in languages])
+
 
 def sample_labelled(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> DataFrame:
     """A bounded sample ``doc_id, lang, text``: the rows of least id hash of each language, and ``rows`` in all at most."""
@@ -128,28 +157,31 @@ def fit(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, rows: int = SA
     weight = np.array([1.0 / seen[lang] for lang in langs])[:, None] * len(langs) / len(languages)
     gram = features.T @ (weight * features) + ridge * np.eye(features.shape[1])
     dual = to_features @ np.linalg.solve(gram, features.T @ (weight * target))
-    return LanguageModel(languages, column, (landmark @ dual).astype(np.float32))
+    return LanguageModel(languages, column, (landmark @ dual).astype(np.float32), *_evidence(codes, langs, languages))
 
 
 def _predictor(model: LanguageModel | None):
-    @F.arrow_udf("struct<lang: string, score: double>")
+    @F.arrow_udf("struct<lang: string, score: double, familiar: boolean>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         spectrum = Spectrum()
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, familiar = [], [], []
             for at in range(0, len(batch), BATCH):
                 texts = [t.as_py() or "" for t in batch[at : at + BATCH]]
                 lettered = [model is not None and LETTER.search(t) is not None for t in texts]
                 if not any(lettered):
                     langs += [UNDETERMINED] * len(texts)
                     scores += [0.0] * len(texts)
+                    familiar += [False] * len(texts)
                     continue
-                found = model.score([spectrum.codes(t) if has else np.zeros(0, np.int32) for t, has in zip(texts, lettered)])
+                codes = [spectrum.codes(t) if has else np.zeros(0, np.int32) for t, has in zip(texts, lettered)]
+                found = model.score(codes)
                 best = found.argmax(axis=1)
                 top = np.clip((found[np.arange(len(texts)), best] + 1) / 2, 0, 1)
                 langs += [model.languages[b] if has else UNDETERMINED for b, has in zip(best, lettered)]
                 scores += [float(s) if has else 0.0 for s, has in zip(top, lettered)]
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
+                familiar += [has and bool(model.familiar(c, b)) for c, b, has in zip(codes, best, lettered)]
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(familiar, pa.bool_())], names=["lang", "score", "familiar"])
     return predict
 
 
@@ -158,14 +190,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel | None, familiar: str | None = None) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (0 to 1; one half is the border of a language's regression) to every row.
 
     Only the text decides. Texts that are null or without a letter, and all texts where the model is None, give
     ``und`` and 0. Whole texts count, in pieces of bounded size; repeated rows agree; ties go to the first language
     in order. Other columns are kept, columns of the output names replaced; an empty table stays empty.
+
+    The best language of a text in none of them may score about one half. A column named ``familiar`` tells such
+    texts: false where the share of the text's distinct 3-grams that two labelled texts or more hold is below
+    ``KNOWN_PART`` of the ``KNOWN_QUANTILE`` quantile of that share over the language's labelled texts, and for ``und``.
     """
-    docs = common.without(docs, "lang_pred", "score")
+    added = ["lang_pred", "score", *([familiar] if familiar else [])]
+    docs = common.without(docs, *added)
     names = docs.columns
     return docs.withColumn("_pred", _predictor(model)("text")).select(
-        *names, F.col("_pred.lang").alias("lang_pred"), F.col("_pred.score").alias("score"))
+        *names, *[F.col(f"_pred.{field}").alias(name) for field, name in zip(("lang", "score", "familiar"), added)])

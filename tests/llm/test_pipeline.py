@@ -1,6 +1,9 @@
 """The pipeline as a whole, and the queries that SQL can check."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from oracle import compare, engine
@@ -75,3 +78,29 @@ def test_no_model_without_labels(spark, make_docs):
     unlabelled = make_docs([(1, "words"), (2, "12")]).drop("lang").selectExpr("*", "cast(null as string) as lang")
     assert langid.fit(unlabelled) is None
     assert [r.doc_id for r in corpus_pipeline.identify_language(spark, unlabelled, SF).collect()] == [1]
+
+
+FOREIGN = [
+    "今天天气很好，我们一起去公园散步吧。孩子们在草地上奔跑玩耍，老人们坐在长椅上聊天。", "今日はとても良い天気なので、みんなで公園に行きましょう。",
+    "Сегодня хорошая погода, и мы пойдём гулять в парк. Дети играют на траве.", "Σήμερα ο καιρός είναι πολύ καλός και θα πάμε μια βόλτα στο πάρκο.",
+    "الطقس جميل اليوم وسنذهب للتنزه في الحديقة. الأطفال يلعبون على العشب.", "오늘은 날씨가 아주 좋아서 우리는 공원에 산책하러 갑니다.",
+    "Tänään on hyvin kaunis sää ja menemme yhdessä puistoon kävelylle. Lapset leikkivät nurmikolla ja vanhukset istuvat penkeillä.",
+    "Dzisiaj jest bardzo ładna pogoda i idziemy razem na spacer do parku. Dzieci bawią się na trawie."]
+
+
+@pytest.mark.parametrize("label", [None, "en"])
+def test_foreign_and_random_texts_go_and_clean_ones_stay(spark, label):
+    draw = random.Random(5)
+    noise = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (60, 400, 3000)]
+    planted = [(10**9 + i, text, label, "s", len(text)) for i, text in enumerate(FOREIGN + noise)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    clean = {r.doc_id for r in docs.where(F.col("text").rlike(r"\p{L}")).collect()}
+    first = corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(planted, docs.schema)), SF)
+    assert {r.doc_id for r in first.select("doc_id").collect()} == clean
+
+
+def test_language_with_few_labels_stays(spark, make_docs):
+    few = [(i, text, "zh" if i < 2 else None, "s", 9) for i, text in enumerate(["今天天气很好，我们去公园。", "孩子们在草地上奔跑玩耍。", "老人们坐在长椅上聊天，今天很好。"])]
+    docs = make_docs([(i, f"the dog number {i} and some thing that was clean{i} in every way") for i in range(100, 140)]).select(*corpus_pipeline.COLUMNS)
+    first = corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(few, docs.schema)), SF)
+    assert {0, 1, 2} <= {r.doc_id for r in first.collect()} and first.count() == 43
