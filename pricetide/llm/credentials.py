@@ -17,7 +17,7 @@ HEX = r"[0-9a-f]+"
 ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 8, 16, 32
 # Parts that say little alone: an account name given to a key, a mixed token, an address of a service.
 ACCOUNT = r"""(?i:client_?id|access_?key_?id|account_?id|user_?name|login)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@=-]{3,}+"""
-TOKEN = r"(?<![A-Za-z0-9/+=_-])[A-Za-z0-9/+=_-]{20,100}+(?![A-Za-z0-9/+=_-])"
+TOKEN = r"(?<![A-Za-z0-9/+=_-])[A-Za-z0-9/+=_-]{20,}+(?![A-Za-z0-9/+=_-])"
 # Letters without which ACCOUNT cannot match; looked for first, in lower case.
 ACCOUNT_HINTS = ("clientid", "client_id", "keyid", "key_id", "accountid", "account_id", "username", "user_name", "login")
 ENDPOINT = r"""(?i:https?|s3|jdbc:[a-z]+|amqps?|rediss?|postgres(?:ql)?|mysql|mongodb)://[^\s"'<>]++"""

@@ -81,3 +81,13 @@ def test_query_on_the_whole_table(spark, sf):
         want = base(texts[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(x.startswith(k) for x in want.split(",")) for k in ("assign", "access", "hex")]
+
+
+@pytest.mark.parametrize("length", [100, 101, 500, 5000])
+def test_long_tokens_beside_an_identifier(spark, make_docs, length):
+    token = (MIXED * 200)[:length]
+    found = scanned(spark, make_docs, [
+        f"{KEY} https://x.example/q {token}", f"client_id: robot77 then {token}", f"{token} x {KEY}", f"{KEY}{' filler' * 200} {token}", token])
+    assert only(found[0], "secret", "endpoint") == f"endpoint:21:40,secret:41:{41 + length}"
+    assert only(found[1], "account", "secret") == f"account:0:18,secret:24:{24 + length}"
+    assert only(found[2], "secret") == f"secret:0:{length}" and only(found[3], "secret") == "" and found[4] == ""
