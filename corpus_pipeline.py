@@ -40,8 +40,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity 0.8 or more; of each group the document with the least id stays."""
-    return minhash.near_duplicates(docs.select(*COLUMNS), words=5, threshold=0.8).where("kept").select(*COLUMNS)
+    """Five-word shingles, similarity 0.8 or more; of each group one row stays, that of the least id.
+
+    Null ids come last; rows of one id are told apart by their texts, as ``dedup_lines`` has merged those equal in both.
+    """
+    return minhash.near_duplicates(docs.select(*COLUMNS), words=5, threshold=0.8, first="first_of_group").where("first_of_group").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

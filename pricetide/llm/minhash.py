@@ -164,7 +164,7 @@ def _across_components(stars: DataFrame, labels: DataFrame, sizes: DataFrame, se
     return dealt.groupBy("b", "low", "high").applyInPandas(_block_links(percent), "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rows: int = ROWS, percent: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, rows: int = ROWS, percent: int | None = None, first: str | None = None) -> DataFrame:
     """Adds ``n_shingles``, ``component_id`` and ``kept`` to every row.
 
     Two texts are linked when 100 * |A ∩ B| >= percent * |A ∪ B| for their sets of ``words``-word shingles (``percent``
@@ -173,7 +173,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
     shingle; null, empty and blank texts have no set, are linked with nothing and stay. Texts with equal sets are one
     node, whatever their number. A row with a null id takes part by its text: it is kept only if its group has no id at
     all, and then with a null component_id. Other columns are carried along; input columns of the output names are
-    replaced; an empty table stays empty.
+    replaced; an empty table stays empty. A column named ``first`` marks one (doc_id, text) of every group, whether ids
+    are null or shared: the first by doc_id, nulls last, then by ``row_key``; texts without a set are marked as well.
 
     Steps: (1) sketch every text; (2) tensored buckets of what can have a partner; (3) every bucket member is verified
     against the bucket's heaviest node, its hub, and components are formed; (4) where the members of a hub's buckets are
@@ -181,7 +182,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
     So no pair is listed but those of (3) and the links found, and no candidate pair is left untested.
     """
     percent = round(100 * threshold) if percent is None else percent
-    docs = common.without(docs, "n_shingles", "component_id", "kept")
+    docs = common.without(docs, "n_shingles", "component_id", "kept", *([first] if first else []))
     size = collection_size(percent / 100, rows)
     row_key = F.xxhash64("doc_id", "text").alias("row_key")
     # doc_id may be of any type: the tasks only pass it on
@@ -211,9 +212,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, row
 
     known = sketched.select("doc_id", "row_key", "n_shingles", "node").join(labels, "node", "left").select(
         "doc_id", "row_key", "n_shingles", F.coalesce("component", "node").alias("component"))
-    least = known.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    least = known.where("component is not null").groupBy("component").agg(
+        F.min("doc_id").alias("least"), *([F.min(order)["row_key"].alias("first_key")] if first else []))
     decided = known.join(least, "component", "left").select(
-        "row_key", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")
+        "row_key", "n_shingles", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"),
+        *([(F.col("component").isNull() | (F.col("row_key") == F.col("first_key"))).alias(first)] if first else [])
     ).dropDuplicates(["row_key"])
     return (
         docs.withColumn("_row_key", row_key).join(decided.withColumnRenamed("row_key", "_row_key"), "_row_key", "left")

@@ -104,3 +104,14 @@ def test_language_with_few_labels_stays(spark, make_docs):
     docs = make_docs([(i, f"the dog number {i} and some thing that was clean{i} in every way") for i in range(100, 140)]).select(*corpus_pipeline.COLUMNS)
     first = corpus_pipeline.identify_language(spark, docs.unionByName(spark.createDataFrame(few, docs.schema)), SF)
     assert {0, 1, 2} <= {r.doc_id for r in first.collect()} and first.count() == 43
+
+
+def test_one_row_of_a_group_without_own_ids_stays(spark, make_docs):
+    words = [[f"w{g}x{i}" for i in range(80)] for g in range(4)]
+    near = lambda g, i: " ".join([*words[g], f"end{i}"])
+    docs = make_docs([(None, near(0, i)) for i in range(4)] + [(7, near(1, i)) for i in range(4)] + [(None, near(2, 0)), (3, near(2, 1))] + [
+        (None, near(3, 0)), (None, None), (9, ""), (9, "own words")])
+    rows = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    groups = [[d for d, text in rows if text and text.startswith(f"w{g}x")] for g in range(4)]
+    assert groups == [[None], [7], [3], [None]]
+    assert {(None, None), (9, ""), (9, "own words")} <= set(rows) and len(rows) == 7
