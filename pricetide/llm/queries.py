@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pricetide.llm import bitsliced, chat, credentials, hnsw, langid, linededup, minhash, mixing, packing, sharding
+from pricetide.llm import bitsliced, chat, credentials, divergence, hnsw, infill, langid, linededup, minhash, mixing, packing, sharding
 from pricetide.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -163,3 +163,62 @@ FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 def op9_bit_sliced_top_k(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return bitsliced.top_k(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
+# Every pair of sources over every kept term, and every term's share, with wide integers.
+DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+words AS (SELECT d, lang, source, unnest(ts) AS term FROM docs),
+kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT d) >= 3),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+counts AS (SELECT w.lang, w.source, w.term, count(*) AS c FROM words w SEMI JOIN kept k ON k.lang = w.lang AND k.term = w.term GROUP BY ALL),
+v AS (SELECT g.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM groups) g LEFT JOIN kept k ON k.lang = g.lang GROUP BY ALL),
+n AS (SELECT g.lang, g.source, coalesce(sum(c.c), 0) AS n FROM groups g LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL),
+shares AS (
+  SELECT n.lang, n.source, k.term, coalesce(c.c, 0) AS c, 1 + (1000000000 * CAST(coalesce(c.c, 0) + 1 AS HUGEINT)) // (CAST(n.n AS HUGEINT) + v.v) AS p
+  FROM n JOIN v ON v.lang = n.lang JOIN kept k ON k.lang = n.lang LEFT JOIN counts c ON c.lang = n.lang AND c.source = n.source AND c.term = k.term),
+whole AS (
+  SELECT c.lang, c.term, 1 + (1000000000 * CAST(sum(c.c) + 1 AS HUGEINT)) // (CAST(any_value(t.n) AS HUGEINT) + any_value(v.v)) AS q
+  FROM counts c JOIN v ON v.lang = c.lang JOIN (SELECT lang, sum(n) AS n FROM n GROUP BY lang) t ON t.lang = c.lang GROUP BY c.lang, c.term),
+sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON b.lang = a.lang AND b.term = a.term AND b.source <> a.source GROUP BY ALL),
+found AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM groups g JOIN groups h ON h.lang = g.lang AND h.source <> g.source LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+  UNION ALL
+  SELECT s.lang, s.source, 'term', s.term, CAST(((s.p - w.q) * (s.p - w.q)) // w.q AS BIGINT)
+  FROM shares s JOIN whole w ON w.lang = s.lang AND w.term = s.term WHERE s.c > 0 AND s.p > w.q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 200"""
+
+
+@query("op12_source_divergence", DIVERGENCE_SQL)
+def op12_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+INFILL_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS ts, sha256('1:' || doc_id) AS h FROM documents),
+drawn AS (
+  SELECT *, len(ts) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(ts) + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(ts) + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+      WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+cut AS (
+  SELECT *, array_to_string(ts[1:least(a, b)], '') AS p, array_to_string(ts[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(ts[greatest(a, b) + 1:], '') AS s
+  FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM cut"""
+
+
+@query("op13_piece_table_infill", INFILL_SQL)
+def op13_piece_table_infill(spark, sf_dir):
+    arranged = infill.restore(infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return arranged.select(
+        "doc_id", F.col("n_tokens").alias("n"), "form", "prefix_chars", "middle_chars", F.col("fim_sha256").alias("output_sha256"),
+        F.col("restored_sha256"))
