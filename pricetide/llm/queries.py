@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pricetide.llm import bitsliced, chat, credentials, divergence, hnsw, infill, langid, linededup, minhash, mixing, packing, sharding
+from pricetide.llm import bitsliced, chat, credentials, divergence, hnsw, infill, langid, linededup, minhash, mixing, packing, sharding, toxicity
 from pricetide.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -165,6 +165,14 @@ def op9_bit_sliced_top_k(spark, sf_dir):
     return bitsliced.top_k(rows, rows.where("vec_id % 100 = 0"), k=10)
 
 
+@query("op11_subword_toxicity")
+def op11_subword_toxicity(spark, sf_dir):
+    """A trained model has no SQL; held-out recall and precision in the tests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = toxicity.fit(docs.where("not held_out"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return toxicity.score(docs, model).select("doc_id", "held_out", F.col("toxic_score").alias("score"), F.col("toxic_pred").alias("predicted"))
+
+
 # Every pair of sources over every kept term, and every term's share, with wide integers.
 DIVERGENCE_SQL = r"""
 WITH docs AS (
