@@ -13,7 +13,7 @@ from pricetide.llm import vectors
 from pricetide.session import stage
 
 SHARD_ROWS = 16_384  # distinct vectors per graph
-QUERY_BLOCK = 2_048  # distinct query vectors that meet a shard together
+QUERY_BLOCK = 16_384  # distinct query vectors that meet a shard together; the index is shuffled once for each block
 LINKS, BUILD_WIDTH, SEARCH_WIDTH = 16, 64, 192
 TOGETHER = 256  # nodes added, or queries walked, at a time
 STEP = 6  # nodes opened per walk and round
@@ -190,6 +190,7 @@ def _shard_search(k: int, links: int, width: int):
             lists = [x.reshape(-1, links * (1 if layer else 2)) for layer, x in enumerate(flat)]
             graph = Layers((raw / norm[:, None]).astype(np.float32), list(row["sizes"]), links, lists)
             ids, ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["id_ends"], np.int64)
+            least = ids[np.concatenate(([0], ends[:-1]))]
             for at in range(0, len(queries), TOGETHER):
                 part = queries.iloc[at : at + TOGETHER]
                 asked = np.stack(part["vector"].to_list()).astype(np.float64)
@@ -197,8 +198,10 @@ def _shard_search(k: int, links: int, width: int):
                 beam, _ = graph.search((asked / length[:, None]).astype(np.float32), width)
                 for q, (nodes, q1, q2) in enumerate(zip(beam, part["h1"], part["h2"])):
                     nodes = nodes[nodes >= 0]
+                    if len(nodes) < min(k + 1, len(raw)):  # a part of the graph that the walk doesn't reach
+                        nodes = np.arange(len(raw))
                     score = raw[nodes] @ asked[q] / (norm[nodes] * length[q])
-                    best = np.argsort(-score, kind="stable")[: 2 * k + 1]
+                    best = np.lexsort((least[nodes], -score))[: k + 1]
                     for node, s in zip(nodes[best], score[best]):
                         for vec_id in ids[ends[node - 1] if node else 0 : ends[node]]:
                             out["q1"].append(q1)
@@ -219,6 +222,7 @@ def nearest(
     id, and vectors that are null, empty, zero or hold a null or non-finite component, take no part; vectors meet those
     of their own length only; repeated rows count once; other columns are not used; an empty table gives no rows.
 
+    A walk that finds fewer than k others where the shard has them is followed by a scan of the shard.
     Equal vectors are one node of the index. The index (a table of flat neighbour arrays, one row per shard of at most
     some ``shard_rows`` nodes) is written to the shared folder; blocks of query vectors then walk every shard, and the
     shards' results, scored on the original vectors, are merged.
