@@ -15,20 +15,32 @@ from pricetide.session import stage
 BLOCK_ROWS = 16_384  # distinct vectors per block of the index
 QUERY_BLOCK = 512  # distinct query vectors that meet a block together
 SCALE = 1024
+WIDE = 2.0**31  # vectors with a component of this size or more stand in blocks of their own
+LARGEST = 2.0**1000  # components beyond it count as it
+LONG = 2**63
 
 
 def quantised(vector: Column) -> Column:
-    """floor(1024 * x) per component. Values whose inner products could leave a long saturate at sqrt(2^63 / length)."""
-    limit = F.floor(F.sqrt(F.lit(float(2**63 - 2**20)) / F.size(vector)))
-    whole = F.transform(vector, lambda x: F.floor(F.greatest(F.least(x.cast("double") * SCALE, F.lit(4e18)), F.lit(-4e18))))
-    return F.transform(whole, lambda x: F.greatest(F.least(x, limit), -limit))
+    """floor(1024 * x) per component, as a double that holds the integer exactly (from 2^53 on every double is one)."""
+    def whole(x: Column) -> Column:
+        y = F.greatest(F.least(x.cast("double") * SCALE, F.lit(LARGEST)), F.lit(-LARGEST))
+        return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
+
+    return F.transform(vector, whole)
+
+
+def exact(values: np.ndarray) -> np.ndarray:
+    """Whole doubles as integers of any size; numpy's own while a component is below 2^31."""
+    if np.abs(values).max(initial=0) < WIDE:
+        return values.astype(np.int64)
+    return np.array([[int(x) for x in row] for row in values], object).reshape(values.shape)
 
 
 def slice_block(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least value and bit count per attribute, and the bitmaps: one per bit of (value - least), attributes in order."""
     low = values.min(axis=0)
     above = values - low
-    bits = np.array([int(m).bit_length() for m in above.max(axis=0)])
+    bits = np.array([int(m).bit_length() for m in above.max(axis=0)], np.int64)
     words = -(-len(values) // 64)
     maps = np.zeros((int(bits.sum()), words * 8), np.uint8)
     at = 0
@@ -108,36 +120,40 @@ INDEX = "dim int, shard int, low binary, bits binary, maps binary, vectors binar
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("first_id")
-    values = np.stack(pdf["vector"].to_list()).astype(np.int64)
-    low, bits, maps = slice_block(values)
+    whole = np.stack(pdf["vector"].to_list()).astype(np.float64)
+    low, bits, maps = slice_block(exact(whole))
     ids = [np.asarray(x, np.int64) for x in pdf["ids"]]
     return pd.DataFrame({
-        "dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "low": [low.tobytes()], "bits": [bits.astype(np.int64).tobytes()],
-        "maps": [maps.tobytes()], "vectors": [values.tobytes()], "ids": [np.concatenate(ids).tobytes()],
+        "dim": [int(pdf["dim"].iloc[0])], "shard": [int(pdf["shard"].iloc[0])], "low": [low.astype(np.float64).tobytes()], "bits": [bits.tobytes()],
+        "maps": [maps.tobytes()], "vectors": [whole.tobytes()], "ids": [np.concatenate(ids).tobytes()],
         "id_ends": [np.cumsum([len(x) for x in ids]).astype(np.int64).tobytes()]})
 
 
 def _search(k: int):
     def run(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        out = {"q1": [], "q2": [], "score": [], "vec_id": []}
+        out = {"q1": [], "q2": [], "high": [], "low": [], "vec_id": []}
         if len(index) and len(queries):
             row, dim = index.iloc[0], int(queries["dim"].iloc[0])
-            values = np.frombuffer(row["vectors"], np.int64).reshape(-1, dim)
-            low, bits = np.frombuffer(row["low"], np.int64), np.frombuffer(row["bits"], np.int64)
+            values = exact(np.frombuffer(row["vectors"], np.float64).reshape(-1, dim))
+            low, bits = np.frombuffer(row["low"], np.float64), np.frombuffer(row["bits"], np.int64)
+            most = max(1, int(np.abs(values).max(initial=0)))
             maps = np.frombuffer(row["maps"], np.uint64).reshape(int(bits.sum()), -(-len(values) // 64))
             ids, ends = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["id_ends"], np.int64)
             for vector, q1, q2 in zip(queries["vector"], queries["h1"], queries["h2"]):
-                query = np.asarray(vector, np.int64)
+                query = exact(np.asarray(vector, np.float64)[None, :])[0]
+                fits = dim * most * int(np.abs(query).max()) < LONG
                 sure, tied = search_block(low, bits, maps, len(values), query, k)
                 # rows stand by least id, and a tie needs the smallest ids only
                 rows = np.concatenate([sure, tied[: max(0, k - len(sure))]])
-                for node, score in zip(rows, values[rows] @ query):
+                scored = values[rows] @ query if fits else values[rows].astype(object) @ query.astype(object)
+                for node, score in zip(rows, scored):
                     for vec_id in ids[ends[node - 1] if node else 0 : ends[node]]:
                         out["q1"].append(q1)
                         out["q2"].append(q2)
-                        out["score"].append(score)
+                        out["high"].append(min(max(int(score) // LONG, -LONG), LONG - 1))
+                        out["low"].append(int(score) % LONG)
                         out["vec_id"].append(vec_id)
-        return pd.DataFrame(out).astype({"q1": "int64", "q2": "int64", "score": "int64", "vec_id": "int64"})
+        return pd.DataFrame(out).astype({c: "int64" for c in out})
     return run
 
 
@@ -147,7 +163,8 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, block_rows: in
     Both tables have ``vec_id, embedding``; a query's own id is no candidate; ties go to the smaller id. Rows with a null
     id, and vectors that are null, empty or hold a null or non-finite component, take no part; vectors meet those of their
     own length only; repeated rows count once; other columns are not used; an empty table gives no rows. Zero vectors
-    take part.
+    take part. Components and sums are integers of any size: order is exact up to 2^126, and a score that leaves a long is
+    reported as the nearest long. Vectors with a component of 2^31 or more have blocks of their own.
 
     Vectors equal after quantisation are one row of the index. A block of the index keeps a bitmap per attribute and bit;
     a query's inner product is the sum of such bitmaps, and its best rows are those that remain from the highest slice of
@@ -158,14 +175,20 @@ def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 10, block_rows: in
         return vectors.with_digest(real.select("vec_id", quantised(F.col("embedding")).alias("vector")).distinct(), "vector")
 
     groups = stage(vectors.equal_vectors(usable(embeddings), k + 1))
-    shards = max(1, math.ceil(groups.count() / block_rows))
+    wide = F.exists("vector", lambda x: F.abs(x) >= WIDE)
+    size = groups.agg(F.count_if(~wide).alias("plain"), F.count_if(wide).alias("wide")).first()
+    plain, beyond = (math.ceil(size[c] / block_rows) for c in ("plain", "wide"))
+    place = lambda n: F.pmod(F.xxhash64("h1", "h2"), F.lit(max(1, n))).cast("int")
     index = stage(
-        groups.withColumn("shard", F.pmod(F.xxhash64("h1", "h2"), F.lit(shards)).cast("int")).withColumn("first_id", F.col("ids")[0])
+        groups.withColumn("shard", F.when(wide, F.lit(plain) + place(beyond)).otherwise(place(plain))).withColumn("first_id", F.col("ids")[0])
         .groupBy("dim", "shard").applyInPandas(_build, INDEX))
     asked = stage(usable(queries))
     asked_groups = stage(asked.groupBy("h1", "h2").agg(F.first("vector").alias("vector")).withColumn("dim", F.size("vector")))
-    left, right = vectors.in_blocks(index, asked_groups, shards, max(1, math.ceil(asked_groups.count() / QUERY_BLOCK)))
+    left, right = vectors.in_blocks(index, asked_groups, max(1, plain + beyond), max(1, math.ceil(asked_groups.count() / QUERY_BLOCK)))
     key = ["dim", "shard", "block"]
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_search(k + 1), "q1 long, q2 long, score long, vec_id long")
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_search(k + 1), "q1 long, q2 long, high long, low long, vec_id long")
+    found = found.select("q1", "q2", F.struct("high", "low").alias("score"), "vec_id")
     asking = asked.select(F.col("h1").alias("q1"), F.col("h2").alias("q2"), F.col("vec_id").alias("query_id"))
-    return vectors.top_ranks(found, asking, k)
+    high, low = F.col("score.high"), F.col("score.low")
+    score = F.when(high == 0, low).when(high == -1, low + F.lit(-LONG)).when(high > 0, F.lit(LONG - 1)).otherwise(F.lit(-LONG))
+    return vectors.top_ranks(found, asking, k).select("query_id", "rank", "vec_id", score.alias("score"))

@@ -101,10 +101,10 @@ def test_exact_ties_zero_and_unusable_vectors(spark):
     assert got == products(good, 10, [0, 100, 200, 600])
 
 
-def test_large_values_saturate(spark):
+def test_scores_beyond_a_long_are_reported_as_the_nearest_long(spark):
     df = table(spark, [(0, [3e38, 1.0]), (1, [-3e38, 1.0]), (2, [3e38, 0.0])])
     rows = bitsliced.top_k(df, df.where("vec_id = 0"), k=2).orderBy("rank").collect()
-    assert [r.vec_id for r in rows] == [2, 1] and rows[0].score > 0 > rows[1].score
+    assert [(r.vec_id, r.score) for r in rows] == [(2, 2**63 - 1), (1, -(2**63))]
 
 
 def test_whole_table(spark):
@@ -125,3 +125,29 @@ def test_bitmap_sums_pick_the_largest(rows, dim, k, draw):
     left = min(k, rows) - len(sure)
     assert left <= len(tied) and len(set(score[tied])) <= 1
     assert sorted([*score[sure], *score[tied][:left]], reverse=True) == want.tolist()
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    rows = [(i, [float(2**(i % 7)) * x for x in (1.0, 2.0, 3.0)]) for i in range(30)]  # parallel, so all cosines are equal
+    df = table(spark, rows)
+    got = hnsw.nearest(df, df.where("vec_id = 0"), k=5).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5] and len({r.score for r in got}) == 1
+
+
+def whole_products(rows, k, queries):
+    whole = {i: [int(np.floor(1024 * float(np.float32(x)))) for x in v] for i, v in rows}
+    out = set()
+    for q in queries:
+        scored = sorted(((-sum(a * b for a, b in zip(v, whole[q])), i) for i, v in whole.items() if i != q))[:k]
+        out |= {(q, n + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, i) in enumerate(scored)}
+    return out
+
+
+def test_large_components_keep_their_integers(spark):
+    draw = np.random.default_rng(3)
+    one = [0.0] * 63
+    rows = [(0, [400_000.0, *one]), (1, [400_000.0, *one]), (2, [3.0, *one]), (3, [-9e8, *one])] + [
+        (i, [float(x) for x in draw.normal(size=64) * 10.0 ** draw.integers(0, 11)]) for i in range(4, 60)]
+    df = table(spark, rows)
+    got = {tuple(r) for r in bitsliced.top_k(df, df.where("vec_id % 20 = 0"), k=10, block_rows=16).collect()}
+    assert got == whole_products(rows, 10, [0, 20, 40]) and (0, 167772160000000000) in {(q, s) for q, _, _, s in got}
