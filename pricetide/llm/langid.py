@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +16,7 @@ UNDETERMINED = "und"
 # Bounds of the labelled sample a model is fitted on: rows per language, and in all.
 SAMPLE_PER_LANGUAGE = 500
 SAMPLE_ROWS = 4_000
+DEALS = 32
 LANDMARKS = 160
 RIDGE = 1e-2
 # Texts scored together; bytes of a text looked at together.
@@ -24,7 +24,6 @@ BATCH = 256
 PIECE = 1 << 20
 # A text is foreign where its share of known 3-grams is below this part of a low quantile of labelled texts' shares.
 KNOWN_QUANTILE, KNOWN_PART = 0.05, 0.75
-LETTER = re.compile(r"[^\W\d_]")
 
 # Bytes of lower-cased UTF-8 fall into 64 classes: 0 white space and signs, 1-26 letters, 27 digits, the rest by value.
 _CLASS = np.zeros(256, np.int32)
@@ -105,6 +104,8 @@ def sample_labelled(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, ro
     """A bounded sample ``doc_id, lang, text``: the rows of least id hash of each language, and ``rows`` in all at most."""
     ranked = (
         docs.where("doc_id is not null and lang is not null and text is not null").select("doc_id", "lang").withColumn("_h", F.xxhash64("doc_id"))
+        .withColumn("_deal", F.pmod("_h", F.lit(DEALS)))  # a language's rows are ranked in parts first
+        .withColumn("_rank", F.row_number().over(Window.partitionBy("lang", "_deal").orderBy("_h", "doc_id"))).where(F.col("_rank") <= per_language)
         .withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id"))).where(F.col("_rank") <= per_language)
         .orderBy("_rank", "lang").limit(rows)  # the languages' first rows come first
     )
@@ -168,7 +169,7 @@ def _predictor(model: LanguageModel | None):
             langs, scores, familiar = [], [], []
             for at in range(0, len(batch), BATCH):
                 texts = [t.as_py() or "" for t in batch[at : at + BATCH]]
-                lettered = [model is not None and LETTER.search(t) is not None for t in texts]
+                lettered = [model is not None and any(map(str.isalpha, t)) for t in texts]
                 if not any(lettered):
                     langs += [UNDETERMINED] * len(texts)
                     scores += [0.0] * len(texts)
@@ -193,8 +194,8 @@ def held_out(doc_id: Column) -> Column:
 def identify(docs: DataFrame, model: LanguageModel | None, familiar: str | None = None) -> DataFrame:
     """Adds ``lang_pred`` and ``score`` (0 to 1; one half is the border of a language's regression) to every row.
 
-    Only the text decides. Texts that are null or without a letter, and all texts where the model is None, give
-    ``und`` and 0. Whole texts count, in pieces of bounded size; repeated rows agree; ties go to the first language
+    Only the text decides, by the 1- to 3-grams of its lower-cased UTF-8 bytes folded into 64 classes. Texts that are null
+    or without a letter (Unicode category L), and all texts where the model is None, give ``und`` and 0. Whole texts count, in pieces of bounded size; repeated rows agree; ties go to the first language
     in order. Other columns are kept, columns of the output names replaced; an empty table stays empty.
 
     The best language of a text in none of them may score about one half. A column named ``familiar`` tells such
