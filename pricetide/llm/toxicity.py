@@ -19,13 +19,13 @@ from pricetide.session import stage
 SAMPLE_ROWS = 3_000
 SAMPLE_BYTES = 8 << 20
 BUCKET_BITS = 18
-LENGTHS = (3, 4, 5)  # bytes of an n-gram, the marks at a word's ends included
+LENGTHS = (3, 4, 5, 6)  # bytes of an n-gram, the marks at a word's ends included
 WIDTH = 8  # numbers of an embedding
-EPOCHS, TOGETHER, RATE, SLOPE_RATE = 50, 64, 0.5, 0.05
+STEPS, TOGETHER, RATE, SLOPE_RATE = 3_000, 64, 1.0, 0.05  # batches in all, texts of a batch
 START = 1e-8  # of the squared steps of an embedding: rare subwords move little
 LEAST_TEXTS = 5  # sampled texts that hold a subword
 # The average of a text counts subwords of no meaning with this weight, so a few words of chance weigh little.
-PADDING = 500.0
+PADDING = 300.0
 PREDICTED = 0.3
 PIECE = 1 << 20  # bytes of a text looked at together
 SEED = 11
@@ -110,7 +110,7 @@ def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found.astype(np.int32), (total / (PADDING + total.sum())).astype(np.float32)
 
 
-def train(texts: list[str], toxic: list[int], share: float, epochs: int = EPOCHS, width: int = WIDTH, seed: int = SEED) -> ToxicityModel:
+def train(texts: list[str], toxic: list[int], share: float, steps: int = STEPS, width: int = WIDTH, seed: int = SEED) -> ToxicityModel:
     """Joint training of embeddings and softmax by AdaGrad on batches of texts.
 
     A softmax over two labels depends on the difference of its weight columns alone, so both gradients follow from one
@@ -140,7 +140,7 @@ def train(texts: list[str], toxic: list[int], share: float, epochs: int = EPOCHS
     slope, bias = random.normal(0, 1, width).astype(np.float32), 0.0  # toxic weights minus the others
     weight = np.where(label == 1, 0.5 / max(1.0, label.sum()), 0.5 / max(1.0, len(label) - label.sum())) * len(label)
     squares, slope_squares, bias_square = np.full(len(known), START, np.float32), np.full(width, 1e-8, np.float32), 1e-8
-    for _ in range(epochs):
+    for _ in range(-(-steps // max(1, len(batches)))):
         for docs, rows, bucket, shares in batches:
             n = docs.stop - docs.start
             logit = np.bincount(rows, shares * (vectors @ slope)[bucket], n) + bias

@@ -66,3 +66,28 @@ def test_sample_is_bounded_and_stable(spark):
 def test_one_language(spark):
     model = langid.fit(docs(spark, TRAIN[:5]))
     assert [r.lang_pred for r in langid.identify(docs(spark, [(1, "zz", None)]), model).collect()] == ["en"]
+
+
+def test_letters_decide_what_is_undetermined(spark):
+    model = langid.fit(docs(spark, TRAIN))
+    rows = [(1, "½ ² 12", None), (2, "① Ⅷ", None), (3, "_ 9 \t", None), (4, "9 é", None), (5, "字", None), (6, None, None)]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs(spark, rows), model).collect()}
+    assert [got[i] for i in (1, 2, 3, 6)] == [("und", 0.0)] * 4 and got[4][0] != "und" and got[5][0] != "und"
+
+
+def test_against_plain_kernel_ridge(spark):
+    """With every text a landmark the Nyström map loses nothing: the scores are those of plain kernel ridge regression."""
+    texts = [r for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").where("text is not null and length(text) < 3000").orderBy("doc_id").limit(240).collect()]
+    train, test = texts[:200], texts[200:]
+    ridge, spectrum = 1e-2, langid.Spectrum()
+    model = langid.fit(docs(spark, train), landmarks=200, ridge=ridge)
+    sets = {r.doc_id: set(spectrum.codes(r.text).tolist()) for r in texts}
+    kernel = lambda a, b: np.array([[len(sets[x.doc_id] & sets[y.doc_id]) / (len(sets[x.doc_id]) * len(sets[y.doc_id])) ** 0.5 for y in b] for x in a])
+    langs = np.array([r.lang for r in train])
+    number = {lang: int((langs == lang).sum()) for lang in model.languages}
+    weight = np.array([len(train) / len(number) / number[lang] for lang in langs])
+    target = np.where(langs[:, None] == np.array(model.languages)[None, :], 1.0, -1.0)
+    dual = np.linalg.solve(kernel(train, train) + ridge * np.diag(1 / weight), target)
+    want = kernel(test, train) @ dual
+    got = model.score([spectrum.codes(r.text) for r in test])
+    assert np.abs(want - got).max() < 0.02 and (want.argmax(axis=1) == got.argmax(axis=1)).all()
