@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pricetide.functions import text as X
 from pricetide.functions.keys import normalize_display_mode, subscription_id, text_or_empty, user_keyword_id
 from pricetide.functions.times import as_ts
 from pricetide.operators import scale
+from pricetide.session import cut_lineage
 
 # Throttle window and digest limits.
 WINDOW_MINUTES = 30
@@ -19,10 +17,10 @@ MAX_PENDING_TITLES = 5
 MAX_PENDING_IDS = 30
 PUSH_CAP = 50
 
-# Notification wording.
-ALERT_TITLE = "🍆 키워드알림"
-MATCH_BODY = " 관련 새 딜이 등록됐어요."
-DIGEST_BODY = " 관련 새 딜 {n}개가 등록됐어요."
+# Wording of notifications where the caller gives none.
+ALERT_TITLE = "Keyword alert"
+MATCH_BODY = ": a new deal is in."
+DIGEST_BODY = ": {n} new deals are in."
 
 
 def deal_terms(deals: DataFrame, text_cols: list[str], deal_id: str = "id") -> DataFrame:
@@ -146,67 +144,91 @@ def alert_dedup(matches: DataFrame, ledger: DataFrame, order: Column) -> DataFra
     return scale.keep_one(fresh, ["deal_id", "uid"], order)
 
 
-def _gap_sessions(instants: DataFrame, keys: list[str], width: int) -> DataFrame:
-    """Adds ``_session`` to (keys, at, slot): a silence of a whole window always ends one.
+def _sessions(instants: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """Per key and slot (one window wide): its first instant ``_lo``, its ``_session``, the session's ``_slots``, and
+    ``_later``, the first instant of the session behind the next slot.
 
-    Found on one row per key and slot; a slot is one window wide, so no silence hides inside it.
+    A silence of a whole window always ends a session, as no silence hides inside a slot. One row per key and slot.
     """
     slots = instants.groupBy(*keys, "slot").agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"))
     by_key = Window.partitionBy(*keys).orderBy("slot")
     previous = F.lag("_hi").over(by_key)
     opens = F.when(previous.isNull() | (F.col("_lo") - previous >= width), F.col("slot"))
-    sessions = slots.withColumn("_open", opens).withColumn(
+    slots = slots.withColumn("_open", opens).withColumn(
         "_session", F.last("_open", ignorenulls=True).over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
-    return instants.join(sessions.select(*keys, "slot", "_session"), [*keys, "slot"])
+    session = Window.partitionBy(*keys, "_session")
+    inside = session.orderBy("slot")
+    later = F.when(F.lead("slot").over(inside) > F.col("slot") + 1, F.lead("_lo").over(inside)).otherwise(F.lead("_lo", 2).over(inside))
+    return slots.withColumn("_later", later).withColumn("_slots", F.max("slot").over(session) - F.col("_session") + 1).drop("_hi", "_open")
+
+
+def _jumps(instants: DataFrame, slots: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``_session, at, _first, _slots, next`` of the instants of sessions longer than a slot: ``next`` is the first instant
+    a window or more later, null at the session's end; ``_first`` tells the first of its slot.
+
+    An instant looks its next one up in the slot behind its own, where both sides are sorted together; a slot of a key is
+    the largest group.
+    """
+    nodes = instants.select(*keys, "slot", "at").join(slots.where("_slots > 1"), [*keys, "slot"])
+    there = nodes.select(*keys, "_session", "slot", F.col("at").alias("_pos"), F.col("at").alias("_there"))
+    asking = nodes.select(
+        *keys, (F.col("slot") + 1).alias("slot"), (F.col("at") + width).alias("_pos"), F.lit(None).cast("bigint").alias("_there"),
+        "at", "_session", "_slots", "_later", (F.col("at") == F.col("_lo")).alias("_first"))
+    from_behind = Window.partitionBy(*keys, "_session", "slot").orderBy(F.col("_pos").desc(), F.col("at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = there.unionByName(asking, allowMissingColumns=True).withColumn("_found", F.min("_there").over(from_behind))
+    return found.where("at IS NOT NULL").select(*keys, "_session", "at", "_first", "_slots", F.coalesce("_found", "_later").alias("next"))
+
+
+def _chain_starts(instants: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``keys, at``: the instants that open windows, found without walking a key.
+
+    Each block of slots is a jump function: from where a chain enters it to where the chain leaves it. A chain enters a
+    block in its first slot, or at the first instant of a later one, so these entries say all. Two neighbour blocks are
+    composed into one by one join, which leaves half of the entries: after log2(slots of the longest session) rounds
+    each session is one block, entered at its first instant. The way back down places the entries of the halves.
+    """
+    slots = cut_lineage(_sessions(instants, keys, width))
+    longest = slots.agg(F.max("_slots")).first()[0] or 1
+    block = lambda at, level: F.shiftright(F.floor(F.col(at) / width).cast("bigint") - F.col("_session"), level)
+    links, level = [], 0
+    jumps = cut_lineage(_jumps(instants, slots, keys, width)) if longest > 1 else None
+    while 1 << level < longest:
+        inner = F.coalesce(block("next", level + 1) == block("at", level + 1), F.lit(False))
+        links.append(jumps.where(inner).select(*keys, "at", "next"))
+        level += 1
+        if 1 << level < longest:
+            tall = jumps.where((F.col("_slots") > 1 << level) & ((F.pmod(block("at", level - 1), F.lit(2)) == 0) | F.col("_first")))
+            over = jumps.select(*keys, F.col("at").alias("next"), F.col("next").alias("_over"))
+            composed = tall.where(inner).join(over, [*keys, "next"]).drop("next").withColumnRenamed("_over", "next")
+            jumps = cut_lineage(tall.where(~inner).unionByName(composed))
+    starts = slots.where("slot = _session").select(*keys, F.col("_lo").alias("at"))
+    for link in reversed(links):
+        both = F.array_compact(F.array("at", "next"))
+        starts = starts.join(link, [*keys, "at"], "left").select(*keys, F.explode(both).alias("at"))
+    return starts
 
 
 def alert_windows(matches: DataFrame, keys: list[str], window_minutes: int = WINDOW_MINUTES) -> DataFrame:
     """The windows sent alerts open: ``keys, start`` (micros), ``n`` (matches inside, the sent one counted).
 
-    Each sent alert is the first instant at least a window after the one before, a chain that has to be
-    walked in time order. Only distinct instants with their counts are shuffled, split at silences of a
-    window or more (after which the chain restarts by itself); a partition is sorted and then walked
-    batch by batch with two numbers of state, jumping from send to send, so no group is held in memory.
+    Each sent alert is the first instant at least a window after the one before. Only distinct instants with their
+    counts take part; chains restart at silences of a window or more, and are followed by composed jumps
+    (``_chain_starts``), so a key whose matches never pause is shared by many tasks.
     """
     width = window_minutes * 60 * 1_000_000
     at = F.unix_micros("ts")
-    instants = matches.select(*keys, at.alias("at"), F.floor(at / width).cast("bigint").alias("slot")).groupBy(
-        *keys, "at", "slot").agg(F.count(F.lit(1)).alias("c"))
-    split = _gap_sessions(instants, keys, width).select(*keys, "_session", "at", "c")
-    ordered = split.repartition(*keys, "_session").sortWithinPartitions(*keys, "_session", "at")
-    fields = [f for f in split.schema.fields if f.name in keys]
-    schema = T.StructType([*fields, T.StructField("start", T.LongType()), T.StructField("n", T.LongType())])
-    group_cols = [*keys, "_session"]
-
-    def walk(batches):
-        group, start, count = None, None, 0
-        for pdf in batches:
-            at, c, rows = pdf["at"].to_numpy(), pdf["c"].to_numpy(), len(pdf)
-            changes = np.zeros(rows, dtype=bool)
-            for name in group_cols:
-                values = pdf[name].to_numpy()
-                changes[1:] |= values[1:] != values[:-1]
-            bounds = [0, *np.flatnonzero(changes), rows] if rows else []
-            out = []
-            for low, high in zip(bounds, bounds[1:]):
-                ident = tuple(pdf[name].iat[low] for name in group_cols)
-                if ident != group:
-                    if group is not None:
-                        out.append((*group[:-1], start, count))
-                    group, start, count = ident, int(at[low]), 0
-                i = low
-                while i < high:
-                    end = low + int(np.searchsorted(at[low:high], start + width))
-                    count += int(c[i:end].sum())
-                    if end < high:
-                        out.append((*group[:-1], start, count))
-                        start, count = int(at[end]), 0
-                    i = end
-            yield pd.DataFrame(out, columns=[*keys, "start", "n"])
-        if group is not None:
-            yield pd.DataFrame([(*group[:-1], start, count)], columns=[*keys, "start", "n"])
-
-    return ordered.mapInPandas(walk, schema)
+    instants = cut_lineage(matches.select(*keys, at.alias("at"), F.floor(at / width).cast("bigint").alias("slot")).groupBy(
+        *keys, "at", "slot").agg(F.count(F.lit(1)).alias("c")))
+    starts = cut_lineage(_chain_starts(instants, keys, width))
+    inside = instants.join(_reached(starts.select(*keys, F.col("at").alias("start")), width), [*keys, "slot"]).where(
+        (F.col("start") <= F.col("at")) & (F.col("at") - F.col("start") < width))
+    return inside.groupBy(*keys, "start").agg(F.sum("c").alias("n"))
+
+
+def _reached(windows: DataFrame, width: int) -> DataFrame:
+    """A window lies in its start's slot and the one behind."""
+    slot = F.floor(F.col("start") / width).cast("bigint")
+    return windows.withColumn("slot", F.explode(F.array(slot, slot + 1)))
 
 
 def alert_throttle(matches: DataFrame, window_minutes: int = WINDOW_MINUTES) -> DataFrame:
@@ -221,8 +243,7 @@ def alert_throttle(matches: DataFrame, window_minutes: int = WINDOW_MINUTES) ->
     # At most one window per key and half hour, so the lag below is over a short list.
     pending = F.lag("n").over(Window.partitionBy(*keys).orderBy("start")) - 1
     windows = alert_windows(matches, keys, window_minutes).withColumn("_digest", F.coalesce(pending, F.lit(0)))
-    slot = F.floor(F.col("start") / width).cast("bigint")
-    reach = windows.select(*keys, "start", "_digest", F.explode(F.array(slot, slot + 1)).alias("slot"))
+    reach = _reached(windows.select(*keys, "start", "_digest"), width)
     at = F.unix_micros("ts")
     rows = matches.select(*keys, "deal_id", "ts", at.alias("_at"), F.floor(at / width).cast("bigint").alias("slot"))
     found = rows.join(reach, [*keys, "slot"]).where(
@@ -298,14 +319,17 @@ def limited_unique_append(values: Column, value: Column, n: int) -> Column:
     return F.slice(grown, F.greatest(F.lit(1), F.size(grown) - n + 1), F.lit(n))
 
 
-def notification_rows(alerts: DataFrame) -> DataFrame:
-    """Title, body, target and tag per alert; a digest (``kind = 'digest'``) counts its deals."""
+def notification_rows(alerts: DataFrame, alert_title: str = ALERT_TITLE, match_body: str = MATCH_BODY, digest_body: str = DIGEST_BODY) -> DataFrame:
+    """Title, body, target and tag per alert; a digest (``kind = 'digest'``) counts its deals.
+
+    The wording is the caller's: the term stands behind the title and before a body; ``{n}`` in ``digest_body`` is the count.
+    """
     term = F.trim(F.coalesce("primary_term", F.lit("")))
-    titled = F.when(term != "", F.concat(F.lit(f"{ALERT_TITLE}: "), term)).otherwise(F.lit(ALERT_TITLE))
-    before, after = DIGEST_BODY.split("{n}")
+    titled = F.when(term != "", F.concat(F.lit(f"{alert_title}: "), term)).otherwise(F.lit(alert_title))
+    before, after = digest_body.split("{n}")
     count = F.greatest(F.lit(1), F.coalesce(F.col("digest_count"), F.lit(0))).cast("string")
     digest_text = F.concat(term, F.lit(before), count, F.lit(after))
-    plain = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(F.concat(term, F.lit(MATCH_BODY)))
+    plain = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(F.concat(term, F.lit(match_body)))
     digest = F.col("kind") == "digest"
     digest_id = F.substring(F.sha1(F.concat(F.lit("digest::"), term)), 1, 16)
     target = F.when(digest, F.concat(F.lit("keyword-digest-"), digest_id)).otherwise(F.col("deal_id").cast("string"))

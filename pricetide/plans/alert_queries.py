@@ -399,8 +399,8 @@ def drop_no_device(spark, sf_dir):
 
 
 @query("notification_rows", r"""SELECT p_partkey AS uid, CASE WHEN p_size % 2 = 0 THEN 'digest' ELSE 'send' END AS kind,
-  CASE WHEN term <> '' THEN '🍆 키워드알림: ' || term ELSE '🍆 키워드알림' END AS title,
-  CASE WHEN p_size % 2 = 0 THEN term || ' 관련 새 딜 ' || CAST(greatest(1, p_size) AS VARCHAR) || '개가 등록됐어요.' ELSE p_name END AS body,
+  CASE WHEN term <> '' THEN 'Keyword alert: ' || term ELSE 'Keyword alert' END AS title,
+  CASE WHEN p_size % 2 = 0 THEN term || ': ' || CAST(greatest(1, p_size) AS VARCHAR) || ' new deals are in.' ELSE p_name END AS body,
   CASE WHEN p_size % 2 = 0 THEN 'keyword-digest-' || left(sha1('digest::' || term), 16) ELSE CAST(p_partkey AS VARCHAR) END AS target_id
 FROM (SELECT *, trim(split_part(p_name, ' ', 1)) AS term FROM part)""")
 def notification_rows(spark, sf_dir):
