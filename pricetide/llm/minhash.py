@@ -83,7 +83,7 @@ def _buckets(nodes: DataFrame, size: int) -> DataFrame:
     members that occur once in the corpus are dropped before pairs of members are formed. ``weight`` adds up how
     common a node's members are: the middle of a group of near copies weighs most.
     """
-    members = nodes.select("node", F.posexplode("keys").alias("i", "member")).repartition("member")
+    members = nodes.select("node", F.posexplode("keys").alias("i", "member"))
     shared = members.groupBy("member").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     kept = (
         members.join(shared, "member").groupBy("node")
