@@ -8,25 +8,35 @@ from pyspark.sql import functions as F
 from pricetide.llm import common
 from pricetide.session import stage
 
-# Lines of fewer words are matched exactly only: one word of five is the loosest near match.
-MIN_WORDS = 5
+# A line's units are its words, or its characters where it has fewer words than this (scripts without spaces, tabs): one
+# word of five and one character of twenty are the loosest near matches. Lines with fewer of both are matched exactly.
+MIN_WORDS, MIN_CHARS = 5, 20
 # Marks on documents up to this size are broadcast, larger ones joined by a shuffle.
 SMALL_BYTES = 32 << 20
-# Low bits of a word's hash that are added up; 2^22 words fit a long.
-BITS = 40
+# Low bits of a unit's hash that are added up; 2^26 units fit a long.
+BITS = 36
+
+
 def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def _halves(words: Column) -> Column:
-    """Keys of which lines within one word edit share at least one.
+def _units(line: Column) -> tuple[Column, Column]:
+    """A line's kind (0: words, 1: characters, null: too short for near matches) and its units."""
+    words = F.split(line, " ", -1)
+    kind = F.when(F.size(words) >= MIN_WORDS, 0).when(F.char_length(line) >= MIN_CHARS, 1)
+    return kind, F.when(kind == 0, words).when(kind == 1, F.split(line, ""))
+
+
+def _halves(words: Column, kind: Column) -> Column:
+    """Keys of which lines of a kind within one edit of a unit share at least one.
 
-    For the shorter line's length n and h = n // 2, an edit leaves either the first h or the last n - h words alone.
-    A line takes both parts once for its own length and once for one word less; two of the four are the same.
+    For the shorter line's length n and h = n // 2, an edit leaves either the first h or the last n - h units alone.
+    A line takes both parts once for its own length and once for one unit less; two of the four are the same.
     """
     def keys(n: Column) -> list[Column]:
         h = F.floor(n / 2).cast("int")
-        return [F.xxhash64(F.lit(0), F.slice(words, F.lit(1), h)), F.xxhash64(F.lit(1), F.slice(words, F.size(words) - (n - h) + 1, n - h))]
+        return [F.xxhash64(kind * 2, F.slice(words, F.lit(1), h)), F.xxhash64(kind * 2 + 1, F.slice(words, F.size(words) - (n - h) + 1, n - h))]
 
     n = F.size(words)
     return F.array_distinct(F.array(*keys(n), *keys(n - 1)))
@@ -36,8 +46,8 @@ def _lines(rows: DataFrame) -> DataFrame:
     """``first`` (the line's place in the order of dedup), its digest ``h1, h2`` and the half keys of near candidates."""
     line = rows.select("doc_id", "_row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     line = line.select("doc_id", "_row", "pos", _trimmed(F.col("line")).alias("line")).where("line <> ''")
-    words = F.split("line", " ", -1)
-    near = F.transform(F.array(words), lambda w: F.when(F.size(w) >= MIN_WORDS, _halves(w)))[0]
+    kind, units = _units(F.col("line"))
+    near = F.transform(F.array(F.struct(kind.alias("kind"), units.alias("units"))), lambda u: F.when(u["kind"].isNotNull(), _halves(u["units"], u["kind"])))[0]
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row", "pos")
     return line.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), first.alias("first"), near.alias("halves"))
 
@@ -51,7 +61,8 @@ def _beside_documents(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
 
     Marks are broadcast if what they hold, added up first, is within ``SMALL_BYTES``; else both sides are shuffled.
     """
-    held = marks.agg(F.sum(F.size("_at") * F.lit(16) + F.lit(64)).alias("b")).first()["b"] or 0
+    id_bytes = F.coalesce(F.octet_length(F.col("doc_id").cast("string")), F.lit(0)) + F.lit(64)
+    held = marks.agg(F.sum((F.size("_at") + F.lit(1)).cast("bigint") * id_bytes).alias("b")).first()["b"] or 0  # a mark may hold its document's id
     marks = marks.select(F.col("doc_id").alias("_mark_id"), F.col("_row").alias("_mark_row"), "_at")
     marks = F.broadcast(marks) if held <= SMALL_BYTES else marks
     return docs.join(marks, (docs["_row"] == marks["_mark_row"]) & docs["doc_id"].eqNullSafe(marks["_mark_id"]), how).drop("_mark_id", "_mark_row")
@@ -64,7 +75,7 @@ def _variants(candidates: DataFrame) -> DataFrame:
     The hash of a word sequence adds up hashes of (word, position), so running sums give all variants of a line in one
     pass: what stands before the deleted word keeps its position, what stands behind moves up by one.
     """
-    word = candidates.repartition("h1").select("h1", F.size("words").alias("n"), F.posexplode("words").alias("j", "word"))
+    word = candidates.repartition("h1").select("h1", "kind", F.size("words").alias("n"), F.posexplode("words").alias("j", "word"))
     low = lambda *cols: F.xxhash64(*cols).bitwiseAND(F.lit(2**BITS - 1))
     for k in (1, 2):
         word = word.withColumn(f"a{k}", low(F.lit(k), "word", F.col("j"))).withColumn(f"b{k}", low(F.lit(k), "word", F.col("j") - 1))
@@ -75,8 +86,8 @@ def _variants(candidates: DataFrame) -> DataFrame:
         before = F.sum(f"a{k}").over(upto) - F.col(f"a{k}")
         behind = F.sum(f"b{k}").over(line) - F.sum(f"b{k}").over(upto)
         word = word.withColumn(f"v{k}", before + behind).withColumn(f"t{k}", F.sum(f"a{k}").over(line))
-    deleted = F.struct((F.col("j") + 1).alias("i"), F.xxhash64("v1", "v2", F.col("n") - 1).alias("v"))
-    itself = F.struct(F.lit(0).alias("i"), F.xxhash64("t1", "t2", "n").alias("v"))
+    deleted = F.struct((F.col("j") + 1).alias("i"), F.xxhash64("v1", "v2", F.col("n") - 1, "kind").alias("v"))
+    itself = F.struct(F.lit(0).alias("i"), F.xxhash64("t1", "t2", "n", "kind").alias("v"))
     both = F.when(F.col("j") == 0, F.array(deleted, itself)).otherwise(F.array(deleted))
     return word.select("h1", F.explode(both).alias("v")).select("h1", "v.*")
 
@@ -88,9 +99,9 @@ def _earlier_neighbours(variants: DataFrame, firsts: DataFrame) -> DataFrame:
     substitution apart; a variant equal to a whole line is one deletion away. The least place per (variant, position)
     says it all, so no pairs inside a bucket are formed.
     """
-    dealt = variants.repartition("v")
-    shared = dealt.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    placed = stage(dealt.join(shared, "v").join(firsts, "h1").select("v", "i", "first"))
+    variants = stage(variants)
+    shared = variants.groupBy("v").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")  # counted before rows move
+    placed = stage(variants.join(shared, "v").join(firsts, "h1").select("v", "i", "first"))
     per_position = placed.groupBy("v", "i").agg(F.min("first").alias("same"))
     per_key = per_position.groupBy("v").agg(
         F.min(F.when(F.col("i") == 0, F.col("same"))).alias("whole"), F.min(F.when(F.col("i") > 0, F.col("same"))).alias("cut"))
@@ -116,7 +127,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Lines (split at ``\\n``, trimmed) are in order by doc_id (null last), then by place. A line goes if an equal line
     comes earlier, or, for lines of ``MIN_WORDS`` words and more, one within a word edit distance of 1 (a word replaced,
-    added or left out; words are what single spaces separate) - whether or not that earlier line itself stays. Blank lines
+    added or left out; words are what single spaces separate) - whether or not that earlier line itself stays. Lines of
+    fewer words but ``MIN_CHARS`` characters or more are compared with each other in the same way by characters. Blank lines
     always stay. A document none of whose lines stay is left out; rows with null, empty or blank text stay as they are.
     Rows that repeat both doc_id and text are one record: the one with the least other columns is taken. Other columns
     are kept, input columns of the output names replaced; an empty table stays empty. Lines and texts of any length are
@@ -132,7 +144,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = _single_records(docs.withColumn("_row", F.xxhash64(F.lit(7), text)))
 
     lines = stage(_lines(rows).groupBy("h1", "h2").agg(F.min("first").alias("first"), F.first("halves").alias("halves")))
-    halves = lines.where("halves is not null").select("h1", F.explode("halves").alias("half")).repartition("half")
+    halves = lines.where("halves is not null").select("h1", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     hopeful = halves.join(shared, "half").select("h1").distinct()
     firsts = stage(lines.join(hopeful, "h1").select("h1", "first"))
@@ -140,7 +152,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         _beside_documents(rows.select("doc_id", "_row", "text"), stage(_by_document(firsts, "first", "h1")), "inner")
         .select("_at", F.split("text", "\n", -1).alias("all"))
         .select(F.explode(F.transform("_at", lambda a: F.struct(a["h1"].alias("h1"), a["first"].alias("first"), F.col("all")[a["pos"]].alias("line")))).alias("x"))
-        .select("x.h1", "x.first", F.split(_trimmed(F.col("x.line")), " ", -1).alias("words")))
+        .select("x.h1", "x.first", _trimmed(F.col("x.line")).alias("line"))
+        .select("h1", "first", *[c.alias(n) for c, n in zip(_units(F.col("line")), ("kind", "words"))]))
 
     met = _earlier_neighbours(_variants(candidates), firsts)
     side = lambda name: candidates.select(F.col("first").alias(name), F.col("words").alias(f"w_{name}"))

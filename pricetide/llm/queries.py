@@ -109,9 +109,12 @@ WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documen
 placed AS (SELECT doc_id, unnest(range(0, len(ls))) AS pos, unnest(ls) AS raw_line FROM raw),
 trimmed AS (SELECT *, trim(raw_line, ' ' || chr(9) || chr(13)) AS line FROM placed),
 firsts AS (SELECT line, min((doc_id, pos)) AS first FROM trimmed WHERE line <> '' GROUP BY line),
-worded AS (SELECT line, first, string_split(line, ' ') AS w FROM firsts WHERE len(string_split(line, ' ')) >= 5),
+worded AS (
+  SELECT line, first, CASE WHEN len(string_split(line, ' ')) >= 5 THEN 'w ' ELSE 'c ' END AS kind,
+    CASE WHEN len(string_split(line, ' ')) >= 5 THEN string_split(line, ' ') ELSE string_split(line, '') END AS w
+  FROM firsts WHERE len(string_split(line, ' ')) >= 5 OR length(line) >= 20),
 variants AS (
-  SELECT line, first, i, CASE WHEN i = 0 THEN line ELSE array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') END AS v,
+  SELECT line, first, i, kind || CASE WHEN i = 0 THEN array_to_string(w, ' ') ELSE array_to_string(list_concat(w[1:i - 1], w[i + 1:]), ' ') END AS v,
     CASE WHEN i = 0 THEN len(w) ELSE len(w) - 1 END AS m
   FROM (SELECT *, unnest(range(0, len(w) + 1)) AS i FROM worded)),
 same AS (SELECT v, m, i, min(first) AS f FROM variants GROUP BY v, m, i),

@@ -24,10 +24,12 @@ def brute(rows):
         if not line:
             continue
         words = line.split(" ")
-        hit = any(line == other or (len(words) >= 5 and len(w) >= 5 and abs(len(w) - len(words)) < 2 and edits(words, w) <= 1) for other, w in seen)
+        units = words if len(words) >= 5 else list(line) if len(line) >= 20 else None
+        kind = len(words) >= 5
+        hit = any(line == other or (units and w and kind == k and abs(len(w) - len(units)) < 2 and edits(units, w) <= 1) for other, w, k in seen)
         if hit:
             gone.add((d, i))
-        seen.append((line, words))
+        seen.append((line, units, kind))
     out = {}
     for d, t in rows:
         lines = (t or "").split("\n")
@@ -95,3 +97,19 @@ def test_columns_and_empty_table(spark, make_docs):
 
 def test_only_two_columns(spark):
     assert linededup.dedup_lines(spark.createDataFrame([(1, "a\nb\na")], "doc_id long, text string")).first().text == "a\nb"
+
+
+def test_lines_without_spaces_are_compared_by_characters(spark, make_docs):
+    chinese = "今天天气很好我们一起去公园散步看见许多美丽的花朵和小鸟"
+    rows = [
+        (1, chinese), (2, chinese[:9] + "坏" + chinese[10:]), (3, chinese[:9] + chinese[10:]), (4, chinese + "😀"), (5, chinese[:5] + "坏" + chinese[6:15] + "坏" + chinese[16:]),
+        (6, "short line one"), (7, "short line two"), (8, "a\tb\tc\td\te\tf\tg\th\ti\tj\tk"), (9, "a\tb\tc\td\te\tX\tg\th\ti\tj\tk"),
+        (10, "abcdefghijklmnopqrst"), (11, "a b c d e f g h i j k l m n o p q r s t"), (12, "abcdefghijklmnopqrsX and"), (13, "x" * 3000), (14, "x" * 2999), (15, "x" * 2997)]
+    got = found(make_docs(rows))
+    assert got == brute(rows) and set(got) == {1, 5, 6, 7, 8, 10, 11, 12, 13, 15}
+
+
+def test_many_lines_of_one_template(spark, make_docs):
+    rows = [(d, "\n".join(f"page {d * 500 + i} of the long report that nobody reads" for i in range(500))) for d in range(200)]
+    got = found(make_docs(rows))
+    assert got == {0: "page 0 of the long report that nobody reads"}
