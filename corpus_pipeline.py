@@ -13,9 +13,6 @@ from pricetide.llm import langid, linededup, minhash, mixing, packing
 from pricetide.session import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-# A document is rejected without any letter, where no language's regression comes near its border (one half), or where
-# its n-grams are not those of the labelled texts (``langid.identify``, ``familiar``); only the last tells foreign texts.
-LEAST_LANGUAGE_SCORE = 0.25
 # Documents are repeated this often on average, so few fall out of the mixture by a count of zero.
 EPOCHS = 2.0
 
@@ -23,14 +20,15 @@ EPOCHS = 2.0
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fitted on a bounded sample of the labelled rows (``langid.SAMPLE_ROWS``); rejected documents go.
 
-    Where the table has no label at all there is no model, and only texts without letters go.
+    Rejected are texts without a letter and texts whose n-grams are not those of the labelled texts (``langid.identify``,
+    ``familiar``). Where the table has no label at all there is no model, and only texts without letters go.
     """
     docs = docs.select(*COLUMNS)
     model = langid.fit(docs)
     judged = langid.identify(docs, model, "familiar")
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE) & F.col("familiar")).select(*COLUMNS)
+    return judged.where((F.col("lang_pred") != langid.UNDETERMINED) & F.col("familiar")).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +46,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources weigh as their size to the power 0.7; a document appears as often as its Poisson count, ``EPOCHS`` times on
+    average. Null texts and sources count as in ``mixing.replicate``; rows that repeat draw the same count."""
     return mixing.replicate(docs.select(*COLUMNS), epochs=EPOCHS).select(*COLUMNS)
 
 
