@@ -16,6 +16,7 @@ WINDOW_MINUTES = 30
 MAX_PENDING_TITLES = 5
 MAX_PENDING_IDS = 30
 PUSH_CAP = 50
+DIGESTS_PER_CYCLE = 50
 
 # Wording of notifications where the caller gives none.
 ALERT_TITLE = "Keyword alert"
@@ -311,6 +312,35 @@ def digest_contents(
     )
 
 
+def digest_cycle(windows: DataFrame, now: str | Column, subscriptions: DataFrame, targets: DataFrame, most: int = DIGESTS_PER_CYCLE) -> DataFrame:
+    """R2, one cycle over the stored windows ``uid, term, window_started_at, due_at, pending_count``: adds ``outcome``.
+
+    Of the due windows the ``most`` longest due are taken, ties by uid and term; the rest is ``deferred`` to the next
+    cycle, windows not due are ``open``. A taken window without pending matches is ``dropped``, one whose term is no longer
+    subscribed ``keyword_deleted``; with a user no device of whom can be reached it is emptied (``no_tokens``); the others
+    leave as a ``digest``. Only the taken rows, ``most`` at most, meet in one task.
+    """
+    keys = ["uid", "term"]
+    due = windows.where(F.col("due_at") <= as_ts(now))
+    taken = F.broadcast(due.orderBy("due_at", *keys).limit(most).select(*keys, F.lit(True).alias("_taken")))  # ``most`` rows at most
+    wanted = subscriptions.select(*keys).distinct().withColumn("_wanted", F.lit(True))
+    reached = targets.where("tokens + web_devices > 0").select("uid").distinct().withColumn("_reached", F.lit(True))
+    outcome = (
+        F.when(F.col("due_at") > as_ts(now), "open").when(F.col("_taken").isNull(), "deferred").when(F.col("pending_count") <= 0, "dropped")
+        .when(F.col("_wanted").isNull(), "keyword_deleted").when(F.col("_reached").isNull(), "no_tokens").otherwise("digest"))
+    return windows.join(taken, keys, "left").join(wanted, keys, "left").join(reached, "uid", "left").select(*windows.columns, outcome.alias("outcome"))
+
+
+def after_cycle(cycle: DataFrame, now: str | Column, window_minutes: int = WINDOW_MINUTES) -> DataFrame:
+    """R2: the stored windows after a ``digest_cycle``: a digest opens a new window now, deferred ones stay due."""
+    sent, emptied = F.col("outcome") == "digest", F.col("outcome").isin("digest", "no_tokens")
+    stays = cycle.where(~F.col("outcome").isin("dropped", "keyword_deleted"))
+    return stays.withColumns({
+        "window_started_at": F.when(sent, as_ts(now)).otherwise(F.col("window_started_at")),
+        "due_at": F.when(sent, as_ts(now) + F.expr(f"INTERVAL {window_minutes} MINUTES")).otherwise(F.col("due_at")),
+        "pending_count": F.when(emptied, F.lit(0)).otherwise(F.col("pending_count"))}).drop("outcome")
+
+
 def limited_unique_append(values: Column, value: Column, n: int) -> Column:
     """Append when absent, keep the last n."""
     clean = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.coalesce(v, F.lit("")) != "")

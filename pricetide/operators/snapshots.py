@@ -49,6 +49,19 @@ def summarize_long(long: DataFrame, keys: list[str]) -> DataFrame:
     return moments.join(rounded, keys).select(*keys, "sample_count", *STATS)
 
 
+def summarize_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """A1 for rows in (keys, value, n) form: histograms that were counted elsewhere, each value once per key."""
+    value, n = F.col("value"), F.col("n")
+    moments = counts.groupBy(*keys).agg(
+        F.sum("n").alias("sample_count"), (F.sum(value * n) / F.sum("n")).alias("_mean"), F.min(value).alias("min"), F.max(value).alias("max"),
+        (F.sum(F.when(value != 0, n).otherwise(0)) / F.sum("n")).alias("nonzero_rate"))
+    away = counts.join(moments.select(*keys, "_mean"), keys)
+    spread = away.groupBy(*keys).agg((F.sum(n * F.pow(value - F.col("_mean"), 2)) / F.sum("n")).alias("variance"))
+    quantiles = scale.histogram_quantiles(counts, keys, "value", SNAPSHOT_PROBS)
+    whole = moments.join(spread, keys).join(quantiles, keys).withColumns({"mean": F.col("_mean"), "stddev": F.sqrt("variance")})
+    return whole.select(*keys, "sample_count", *[_r4(F.col(name)).alias(name) for name in STATS])
+
+
 def temperature_snapshot(rows: DataFrame, captured_at: str | Column, sources: list[str]) -> DataFrame:
     """A3 in long form: (source, captured_at, model_version, metric, statistics) of one capture.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from pricetide.operators import dedup as D
 from pricetide.operators import devices as G
 from pricetide.plans.registry import query, sql_ts, ts_text
 from pricetide.plans.views import VIEW_SQL, NOW, oracle_with, table, text_table, view
-from pricetide.session import work_path
+from pricetide.session import STATE_STORE_CONF, cut_lineage, work_path
 from pricetide.streaming import jobs as J
 
 NORM = r"trim(regexp_replace(regexp_replace(lower(regexp_replace({0}, '<!--[\s\S]*?-->|<[^>]*>', ' ', 'g')), '[^\p{{L}}\p{{N}}\s]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -235,6 +236,18 @@ def _run(spark, stream, mode="append"):
     return J.read_all(stream, f"{base}/checkpoint", f"{base}/rows", mode)
 
 
+@contextlib.contextmanager
+def rocksdb(spark):
+    """The state store that ``transformWithState`` needs; the session's own choice comes back afterwards."""
+    (name, store), = STATE_STORE_CONF.items()
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, store)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def _event_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     return J.tables.read_documents_stream(spark, f"{sf_dir}/events*.parquet", schema)
@@ -243,24 +256,21 @@ def _event_stream(spark, sf_dir):
 @query("alert_throttle_stream", f"{THROTTLED} SELECT uid, term, deal_id, action, pending_count, digest_count FROM th")
 def alert_throttle_stream(spark, sf_dir):
     """R1 as a stateful stream; equal to its batch twin when no timer flushes between."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J_STATE)
     m = _event_stream(spark, sf_dir).select(
         F.col("user_id").alias("uid"), F.col("event_type").alias("term"), F.col("event_id").alias("deal_id"), "ts")
-    out = _run(spark, J.alert_throttle_stream(m, flush=False))
+    with rocksdb(spark):
+        out = _run(spark, J.alert_throttle_stream(m, flush=False))
     return out.select(F.col("uid").cast("bigint").alias("uid"), "term", F.col("deal_id").cast("bigint").alias("deal_id"),
                       "action", "pending_count", "digest_count")
 
 
-J_STATE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 @query("alert_digest_stream")
 def alert_digest_stream(spark, sf_dir):
     """R1 with R2: timers flush pending digests as event time passes a window's end."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J_STATE)
     m = _event_stream(spark, sf_dir).select(
         F.col("user_id").alias("uid"), F.col("event_type").alias("term"), F.col("event_id").alias("deal_id"), "ts")
-    return _run(spark, J.alert_throttle_stream(m, flush=True)).groupBy("action").agg(F.count(F.lit(1)).alias("alerts"))
+    with rocksdb(spark):
+        return _run(spark, J.alert_throttle_stream(m, flush=True)).groupBy("action").agg(F.count(F.lit(1)).alias("alerts"))
 
 
 @query("alert_dedup_stream", "SELECT DISTINCT event_type AS deal_id, user_id AS uid FROM events")
@@ -296,20 +306,15 @@ def _deal_stream(spark, sf_dir):
         F.col("ts").alias("registered_at"))
 
 
-@query("snapshot_stream", SNAP_SQL)
+@query("snapshot_stream", f"SELECT * FROM ({SNAP_SQL}) s WHERE CAST(captured_at AS TIMESTAMP) + INTERVAL 90 MINUTE <= (SELECT max(ts) FROM events)")
 def snapshot_stream(spark, sf_dir):
-    """The same numbers as the batch series. Complete mode, so the open windows are read too."""
-    stats = J.snapshot_stream(_deal_stream(spark, sf_dir), ["views", "comments", "likes", "dislikes", "comment_signal_score"])
+    """The same numbers as the batch series, of the half hours the watermark (one hour) has closed. Append mode."""
     base = work_path(spark, "stream")
-    query_ = (
-        stats.writeStream.outputMode("update").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
-        .foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{base}/rows/batch={i}")).start())
-    query_.awaitTermination()
-    rows = spark.read.schema(stats.schema).parquet(f"{base}/rows/*")
-    # A window touched by several batches is written by each of them; the last one counts.
-    latest = rows.groupBy("source", "captured_at", "metric").agg(
-        F.max_by(F.struct("sample_count", "mean", "variance", "p25", "p50", "p75", "p90", "p95"), "sample_count").alias("s"))
-    return latest.select("source", ts_text("captured_at").alias("captured_at"), "metric", "s.*")
+    counts = J.value_counts_stream(_deal_stream(spark, sf_dir), ["views", "comments", "likes", "dislikes", "comment_signal_score"], late="1 hour")
+    counts.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(
+        J.snapshot_sink(f"{base}/rows", f"{base}/checkpoint")).start().awaitTermination()
+    rows = spark.read.parquet(f"{base}/rows")
+    return rows.select("source", ts_text("captured_at").alias("captured_at"), "metric", "sample_count", "mean", "variance", "p25", "p50", "p75", "p90", "p95")
 
 
 @query("late_filter_stream", f"{oracle_with('v_deals')} SELECT id, source FROM v_deals WHERE registered_at BETWEEN TIMESTAMP '2024-01-18 00:00:00' AND TIMESTAMP '2024-01-20 00:10:00'")
@@ -335,6 +340,71 @@ def ttl_prune(spark, sf_dir):
     return J.ttl_prune(view(spark, sf_dir, "v_deals"), F.lit(NOW).cast("timestamp")).select("id")
 
 
+@query("expiry_stream", f"""{oracle_with('v_deals')} SELECT id, {sql_ts("registered_at + INTERVAL 48 HOUR")} AS expired_at FROM v_deals
+WHERE registered_at + INTERVAL 48 HOUR <= (SELECT max(registered_at) - INTERVAL 10 MINUTE FROM v_deals)""")
+def expiry_stream(spark, sf_dir):
+    """R8 over event time: what leaves the active set while the stream runs."""
+    return _run(spark, J.expiry_stream(_deal_stream(spark, sf_dir))).select("id", ts_text("expired_at").alias("expired_at"))
+
+
+@query("active_set_stream", f"""{oracle_with('v_deals')} SELECT id, source FROM v_deals
+WHERE registered_at + INTERVAL 48 HOUR > (SELECT max(registered_at) - INTERVAL 10 MINUTE FROM v_deals)""")
+def active_set_stream(spark, sf_dir):
+    """R8 with R9: the stored active set after the stream's expiries were taken from it."""
+    base = work_path(spark, "stream")
+    J.tables.publish(view(spark, sf_dir, "v_deals").select("id", "source", "registered_at"), f"{base}/deals")
+    ended = J.expiry_stream(_deal_stream(spark, sf_dir))
+    ended.writeStream.option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(
+        J.upsert_sink(f"{base}/deals", J.without_expired, f"{base}/checkpoint")).start().awaitTermination()
+    return J.tables.read_current(spark, f"{base}/deals").select("id", "source")
+
+
+@query("subscription_stream_match", """WITH s AS (SELECT c_custkey AS uid, CASE c_custkey % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'signup' WHEN 3 THEN 'error' ELSE 'purchase' END AS term,
+  TIMESTAMP '2024-01-01' + CAST(c_custkey % 40 AS INTEGER) * INTERVAL 1 DAY AS since FROM customer)
+SELECT uid, count(*) AS matches FROM s JOIN events e ON e.event_type = s.term AND e.user_id % 100 = s.uid % 100 AND e.ts >= s.since GROUP BY uid""")
+def subscription_stream_match(spark, sf_dir):
+    """Deals and subscriptions are both streams; a term counts from its day on."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("click", "view", "signup", "error", "purchase")]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    customers = J.tables.read_documents_stream(spark, f"{sf_dir}/customer*.parquet", table(spark, sf_dir, "customer").schema)
+    subs = customers.select(
+        F.col("c_custkey").alias("uid"), F.concat_ws(" ", kind, (F.col("c_custkey") % 100).cast("string")).alias("term"), F.lit(True).alias("enabled"),
+        F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("c_custkey") % 40) * 86_400).alias("since"))
+    e = _event_stream(spark, sf_dir).select(F.col("event_id").alias("id"), F.concat_ws(" ", "event_type", (F.col("user_id") % 100).cast("string")).alias("title"), "ts")
+    return _run(spark, J.keyword_match_stream(e, subs, ["title"])).groupBy("uid").agg(F.count(F.lit(1)).alias("matches"))
+
+
+@query("open_windows_state", f"{THROTTLED}, ls AS (SELECT uid, term, max(st) AS st FROM aw GROUP BY ALL) SELECT uid, term, {sql_ts('st')} AS started, max(pending_count) AS pending FROM ls JOIN (SELECT uid, term, st, count(*) - 1 AS pending_count FROM aw GROUP BY ALL) USING (uid, term, st) GROUP BY ALL")
+def open_windows_state(spark, sf_dir):
+    """The state of the throttling stream, read as a table after its run."""
+    m = _event_stream(spark, sf_dir).select(
+        F.col("user_id").alias("uid"), F.col("event_type").alias("term"), F.col("event_id").alias("deal_id"), "ts")
+    base = work_path(spark, "stream")
+    with rocksdb(spark):
+        J.read_all(J.alert_throttle_stream(m, flush=False), f"{base}/checkpoint", f"{base}/rows")
+        return J.open_windows(spark, f"{base}/checkpoint").select(
+            F.col("uid").cast("bigint").alias("uid"), "term", ts_text("window_started_at").alias("started"), F.col("pending_count").alias("pending"))
+
+
+@query("digest_cycles", f"""{THROTTLED}, ls AS (SELECT uid, term, max(st) AS st FROM aw GROUP BY ALL),
+w AS (SELECT uid, term, st + INTERVAL 30 MINUTE AS due, count(*) - 1 AS pending FROM aw JOIN ls USING (uid, term, st) GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (ORDER BY due, uid, term) AS place FROM w WHERE due <= TIMESTAMP '2024-01-30 22:00:00')
+SELECT w.uid, w.term, CASE WHEN place IS NULL THEN 'open' WHEN place > 150 THEN 'deferred' WHEN w.pending <= 0 THEN 'dropped' ELSE 'digest' END AS outcome,
+  CASE WHEN place <= 150 THEN CAST((place - 1) // 50 AS INTEGER) END AS cycle FROM w LEFT JOIN q USING (uid, term)""")
+def digest_cycles(spark, sf_dir):
+    """R2: three cycles of at most fifty digests; what is left over stays due."""
+    now, left, out = "2024-01-30 22:00:00", A.due_digests(_event_matches(spark, sf_dir), "2024-01-30 22:00:00").drop("state"), []
+    left = cut_lineage(left)
+    subs, targets = left.select("uid", "term"), left.select("uid").distinct().withColumns({"tokens": F.lit(1), "web_devices": F.lit(0)})
+    for cycle in range(3):
+        done = cut_lineage(A.digest_cycle(left, now, subs, targets))
+        taken = F.col("outcome").isin("digest", "dropped")
+        out.append(done.where(taken).select("uid", "term", "outcome", F.lit(cycle).alias("cycle")))
+        left = done.where(~taken).drop("outcome")
+    rest = F.when(F.col("due_at") > F.lit(now).cast("timestamp"), "open").otherwise("deferred")
+    out.append(left.select("uid", "term", rest.alias("outcome"), F.lit(None).cast("int").alias("cycle")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 # --- devices -------------------------------------------------------------------------------------
 
 CLEAN = f"""{oracle_with('v_devices')}, e AS (SELECT * FROM v_devices WHERE enabled), wb AS (SELECT *, endpoint <> '' AND display_mode = 'standalone' AS sa FROM e WHERE endpoint <> ''),

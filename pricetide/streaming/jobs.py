@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pricetide.functions.times import bucket_30min
 from pricetide.operators import alerts as A
 from pricetide.operators import snapshots as N
+from pricetide.session import cut_lineage
 from pricetide.sources import tables
 
 ALERT_SCHEMA = T.StructType([
@@ -143,10 +144,11 @@ def late_and_future_filter(deals: DataFrame, now_col: str | None = None, late: s
     return kept.withWatermark("registered_at", late)
 
 
-def snapshot_stream(deals: DataFrame, metrics: list[str], late: str = "48 hours") -> DataFrame:
-    """Tumbling 30-minute statistics per source and metric, exact percentiles included.
+def value_counts_stream(deals: DataFrame, metrics: list[str], late: str = "48 hours") -> DataFrame:
+    """``captured_at, source, metric, value, n``, the histogram of every half hour, in append mode.
 
-    The state of one window is its value counts, bounded by the deals of one source in half an hour.
+    State is one small row per value of a metric in a half hour, dealt by value: a source with a third of all deals is
+    spread over the tasks, and no row grows. A half hour's counts leave together, when the watermark has passed its end.
     """
     long = deals.withWatermark("registered_at", late).select(
         "source", "registered_at",
@@ -154,27 +156,75 @@ def snapshot_stream(deals: DataFrame, metrics: list[str], late: str = "48 hours"
             F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias("value"))
             for m in metrics
         ])).alias("m"))
-    value = F.col("m.value")
-    quantiles = [
-        N._r4(F.percentile(value, p)).alias(name) for name, p in N.SNAPSHOT_PROBS.items()
-    ]
-    return long.groupBy(F.window("registered_at", "30 minutes"), "source", F.col("m.metric").alias("metric")).agg(
-        F.count(F.lit(1)).alias("sample_count"), N._r4(F.avg(value)).alias("mean"),
-        N._r4(F.var_pop(value)).alias("variance"), N._r4(F.stddev_pop(value)).alias("stddev"),
-        N._r4(F.min(value)).alias("min"), N._r4(F.max(value)).alias("max"),
-        N._r4(F.avg((value != 0).cast("double"))).alias("nonzero_rate"), *quantiles,
-    ).withColumn("captured_at", bucket_30min(F.col("window.start"))).drop("window")
-
-
-def keyword_match_stream(deals: DataFrame, subscriptions: DataFrame, text_cols: list[str]) -> DataFrame:
-    """Matches of new deals against the stored index (stream-static join J8): (deal_id, uid, term, ts)."""
-    terms = deals.select(
+    return long.groupBy(F.window("registered_at", "30 minutes"), "source", F.col("m.metric").alias("metric"), (F.col("m.value") + F.lit(0.0)).alias("value")).agg(
+        F.count(F.lit(1)).alias("n")).select(bucket_30min(F.col("window.start")).alias("captured_at"), "source", "metric", "value", "n")
+
+
+def snapshot_sink(root: str, checkpoint: str):
+    """Writes the statistics (exact percentiles included) of the half hours a batch of ``value_counts_stream`` closes.
+
+    The histograms are merged by ``snapshots.summarize_counts``, which gathers no source in one task. A batch's folder is
+    named by stream and batch, so a replay replaces what it has written.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        held = cut_lineage(batch)
+        stats = N.summarize_counts(held, ["captured_at", "source", "metric"])
+        mark = f"{tables.stream_id(batch.sparkSession, checkpoint)}-{batch_id}"
+        stats.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{root}/batch={mark}")
+    return write
+
+
+def keyword_match_stream(deals: DataFrame, subscriptions: DataFrame, text_cols: list[str], delay: str = "10 minutes", salts: int = 8) -> DataFrame:
+    """Matches of new deals against the subscriptions (J8): (deal_id, uid, term, ts).
+
+    A static table of subscriptions is read as it is when the stream starts. A stream of them (``uid, term, enabled,
+    since``) is state instead: a term matches the deals registered at or after its ``since``, in whatever batch either
+    comes; what is stored when the stream starts is its first batch. Rows meet by term and one of ``salts`` salts, so a term
+    in very many deals is dealt over tasks and each subscription is kept that many times. Terms stay for good; a deal
+    waits until the watermark of the subscriptions has passed it (a quiet source needs a row now and then, an empty term will do).
+    A term given up later is left out by ``alerts.validate_subscription``.
+    """
+    terms = deals.withWatermark("ts", delay) if subscriptions.isStreaming else deals
+    terms = terms.select(
         F.col("id").alias("deal_id"), F.col("ts"),
         F.explode_outer(A.X.candidate_terms(A.X.normalize_text(*[F.col(c) for c in text_cols]))).alias("term")
     ).where("term IS NOT NULL")
-    wanted = subscriptions.where("enabled").select(
-        "uid", A.X.normalize_term(F.col("term")).alias("term")).distinct()
-    return terms.join(wanted, "term")
+    if not subscriptions.isStreaming:
+        wanted = subscriptions.where("enabled").select("uid", A.X.normalize_term(F.col("term")).alias("term")).distinct()
+        return terms.join(wanted, "term")
+    wanted = subscriptions.withWatermark("since", delay).where("enabled").select(
+        "uid", A.X.normalize_term(F.col("term")).alias("_term"), "since").dropDuplicates(["uid", "_term"])
+    wanted = wanted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = terms.withColumn("_salt", F.pmod(F.xxhash64("deal_id"), F.lit(salts)).cast("int"))
+    return dealt.join(wanted, F.expr("term = _term AND _salt = _part AND since <= ts")).select("term", "deal_id", "ts", "uid")
+
+
+def expiry_stream(deals: DataFrame, hours: int = 48, delay: str = "10 minutes") -> DataFrame:
+    """``id, registered_at, expired_at``, one row when a deal's time is up: ``hours`` after it was registered last.
+
+    Event time decides, so a replay gives the same rows: a deal's state is one session that every registration prolongs, and
+    leaves the store when the watermark passes its end.
+    """
+    lasting = f"{hours} hours"
+    ended = deals.withWatermark("registered_at", delay).groupBy(F.session_window("registered_at", lasting).alias("_s"), "id").agg(
+        F.max("registered_at").alias("registered_at"))
+    return ended.select("id", "registered_at", F.col("_s.end").alias("expired_at"))
+
+
+def without_expired(stored: DataFrame, expired: DataFrame) -> DataFrame:
+    """The active set after a batch of ``expiry_stream``; a deal registered again meanwhile stays."""
+    gone = expired.groupBy(F.col("id").alias("_id")).agg(F.max("registered_at").alias("_last"))
+    return stored.join(gone, (F.col("id") == F.col("_id")) & (F.col("registered_at") <= F.col("_last")), "left_anti")
+
+
+def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """R2: the windows a finished run of ``alert_throttle_stream`` keeps in its state, read as a table:
+    ``uid, term, window_started_at, due_at, pending_count, titles, deal_ids``."""
+    state = spark.read.format("statestore").option("stateVarName", "window").load(checkpoint)
+    started = F.timestamp_micros("value.start")
+    return state.select(
+        "key.uid", "key.term", started.alias("window_started_at"), (started + F.expr(f"INTERVAL {A.WINDOW_MINUTES} MINUTES")).alias("due_at"),
+        F.col("value.pending").alias("pending_count"), "value.titles", "value.deal_ids")
 
 
 def upsert_sink(root: str, plan_batch, checkpoint: str):
@@ -215,7 +265,7 @@ def ledger_sink(root: str, checkpoint: str):
 
 
 def ttl_prune(stored: DataFrame, now, hours: int = 48) -> DataFrame:
-    """R8, batch form used inside ``upsert_sink``: rows leave the active set after their window."""
+    """R8, batch form: rows leave the active set after their window; ``expiry_stream`` is the streaming form."""
     return stored.where(F.col("registered_at").isNull() | (
         F.col("registered_at") >= now - F.expr(f"INTERVAL {hours} HOURS")))
 

@@ -4,10 +4,13 @@ import random
 import uuid
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pricetide.operators import alerts as A
 from pricetide.operators import devices as G
+from pricetide.session import cut_lineage
 from pricetide.streaming import jobs as J
 
 MATCH = "uid int, term string, deal_id int, ts timestamp"
@@ -46,6 +49,49 @@ def test_throttle_equals_walk(matches):
     assert [got[i][0] for i in range(9000, 9005)] == ["send", "send", "queue", "queue", "send"]
 
 
+@pytest.fixture(scope="module")
+def timed(spark):
+    def make(rows):
+        df = spark.createDataFrame(rows, "uid int, term string, deal_id int, s int")
+        return df.select("uid", "term", "deal_id", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"))
+    return make
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 2), st.integers(0, 40_000)), min_size=1, max_size=60))
+def test_jumps_equal_the_walk_on_any_times(timed, times):
+    matches = timed([(uid, "t", i, s) for i, (uid, s) in enumerate(times)])
+    assert {r["deal_id"]: (r["action"], r["pending_count"], r["digest_count"]) for r in A.alert_throttle(matches).collect()} == loop(matches.collect())
+
+
+def test_one_long_chain_without_a_pause(timed):
+    matches = timed([(1, "t", i, 11 * i + i % 7) for i in range(20_000)] + [(2, "t", 20_000 + i, 1799 * i) for i in range(300)] + [(3, "t", 30_000 + i, 1800 * i) for i in range(70)])
+    assert {r["deal_id"]: (r["action"], r["pending_count"], r["digest_count"]) for r in A.alert_throttle(matches).collect()} == loop(matches.collect())
+    plan = A.alert_windows(matches, ["uid", "term"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "hashpartitioning(uid#" in plan and ", slot#" in plan
+
+
+def test_due_windows_leave_in_cycles_of_fifty(spark):
+    rows = [(f"u{i:03d}", "t", i % 9, 1 + i % 3) for i in range(117)] + [("gone", "t", 1, 5), ("deaf", "t", 2, 5), ("idle", "t", 3, 0), ("later", "t", 10_000, 1)]
+    windows = spark.createDataFrame(rows, "uid string, term string, s int, pending_count long").select(
+        "uid", "term", F.timestamp_seconds(F.col("s") + 1_700_000_000 - 1800).alias("window_started_at"),
+        F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("due_at"), "pending_count")
+    now = F.timestamp_seconds(F.lit(1_700_000_060))
+    subs = windows.where("uid <> 'gone'").select("uid", "term")
+    targets = windows.select("uid", F.lit(1).alias("tokens"), F.when(F.col("uid") == "deaf", -1).otherwise(0).alias("web_devices"))
+    left, sizes, outcomes = windows, [], {}
+    for _ in range(3):
+        cycle = cut_lineage(A.digest_cycle(left, now, subs, targets))
+        taken = [r for r in cycle.collect() if r.outcome not in ("open", "deferred")]
+        sizes.append(len(taken))
+        outcomes = {r.uid: r.outcome for r in taken} | outcomes
+        left = A.after_cycle(cycle, now)
+    assert sizes == [50, 50, 21] and len(outcomes) == 120  # the emptied window is due once more, and dropped
+    assert [outcomes[u] for u in ("gone", "deaf", "idle", "u000")] == ["keyword_deleted", "no_tokens", "dropped", "digest"]
+    after = {r.uid: r for r in left.collect()}
+    assert set(after) == {r[0] for r in rows} - {"gone", "idle", "deaf"} and all(after[r[0]].pending_count == (1 if r[0] == "later" else 0) for r in rows if r[0] in after)
+
+
 def test_stream_equals_batch(spark, matches, tmp_path):
     matches.write.parquet(f"{tmp_path}/in")
     stream = J.tables.read_documents_stream(spark, f"{tmp_path}/in", matches.schema)

@@ -1,6 +1,7 @@
 """Sinks and filters of the streaming jobs."""
 
 import datetime as dt
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,3 +71,72 @@ def test_long_chain(spark):
     rows = [(f"{i:04d}", f"{i - 1:04d}" if i else None) for i in range(300)]
     got = {r.id: r.depth for r in V.comment_depths(spark.createDataFrame(rows, "id string, parent_id string")).collect()}
     assert got == {f"{i:04d}": i for i in range(300)}
+
+
+EVENTS = "id int, source string, views long, registered_at timestamp"
+
+
+def feed(spark, source, rows):
+    df = spark.createDataFrame(rows, "id int, source string, views long, s long").withColumn("registered_at", F.timestamp_seconds(F.col("s") + 1_700_006_400)).drop("s")
+    df.coalesce(1).write.mode("append").parquet(source)
+
+
+def drive(stream, sink, checkpoint):
+    stream.writeStream.outputMode("append").foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def test_half_hours_are_counted_across_restarts(spark):
+    """A hot source; every run is a new query on the old checkpoint."""
+    root, source, checkpoint = (work_path(spark, n) for n in ("r", "s", "c"))
+    runs = [[(i, "hot" if i % 3 else "b", (i * 7) % 13, at + i % 1800) for i in range(at // 10, at // 10 + 300)] for at in (0, 900, 5400, 9000, 20000)]
+    for rows in runs:
+        feed(spark, source, rows)
+        drive(J.value_counts_stream(spark.readStream.schema(EVENTS).parquet(source), ["views"], "30 minutes"), J.snapshot_sink(root, checkpoint), checkpoint)
+    rows = [r for run in runs for r in run]
+    slots = {}
+    for _, name, views, at in rows:
+        slots.setdefault((name, at // 1800), []).append(views)
+    latest = max(r[3] for r in rows)
+    want = {k: v for k, v in slots.items() if (k[1] + 1) * 1800 <= latest - 1800}
+    got = {(r.source, (int(r.captured_at.timestamp()) - 1_700_006_400) // 1800): r for r in spark.read.parquet(root).collect()}
+    assert got.keys() == want.keys() and len(want) >= 6 and spark.read.parquet(root).count() == len(want)
+    for key, values in want.items():
+        r = got[key]
+        assert (r.sample_count, r.min, r.max, r.p50) == (len(values), min(values), max(values), statistics.median(values))
+        assert abs(r.mean - statistics.fmean(values)) < 1e-4 and abs(r.variance - statistics.pvariance(values)) < 1e-4
+
+
+def test_active_set_loses_deals_after_their_time(spark):
+    root, source, checkpoint = (work_path(spark, n) for n in ("r", "s", "c"))
+    hour = 3600
+    tables.publish(spark.createDataFrame([], "id int, registered_at timestamp"), root)
+    seen = []
+    for rows in ([(1, "a", 0, 0), (2, "a", 0, 10 * hour)], [(1, "a", 0, 40 * hour), (3, "a", 0, 50 * hour)], [(4, "a", 0, 60 * hour)], [(5, "a", 0, 120 * hour)]):
+        feed(spark, source, rows)
+        fresh = spark.createDataFrame(rows, "id int, source string, views long, s long").select("id", F.timestamp_seconds(F.col("s") + 1_700_006_400).alias("registered_at"))
+        stored = tables.read_current(spark, root).unionByName(fresh).groupBy("id").agg(F.max("registered_at").alias("registered_at"))
+        tables.publish(stored, root)
+        drive(J.expiry_stream(spark.readStream.schema(EVENTS).parquet(source)), J.upsert_sink(root, J.without_expired, checkpoint), checkpoint)
+        seen.append({r.id for r in tables.read_current(spark, root).collect()})
+    assert seen == [{1, 2}, {1, 2, 3}, {1, 3, 4}, {5}]
+
+
+def test_a_term_added_between_two_batches_matches_in_the_second(spark):
+    deals, terms, checkpoint, out = (work_path(spark, n) for n in ("d", "t", "c", "o"))
+
+    def write(path, rows, schema, at):
+        spark.createDataFrame(rows, schema).withColumn(at, F.timestamp_seconds(F.col("s") + 1_700_006_400)).drop("s").coalesce(1).write.mode("append").parquet(path)
+
+    def run():
+        streams = [spark.readStream.schema(schema).parquet(path) for schema, path in (
+            ("id int, title string, ts timestamp", deals), ("uid string, term string, enabled boolean, since timestamp", terms))]
+        J.read_all(J.keyword_match_stream(*streams, ["title"], salts=3), checkpoint, out)
+
+    write(terms, [("u", "red tv", True, 0), ("u", " Red TV", True, 5), ("x", "fridge", False, 0)], "uid string, term string, enabled boolean, s int", "since")
+    write(deals, [(1, "A red TV!", 10), (2, "blue fridge", 20)], "id int, title string, s int", "ts")
+    run()
+    write(terms, [("v", "fridge", True, 30)], "uid string, term string, enabled boolean, s int", "since")
+    write(deals, [(3, "big fridge", 40), (4, "red tv fridge", 25)], "id int, title string, s int", "ts")
+    run()
+    got = sorted((r.deal_id, r.uid, r.term) for r in spark.read.parquet(out).collect())
+    assert got == [(1, "u", "red tv"), (3, "v", "fridge"), (4, "u", "red tv")]
