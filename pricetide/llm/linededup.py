@@ -61,8 +61,9 @@ def _beside_documents(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
 
     Marks are broadcast if what they hold, added up first, is within ``SMALL_BYTES``; else both sides are shuffled.
     """
-    id_bytes = F.coalesce(F.octet_length(F.col("doc_id").cast("string")), F.lit(0)) + F.lit(64)
-    held = marks.agg(F.sum((F.size("_at") + F.lit(1)).cast("bigint") * id_bytes).alias("b")).first()["b"] or 0  # a mark may hold its document's id
+    row = F.coalesce(F.octet_length(F.col("doc_id").cast("string")), F.lit(0)).cast("bigint") + F.lit(64)
+    each = F.lit(8) if marks.schema["_at"].dataType.elementType.typeName() == "integer" else row  # a place alone, or with its document's id
+    held = marks.agg(F.sum(F.size("_at") * each + row).alias("b")).first()["b"] or 0
     marks = marks.select(F.col("doc_id").alias("_mark_id"), F.col("_row").alias("_mark_row"), "_at")
     marks = F.broadcast(marks) if held <= SMALL_BYTES else marks
     return docs.join(marks, (docs["_row"] == marks["_mark_row"]) & docs["doc_id"].eqNullSafe(marks["_mark_id"]), how).drop("_mark_id", "_mark_row")
