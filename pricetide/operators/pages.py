@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -122,46 +121,42 @@ def html_to_text(html: Column, keep_lines: bool = False) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-class _CommentText(HTMLParser):
-    """Collects text below comment containers; open tags are a stack of "hidden" flags."""
+# A comment, a script or style with its content, or a tag with its name and attributes.
+_MARKUP = re.compile(r"<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>[^>]*)>", re.I | re.S)
+_MARKS = re.compile(r"""\b(?:id|class)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_CONTAINER, _OTHER = re.compile(COMMENT_ROOT), re.compile(COMMENT_NON_BODY)
+# Elements that have no content and no end tag.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
-    HIDDEN = ("script", "style", "template")
-    root, other = re.compile(COMMENT_ROOT), re.compile(COMMENT_NON_BODY)
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.open: list[bool] = []
-        self.found: list[str] = []
+def _comment_parts(page: str) -> list[str]:
+    """Pieces of text inside comment containers.
 
-    def handle_starttag(self, tag, attrs):
-        if not self.open:
-            marks = " ".join(v.lower() for k, v in attrs if v and k in ("id", "class"))
-            if self.other.search(marks) or not self.root.search(marks.replace("__", "_")):
-                return
-        self.open.append(tag in self.HIDDEN or bool(self.open and self.open[-1]))
-
-    def handle_startendtag(self, tag, attrs):
-        pass
-
-    def handle_endtag(self, tag):
-        if self.open:
-            self.open.pop()
-
-    def handle_data(self, data):
-        if self.open and not self.open[-1]:
-            self.found.append(data)
+    ``path`` names the open elements from the container inwards. An end tag closes the innermost element of its name and
+    whatever was left open inside it; one without an element is ignored.
+    """
+    found, path, at = [], [], 0
+    for tag in _MARKUP.finditer(page):
+        if path and "template" not in path and tag.start() > at:
+            found.append(html_lib.unescape(page[at : tag.start()]))
+        at = tag.end()
+        name = (tag["name"] or "").lower()
+        if tag["close"]:
+            if name in path:
+                del path[len(path) - 1 - path[::-1].index(name) :]
+        elif name and name not in VOID and not tag["attrs"].endswith("/"):
+            marks = "" if path else " ".join("".join(m) for m in _MARKS.findall(tag["attrs"])).lower()
+            if path or (not _OTHER.search(marks) and _CONTAINER.search(marks.replace("__", "_"))):
+                path.append(name)
+    if path and "template" not in path:
+        found.append(html_lib.unescape(page[at:]))
+    return found
 
 
 @F.pandas_udf(T.StringType())
 def comment_section_text(html: pd.Series) -> pd.Series:
     """Text inside containers whose id or class marks comments; '' when a page has none."""
-    def one(page):
-        walker = _CommentText()
-        walker.feed(page or "")
-        walker.close()
-        return " ".join(" ".join(walker.found).split())
-
-    return html.map(one)
+    return html.map(lambda page: " ".join(" ".join(_comment_parts(page or "")).split()))
 
 
 class _Container:

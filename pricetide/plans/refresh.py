@@ -44,6 +44,8 @@ def refresh(
 ) -> Refreshed:
     """One run over the feed files against the newest table version; publishes the next version.
 
+    ``tables.VersionConflict`` where another writer has published meanwhile: run again.
+
     The stored table needs ``key``, ``id``, the payload columns, ``updated_at`` and ``deleted_at``.
     """
     items, meta = feeds.read_feed_json(spark, feed_paths)
@@ -57,6 +59,7 @@ def refresh(
     incoming = window_rows(D.dedup_feed(feeds.normalize_item(kept, rules)), now).withColumn("id", F.sha1("key"))
     incoming = Y.scale.cut_lineage(incoming)
 
+    base = tables.current_version(spark, table_root)
     stored = tables.read_current(spark, table_root)
     existing = D.pick_existing(stored)
     plan = Y.scale.cut_lineage(Y.plan_sync(incoming, existing, now, sources, protected))
@@ -66,7 +69,7 @@ def refresh(
         ("policy", stored.where(F.col("deleted_at").isNull() & D.is_excluded(F.col("source"), F.col("title")))),
     ])
     written = Y.soft_delete(Y.apply_plan(stored, incoming, plan, now, PAYLOAD), extra, now)
-    version = tables.publish(Y.purge_soft_deleted(written), table_root, ["source"])
+    version = tables.publish(Y.purge_soft_deleted(written), table_root, ["source"], base=base)
 
     fresh = tables.read_current(spark, table_root)
     observed = incoming.where(~F.col("source").isin(stale)) if stale else incoming

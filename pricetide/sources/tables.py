@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import time
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +35,16 @@ def write_deals(df: DataFrame, path: str) -> None:
 
 # Tasks a day of one source is spread over when it is written.
 FILE_SALTS = 8
-VERSION = re.compile(r"v(\d+)(?:-([0-9a-f]+)-(\d+))?")
+# A version's folder: its number, the attempt that wrote it, and the stream and batch if a micro-batch did.
+VERSION = re.compile(r"v(\d+)-([0-9a-f]{8})(?:-([0-9a-f]+)-(\d+))?")
+CLAIMS = "_claims"
+# Seconds another writer's claim may stay without its folder's name before it counts as abandoned.
+CLAIM_WAIT = 60
+ATTEMPTS = 20
+
+
+class VersionConflict(RuntimeError):
+    """Another writer has published a version since this one's base was read."""
 
 
 class Version(NamedTuple):
@@ -45,26 +56,39 @@ class Version(NamedTuple):
     path: str
 
 
-def versions(spark: SparkSession, root: str) -> list[Version]:
-    """The finished versions below ``root``, oldest first."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _hadoop(spark: SparkSession, path: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _claims(spark: SparkSession, root: str) -> dict[int, str]:
+    """Claimed numbers and the names of the folders that hold them; '' where the claimant has not said yet."""
+    path, fs = _hadoop(spark, f"{root}/{CLAIMS}")
     if not fs.exists(path):
-        return []
-    done = []
+        return {}
+    names = {}
     for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        found = VERSION.fullmatch(name)
-        if found and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/_SUCCESS")):
-            done.append(Version(int(found[1]), found[2], int(found[3]) if found[3] else None, f"{root}/{name}"))
-    return sorted(done, key=lambda v: (v.number, v.path))
+        stream = fs.open(status.getPath())
+        try:
+            names[int(status.getPath().getName())] = bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+    return names
+
+
+def versions(spark: SparkSession, root: str) -> list[Version]:
+    """The published versions below ``root``, oldest first."""
+    found = []
+    for number, name in sorted(_claims(spark, root).items()):
+        parts = VERSION.fullmatch(name)
+        if parts:
+            found.append(Version(number, parts[3], int(parts[4]) if parts[4] else None, f"{root}/{name}"))
+    return found
 
 
 def folders(spark: SparkSession, root: str) -> int:
     """Number of entries below ``root``; 0 when it does not exist."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path, fs = _hadoop(spark, root)
     return len(fs.listStatus(path)) if fs.exists(path) else 0
 
 
@@ -78,22 +102,65 @@ def read_current(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(versions(spark, root)[-1].path)
 
 
-def publish(df: DataFrame, root: str, partition_by: list[str] = (), stream: str | None = None, batch: int | None = None) -> int:
-    """Writes the next version; readers see it once the job's ``_SUCCESS`` marker exists.
+def publish(
+    df: DataFrame, root: str, partition_by: list[str] = (), stream: str | None = None, batch: int | None = None, base: int | None = None,
+) -> int:
+    """Writes the version after ``base`` (the newest one where it is not given) and returns its number.
 
-    The version being read is never overwritten, and a job that dies leaves no visible version. A micro-batch's mark is
-    part of the version's name, so data and mark appear in one step.
+    ``base`` is the version ``df`` was planned from. The data is written into a folder of its own; then the number is
+    claimed by creating a file that must not exist yet, so of several writers that planned from one version a single one
+    wins, and the others get a ``VersionConflict`` and leave nothing: see ``update``. Readers see a version once its claim
+    names its folder. A micro-batch's mark is part of the folder's name, so data and mark appear in one step.
     """
     spark = df.sparkSession
-    number = current_version(spark, root) + 1
-    # Static overwrite: a dynamic one commits through a staging folder and leaves no marker.
+    number = (_newest(spark, root) if base is None else base) + 1
+    name = f"v{number:09d}-{uuid.uuid4().hex[:8]}" + (f"-{stream}-{batch}" if stream else "")
+    # Static overwrite: a dynamic one commits through a staging folder.
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{root}/v{number:09d}" + (f"-{stream}-{batch}" if stream else ""))
+    writer.parquet(f"{root}/{name}")
+    claim, fs = _hadoop(spark, f"{root}/{CLAIMS}/{number:09d}")
+    try:
+        out = fs.create(claim, False)
+    except Exception as error:
+        folder, _ = _hadoop(spark, f"{root}/{name}")
+        fs.delete(folder, True)
+        if not fs.exists(claim):
+            raise
+        raise VersionConflict(f"version {number} of {root} was published meanwhile") from error
+    out.write(bytearray(name.encode()))
+    out.close()
     return number
 
 
+def _newest(spark: SparkSession, root: str) -> int:
+    """The newest published number; waits for a writer that has claimed a later one and not named its folder yet."""
+    for _ in range(CLAIM_WAIT):
+        claims = _claims(spark, root)
+        if all(claims.values()):
+            return max(claims, default=0)
+        time.sleep(1)
+    raise RuntimeError(f"a writer died between claiming and naming a version: remove the empty file in {root}/{CLAIMS}")
+
+
+def update(spark: SparkSession, root: str, plan, partition_by: list[str] = (), stream: str | None = None, batch: int | None = None) -> int:
+    """Publishes ``plan(newest version)``; planned again from the newer version where another writer comes first.
+
+    A micro-batch (``stream``, ``batch``) that has been published is left alone; the result is 0 then.
+    """
+    for _ in range(ATTEMPTS):
+        base = _newest(spark, root)
+        if stream and has_batch(spark, root, stream, batch):
+            return 0
+        path = next(v.path for v in versions(spark, root) if v.number == base)
+        try:
+            return publish(plan(spark.read.parquet(path)), root, partition_by, stream, batch, base)
+        except VersionConflict:
+            continue
+    raise VersionConflict(f"{ATTEMPTS} attempts on {root} came too late")
+
+
 def has_batch(spark: SparkSession, root: str, stream: str, batch: int) -> bool:
     """Whether the stream's micro-batch has been published."""
     return any((v.stream, v.batch) == (stream, batch) for v in versions(spark, root))
@@ -105,8 +172,9 @@ def expire_versions(spark: SparkSession, root: str, keep: int = 3) -> int:
     last = {v.stream: v.path for v in found if v.stream}
     old = [v for v in found[: max(0, len(found) - keep)] if v.path not in last.values()]
     for v in old:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(v.path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        for target in (f"{root}/{CLAIMS}/{v.number:09d}", v.path):
+            path, fs = _hadoop(spark, target)
+            fs.delete(path, True)
     return len(old)
 
 

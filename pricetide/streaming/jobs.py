@@ -231,13 +231,13 @@ def upsert_sink(root: str, plan_batch, checkpoint: str):
     """``foreachBatch`` writer. ``plan_batch(stored, batch) -> new table``.
 
     Each version carries the stream and batch that wrote it; a batch is skipped only if that very pair is published, so a
-    replay changes nothing, and other writers of the table or a fresh ``checkpoint`` cost no batch.
+    replay changes nothing, and a fresh ``checkpoint`` costs no batch. Where another writer publishes first, the batch is
+    planned again from that version, so writers at the same time lose nothing.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stream = tables.stream_id(spark, checkpoint)
-        if not tables.has_batch(spark, root, stream, batch_id):
-            tables.publish(plan_batch(tables.read_current(spark, root), batch), root, stream=stream, batch=batch_id)
+        tables.update(spark, root, lambda stored: plan_batch(stored, batch), stream=stream, batch=batch_id)
     return write
 
 

@@ -180,3 +180,14 @@ def test_detail_reusable(spark):
     df = spark.createDataFrame([("text here", "b", 1), ("https://x.example/a", "b", 1), ("https://x.example/a", "b", 2), ("text", "", 2), ("쇼핑몰: A / 배송: 무료", "b", 1)], "d string, b string, v int")
     got = [r[0] for r in df.select(Q.detail_reusable(F.col("d"), F.col("b"), F.col("v"))).collect()]
     assert got == [True, False, True, False, False]
+
+
+def test_comment_text_ends_with_its_container(spark):
+    pages = {
+        '<div class="comment-list">a<br>b<img></div><p>after</p>': "a b",
+        '<ul id="reply"><li>one<li>two &amp; <input type=x>three</ul>tail': "one two & three",
+        '<div class="memo"><p>open<span>inner</div>gone</span><div class="memo">more</div>': "openinner more",
+        '<div class="comment"><script>if (a<b) x</script><style>p</style>seen<template>no<b>ne</b></template> too</div>': "seen too",
+        '<div class="comment-count">3</div><DIV CLASS=comments>Loud</DIV>': "Loud",
+        '<div class="comment">a<!-- <div> no -->b</div>c': "a b", '<br class="comment"/>x': "", '<div class="comment">never closed <b>x': "never closed x"}
+    assert [t.replace(" ", "") for t in values(spark, G.comment_section_text, list(pages))] == [t.replace(" ", "") for t in pages.values()]

@@ -140,3 +140,53 @@ def test_a_term_added_between_two_batches_matches_in_the_second(spark):
     run()
     got = sorted((r.deal_id, r.uid, r.term) for r in spark.read.parquet(out).collect())
     assert got == [(1, "u", "red tv"), (3, "v", "fridge"), (4, "u", "red tv")]
+
+
+def test_two_writers_that_planned_from_one_version_lose_nothing(spark):
+    root = work_path(spark, "t")
+    tables.publish(spark.createDataFrame([(0, 1)], SCHEMA), root)
+    add = lambda stored, k: stored.unionByName(spark.createDataFrame([(k, 1)], SCHEMA))
+    mine = add(tables.read_current(spark, root), 1)
+    assert tables.publish(add(tables.read_current(spark, root), 2), root, base=1) == 2  # the other one is faster
+    with pytest.raises(tables.VersionConflict):
+        tables.publish(mine, root, base=1)
+    assert {r.k for r in tables.read_current(spark, root).collect()} == {0, 2} and tables.current_version(spark, root) == 2
+    planned = []
+
+    def plan(stored):
+        if not planned:  # somebody publishes between this plan and its write
+            tables.publish(add(tables.read_current(spark, root), 3), root)
+        planned.append(1)
+        return add(stored, 4)
+
+    assert tables.update(spark, root, plan) == 4 and len(planned) == 2
+    assert {r.k for r in tables.read_current(spark, root).collect()} == {0, 2, 3, 4}
+    assert tables.folders(spark, root) == 5  # four versions and the claims; the loser's folder is gone
+
+
+def test_two_streams_write_a_table_at_the_same_time(spark):
+    root = work_path(spark, "t")
+    tables.publish(spark.createDataFrame([], SCHEMA), root)
+    queries = []
+    for n in range(2):
+        source, checkpoint = work_path(spark, "s"), work_path(spark, "c")
+        for i in range(3):
+            spark.createDataFrame([(10 * n + i, 1), (99, 1)], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+        queries.append(stream.writeStream.foreachBatch(J.upsert_sink(root, merge, checkpoint)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    for q in queries:
+        q.awaitTermination()
+    assert {r.k: r.v for r in tables.read_current(spark, root).collect()} == {**{k: 1 for k in (0, 1, 2, 10, 11, 12)}, 99: 6}
+
+
+def test_a_claim_without_a_folder_stops_writers(spark, monkeypatch):
+    root = work_path(spark, "t")
+    tables.publish(spark.createDataFrame([(1, 1)], SCHEMA), root)
+    path, fs = tables._hadoop(spark, f"{root}/{tables.CLAIMS}/{2:09d}")
+    fs.create(path, False).close()
+    monkeypatch.setattr(tables, "CLAIM_WAIT", 1)
+    assert tables.read_current(spark, root).count() == 1
+    with pytest.raises(RuntimeError, match="died"):
+        tables.update(spark, root, lambda stored: stored)
+    fs.delete(path, False)
+    assert tables.update(spark, root, lambda stored: stored) == 2
