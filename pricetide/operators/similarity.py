@@ -16,6 +16,7 @@ TITLE_LIMIT, BODY_LIMIT = 0.72, 0.70
 TITLE_LENGTH, BODY_LENGTH = (10, 70), (450, 1300)
 MIN_COMPARED_BODY = 100
 COOLDOWN_DAYS = 120
+GRAM = 4
 GENERIC_TERMS = [
     "가정용", "기기", "미니", "무선", "생활", "세트", "스마트", "용품", "유선", "제품", "핸디", "휴대용",
 ]
@@ -124,15 +125,43 @@ def source_reuse(urls: DataFrame, posts: DataFrame, url: str = "url") -> DataFra
     return keyed.join(source_keys(posts), "source_key", "left_anti")
 
 
+def _grams(text: Column, sizes: list[int]) -> Column:
+    """Distinct substrings of the given lengths. Characters are split once; substrings by position would rescan the text."""
+    def of(chars: Column, q: int) -> Column:
+        return F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, q)]))
+    return bind(F.split(text, ""), lambda chars: F.array_distinct(F.array_compact(F.flatten(F.array(*[of(chars, q) for q in sizes])))))
+
+
+def _first_holding(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term, post``: of each distinct term (two characters or more) the first of the ``texts`` (``key, post``) that holds it.
+
+    A term is looked up by the rarest of its grams (of up to four characters), counted over all texts, so a common beginning
+    meets nothing; a term one of whose grams no text has is done. Of a text's grams only those of some term are kept.
+    """
+    size = F.least(F.char_length("term"), F.lit(GRAM))
+    sizes = sorted(r[0] for r in terms.select(size).distinct().collect())  # 2 to GRAM: a few numbers
+    if not sizes:
+        return terms.select("term", F.lit(None).cast(texts.schema["post"].dataType).alias("post")).limit(0)
+    own = F.coalesce(*[F.when(size == q, _grams(F.col("term"), [q])) for q in sizes])
+    wanted = scale.cut_lineage(terms.select("term").distinct().select("term", F.explode(own).alias("gram")))
+    texts = texts.withColumn("at", F.xxhash64("key"))
+    met = texts.select("at", F.explode(_grams(F.col("key"), sizes)).alias("gram"))
+    met = scale.cut_lineage(scale.join_small_or_salted(met, wanted.select("gram").distinct(), ["gram"], ["at"]))
+    common = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    lookup = wanted.join(common, "gram", "left").groupBy("term").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")).where("rarest.n > 0").select("term", F.col("rarest.gram").alias("gram"))
+    likely = scale.join_small_or_salted(met, lookup, ["gram"], ["at"]).select("at", "term")
+    return likely.join(texts, "at").where(F.col("key").contains(F.col("term"))).groupBy("term").agg(F.min("post").alias("post"))
+
+
 def product_cooldown_join(
-    drafts: DataFrame, posts: DataFrame, now: str | Column, days: int = COOLDOWN_DAYS, generic: list[str] = GENERIC_TERMS,
+    drafts: DataFrame, posts: DataFrame, now: str | Column, days: int = COOLDOWN_DAYS, generic: list[str] = GENERIC_TERMS, looked_at: tuple[str, ...] = ("title",),
 ) -> DataFrame:
     """Per draft the first recent post (by ``pos``) about the same product: (draft_id, post_pos, post_title).
 
-    Same product: the compact product name inside the compact title, the title inside the name, or one
-    of the name's own words inside the title. Containment becomes an equi-join: the first up to four
-    characters of the contained text must be one of the other text's grams; then it is verified. Only
-    the first post per draft leaves the join, reduced map-side.
+    Same product: the compact product name inside the compact text of the post, the text inside the name, or one of the
+    name's own words inside the text. ``looked_at`` names the columns that make a post's text; they count whole. Texts
+    inside a name are no longer than the longest name; their first characters must be among the name's grams.
     """
     norm = similarity_text(F.col("product"))
     compact = F.replace(norm, F.lit(" "), F.lit(""))
@@ -145,31 +174,21 @@ def product_cooldown_join(
         F.col("id").alias("draft_id"), compact.alias("name"), F.array_distinct(F.concat(words, stripped, F.array(compact))).alias("terms")
     ).where(F.char_length("name") >= 2)
     cutoff = as_ts(now) - F.expr(f"INTERVAL {days} DAYS")
-    title = F.replace(similarity_text(F.col("title")), F.lit(" "), F.lit(""))
+    text = F.replace(similarity_text(F.concat_ws(" ", *looked_at)), F.lit(" "), F.lit(""))
     p = posts.where(F.col("created_at").isNull() | (F.col("created_at") >= cutoff)).select(
-        F.col("pos").alias("post_pos"), collapse(F.col("title")).alias("post_title"), title.alias("key"))
-    # Equal titles conflict alike; only the earliest matters.
+        F.col("pos").alias("post_pos"), collapse(F.col("title")).alias("post_title"), text.alias("key"))
+    # Equal texts conflict alike; only the earliest matters.
     p = scale.cut_lineage(p.groupBy("key").agg(F.min(F.struct("post_pos", "post_title")).alias("post")))
     d = scale.cut_lineage(d)
-
-    def all_grams(text: Column, sizes: tuple[int, ...]) -> Column:
-        # Characters are split once; taking substrings by position would rescan the text every time.
-        def of(chars: Column, q: int) -> Column:
-            return F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, q)]))
-        return bind(F.split(text, ""), lambda chars: F.array_distinct(F.array_compact(F.flatten(
-            F.array(*[of(chars, q) for q in sizes])))))
-
     terms = d.select("draft_id", F.explode("terms").alias("term")).where(F.char_length("term") >= 2)
-    terms = terms.withColumn("gram", F.substring("term", 1, 4))
-    titles = p.select("post", "key", F.explode(all_grams(F.col("key"), (2, 3, 4))).alias("gram"))
-    inside_title = scale.join_small_or_salted(titles, terms, ["gram"], ["key"]).where(
-        F.col("key").contains(F.col("term"))).select("draft_id", "post")
-    names = d.select("draft_id", "name", F.explode(all_grams(F.col("name"), (1, 2, 3, 4))).alias("gram"))
-    heads = p.where("key <> ''").withColumn("gram", F.substring("key", 1, 4))
+    inside_text = terms.join(_first_holding(p, terms), "term").select("draft_id", "post")
+    longest = d.agg(F.max(F.char_length("name"))).first()[0] or 0
+    names = d.select("draft_id", "name", F.explode(_grams(F.col("name"), [1, 2, 3, 4])).alias("gram"))
+    heads = p.where((F.col("key") != "") & (F.char_length("key") <= longest)).withColumn("gram", F.substring("key", 1, GRAM))
     inside_name = scale.join_small_or_salted(heads, names, ["gram"], ["key"]).where(
         F.col("name").contains(F.col("key"))).select("draft_id", "post")
     blank = d.select("draft_id", p.where("key = ''").select(F.min("post")).scalar().alias("post")).where("post IS NOT NULL")
-    return inside_title.unionByName(inside_name).unionByName(blank).groupBy("draft_id").agg(
+    return inside_text.unionByName(inside_name).unionByName(blank).groupBy("draft_id").agg(
         F.min("post").alias("post")).select("draft_id", "post.post_pos", "post.post_title")
 
 

@@ -265,12 +265,12 @@ def similar_titles(spark, sf_dir):
 PC = r"replace({0}, ' ', '')"
 
 
-@query("product_cooldown", f"""{oracle_with('v_drafts', 'v_board')}, d AS (SELECT id, {PC.format(SIM.format('product'))} AS k FROM v_drafts),
-p AS (SELECT pos, {PC.format(SIM.format('title'))} AS k FROM v_board WHERE created_at >= {T0} - INTERVAL 120 DAY)
-SELECT d.id AS draft_id, min(p.pos) AS post_pos FROM d JOIN p ON contains(p.k, d.k) OR contains(d.k, p.k) WHERE length(d.k) >= 2 GROUP BY 1""")
+@query("product_cooldown", f"""{oracle_with('v_drafts', 'v_board')}, d AS (SELECT id, {PC.format(SIM.format('product'))} AS k, string_split({SIM.format('product')}, ' ') AS ws FROM v_drafts),
+p AS (SELECT pos, {PC.format(SIM.format("(title || ' ' || body)"))} AS k FROM v_board WHERE created_at >= {T0} - INTERVAL 120 DAY)
+SELECT d.id AS draft_id, min(p.pos) AS post_pos FROM d JOIN p ON contains(p.k, d.k) OR contains(d.k, p.k) OR len(list_filter(d.ws, lambda w: length(w) >= 2 AND contains(p.k, w))) > 0 WHERE length(d.k) >= 2 GROUP BY 1""")
 def product_cooldown(spark, sf_dir):
-    """Drafts whose product a title of the last 120 days names."""
-    return B.product_cooldown_join(view(spark, sf_dir, "v_drafts"), view(spark, sf_dir, "v_board"), NOW).select("draft_id", "post_pos")
+    """Drafts whose product a post of the last 120 days names, anywhere in its title or whole text."""
+    return B.product_cooldown_join(view(spark, sf_dir, "v_drafts"), view(spark, sf_dir, "v_board"), NOW, looked_at=("title", "body")).select("draft_id", "post_pos")
 
 
 @query("source_reuse", f"""{oracle_with('v_drafts', 'v_board')} SELECT id FROM v_drafts WHERE regexp_extract(source_url, 'video[0-9]+', 0) NOT IN
@@ -288,13 +288,13 @@ def _gate(spark, sf_dir):
 
 # Texts hold neither markers nor reference sections, so a plain body is the trimmed text.
 GATE_SQL = f"""{oracle_with('v_drafts', 'v_board')},
-d AS (SELECT *, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS ti, regexp_replace(body, '^\\s+|\\s+$', '', 'g') AS bo, {PC.format(SIM.format('product'))} AS k FROM v_drafts),
+d AS (SELECT *, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS ti, regexp_replace(body, '^\\s+|\\s+$', '', 'g') AS bo, {PC.format(SIM.format('product'))} AS k, string_split({SIM.format('product')}, ' ') AS ws FROM v_drafts),
 b AS (SELECT *, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS ti, regexp_replace(body, '^\\s+|\\s+$', '', 'g') AS bo, {PC.format(SIM.format('title'))} AS k FROM v_board),
 dt AS (SELECT id, ti AS text FROM d), bt AS (SELECT pos AS id, title AS text FROM b), db AS (SELECT id, bo AS text FROM d), bb AS (SELECT pos AS id, bo AS text FROM b WHERE length(bo) >= 100),
 {_token_sql('dtt', 'dt', 'id')}, {_token_sql('btt', 'bt', 'id')}, {_token_sql('dbt', 'db', 'id')}, {_token_sql('bbt', 'bb', 'id')},
 st AS (SELECT l AS id, min(r) AS pos FROM (SELECT x.id AS l, y.id AS r, count(*) AS c FROM dtt x JOIN btt y USING (t) GROUP BY ALL) JOIN dttn p ON p.id = l JOIN bttn q ON q.id = r WHERE c * 1.0 / (p.n + q.n - c) >= 0.72 GROUP BY l),
 sb AS (SELECT l AS id, min(r) AS pos FROM (SELECT x.id AS l, y.id AS r, count(*) AS c FROM dbt x JOIN bbt y USING (t) GROUP BY ALL) JOIN dbtn p ON p.id = l JOIN bbtn q ON q.id = r WHERE c * 1.0 / (p.n + q.n - c) >= 0.5 GROUP BY l),
-pc AS (SELECT d.id, min(b.pos) AS pos FROM d JOIN b ON b.created_at >= {T0} - INTERVAL 120 DAY AND (contains(b.k, d.k) OR contains(d.k, b.k)) WHERE length(d.k) >= 2 GROUP BY 1),
+pc AS (SELECT d.id, min(b.pos) AS pos FROM d JOIN b ON b.created_at >= {T0} - INTERVAL 120 DAY AND (contains(b.k, d.k) OR contains(d.k, b.k) OR len(list_filter(d.ws, lambda w: length(w) >= 2 AND contains(b.k, w))) > 0) WHERE length(d.k) >= 2 GROUP BY 1),
 gate AS (SELECT d.id, d.pos, d.source_url, array_to_string(list_filter([
   CASE WHEN length(d.ti) NOT BETWEEN 10 AND 70 THEN 'title_length' END, CASE WHEN length(d.bo) NOT BETWEEN 450 AND 1300 THEN 'body_length' END,
   CASE WHEN d.id % 3 = 0 THEN 'untrusted_source' END,

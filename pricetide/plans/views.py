@@ -97,15 +97,15 @@ SELECT event_id AS id, ts AS registered_at,
          ELSE CASE WHEN event_id % 2 = 0 THEN 'https://www.gamma.example/' || CAST(user_id AS STRING) ELSE 'https://www.gamma.example/best' END END AS link
 FROM events""",
     "v_drafts": """
-SELECT item_id AS id, item_id AS pos, regexp_extract(text, '^([^.]*)', 1) AS title, text || ' ' || text || ' ' || text AS body,
-       CASE WHEN item_id % 2 = 0 THEN regexp_extract(text, '([A-Za-z]+)', 1) ELSE 'sku' || lpad(CAST(item_id AS STRING), 6, '0') END AS product,
+SELECT item_id AS id, item_id AS pos, p_name || ' ' || lower(p_type) AS title, text || ' ' || text || ' ' || text AS body,
+       CASE WHEN item_id % 2 = 0 THEN p_name WHEN item_id % 3 = 0 THEN regexp_extract(text, '([A-Za-z]+ [A-Za-z]+)', 1) ELSE 'sku' || lpad(CAST(item_id AS STRING), 6, '0') END AS product,
        'https://youtu.be/video' || lpad(CAST(item_id AS STRING), 6, '0') AS source_url
-FROM benchmark""",
+FROM benchmark JOIN part ON p_partkey = item_id""",
     "v_board": """
-SELECT doc_id AS id, doc_id AS pos, regexp_extract(text, '^([^.]*)', 1) AS title, text AS body, source AS author,
+SELECT doc_id AS id, doc_id AS pos, coalesce(p_name || ' ' || lower(p_type), '') AS title, text AS body, source AS author,
        TIMESTAMP '2024-01-01 00:00:00' + CAST(doc_id % 200 AS INT) * INTERVAL '1' DAY - INTERVAL '170' DAY AS created_at,
        CASE WHEN doc_id % 50 = 0 THEN 'https://i.ytimg.com/vi/video' || lpad(CAST(CAST(FLOOR(doc_id / 50) AS BIGINT) AS STRING), 6, '0') || '/hq.jpg' ELSE '' END AS img
-FROM documents""",
+FROM documents LEFT JOIN part ON p_partkey = doc_id""",
     "v_refs": """
 SELECT DISTINCT 'pages/' || CAST(doc_id AS STRING) || '.html' AS path FROM documents WHERE doc_id % 4 <> 1""",
 }
@@ -114,7 +114,7 @@ VIEW_INPUTS = {
     "v_deals": ["events"], "v_existing": ["v_deals"], "v_incoming": ["v_deals"], "v_posts": ["part"],
     "v_subscriptions": ["customer", "part"], "v_devices": ["events"], "v_comments": ["conversations"],
     "v_reports": ["labels"], "v_objects": ["pages"], "v_refs": ["documents"],
-    "v_pages": ["pages"], "v_links": ["events"], "v_drafts": ["benchmark"], "v_board": ["documents"],
+    "v_pages": ["pages"], "v_links": ["events"], "v_drafts": ["benchmark", "part"], "v_board": ["documents", "part"],
 }
 
 
