@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions.keys import text_or_empty
@@ -14,6 +14,8 @@ from pricetide.operators import scale
 
 # Paging and listing limits.
 PAGE_DEFAULT, PAGE_MAX = 100, 600
+# Microseconds of a day, a minute, a millisecond and one; a page is read once so many rows at most lie before it.
+PAGE_WIDTHS, PAGE_ROWS = (86_400_000_000, 60_000_000, 1_000, 1), 10_000
 API_PAGE_DEFAULT = 400
 COMMENTS_PER_KEY = 100
 REPORT_THRESHOLD = 5
@@ -46,6 +48,39 @@ def page(df: DataFrame, limit: int, offset: int, *order: Column) -> DataFrame:
         "next_offset", F.lit(start + taken).cast("bigint"))
 
 
+def page_at(df: DataFrame, limit: int, offset: int, ts: str, row_id: str) -> DataFrame:
+    """T2 at any depth: the rows of ``page`` ordered by ``ts``, then ``row_id``, both descending, null times last.
+
+    Order statistics replace the skipping: rows are counted by day, the counts tell which days hold the page, and only
+    those are counted by minute, and so on, until few rows lie before the page. Each round sends counts only, and its
+    bounds are filters on the stored column, which reach the scan. Rows of one instant beyond ``PAGE_ROWS`` are the one
+    case in which more of them meet.
+    """
+    size, rest = clamp_limit(limit), max(0, int(offset))
+    start, at = rest, F.unix_micros(ts)
+    inside, nulls = df.where(F.col(ts).isNotNull()), df.where(F.col(ts).isNull())
+    for width in PAGE_WIDTHS:
+        if rest <= PAGE_ROWS:
+            break
+        counts = inside.groupBy(F.floor(at / width).cast("bigint").alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, 0))  # at most a day's minutes, or a minute's milliseconds
+        found = counts.withColumn("c", upto).agg(
+            F.max(F.when(F.col("c") > rest, F.struct("b", (F.col("c") - F.col("n")).alias("before")))).alias("first"),
+            F.max(F.when(F.col("c") > rest + size, F.col("b"))).alias("last"), F.min("b").alias("least"), F.max("c").alias("all")).first()
+        if found["last"] is not None:  # the page ends before the rows without a time
+            nulls = df.limit(0)
+        if found["first"] is None:  # behind all rows with a time
+            inside, rest = inside.limit(0), rest - (found["all"] or 0)
+            break
+        low = found["least"] if found["last"] is None else found["last"]
+        inside = inside.where((F.col(ts) >= F.timestamp_micros(F.lit(low * width))) & (F.col(ts) < F.timestamp_micros(F.lit((found["first"]["b"] + 1) * width))))
+        rest -= found["first"]["before"]
+    order = [F.col(ts).desc_nulls_last(), F.col(row_id).desc()]
+    probe = scale.cut_lineage(inside.unionByName(nulls).orderBy(*order).offset(rest).limit(size + 1))
+    rows = probe.count()
+    return probe.orderBy(*order).limit(size).withColumn("has_more", F.lit(rows > size)).withColumn("next_offset", F.lit(start + min(rows, size)).cast("bigint"))
+
+
 def page_after(df: DataFrame, limit: int, ts: str, row_id: str, last_ts=None, last_id=None) -> DataFrame:
     """T2 for deep paging: rows after the last one seen, newest first, so no offset is skipped over."""
     if last_ts is not None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions.keys import text_or_empty
@@ -17,6 +17,7 @@ TITLE_LENGTH, BODY_LENGTH = (10, 70), (450, 1300)
 MIN_COMPARED_BODY = 100
 COOLDOWN_DAYS = 120
 GRAM = 4
+SEQUENCE_LIMIT = 0.8
 GENERIC_TERMS = [
     "가정용", "기기", "미니", "무선", "생활", "세트", "스마트", "용품", "유선", "제품", "핸디", "휴대용",
 ]
@@ -110,6 +111,46 @@ def first_similar(drafts: DataFrame, posts: DataFrame, threshold: float) -> Data
         F.col("left_id").alias("draft_id"), F.col("_first.pos").alias("post_pos"), F.col("_first.title").alias("post_title"))
 
 
+def similar_sequences(left: DataFrame, right: DataFrame, threshold: float = SEQUENCE_LIMIT, row_id: str = "id", text: str = "text") -> DataFrame:
+    """J21, the sequence half: (left_id, similar), the number of right rows alike in their order of characters.
+
+    Alike are two normalised texts (``similarity_text``, not empty) with 1 - edit distance / longer length >= ``threshold``,
+    which must be over 2/3; this is the definition of this library. Meant for titles: words that were split, joined or
+    misspelt. Equal texts are one and count by weight.
+
+    An edit leaves all but two of a text's pairs of neighbouring characters alone, so two texts that are d edits apart
+    share one of the 2 d + 1 pairs of either that are rarest over all texts, at most d places apart. For those that meet
+    so the distance is computed as far as d.
+    """
+    if threshold <= 2 / 3:
+        raise ValueError("threshold must be over 2/3")
+    slack = F.lit(1 - threshold)
+    rows = {
+        name: df.select(F.col(row_id).alias(f"{name}_id"), similarity_text(F.col(text)).alias("t")).where("t <> ''")
+        for name, df in (("left", left), ("right", right))
+    }
+    rows["left"] = scale.cut_lineage(rows["left"])
+    weights = scale.cut_lineage(rows["right"].groupBy("t").agg(F.count(F.lit(1)).alias("weight")))
+    every = rows["left"].select("t", F.lit("left").alias("side")).distinct().unionByName(weights.select("t", F.lit("right").alias("side")))
+    chars = F.split(F.concat(F.lit("\u0001"), F.col("t")), "")
+    pairs = bind(chars, lambda c: F.filter(F.transform(c, lambda x, i: F.concat(x, F.get(c, i + 1))), lambda g: g.isNotNull()))
+    texts = scale.cut_lineage(every.select("side", "t", F.char_length("t").alias("n"), pairs.alias("grams")))
+    placed = texts.select("side", "t", "n", F.posexplode("grams").alias("at", "gram"))
+    common = texts.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
+    rarest = Window.partitionBy("side", "t").orderBy("often", "gram", "at")
+    most = F.floor(slack * F.col("n") / F.lit(threshold) + F.lit(1e-9)).cast("int")  # edits that the longest partner allows
+    heads = scale.cut_lineage(
+        scale.join_small_or_salted(placed, common, ["gram"], ["t"]).withColumn("rank", F.row_number().over(rarest))
+        .where(F.col("rank") <= 2 * most + 1).select("side", "t", "n", "at", "gram"))
+    side = lambda name: heads.where(F.col("side") == name).select("gram", *[F.col(c).alias(f"{name[0]}_{c}") for c in ("t", "n", "at")])
+    edits = F.floor(slack * F.greatest("l_n", "r_n") + F.lit(1e-9)).cast("int")
+    met = scale.salted_join(side("right"), side("left"), ["gram"], ["r_t"]).withColumn("edits", edits).where(
+        (F.abs(F.col("l_n") - F.col("r_n")) <= F.col("edits")) & (F.abs(F.col("l_at") - F.col("r_at")) <= F.col("edits")))
+    alike = met.select("l_t", "r_t", "edits").distinct().where(F.expr("levenshtein(l_t, r_t, edits)") >= 0)
+    counts = alike.join(weights.withColumnRenamed("t", "r_t"), "r_t").groupBy(F.col("l_t").alias("t")).agg(F.sum("weight").alias("similar"))
+    return scale.salted_join(rows["left"], counts, ["t"], ["left_id"]).select("left_id", "similar")
+
+
 def source_keys(posts: DataFrame) -> DataFrame:
     """Video keys already used by the posts, from their picture and every link in the body."""
     links = F.transform(

@@ -55,6 +55,14 @@ def feed_page_scored(spark, sf_dir):
     return M.scores_external(page, d, NOW).select("id", "source", "temperature", "hot_score")
 
 
+@query("deep_page", """WITH p AS (SELECT event_id, event_type, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 100 OFFSET (SELECT count(*) // 2 FROM events))
+SELECT event_id, event_type, (SELECT count(*) - count(*) // 2 FROM events) > 100 AS has_more, (SELECT count(*) // 2 FROM events) + (SELECT count(*) FROM p) AS next_offset FROM p""")
+def deep_page(spark, sf_dir):
+    """T2 half way down: counts by day, minute and so on lead to the page."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    return V.page_at(e, 100, e.count() // 2, "ts", "event_id").drop("ts")
+
+
 @query("keyset_page", "SELECT event_id, event_type FROM events WHERE ts < TIMESTAMP '2024-01-15' OR (ts = TIMESTAMP '2024-01-15' AND event_id < 5000) ORDER BY ts DESC, event_id DESC LIMIT 100")
 def keyset_page(spark, sf_dir):
     """T2, deep: continue after the last row seen."""
@@ -262,6 +270,15 @@ def similar_titles(spark, sf_dir):
     return B.similar_counts(names, names, B.TITLE_LIMIT)
 
 
+@query("similar_sequences", f"""WITH n AS (SELECT p_partkey AS id, {SIM.format("(p_name || ' ' || lower(p_type) || lower(p_brand))")} AS t FROM part), u AS (SELECT t, count(*) AS w FROM n GROUP BY t),
+k AS (SELECT a.t, sum(b.w) AS "similar" FROM u a JOIN u b ON levenshtein(a.t, b.t) <= floor(0.2 * greatest(length(a.t), length(b.t)) + 1e-9) GROUP BY a.t)
+SELECT id AS left_id, CAST("similar" AS BIGINT) AS "similar" FROM n JOIN k USING (t)""")
+def similar_sequences(spark, sf_dir):
+    """J21, order of characters: per product how many products have a name, kind and brand spelt alike."""
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.col("p_name"), F.lit(" "), F.lower("p_type"), F.lower("p_brand")).alias("text"))
+    return B.similar_sequences(names, names)
+
+
 PC = r"replace({0}, ' ', '')"
 
 

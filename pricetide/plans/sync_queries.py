@@ -236,12 +236,13 @@ def merge_nonempty(spark, sf_dir):
         e.select("title", "img", "price", F.col("id").alias("pos")), i.select("title", "img", "price", "pos"), "title", ["img", "price"])
 
 
-@query("union_feeds", f"""{oracle_with('v_deals')} SELECT id, source, NULL AS dislikes FROM v_deals WHERE source = 'click'
-UNION ALL SELECT id, source, dislikes FROM v_deals WHERE source = 'view'""")
+@query("union_feeds", f"""{oracle_with('v_deals')} SELECT id, source, CASE WHEN source IN ('view', 'error') THEN dislikes END AS dislikes, CASE WHEN source = 'signup' THEN views END AS views FROM v_deals
+WHERE source IN ('click', 'view', 'signup', 'error', 'purchase')""")
 def union_feeds(spark, sf_dir):
     """Fields one feed lacks are null."""
     d = view(spark, sf_dir, "v_deals")
-    return D.union_feeds(d.where("source = 'click'").select("id", "source"), d.where("source = 'view'").select("id", "source", "dislikes"))
+    feed = lambda name, *more: d.where(F.col("source") == name).select("id", "source", *more)
+    return D.union_feeds(feed("click"), feed("view", "dislikes"), feed("signup", "views"), feed("error", "dislikes"), feed("purchase"))
 
 
 @query("key_intersection", f"{oracle_with('v_existing', 'v_incoming')} SELECT source, title FROM v_existing INTERSECT SELECT source, title FROM v_incoming")

@@ -110,3 +110,42 @@ def test_posted_today_uses_seoul_date(spark):
     posts = spark.createDataFrame([(1, 0, "t", "b", "", "me", dt.datetime(2026, 8, 16, 15, 30, tzinfo=dt.timezone.utc))], POST)
     assert B.posted_today(posts, ["me"], "2026-08-16 20:00:00").first()[0] is True
     assert B.posted_today(posts, ["me"], "2026-08-16 12:00:00").first()[0] is False
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("limit", [0.7, 0.8, 0.9])
+def test_sequences_against_all_pairs(spark, limit):
+    rng = random.Random(3)
+    base = ["good day to you", "goodday toyou", "a", "ab", "b", "aaaaaaaa", "aaaaaaab", "무선 청소기 세트", "무선청소기세트", "x" * 40]
+    def bent(s):
+        s = list(s)
+        for _ in range(rng.randrange(0, 4)):
+            at = rng.randrange(len(s) + 1)
+            s[at : at + rng.randrange(0, 2)] = rng.choice(["", "a", "b", " ", "선"])
+        return "".join(s)
+    left = [(i, bent(rng.choice(base))) for i in range(60)] + [(98, ""), (99, None)]
+    right = [(i, bent(rng.choice(base))) for i in range(80)] + [(200 + i, base[0]) for i in range(20)] + [(300, None)]
+    schema = "id int, text string"
+    got = {r.left_id: r.similar for r in B.similar_sequences(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), limit).collect()}
+    alike = lambda a, b: bool(a and b) and edit_distance(a, b) <= int((1 - limit) * max(len(a), len(b)) + 1e-9)
+    want = {i: sum(alike(normalized(a or ""), normalized(b or "")) for _, b in right) for i, a in left}
+    assert got == {i: n for i, n in want.items() if n}
+
+
+def test_terms_are_found_anywhere_in_whole_texts(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    texts = [(i, text(rng.randrange(0, 60))) for i in range(80)] + [(500, "sku0001" + text(30)), (501, text(20) + "sku0002")]
+    terms = [text(rng.randrange(2, 7)) for _ in range(60)] + ["sku0002", "sku0009", "zz"]
+    p = spark.createDataFrame(texts, "post int, key string")
+    got = {r.term: r.post for r in B._first_holding(p, spark.createDataFrame([(t,) for t in terms], "term string")).collect()}
+    want = {t: min((i for i, s in texts if t in s), default=None) for t in terms}
+    assert got == {t: i for t, i in want.items() if i is not None} and got["sku0002"] == 501

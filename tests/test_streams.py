@@ -190,3 +190,15 @@ def test_a_claim_without_a_folder_stops_writers(spark, monkeypatch):
         tables.update(spark, root, lambda stored: stored)
     fs.delete(path, False)
     assert tables.update(spark, root, lambda stored: stored) == 2
+
+
+def test_pages_at_any_depth(spark, monkeypatch):
+    monkeypatch.setattr(V, "PAGE_ROWS", 5)
+    at = [dt.datetime(2024, 1, 1 + i % 9, i % 24, 0, 0, (i % 3) * 400) if i % 11 else None for i in range(400)] + [dt.datetime(2024, 1, 5)] * 40
+    rows = [(i, t) for i, t in enumerate(at)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp")
+    order = [r.id for r in df.orderBy(F.col("ts").desc_nulls_last(), F.col("id").desc()).collect()]
+    for offset in (0, 3, 100, 201, 380, 398, 401, 430, 439, 440, 900):
+        page = V.page_at(df, 20, offset, "ts", "id").collect()
+        assert [r.id for r in page] == order[offset : offset + 20], offset
+        assert all(r.has_more == (offset + 20 < 440) and r.next_offset == min(440, offset + 20) for r in page)
