@@ -1,6 +1,7 @@
 """Secret scan against Python's matcher, and the linking of parts."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -91,3 +92,42 @@ def test_long_tokens_beside_an_identifier(spark, make_docs, length):
     assert only(found[0], "secret", "endpoint") == f"endpoint:21:40,secret:41:{41 + length}"
     assert only(found[1], "account", "secret") == f"account:0:18,secret:24:{24 + length}"
     assert only(found[2], "secret") == f"secret:0:{length}" and only(found[3], "secret") == "" and found[4] == ""
+
+
+def every_part(text):
+    """All parts by Python's matcher: (start, kind, end)."""
+    found = [(int(a), kind, int(b)) for kind, a, b in (x.split(":") for x in base(text).split(",") if x)]
+    for kind, pattern in (("account", credentials.ACCOUNT), ("secret", credentials.TOKEN), ("endpoint", credentials.ENDPOINT)):
+        for m in re.finditer(pattern, text, re.ASCII):
+            hit = m.group()
+            mixed = re.search("[0-9]", hit) and re.search("[A-Z]", hit) and re.search("[a-z]", hit) and not re.fullmatch(credentials.ACCESS, hit)
+            if kind != "secret" or mixed:
+                found.append((m.start(), kind, m.end()))
+    return found
+
+
+def linked(text, scope=credentials.SCOPE):
+    """Links by looking at all pairs of parts."""
+    parts = every_part(text)
+    of = lambda *kinds: [p for p in parts if p[1] in kinds]
+    near = lambda ps, others: [p for p in ps if any(max(o[0] - p[2], p[0] - o[2]) <= scope for o in others)]
+    identified = near(of("access", "account"), of("assign", "hex", "secret"))
+    reported = of("assign", "access", "hex") + near(of("secret"), of("access", "account")) + near(of("endpoint"), identified) + [p for p in identified if p[1] == "account"]
+    order = {k: i for i, k in enumerate(credentials.KINDS)}
+    return ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(reported, key=lambda p: (p[0], order[p[1]], p[2])))
+
+
+def test_links_of_random_texts_against_all_pairs(spark, make_docs):
+    rng = random.Random(4)
+    pieces = [KEY, MIXED, MIXED[::-1], "client_id: robot77", "user_name=Ann-1", "https://x.example/q", "postgres://db.example:5432/a", "0123456789abcdef" * 2,
+              "password = hunter2hunter2", "token: short", "é東😀", "login: me"]
+    texts = []
+    for _ in range(150):
+        text = ""
+        for _ in range(rng.randrange(1, 9)):
+            text += rng.choice(pieces) + " " * rng.choice([1, 2, 30, 150, 380, 399, 400, 401, 900])
+        texts.append(text)
+    found = scanned(spark, make_docs, texts)
+    assert sum("secret:" in linked(t) for t in texts) > 10 and sum("endpoint:" in linked(t) for t in texts) > 10
+    for i, text in enumerate(texts):
+        assert found[i] == linked(text), text
