@@ -241,26 +241,59 @@ def upsert_sink(root: str, plan_batch, checkpoint: str):
     return write
 
 
-LEDGER_SLICES = 64
+# Slices of a batch of the ledger, bits of a bitmap, and how many pairs a bitmap is meant for.
+LEDGER_SLICES, BITMAP_BITS, BITMAP_PAIRS = 64, 32_768, 2_048
+
+
+def _index_of(root: str) -> str:
+    return f"{root.rstrip('/')}-index"
+
+
+def _sliced(pairs: DataFrame) -> DataFrame:
+    """Adds the pair's ``slice`` and ``h``, the number that picks its bit."""
+    return pairs.withColumns({
+        "slice": F.pmod(F.xxhash64("deal_id", "uid"), F.lit(LEDGER_SLICES)).cast("int"),
+        "h": F.pmod(F.xxhash64(F.lit(1), "deal_id", "uid"), F.lit(1 << 40))})
+
+
+def ledger_candidates(spark: SparkSession, root: str, pairs: DataFrame) -> list[tuple[str, int]]:
+    """The ledger's (batch, slice) folders that may hold one of the ``pairs``, by the bitmaps kept beside them.
+
+    What comes back is bounded by the number of folders.
+    """
+    index = spark.read.parquet(_index_of(root))
+    asked = _sliced(pairs.select("deal_id", "uid"))
+    spot = F.pmod("h", F.lit(BITMAP_BITS)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), F.floor(spot / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = asked.join(index, "slice").where(F.col("bucket") == F.pmod(F.floor(F.col("h") / BITMAP_BITS), F.col("buckets")))
+    marked = met.where(F.getbit(byte, F.pmod(spot, F.lit(8))) == 1).select("batch", "slice").distinct()
+    return [(str(r["batch"]), r["slice"]) for r in marked.collect()]
 
 
 def ledger_sink(root: str, checkpoint: str):
     """R3, exact: writes the batch's (deal, user) pairs the ledger lacks, once each.
 
-    Files lie by a hash slice of the pair, so a batch reads only the slices it has pairs of. A batch's folder is named by
-    stream and batch: a replay replaces it, a fresh ``checkpoint`` starts folders of its own.
+    A batch's pairs lie in slices, and beside them, below ``<root>-index``, a bitmap of each slice's pairs. A batch first
+    asks the bitmaps which older slices may hold one of its pairs and reads those only: none for pairs never seen, but for
+    chance hits. The bitmaps are written before the pairs, so a pair is never without its bit. A batch's folders are named
+    by stream and batch: a replay replaces them, a fresh ``checkpoint`` starts folders of its own.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         mark = f"{tables.stream_id(spark, checkpoint)}-{batch_id}"
-        pairs = batch.select("deal_id", "uid").distinct().withColumn(
-            "slice", F.pmod(F.xxhash64("deal_id", "uid"), F.lit(LEDGER_SLICES)).cast("int"))
+        pairs = cut_lineage(_sliced(batch.select("deal_id", "uid").distinct()))
         if tables.folders(spark, root):
-            stored = spark.read.parquet(root)
-            have = [r["slice"] for r in pairs.select("slice").distinct().limit(LEDGER_SLICES).collect()]
-            other = stored.where(F.col("slice").isin(have) & (F.col("batch") != mark)).select("deal_id", "uid")
-            pairs = pairs.join(other, ["deal_id", "uid"], "left_anti")
-        pairs.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("slice").parquet(f"{root}/batch={mark}")
+            likely = [x for x in ledger_candidates(spark, root, pairs) if x[0] != mark]
+            paths = [path for m, n in likely if tables.folders(spark, path := f"{root}/batch={m}/slice={n}")]  # a batch that died has bits only
+            if paths:
+                pairs = pairs.join(spark.read.parquet(*paths).select("deal_id", "uid"), ["deal_id", "uid"], "left_anti")
+        pairs = cut_lineage(pairs)
+        buckets = max(1, 1 << ((pairs.count() - 1) // (LEDGER_SLICES * BITMAP_PAIRS)).bit_length())
+        bucket = F.pmod(F.floor(F.col("h") / BITMAP_BITS), F.lit(buckets)).alias("bucket")
+        bits = pairs.groupBy("slice", F.lit(buckets).cast("bigint").alias("buckets"), bucket).agg(
+            F.bitmap_construct_agg(F.pmod("h", F.lit(BITMAP_BITS)).cast("bigint")).alias("bitmap"))
+        bits.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{_index_of(root)}/batch={mark}")
+        pairs.drop("h").write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("slice").parquet(f"{root}/batch={mark}")
     return write
 
 

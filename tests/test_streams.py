@@ -202,3 +202,24 @@ def test_pages_at_any_depth(spark, monkeypatch):
         page = V.page_at(df, 20, offset, "ts", "id").collect()
         assert [r.id for r in page] == order[offset : offset + 20], offset
         assert all(r.has_more == (offset + 20 < 440) and r.next_offset == min(440, offset + 20) for r in page)
+
+
+def test_ledger_reads_only_what_may_hold_a_pair(spark):
+    root, checkpoint = work_path(spark, "l"), work_path(spark, "c")
+    spark.createDataFrame([('{"id":"0-b"}',)], "value string").coalesce(1).write.text(f"{checkpoint}/metadata")
+    write = J.ledger_sink(root, checkpoint)
+    pairs = lambda a, b: spark.range(a, b).select(F.col("id").alias("deal_id"), (F.col("id") * 7).alias("uid"))
+    for i in range(4):
+        write(pairs(300 * i, 300 * i + 300), i)
+    assert spark.read.parquet(root).count() == 1200
+    all_folders = 4 * J.LEDGER_SLICES
+    known, unknown = (J.ledger_candidates(spark, root, pairs(*r)) for r in ((100, 110), (90_000, 90_300)))
+    assert len(known) <= 14 and len(unknown) < all_folders / 10  # ten slices hold them; the rest is chance
+    homes = {(r.batch, r.slice) for r in spark.read.parquet(root).where("deal_id between 100 and 109").select("batch", "slice").collect()}
+    assert homes <= set(known)
+    write(pairs(1000, 1500), 4)
+    write(pairs(1000, 1500), 4)  # a replay
+    got = spark.read.parquet(root)
+    assert got.count() == 1500 and got.select("deal_id").distinct().count() == 1500
+    write(pairs(0, 0), 5)
+    assert spark.read.parquet(root).count() == 1500
