@@ -225,36 +225,42 @@ def content_chunk(html: Column, marker: str, scope: str = "article") -> Column:
 LD_JSON = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
 
 
+def _ld_nodes(html: Column) -> Column:
+    """The page's structured-data nodes as array<variant>, in order, lists and ``@graph`` flattened.
+
+    Every script is parsed once; what is read from a node afterwards is a look-up in its binary form. A script that is no
+    JSON has no nodes.
+    """
+    none = F.array().cast("array<variant>")
+    parsed = F.filter(F.transform(F.regexp_extract_all(html, F.lit(LD_JSON), 1), lambda s: F.try_parse_json(F.trim(s))), lambda v: v.isNotNull())
+    listed = F.flatten(F.transform(parsed, lambda v: F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.array(v))))
+    return F.flatten(F.transform(listed, lambda n: F.concat(F.array(n), F.coalesce(F.try_variant_get(n, "$['@graph']", "array<variant>"), none))))
+
+
+def _text_of(node: Column, *paths: str) -> Column:
+    return F.coalesce(*[F.try_variant_get(node, path, "string") for path in paths])
+
+
+def _offer_of(node: Column) -> Column:
+    offer = _text_of(node, "$.offers.url", "$.offers[0].url")
+    return F.when(offer.rlike(r"^https?://"), offer)
+
+
 def json_ld_nodes(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per structured-data node (lists and ``@graph`` flattened): type, date, offer link.
 
     Rows keep the page's columns except the html; malformed scripts give no rows.
     """
-    scripts = F.regexp_extract_all(F.col(html), F.lit(LD_JSON), 1)
-    rows = pages.withColumn("_s", F.explode_outer(scripts)).drop(html).where("_s IS NOT NULL")
-    text = F.trim("_s")
-    listed = F.when(text.startswith("["), F.from_json(text, "array<string>")).otherwise(F.array(text))
-    rows = rows.withColumn("_n", F.explode(listed)).drop("_s")
-    graph = F.from_json(F.get_json_object("_n", "$['@graph']"), "array<string>")
-    rows = rows.withColumn("_n", F.explode(F.concat(
-        F.array("_n"), F.coalesce(graph, F.array().cast("array<string>")))))
-    offer = F.coalesce(F.get_json_object("_n", "$.offers.url"), F.get_json_object("_n", "$.offers[0].url"))
-    return rows.where(F.get_json_object("_n", "$").isNotNull()).select(
-        *[c for c in rows.columns if c != "_n"],
-        F.get_json_object("_n", "$['@type']").alias("node_type"),
-        F.get_json_object("_n", "$.datePublished").alias("date_published"),
-        F.when(offer.rlike(r"^https?://"), offer).alias("offer_url"))
+    rows = pages.withColumn("_n", F.explode_outer(_ld_nodes(F.col(html)))).drop(html).where("_n IS NOT NULL")
+    node = F.col("_n")
+    return rows.select(
+        *[c for c in rows.columns if c != "_n"], _text_of(node, "$['@type']").alias("node_type"),
+        _text_of(node, "$.datePublished").alias("date_published"), _offer_of(node).alias("offer_url"))
 
 
 def _ld_first(html: Column, node_type: str, pick) -> Column:
     """First non-null ``pick(node)`` over the page's structured nodes of one type, as an expression."""
-    empty = F.array().cast("array<string>")
-    scripts = F.transform(F.regexp_extract_all(html, F.lit(LD_JSON), 1), lambda s: F.trim(s))
-    listed = F.flatten(F.transform(scripts, lambda s: F.when(
-        s.startswith("["), F.coalesce(F.from_json(s, "array<string>"), empty)).otherwise(F.array(s))))
-    nodes = F.flatten(F.transform(listed, lambda n: F.concat(F.array(n), F.coalesce(
-        F.from_json(F.get_json_object(n, "$['@graph']"), "array<string>"), empty))))
-    typed = F.filter(nodes, lambda n: F.get_json_object(n, "$['@type']") == node_type)
+    typed = F.filter(_ld_nodes(html), lambda n: _text_of(n, "$['@type']") == node_type)
     return F.get(F.array_compact(F.transform(typed, pick)), F.lit(0))
 
 
@@ -264,7 +270,7 @@ def published_at(html: Column, list_date: Column, now: Column, fallback: Column
     limit = now + F.expr("INTERVAL 5 MINUTES")
 
     def structured(node: Column) -> Column:
-        text = F.get_json_object(node, "$.datePublished")
+        text = _text_of(node, "$.datePublished")
         ts = F.when(text.rlike(r"(?:Z|[+-][0-9]{2}:?[0-9]{2})$"), parse_iso(text))
         return F.when(ts <= limit, ts)
 
@@ -284,17 +290,13 @@ def published_at(html: Column, list_date: Column, now: Column, fallback: Column
 def first_outbound_link(html: Column, own_host: Column) -> Column:
     """Product offer in the structured data, else a labelled source link, else the first link to
     another host; '' when there is none."""
-    def offer(node: Column) -> Column:
-        url = F.coalesce(F.get_json_object(node, "$.offers.url"), F.get_json_object(node, "$.offers[0].url"))
-        return F.when(url.rlike(r"^https?://"), url)
-
     text = F.regexp_replace(html, r"<[^>]+>", " ")
     labelled = F.regexp_replace(F.regexp_extract(text, r"출처\s*[:：]\s*(https?://[^\s\"'<>]+)", 1), r"[).,;!?:]+$", "")
     links = F.regexp_extract_all(html, F.lit(r"""(?i)href=["'](https?://[^"']+)["']"""), 1)
     other = F.filter(links, lambda u: ~(
         (url_host(u) == own_host) | url_host(u).endswith(F.concat(F.lit("."), own_host))))
     return F.coalesce(
-        _ld_first(html, "Product", offer), F.nullif(labelled, F.lit("")),
+        _ld_first(html, "Product", _offer_of), F.nullif(labelled, F.lit("")),
         F.get(F.transform(other, lambda u: decode_basic(u)), F.lit(0)), F.lit(""))
 
 

@@ -35,11 +35,17 @@ def build_session(master: str | None = None, app: str = "pricetide", **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: what the cluster names in ``spark.checkpoint.dir``, else one below the warehouse."""
+    """The folder all executors share: what the cluster names in ``spark.checkpoint.dir``, else one below the warehouse.
+
+    On a cluster a warehouse on the driver's own disk is no such folder, and an error says so.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir() or ""
     if configured:
         return configured.rstrip("/") + "/pricetide"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_pricetide"
+    warehouse, master = spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master
+    if warehouse.startswith("file:") and not master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return warehouse.rstrip("/") + "/_pricetide"
 
 
 def work_path(spark: SparkSession, name: str) -> str:

@@ -191,3 +191,15 @@ def test_comment_text_ends_with_its_container(spark):
         '<div class="comment-count">3</div><DIV CLASS=comments>Loud</DIV>': "Loud",
         '<div class="comment">a<!-- <div> no -->b</div>c': "a b", '<br class="comment"/>x': "", '<div class="comment">never closed <b>x': "never closed x"}
     assert [t.replace(" ", "") for t in values(spark, G.comment_section_text, list(pages))] == [t.replace(" ", "") for t in pages.values()]
+
+
+def test_structured_data_is_parsed_once(spark):
+    pages = {
+        1: '<script type="application/ld+json">{"@type":"Product","offers":[{"url":"https://a.example/1"}]}</script>',
+        2: """<SCRIPT type='application/ld+json'> [{"@type":"A","datePublished":"2024-01-01T00:00:00Z"},{"@graph":[{"@type":"B","offers":{"url":"ftp://x"}},{"@type":7}]}] </SCRIPT>""",
+        3: '<script type="application/ld+json">{"@type": oops</script><script type="application/ld+json">{"name":"é😀"}</script>', 4: "<p>none</p>", 5: None}
+    df = spark.createDataFrame(list(pages.items()), "id int, html string")
+    nodes = G.json_ld_nodes(df)
+    got = sorted(tuple(x if x is not None else "" for x in r) for r in nodes.collect())
+    assert got == sorted([(1, "Product", "", "https://a.example/1"), (2, "A", "2024-01-01T00:00:00Z", ""), (2, "", "", ""), (2, "B", "", ""), (2, "7", "", ""), (3, "", "", "")])
+    assert nodes._jdf.queryExecution().executedPlan().toString().count("parseJson") <= 1
