@@ -24,9 +24,9 @@ def test_query_against_sql(spark, con, name):
     assert compare(QUERIES[name](spark, SF), con, ORACLES[name]) == ""
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     import __spark_entry__ as entry
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries()
 
 
 def test_stages(spark):
@@ -115,3 +115,18 @@ def test_one_row_of_a_group_without_own_ids_stays(spark, make_docs):
     groups = [[d for d, text in rows if text and text.startswith(f"w{g}x")] for g in range(4)]
     assert groups == [[None], [7], [3], [None]]
     assert {(None, None), (9, ""), (9, "own words")} <= set(rows) and len(rows) == 7
+
+
+def test_mixing_and_packing_take_odd_rows(spark, make_docs):
+    rows = [(1, "a b c"), (1, "a b c"), (2, None), (None, "no id"), (3, ""), *[(10 + i, f"text {i}", f"s{i % 3}") for i in range(40)]]
+    docs = make_docs(rows).withColumns({"copies": F.lit("x"), "bucket": F.lit(1), "mix_key": F.lit(None)})
+    mixed = corpus_pipeline.mix_sources(spark, docs, SF)
+    assert mixed.columns == corpus_pipeline.COLUMNS
+    counts = {}
+    for r in mixed.collect():
+        counts[r.doc_id, r.text] = counts.get((r.doc_id, r.text), 0) + 1
+    assert counts.get((1, "a b c"), 0) % 2 == 0 and set(counts) <= {(r[0], r[1]) for r in rows} and sum(counts.values()) > 40
+    packed = corpus_pipeline.pack_batches(spark, mixed.withColumn("place", F.lit("x")), SF)
+    assert packed.count() == sum(counts.values()) and len(set(packed.columns)) == len(packed.columns)
+    none = docs.limit(0)
+    assert corpus_pipeline.mix_sources(spark, none, SF).count() == 0 and corpus_pipeline.pack_batches(spark, none, SF).count() == 0
