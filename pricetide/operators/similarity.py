@@ -35,13 +35,12 @@ def _alike(left: DataFrame, right: DataFrame, threshold: float, row_id: str = "i
     for name, df in (("left", left), ("right", right)):
         tokens = F.array_sort(similarity_tokens(similarity_text(F.col(text))))
         sets = df.select(F.col(row_id).alias("member"), tokens.alias("tokens"))
-        sets = sets.withColumn("sig", F.md5(F.array_join("tokens", " ")))
+        sets = scale.cut_lineage(sets.withColumn("sig", F.md5(F.array_join("tokens", " "))))  # a text is parsed once
         members[name] = sets.select(F.col("member").alias(f"{name}_id"), F.col("sig").alias(f"{name}_sig"))
         parts.append(sets.select("sig", "tokens", F.lit(name == "left").alias("l"), F.lit(name == "right").alias("r")))
-    # Texts are parsed once for the representatives and once more for the expansion at the end.
     reps = scale.cut_lineage(parts[0].unionByName(parts[1]).groupBy("sig").agg(
         F.any_value("tokens").alias("tokens"), F.bool_or("l").alias("l"), F.bool_or("r").alias("r")
-    ).where(F.size("tokens") > 0))  # tested here: on the raw column it would parse every text twice
+    ).where(F.size("tokens") > 0))
     words = reps.select("sig", F.explode("tokens").alias("token"))
     counts = scale.cut_lineage(words.groupBy("token").agg(F.count(F.lit(1)).alias("_rows")))
     ranked = scale.salted_join(
@@ -242,10 +241,12 @@ def draft_gate(
     ``drafts``: id, pos, title, body, product, source_url. ``posts``: id, pos, title, body, img,
     created_at. ``trusted``: url. Similar means a Jaccard of the word sets at the limit or above.
     """
-    d = drafts.withColumn("_title", collapse(F.col("title"))).withColumn("_body", plain_body(F.col("body")))
-    shown = collapse(F.col("title")).alias("title")
+    # Both sides are parsed once and read by every rule.
+    d = scale.cut_lineage(drafts.withColumn("_title", collapse(F.col("title"))).withColumn("_body", plain_body(F.col("body"))))
+    posts = scale.cut_lineage(posts.withColumn("_shown", collapse(F.col("title"))).withColumn("_plain", plain_body(F.col("body"))))
+    shown = F.col("_shown").alias("title")
     titles = first_similar(d.select("id", F.col("_title").alias("text")), posts.select("pos", shown, F.col("title").alias("text")), title_limit)
-    compared = posts.select("pos", shown, plain_body(F.col("body")).alias("text")).where(F.char_length("text") >= MIN_COMPARED_BODY)
+    compared = posts.select("pos", shown, F.col("_plain").alias("text")).where(F.char_length("text") >= MIN_COMPARED_BODY)
     bodies = first_similar(d.select("id", F.col("_body").alias("text")), compared, body_limit)
 
     def first(hits: DataFrame, name: str) -> DataFrame:

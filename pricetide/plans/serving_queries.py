@@ -270,12 +270,12 @@ def similar_titles(spark, sf_dir):
     return B.similar_counts(names, names, B.TITLE_LIMIT)
 
 
-@query("similar_sequences", f"""WITH n AS (SELECT p_partkey AS id, {SIM.format("(p_name || ' ' || lower(p_type) || lower(p_brand))")} AS t FROM part), u AS (SELECT t, count(*) AS w FROM n GROUP BY t),
+@query("similar_sequences", f"""WITH n AS (SELECT p_partkey AS id, {SIM.format("(p_name || ' ' || lower(p_type))")} AS t FROM part), u AS (SELECT t, count(*) AS w FROM n GROUP BY t),
 k AS (SELECT a.t, sum(b.w) AS "similar" FROM u a JOIN u b ON levenshtein(a.t, b.t) <= floor(0.2 * greatest(length(a.t), length(b.t)) + 1e-9) GROUP BY a.t)
 SELECT id AS left_id, CAST("similar" AS BIGINT) AS "similar" FROM n JOIN k USING (t)""")
 def similar_sequences(spark, sf_dir):
-    """J21, order of characters: per product how many products have a name, kind and brand spelt alike."""
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.col("p_name"), F.lit(" "), F.lower("p_type"), F.lower("p_brand")).alias("text"))
+    """J21, order of characters: per product how many products have a name and kind spelt alike."""
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", F.lower("p_type")).alias("text"))
     return B.similar_sequences(names, names)
 
 
