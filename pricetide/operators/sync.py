@@ -263,6 +263,22 @@ def purge_soft_deleted(base: DataFrame) -> DataFrame:
     return base.where((F.col("source") == "user") | F.col("deleted_at").isNull())
 
 
+WRITING_ACTIONS = ["insert", "reactivate", "update", "delete_missing", "delete_expired"]
+
+
+def affected_rows(stored: DataFrame, plan: DataFrame, deletes: DataFrame) -> DataFrame:
+    """Stored rows that ``apply_plan``, ``soft_delete`` and ``purge_soft_deleted`` may change; a row may come more than once."""
+    acted = plan.where(F.col("action").isin(WRITING_ACTIONS))
+    keys = acted.select("key").union(acted.select("prev_key")).where("key IS NOT NULL").distinct()
+    by_id = deletes.where("id IS NOT NULL").select("id").distinct()
+    by_link = deletes.where("id IS NULL").select("source", "source_link").distinct()
+    return (
+        stored.join(keys, "key", "left_semi").unionByName(stored.join(by_id, "id", "left_semi"))
+        .unionByName(stored.join(by_link, ["source", "source_link"], "left_semi"))
+        .unionByName(stored.where(F.col("deleted_at").isNotNull() & ~F.col("source").eqNullSafe("user")))
+    )
+
+
 def apply_plan(
     existing: DataFrame, incoming: DataFrame, plan: DataFrame, now: str | Column, payload: list[str]
 ) -> DataFrame:

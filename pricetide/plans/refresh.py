@@ -20,6 +20,9 @@ PAYLOAD = [
     "negative_comment_signals", "date", "registered_at",
 ]
 
+# The stored table's partitions: days do not depend on the session's zone.
+PARTITIONS = ["source", "unix_seconds(registered_at) div 86400"]
+
 
 @dataclass
 class Refreshed:
@@ -44,6 +47,8 @@ def refresh(
 ) -> Refreshed:
     """One run over the feed files against the newest table version; publishes the next version.
 
+    Partitions (source and day) without a changed row are carried over as they are.
+
     ``tables.VersionConflict`` where another writer has published meanwhile: run again.
 
     The stored table needs ``key``, ``id``, the payload columns, ``updated_at`` and ``deleted_at``.
@@ -68,8 +73,10 @@ def refresh(
         ("future", Y.future_deletes(stored, now, sources)),
         ("policy", stored.where(F.col("deleted_at").isNull() & D.is_excluded(F.col("source"), F.col("title")))),
     ])
-    written = Y.soft_delete(Y.apply_plan(stored, incoming, plan, now, PAYLOAD), extra, now)
-    version = tables.publish(Y.purge_soft_deleted(written), table_root, ["source"], base=base)
+    extra = Y.scale.cut_lineage(extra)
+    touched, carried = tables.split(spark, table_root, base, PARTITIONS, lambda rows: Y.affected_rows(rows, plan, extra))
+    written = Y.soft_delete(Y.apply_plan(touched, incoming, plan, now, PAYLOAD), extra, now)
+    version = tables.publish(Y.purge_soft_deleted(written), table_root, PARTITIONS, base=base, carried=carried)
 
     fresh = tables.read_current(spark, table_root)
     observed = incoming.where(~F.col("source").isin(stale)) if stale else incoming

@@ -418,6 +418,24 @@ def published_versions(spark, sf_dir):
     return tables.read_current(spark, root).agg(F.count(F.lit(1)).alias("rows_now"), F.count("deleted_at").alias("deleted"))
 
 
+@query("partition_upsert", f"""{oracle_with('v_existing', 'v_incoming')}, gone AS (SELECT id FROM v_existing WHERE registered_at < TIMESTAMP '2024-01-04'),
+n AS (SELECT * FROM v_incoming WHERE registered_at >= TIMESTAMP '2024-01-28')
+SELECT coalesce(n.id, o.id) AS id, coalesce(n.source, o.source) AS source, coalesce(n.views, o.views) AS views, {sql_ts('coalesce(n.registered_at, o.registered_at)')} AS registered_at
+FROM (SELECT * FROM v_existing WHERE id NOT IN (SELECT id FROM gone)) o FULL OUTER JOIN n ON n.id = o.id""")
+def partition_upsert(spark, sf_dir):
+    """Rows of the window replace or join the stored ones, those older than it go; the days between are carried over."""
+    root, by = _folder(spark, "days"), ["source", "unix_seconds(registered_at) div 86400"]
+    columns = ["id", "source", "views", "registered_at"]
+    at = lambda day: F.lit(f"2024-01-{day} 00:00:00").cast("timestamp")
+    tables.publish(view(spark, sf_dir, "v_existing").select(*columns), root, by)
+    fresh = view(spark, sf_dir, "v_incoming").select(*columns).where(F.col("registered_at") >= at("28"))
+    tables.update(
+        spark, root, lambda stored: Y.upsert(stored.where(F.col("registered_at") >= at("04")), fresh, ["id"]), by,
+        touches=lambda stored: stored.join(fresh.select("id"), "id", "left_semi").unionByName(stored.where(F.col("registered_at") < at("04"))))
+    tables.expire_versions(spark, root, 1)
+    return tables.read_current(spark, root).withColumn("registered_at", ts_text("registered_at"))
+
+
 LAST_EVENT = "SELECT user_id, event_type, max(event_id) AS last_event FROM events GROUP BY ALL"
 
 
@@ -427,17 +445,24 @@ def upsert_stream(spark, sf_dir):
     return _upsert_stream(spark, sf_dir, False)
 
 
+@query("upsert_stream_partitions", LAST_EVENT)
+def upsert_stream_partitions(spark, sf_dir):
+    """The table lies in hashed partitions of its key, and a batch reads and writes those its keys belong to."""
+    return _upsert_stream(spark, sf_dir, True, ["pmod(user_id, 16)"])
+
+
 @query("upsert_stream_shared", LAST_EVENT)
 def upsert_stream_shared(spark, sf_dir):
     """Two streams with checkpoints of their own, each over half of the events, and a foreign version after each."""
     return _upsert_stream(spark, sf_dir, True)
 
 
-def _upsert_stream(spark, sf_dir, shared):
+def _upsert_stream(spark, sf_dir, shared, partition_by=()):
     root = _folder(spark, "merged")
     schema = "user_id BIGINT, event_type STRING, last_event BIGINT"
-    tables.publish(spark.createDataFrame([], schema), root)
+    tables.publish(spark.createDataFrame([], schema), root, partition_by)
     keys = ["user_id", "event_type"]
+    touches = (lambda stored, batch: batch) if partition_by else None
 
     def merge(stored, batch):
         new = batch.groupBy(*keys).agg(F.max("event_id").alias("last_event"))
@@ -449,10 +474,10 @@ def _upsert_stream(spark, sf_dir, shared):
         checkpoint = _folder(spark, "merged-ckpt")
         stream = tables.read_documents_stream(spark, f"{sf_dir}/events*.parquet", events.schema)
         half = stream.where(F.col("event_id") % 2 == run) if shared else stream
-        half.writeStream.foreachBatch(J.upsert_sink(root, merge, checkpoint)).option(
+        half.writeStream.foreachBatch(J.upsert_sink(root, merge, checkpoint, partition_by, touches)).option(
             "checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
         if shared:  # another writer of the table between the two streams
-            tables.publish(tables.read_current(spark, root), root)
+            tables.publish(tables.read_current(spark, root), root, partition_by)
     return tables.read_current(spark, root)
 
 

@@ -227,9 +227,11 @@ def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame:
         F.col("value.pending").alias("pending_count"), "value.titles", "value.deal_ids")
 
 
-def upsert_sink(root: str, plan_batch, checkpoint: str):
+def upsert_sink(root: str, plan_batch, checkpoint: str, partition_by: list[str] = (), touches=None):
     """``foreachBatch`` writer. ``plan_batch(stored, batch) -> new table``.
 
+    With ``touches(stored, batch)`` (see ``tables.split``) a batch reads and writes only the partitions it touches.
+
     Each version carries the stream and batch that wrote it; a batch is skipped only if that very pair is published, so a
     replay changes nothing, and a fresh ``checkpoint`` costs no batch. Where another writer publishes first, the batch is
     planned again from that version, so writers at the same time lose nothing.
@@ -237,7 +239,8 @@ def upsert_sink(root: str, plan_batch, checkpoint: str):
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stream = tables.stream_id(spark, checkpoint)
-        tables.update(spark, root, lambda stored: plan_batch(stored, batch), stream=stream, batch=batch_id)
+        touched = None if touches is None else lambda stored: touches(stored, batch)
+        tables.update(spark, root, lambda stored: plan_batch(stored, batch), partition_by, stream, batch_id, touched)
     return write
 
 

@@ -100,5 +100,8 @@ def test_refresh_run(spark, tmp_path, stored):
     assert sorted(r["key"][-1] for r in done.alert_candidates.collect()) == ["3", "6"]
     views = {r["metric"]: r for r in done.snapshot.collect()}["views"]
     assert (views["sample_count"], views["mean"]) == (4, 3.0)
+    assert len(tables._listed(spark, tables.versions(spark, stored)[-1])["parts"]) > 0
     again = refresh(spark, str(d), stored, NOW)
+    second, third = (tables._listed(spark, v)["parts"] for v in tables.versions(spark, stored)[-2:])
+    assert second == third  # nothing changed, nothing was written again
     assert {r["action"] for r in again.plan.collect()} == {"unchanged"} and again.version == 3
