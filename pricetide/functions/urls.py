@@ -64,7 +64,9 @@ def outbound_link(url: Column) -> Column:
     """target behind a redirector (``url=`` parameter or base64 ``target=``); other links as they are."""
     clean = text_or_empty(url)
     plain = F.coalesce(F.try_url_decode(query_param(clean, "url")), F.lit(""))
-    packed = F.regexp_replace(query_param(clean, "target"), r"=+$", "")
+    # A plus sign is a base64 digit here, not a blank; padding and other digits may be percent-coded.
+    coded = F.try_url_decode(F.replace(query_param(clean, "target"), F.lit("+"), F.lit("%2B")))
+    packed = F.regexp_replace(F.coalesce(coded, F.lit("")), r"=+$", "")
     missing = F.pmod(F.lit(4) - F.pmod(F.length(packed), F.lit(4)), F.lit(4))
     padded = F.concat(packed, F.repeat(F.lit("="), missing))
     decoded = F.coalesce(F.try_to_binary(padded, F.lit("base64")).cast("string"), F.lit(""))

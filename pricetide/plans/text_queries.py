@@ -218,6 +218,90 @@ def video_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), U.video_key(url).alias("key"))
 
 
+# --- texts of the tables --------------------------------------------------------------------------
+
+@query("count_texts", """WITH w AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[ \t\n\r]+')) AS w FROM documents),
+c AS (SELECT doc_id, regexp_extract(lower(replace(w, ',', '')), '^([0-9]+([.][0-9]+)?)(k|천|만|백만)?$', 1) AS n, regexp_extract(lower(replace(w, ',', '')), '^([0-9]+([.][0-9]+)?)(k|천|만|백만)?$', 3) AS u FROM w),
+v AS (SELECT doc_id, CASE WHEN n = '' THEN 0 ELSE coalesce(TRY_CAST(floor(CAST(n AS DOUBLE) * CASE u WHEN 'k' THEN 1000 WHEN '천' THEN 1000 WHEN '만' THEN 10000 WHEN '백만' THEN 1000000 ELSE 1 END) AS BIGINT), 9223372036854775807) END AS c FROM c)
+SELECT doc_id, count(*) FILTER (c > 0) AS n_counts, max(c) AS largest FROM v GROUP BY doc_id""")
+def count_texts(spark, sf_dir):
+    """every word of every whole text; how many read as a count, and the largest of them."""
+    words = F.filter(F.split("text", r"[ \t\n\r]+"), lambda w: w.rlike("^[0-9,]"))  # a count starts with a digit once commas are gone
+    counts = text_table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(words).alias("word")).select(
+        "doc_id", P.parse_count(F.col("word")).alias("n"))
+    return counts.groupBy("doc_id").agg(F.count_if(F.col("n") > 0).alias("n_counts"), F.max("n").alias("largest"))
+
+
+@query("price_texts", "SELECT o_orderkey AS id, format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) || '원' AS price FROM orders")
+def price_texts(spark, sf_dir):
+    """order totals written in three ways."""
+    n, k = F.format_number(F.floor("o_totalprice"), 0), F.col("o_orderkey") % 3
+    raw = F.when(k == 0, F.concat(F.lit("￦ "), n, F.lit("  (KRW)"))).when(k == 1, F.concat(F.lit(" ₩"), n, F.lit("원 원"))).otherwise(F.concat(n, F.lit("(KRW)")))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), P.clean_price(raw).alias("price"))
+
+
+@query("board_time_labels", f"""WITH x AS (SELECT event_id AS id, ts, date_trunc('minute', ts + INTERVAL 9 HOUR) AS m FROM events)
+SELECT id, {sql_ts(f'''CASE id % 4 WHEN 0 THEN m - INTERVAL 9 HOUR WHEN 1 THEN date_trunc('day', m) - INTERVAL 9 HOUR
+  WHEN 2 THEN CASE WHEN ts <= {T0} THEN {T0} - to_minutes(CAST((epoch_us({T0}) - epoch_us(ts)) // 60000000 AS INT)) END
+  ELSE m - INTERVAL 9 HOUR - CASE WHEN m - INTERVAL 9 HOUR > {T0} + INTERVAL 10 MINUTE THEN INTERVAL 1 YEAR ELSE INTERVAL 0 YEAR END END''')} AS at FROM x""")
+def board_time_labels(spark, sf_dir):
+    """instants of the events as a board prints them in Seoul: full, day only, minutes ago, without a year (all of this year)."""
+    local, k = F.from_utc_timestamp("ts", "Asia/Seoul"), F.col("event_id") % 4
+    ago = F.expr(f"(unix_micros(TIMESTAMP '{NOW}') - unix_micros(ts)) div 60000000")
+    label = (
+        F.when(k == 0, F.date_format(local, "yyyy.MM.dd HH:mm")).when(k == 1, F.date_format(local, "yy-MM-dd"))
+        .when((k == 2) & (F.col("ts") <= Z.as_ts(NOW)), F.concat(ago.cast("string"), F.lit("분 전"))).when(k == 3, F.date_format(local, "MM.dd HH:mm")))
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), ts_text(Z.parse_relative_time(label, Z.as_ts(NOW))).alias("at"))
+
+
+URL_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+
+
+@query("page_storage_paths", f"SELECT page_id, CASE WHEN page_id % 3 = 2 THEN '' ELSE 'pages' || {URL_PATH} END AS path FROM pages")
+def page_storage_paths(spark, sf_dir):
+    """objects named after the paths of the pages: direct, behind the image proxy, foreign."""
+    k, name = F.col("page_id") % 3, F.concat(F.lit("pages"), U.url_path(F.col("url")))
+    url = (
+        F.when(k == 0, F.concat(F.lit(PREFIX), name, F.lit("?v=2#top")))
+        .when(k == 1, F.concat(F.lit("https://wsrv.nl/?w=640&url="), F.url_encode(F.concat(F.lit(PREFIX.removeprefix("https://")), name))))
+        .otherwise(F.col("url")))
+    return table(spark, sf_dir, "pages").select("page_id", U.storage_path(url, PREFIX).alias("path"))
+
+
+@query("page_outbound_links", "SELECT page_id, url AS target FROM pages")
+def page_outbound_links(spark, sf_dir):
+    """the addresses of the pages, with their queries and fragments, behind both redirectors and bare."""
+    k = F.col("page_id") % 3
+    link = (
+        F.when(k == 0, F.concat(F.lit("https://link.gamma.example/link.php?n=1&url="), F.url_encode("url")))
+        .when(k == 1, F.concat(F.lit("https://s.alpha.example?target="), F.url_encode(F.regexp_replace(F.base64(F.col("url").cast("binary")), r"[\r\n]", ""))))
+        .otherwise(F.col("url")))
+    return table(spark, sf_dir, "pages").select("page_id", U.outbound_link(link).alias("target"))
+
+
+PAGE_TITLE = "trim(regexp_extract(html, '<title>([^<]*)</title>', 1))"
+
+
+@query("page_default_images", f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'p/defaults/naver-thumb-v1.webp' WHEN 1 THEN 'p/defaults/ali-thumb-v1.webp' WHEN 2 THEN url ELSE
+  CASE WHEN regexp_matches({PAGE_TITLE}, '^\\[ *알리 *\\]') THEN 'p/defaults/ali-thumb-v1.webp' ELSE '' END END AS img FROM pages""")
+def page_default_images(spark, sf_dir):
+    """titles of the pages behind a store's mark, a page with a picture, a title as it is."""
+    pages, k = table(spark, sf_dir, "pages"), F.col("page_id") % 4
+    title = F.concat(F.when(k == 0, "[네이버 페이] ").when(k == 1, " [ 알리 ]").otherwise(""), F.expr(PAGE_TITLE))
+    return pages.select("page_id", U.default_image(title, F.when(k == 2, F.col("url")), "p/").alias("img"))
+
+
+@query("page_video_keys", "SELECT page_id, CASE WHEN page_id % 5 = 4 THEN '' ELSE 'youtube:' || substr(md5(html), 1, 11) END AS key FROM pages")
+def page_video_keys(spark, sf_dir):
+    """a video id drawn from each page's text, in four kinds of links; the page's own address has none."""
+    v, k = F.substring(F.md5("html"), 1, 11), F.col("page_id") % 5
+    url = (
+        F.when(k == 0, F.concat(F.lit("https://www.youtube.com/watch?list=a&v="), v)).when(k == 1, F.concat(F.lit("https://youtu.be/"), v, F.lit("?t=9")))
+        .when(k == 2, F.concat(F.lit("https://m.youtube.com/shorts/"), v)).when(k == 3, F.concat(F.lit("https://i.ytimg.com/vi_webp/"), v, F.lit("/0.webp")))
+        .otherwise(F.col("url")))
+    return table(spark, sf_dir, "pages").select("page_id", U.video_key(url).alias("key"))
+
+
 # --- markers, names ------------------------------------------------------------------------------
 
 @query("reply_markers", r"""SELECT conv_id, turn, CASE WHEN turn > 0 THEN CAST(conv_id AS VARCHAR) || ':' || CAST(turn - 1 AS VARCHAR) ELSE '' END AS parent_id, text AS body FROM conversations""")

@@ -117,6 +117,18 @@ def test_storage_path(spark):
     assert values(spark, lambda c: U.storage_path(c, p), urls) == ["a/1.webp", "a/1.webp", "", ""]
 
 
+def test_outbound_links_with_coded_padding_and_plus(spark):
+    base = "https://s.alpha.example?target="
+    packed = "aHR0cHM6Ly9hLmV4YW1wbGUvP3E9fn4+"  # https://a.example/?q=~~>
+    cases = {
+        base + packed: "https://a.example/?q=~~>", base + packed.replace("+", "%2B"): "https://a.example/?q=~~>",
+        base + "aHR0cHM6Ly9iLmV4%3D%3D": "https://b.ex", base + "aHR0cHM6Ly9iLmV4": "https://b.ex",
+        "https://link.gamma.example/link.php?url=https%3A%2F%2Fc.example%2F%3Fa%3D1%26b%3D2": "https://c.example/?a=1&b=2",
+        base + "%zz": base + "%zz", "https://d.example/": "https://d.example/",
+    }
+    assert values(spark, U.outbound_link, cases) == list(cases.values())
+
+
 def test_normal_cdf(spark):
     got = values(spark, lambda c: S.normal_cdf(c.cast("double")), ["0", "1", "-1", "9"])
     assert got == pytest.approx([0.5, 0.8413447, 0.1586553, 0.9986501], abs=2e-7)
