@@ -66,7 +66,15 @@ def join_small_or_salted(
     held = cut_lineage(right)
     if is_small(held, max_rows):
         return left.join(F.broadcast(held), list(on), how)
-    return salted_join(left, held, on, spread, how)
+    return salted_join(left, shuffled(held), on, spread, how)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """One side of a join neither side of which is to be broadcast.
+
+    Spark guesses sizes from the compressed files, before any explode: rows it takes for a few MB may fill a driver.
+    """
+    return df.hint("merge")
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread: Sequence[str], how: str = "inner") -> DataFrame:

@@ -87,3 +87,12 @@ def test_keep_one_is_trimmed_before_the_shuffle(skewed):
 def test_beside(spark):
     row = scale.beside(spark.range(3).agg(F.count("*").alias("a")), spark.range(4).agg(F.max("id").alias("b"))).first()
     assert (row["a"], row["b"]) == (3, 3)
+
+
+def test_a_join_whose_right_side_is_not_small_is_never_broadcast(spark, skewed):
+    """Staged files of a few KB would tempt the planner, which guesses sizes before any explode."""
+    left = skewed.withColumn("k", F.explode(F.array("k", "k")))
+    joined = scale.join_small_or_salted(left, spark.range(50).select(F.col("id").cast("string").alias("k")), ["k"], ["id"], max_rows=1)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert joined.count() == 2 * skewed.where("k IS NOT NULL AND k <> 'hot'").count()
