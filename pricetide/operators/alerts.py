@@ -59,13 +59,13 @@ def validate_subscription(matches: DataFrame, index: DataFrame, user_keywords: D
     """Matches whose (uid, term) is enabled in the index and in the user's own list."""
     keys = ["uid", "term"]
     pairs = index.where("enabled").select(*keys).distinct().join(
-        user_keywords.where("enabled").select(*keys).distinct(), keys, "left_semi")
+        scale.shuffled(user_keywords.where("enabled").select(*keys).distinct()), keys, "left_semi")
     return scale.join_small_or_salted(matches, pairs, keys, ["deal_id"], "left_semi")
 
 
 def suppress_already_matched(matches: DataFrame, ledger: DataFrame) -> DataFrame:
     """Pairs (deal, user) the ledger does not hold yet."""
-    return matches.join(ledger.select("deal_id", "uid").distinct(), ["deal_id", "uid"], "left_anti")
+    return matches.join(scale.shuffled(ledger.select("deal_id", "uid").distinct()), ["deal_id", "uid"], "left_anti")
 
 
 def collect_terms(matches: DataFrame) -> DataFrame:

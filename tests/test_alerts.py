@@ -202,3 +202,17 @@ def test_digest_of_an_unreachable_user_is_emptied(spark, tmp_path):
         stream = J.tables.read_documents_stream(spark, f"{tmp_path}/in", m.schema)
         out = J.read_all(J.alert_throttle_stream(stream), f"{tmp_path}/c", f"{tmp_path}/o")
     assert [r["digest_count"] for r in out.where("action = 'no_tokens'").collect()] == [1] and out.where("action = 'digest'").isEmpty()
+
+
+def test_subscriptions_and_ledgers_are_not_broadcast(spark, tmp_path):
+    from pricetide.plans import views
+
+    spark.range(40).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(30).select(F.col("id").alias("p_partkey"), F.lit("red tv").alias("p_name")).write.parquet(f"{tmp_path}/part.parquet")
+    subs = views.view(spark, str(tmp_path), "v_subscriptions")
+    matches = subs.select("uid", "term", F.col("uid").alias("deal_id"))
+    kept = A.validate_subscription(matches, subs, subs.where("uid % 3 <> 0"))
+    fresh = A.suppress_already_matched(matches, matches.where("uid < 10"))
+    for df in (subs, fresh):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert (subs.count(), kept.count(), fresh.count()) == (30, 16, 20)
