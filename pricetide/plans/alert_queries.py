@@ -11,6 +11,7 @@ from pricetide.functions.text import candidate_terms, normalize_term, normalize_
 from pricetide.operators import alerts as A
 from pricetide.operators import dedup as D
 from pricetide.operators import devices as G
+from pricetide.operators import scale
 from pricetide.plans.registry import query, sql_ts, ts_text
 from pricetide.plans.views import VIEW_SQL, NOW, oracle_with, table, text_table, view
 from pricetide.session import STATE_STORE_CONF, cut_lineage, work_path
@@ -114,7 +115,7 @@ def unmatched_pairs(spark, sf_dir):
     """J10."""
     matches = _matches(spark, sf_dir)
     others = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("deal_id"), (F.col("p_partkey") + 1).alias("uid")).join(
-        table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid")), "uid").select("deal_id", "uid")
+        scale.shuffled(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uid"))), "uid").select("deal_id", "uid")
     fresh = A.suppress_already_matched(matches, matches.where("deal_id % 3 = 0").select("deal_id", "uid").unionByName(others))
     return fresh.groupBy("uid").agg(F.count(F.lit(1)).alias("matches"))
 
