@@ -12,6 +12,7 @@ from pricetide.operators import alerts as A
 from pricetide.operators import dedup as D
 from pricetide.operators import devices as G
 from pricetide.operators import scale
+from pricetide.operators import snapshots as N
 from pricetide.plans.registry import query, sql_ts, ts_text
 from pricetide.plans.views import VIEW_SQL, NOW, oracle_with, table, text_table, view
 from pricetide.session import STATE_STORE_CONF, cut_lineage, work_path
@@ -307,14 +308,15 @@ def _deal_stream(spark, sf_dir):
         F.col("ts").alias("registered_at"))
 
 
-@query("snapshot_stream", f"SELECT * FROM ({SNAP_SQL}) s WHERE CAST(captured_at AS TIMESTAMP) + INTERVAL 90 MINUTE <= (SELECT max(ts) FROM events)")
+@query("snapshot_stream", SNAP_SQL)
 def snapshot_stream(spark, sf_dir):
-    """The same numbers as the batch series, of the half hours the watermark (one hour) has closed. Append mode."""
+    """The same numbers as the batch series. Append mode; the half hours still open are read from the stream's state."""
     base = work_path(spark, "stream")
     counts = J.value_counts_stream(_deal_stream(spark, sf_dir), ["views", "comments", "likes", "dislikes", "comment_signal_score"], late="1 hour")
     counts.writeStream.outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).foreachBatch(
         J.snapshot_sink(f"{base}/rows", f"{base}/checkpoint")).start().awaitTermination()
-    rows = spark.read.parquet(f"{base}/rows")
+    still_open = N.summarize_counts(cut_lineage(J.open_counts(spark, f"{base}/checkpoint")), ["captured_at", "source", "metric"])
+    rows = spark.read.parquet(f"{base}/rows").drop("batch").unionByName(still_open)
     return rows.select("source", ts_text("captured_at").alias("captured_at"), "metric", "sample_count", "mean", "variance", "p25", "p50", "p75", "p90", "p95")
 
 
@@ -371,7 +373,11 @@ def subscription_stream_match(spark, sf_dir):
         F.col("c_custkey").alias("uid"), F.concat_ws(" ", kind, (F.col("c_custkey") % 100).cast("string")).alias("term"), F.lit(True).alias("enabled"),
         F.timestamp_seconds(F.lit(1_704_067_200) + (F.col("c_custkey") % 40) * 86_400).alias("since"))
     e = _event_stream(spark, sf_dir).select(F.col("event_id").alias("id"), F.concat_ws(" ", "event_type", (F.col("user_id") % 100).cast("string")).alias("title"), "ts")
-    return _run(spark, J.keyword_match_stream(e, subs, ["title"])).groupBy("uid").agg(F.count(F.lit(1)).alias("matches"))
+    # Users of one term and day are a class: deals meet classes, and the members of a class share its count.
+    matched = _run(spark, J.keyword_match_stream(e, J.subscription_classes(subs), ["title"]))
+    counts = matched.groupBy("term", F.col("uid").alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    members = _run(spark, J.class_members_stream(subs))
+    return scale.join_small_or_salted(members, counts, ["term", "class"], ["uid"]).groupBy("uid").agg(F.sum("n").alias("matches"))
 
 
 @query("open_windows_state", f"{THROTTLED}, ls AS (SELECT uid, term, max(st) AS st FROM aw GROUP BY ALL) SELECT uid, term, {sql_ts('st')} AS started, max(pending_count) AS pending FROM ls JOIN (SELECT uid, term, st, count(*) - 1 AS pending_count FROM aw GROUP BY ALL) USING (uid, term, st) GROUP BY ALL")

@@ -155,8 +155,8 @@ def value_counts_stream(deals: DataFrame, metrics: list[str], late: str = "48 ho
         F.explode(F.array(*[
             F.struct(F.lit(m).alias("metric"), F.coalesce(F.col(m).cast("double"), F.lit(0.0)).alias("value"))
             for m in metrics
-        ])).alias("m"))
-    return long.groupBy(F.window("registered_at", "30 minutes"), "source", F.col("m.metric").alias("metric"), (F.col("m.value") + F.lit(0.0)).alias("value")).agg(
+        ])).alias("m")).select("source", "registered_at", "m.metric", (F.col("m.value") + F.lit(0.0)).alias("value"))
+    return long.groupBy(F.window("registered_at", "30 minutes"), "source", "metric", "value").agg(
         F.count(F.lit(1)).alias("n")).select(bucket_30min(F.col("window.start")).alias("captured_at"), "source", "metric", "value", "n")
 
 
@@ -174,6 +174,13 @@ def snapshot_sink(root: str, checkpoint: str):
     return write
 
 
+def open_counts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The histograms of the half hours that a finished run of ``value_counts_stream`` has not closed yet, read from its
+    state: ``captured_at, source, metric, value, n``."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(bucket_30min(F.col("key.window.start")).alias("captured_at"), "key.source", "key.metric", "key.value", F.col("value.count").alias("n"))
+
+
 def keyword_match_stream(deals: DataFrame, subscriptions: DataFrame, text_cols: list[str], delay: str = "10 minutes", salts: int = 8) -> DataFrame:
     """Matches of new deals against the subscriptions (J8): (deal_id, uid, term, ts).
 
