@@ -206,6 +206,19 @@ def keyword_match_stream(deals: DataFrame, subscriptions: DataFrame, text_cols:
     return dealt.join(wanted, F.expr("term = _term AND _salt = _part AND since <= ts")).select("term", "deal_id", "ts", "uid")
 
 
+def subscription_classes(subscriptions: DataFrame) -> DataFrame:
+    """Subscriptions of one term from one instant on match the same deals; as ``uid, term, enabled, since`` with the
+    instant (micros) in place of the user they go through ``keyword_match_stream`` once instead of once per user."""
+    return subscriptions.select(F.unix_micros("since").alias("uid"), "term", "enabled", "since")
+
+
+def class_members_stream(subscriptions: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """``uid, term, class``, the class of ``subscription_classes`` every enabled (uid, term) belongs to."""
+    return subscriptions.withWatermark("since", delay).where("enabled").select(
+        "uid", A.X.normalize_term(F.col("term")).alias("term"), F.unix_micros("since").alias("class"), "since"
+    ).dropDuplicates(["uid", "term"]).drop("since")
+
+
 def expiry_stream(deals: DataFrame, hours: int = 48, delay: str = "10 minutes") -> DataFrame:
     """``id, registered_at, expired_at``, one row when a deal's time is up: ``hours`` after it was registered last.
 

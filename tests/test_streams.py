@@ -106,6 +106,42 @@ def test_half_hours_are_counted_across_restarts(spark):
         assert abs(r.mean - statistics.fmean(values)) < 1e-4 and abs(r.variance - statistics.pvariance(values)) < 1e-4
 
 
+def test_open_half_hours_are_read_from_the_state(spark):
+    """Closed and open half hours together hold every row."""
+    root, source, checkpoint = (work_path(spark, n) for n in ("r", "s", "c"))
+    rows = [(i, "a" if i % 3 else "b", i % 7, i * 60) for i in range(240)]
+    feed(spark, source, rows)
+    drive(J.value_counts_stream(spark.readStream.schema(EVENTS).parquet(source), ["views", "id"], "1 hour"), J.snapshot_sink(root, checkpoint), checkpoint)
+    closed = spark.read.parquet(root).groupBy("metric").agg(F.sum("sample_count").alias("n"))
+    still_open = J.open_counts(spark, checkpoint)
+    assert {r.metric: r.n for r in closed.collect()} == {"views": 150, "id": 150}
+    assert sorted({int(r.captured_at.timestamp() - 1_700_006_400) // 1800 for r in still_open.collect()}) == [5, 6, 7]
+    got = {(r.source, r.metric, r.value): r.n for r in still_open.groupBy("source", "metric", "value").agg(F.sum("n").alias("n")).collect()}
+    late = [r for r in rows if r[3] >= 5 * 1800]
+    assert sum(n for (_, metric, _), n in got.items() if metric == "id") == len(late) == 90
+    assert all(n == sum(1 for r in late if (r[1], r[2]) == (source, value)) for (source, metric, value), n in got.items() if metric == "views")
+
+
+def test_classes_of_subscriptions_count_like_their_members(spark):
+    terms, deals = work_path(spark, "t"), work_path(spark, "d")
+    rows = [(u, ("red tv", " Red TV", "fridge")[u % 3], u != 4, 86_400 * (u % 2)) for u in range(30)]
+    subs = spark.createDataFrame(rows + rows[:5], "uid int, term string, enabled boolean, s int").withColumn("since", F.timestamp_seconds(F.col("s") + 1_700_006_400))
+    subs.drop("s").write.parquet(terms)
+    spark.createDataFrame([(i, "a red tv" if i % 2 else "fridge", 10_000 * i) for i in range(20)], "id int, title string, s int").withColumn(
+        "ts", F.timestamp_seconds(F.col("s") + 1_700_006_400)).drop("s").write.parquet(deals)
+
+    def counted(change):
+        s = change(spark.readStream.schema(spark.read.parquet(terms).schema).parquet(terms))
+        d = spark.readStream.schema("id int, title string, ts timestamp").parquet(deals)
+        return J.read_all(J.keyword_match_stream(d, s, ["title"]), work_path(spark, "c"), work_path(spark, "o")).groupBy("uid", "term").count()
+
+    wanted = {(r.uid, r.term): r["count"] for r in counted(lambda s: s).collect()}
+    classes = counted(J.subscription_classes)
+    members = J.read_all(J.class_members_stream(spark.readStream.schema(spark.read.parquet(terms).schema).parquet(terms)), work_path(spark, "c"), work_path(spark, "o"))
+    got = members.join(classes.withColumnRenamed("uid", "class"), ["term", "class"])
+    assert classes.count() == 4 and {(r.uid, r.term): r["count"] for r in got.collect()} == wanted and len(wanted) == 29
+
+
 def test_active_set_loses_deals_after_their_time(spark):
     root, source, checkpoint = (work_path(spark, n) for n in ("r", "s", "c"))
     hour = 3600
