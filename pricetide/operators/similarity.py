@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,49 +19,68 @@ TITLE_LENGTH, BODY_LENGTH = (10, 70), (450, 1300)
 MIN_COMPARED_BODY = 100
 COOLDOWN_DAYS = 120
 GRAM = 4
+# Buckets of words whose rows are counted to put words in order.
+LABEL_BUCKETS = 1 << 18
 SEQUENCE_LIMIT = 0.8
 GENERIC_TERMS = [
     "가정용", "기기", "미니", "무선", "생활", "세트", "스마트", "용품", "유선", "제품", "핸디", "휴대용",
 ]
 
 
+def _rarest_first(labels: DataFrame, column: str):
+    """A function of (labels, k): the ``k`` rarest labels of a row, rarest first, by one order for all rows.
+
+    Rarity is counted by ``LABEL_BUCKETS`` buckets of labels, a table of fixed size for any vocabulary; labels that share a
+    bucket go by their number, so rows are ordered where they lie, and any such order is right for a prefix.
+    """
+    bucket = F.pmod("label", F.lit(LABEL_BUCKETS)).cast("int")
+    counted = labels.select(F.explode(column).alias("label")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    often = np.zeros(LABEL_BUCKETS, dtype="int64")  # at most LABEL_BUCKETS rows came back
+    often[counted["b"].to_numpy()] = counted["n"].to_numpy()
+
+    @F.pandas_udf("array<bigint>")
+    def rarest(rows: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([x[np.lexsort((x, often[x % LABEL_BUCKETS]))[:n]] for x, n in zip(rows, k)])
+
+    return rarest
+
+
 def _alike(left: DataFrame, right: DataFrame, threshold: float, row_id: str = "id", text: str = "text") -> tuple[dict[str, DataFrame], DataFrame]:
     """J21, exact: rows by word set (``left_id, left_sig`` and ``right_id, right_sig``) and the pairs of word sets
     ``left_sig, right_sig, jaccard`` with Jaccard >= threshold.
 
     Texts with the same word set collapse to one representative, so copies cost nothing. Representatives meet on prefix
     tokens: words sorted rarest first, of which the first ``n - ceil(t*n) + 1`` must share one in any qualifying pair.
-    Frequent words hardly ever lie in a prefix.
+    Frequent words hardly ever lie in a prefix. Words meet by their 64-bit number; the sets themselves decide. A table
+    against itself is parsed once, and each of its pairs is weighed in one direction.
     """
+    itself = left is right
     parts, members = [], {}
-    for name, df in (("left", left), ("right", right)):
+    for name, df in (("left", left), ("right", right))[:1 if itself else 2]:
         tokens = F.array_sort(similarity_tokens(similarity_text(F.col(text))))
         sets = df.select(F.col(row_id).alias("member"), tokens.alias("tokens"))
-        sets = scale.cut_lineage(sets.withColumn("sig", F.md5(F.array_join("tokens", " "))))  # a text is parsed once
-        members[name] = sets.select(F.col("member").alias(f"{name}_id"), F.col("sig").alias(f"{name}_sig"))
-        parts.append(sets.select("sig", "tokens", F.lit(name == "left").alias("l"), F.lit(name == "right").alias("r")))
-    reps = scale.cut_lineage(parts[0].unionByName(parts[1]).groupBy("sig").agg(
-        F.any_value("tokens").alias("tokens"), F.bool_or("l").alias("l"), F.bool_or("r").alias("r")
-    ).where(F.size("tokens") > 0))
-    words = reps.select("sig", F.explode("tokens").alias("token"))
-    counts = scale.cut_lineage(words.groupBy("token").agg(F.count(F.lit(1)).alias("_rows")))
-    ranked = scale.salted_join(
-        words, counts.select("token", F.col("_rows").alias("df")), ["token"], ["sig"])
-    ordered = ranked.groupBy("sig").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_o")).select(
-        "sig", F.transform("_o", lambda t: t["token"]).alias("_t"))
-    size = F.size("_t")
-    prefix = scale.cut_lineage(ordered.join(reps.select("sig", "l", "r"), "sig").select(
-        "sig", "l", "r", size.alias("n"),
-        F.posexplode(F.slice("_t", 1, (size - F.ceil(size * threshold) + 1).cast("int"))).alias("at", "token")))
+        sets = scale.cut_lineage(sets.withColumn("sig", F.unhex(F.md5(F.array_join("tokens", " ")))))  # a text is parsed once
+        for side in ("left", "right") if itself else (name,):
+            members[side] = sets.select(F.col("member").alias(f"{side}_id"), F.col("sig").alias(f"{side}_sig"))
+        parts.append(sets.select("sig", "tokens", F.lit(itself or name == "left").alias("l"), F.lit(itself or name == "right").alias("r")))
+    reps = scale.cut_lineage((parts[0] if itself else parts[0].unionByName(parts[1])).where(F.size("tokens") > 0).groupBy("sig").agg(
+        F.any_value("tokens").alias("tokens"), F.bool_or("l").alias("l"), F.bool_or("r").alias("r")))
+    size = F.size("tokens")
+    labelled = reps.select(
+        "sig", "l", "r", size.alias("n"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("labels"),
+        (size - F.ceil(size * threshold) + 1).cast("int").alias("k"))
+    rarest = _rarest_first(labelled, "labels")
+    prefix = labelled.withColumn("head", rarest("labels", "k")).select("sig", "l", "r", "n", F.posexplode("head").alias("at", "token"))
 
     def side(name: str) -> DataFrame:
         return prefix.where(name[0]).select(
             "token", F.col("sig").alias(f"{name}_sig"), F.col("n").alias(f"{name}_n"), F.col("at").alias(f"{name}_at"))
 
     small, big = F.least("left_n", "right_n"), F.greatest("left_n", "right_n")
+    once = F.col("left_sig") < F.col("right_sig") if itself else F.lit(True)
     met = (
         scale.join_small_or_salted(side("right"), side("left"), ["token"], ["right_sig"])
-        .where(small >= big * threshold)
+        .where((small >= big * threshold) & once)
         .groupBy("left_sig", "right_sig").agg(
             F.count(F.lit(1)).alias("_c"), F.max("left_n").alias("_ln"), F.max("right_n").alias("_rn"),
             F.max("left_at").alias("_la"), F.max("right_at").alias("_ra"))
@@ -67,16 +88,23 @@ def _alike(left: DataFrame, right: DataFrame, threshold: float, row_id: str = "i
     # Words are ordered alike in both sets, so what lies behind the last common prefix word bounds the rest.
     most = F.col("_c") + F.least(F.col("_ln") - 1 - F.col("_la"), F.col("_rn") - 1 - F.col("_ra"))
     needed = (F.col("_ln") + F.col("_rn")) * F.lit(threshold / (1 + threshold))
-    pairs = met.where(most >= needed - F.lit(1e-9)).select("left_sig", "right_sig")
-    words_of = {
-        name: reps.where(name[0]).select(F.col("sig").alias(f"{name}_sig"), F.col("tokens").alias(f"{name}_tokens"))
-        for name in ("left", "right")
-    }
-    both = pairs.join(words_of["left"], "left_sig").join(words_of["right"], "right_sig")
+    pairs = scale.cut_lineage(met.where(most >= needed - F.lit(1e-9)).select("left_sig", "right_sig"))
+
+    def words_of(name: str) -> DataFrame:
+        """The sets of a side; where few of them are in a pair, the others stay where they are."""
+        words = reps.where(name[0]).select(F.col("sig").alias(f"{name}_sig"), F.col("tokens").alias(f"{name}_tokens"))
+        paired = pairs.select(f"{name}_sig").distinct()
+        return words.join(F.broadcast(paired), f"{name}_sig", "left_semi") if scale.is_small(paired) else scale.shuffled(words)
+
+    both = pairs.join(words_of("left"), "left_sig").join(words_of("right"), "right_sig")
     shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
     jaccard = shared / (F.size("left_tokens") + F.size("right_tokens") - shared)
     good = scale.cut_lineage(both.withColumn("jaccard", jaccard).where(F.col("jaccard") >= threshold).select(
         "left_sig", "right_sig", "jaccard"))
+    if itself:
+        mirrored = good.select(F.col("right_sig").alias("left_sig"), F.col("left_sig").alias("right_sig"), "jaccard")
+        own = reps.select(F.col("sig").alias("left_sig"), F.col("sig").alias("right_sig"), F.lit(1.0).alias("jaccard"))
+        good = good.unionByName(mirrored).unionByName(own)
     return members, good
 
 

@@ -56,6 +56,17 @@ def test_first_similar_and_counts(spark, texts, limit):
     assert counts == {i: len(j) for i, j in alike.items() if j}
 
 
+def test_a_table_against_itself_is_staged_once(spark, texts, monkeypatch):
+    """Same counts as against a second frame of the same rows, with half of the parsing."""
+    _, right = frames(spark, texts)
+    staged, plain = [], B.scale.cut_lineage
+    monkeypatch.setattr(B.scale, "cut_lineage", lambda df: staged.append(df.columns) or plain(df))
+    own = {r["left_id"]: r["similar"] for r in B.similar_counts(right, right, 0.3).collect()}
+    assert staged.count(["member", "tokens", "sig"]) == 1
+    other = {r["left_id"]: r["similar"] for r in B.similar_counts(right, right.select("*"), 0.3).collect()}
+    assert own == other and len(own) > 50
+
+
 @pytest.mark.parametrize("limit", [0.3, 0.8, 1.0])
 def test_token_jaccard(spark, texts, limit):
     left, right = frames(spark, texts)
