@@ -7,6 +7,7 @@ is replaced by a table (or an earlier view).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pricetide.operators.scale import shuffled
@@ -138,10 +139,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table for work that is heavy per row: when the scan has fewer tasks than the session has
-    cores, its rows are dealt out first. A table of many files is read as it is."""
+    cores, or one of them holds over twice its share of the rows, its rows are dealt out first.
+
+    A Parquet file is cut by bytes but read by row group, so few large groups leave most of its tasks empty. Counting the
+    rows of each task reads no column."""
     df = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores, tasks = spark.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if tasks < cores:
+        return df.repartition(cores)
+    held = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    most, rows = held.agg(F.max("n"), F.sum("n")).first()
+    return df.repartition(tasks) if (most or 0) * cores > 2 * (rows or 0) else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

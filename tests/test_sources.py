@@ -105,3 +105,23 @@ def test_refresh_run(spark, tmp_path, stored):
     second, third = (tables._listed(spark, v)["parts"] for v in tables.versions(spark, stored)[-2:])
     assert second == third  # nothing changed, nothing was written again
     assert {r["action"] for r in again.plan.collect()} == {"unchanged"} and again.version == 3
+
+
+def test_a_file_of_one_row_group_is_dealt_out(spark, tmp_path):
+    """Its tasks are as many as the cores, but one of them would read every row."""
+    from pricetide.plans import views
+
+    spark.range(4000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/f")
+    (part,) = (tmp_path / "f").glob("*.parquet")
+    part.rename(tmp_path / "documents.parquet")
+    cost, most = (spark.conf.get(c) for c in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes"))
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")
+        assert views.table(spark, str(tmp_path), "documents").rdd.getNumPartitions() >= 8
+        dealt = views.text_table(spark, str(tmp_path), "documents")
+        held = [r["n"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert sum(held) == 4000 and max(held) <= 1000
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
