@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions.keys import text_or_empty
-from pricetide.functions.text import DATE_SUFFIX, URL_PATTERN, bind, collapse, plain_body, similarity_text, similarity_tokens
+from pricetide.functions.text import DATE_SUFFIX, URL_PATTERN, bind, collapse, compact_text, plain_body, similarity_text, similarity_tokens
 from pricetide.functions.times import as_ts, kst_date
 from pricetide.functions.urls import video_key
 from pricetide.operators import scale
+from pricetide.operators.terms import term_finder
 
 # Limits of the draft gate and words that do not name a product.
 TITLE_LIMIT, BODY_LIMIT = 0.72, 0.70
@@ -242,15 +243,23 @@ def product_cooldown_join(
         F.col("id").alias("draft_id"), compact.alias("name"), F.array_distinct(F.concat(words, stripped, F.array(compact))).alias("terms")
     ).where(F.char_length("name") >= 2)
     cutoff = as_ts(now) - F.expr(f"INTERVAL {days} DAYS")
-    text = F.replace(similarity_text(F.concat_ws(" ", *looked_at)), F.lit(" "), F.lit(""))
+    text = compact_text(F.concat_ws(" ", *looked_at))
     p = posts.where(F.col("created_at").isNull() | (F.col("created_at") >= cutoff)).select(
-        F.col("pos").alias("post_pos"), collapse(F.col("title")).alias("post_title"), text.alias("key"))
-    # Equal texts conflict alike; only the earliest matters.
-    p = scale.cut_lineage(p.groupBy("key").agg(F.min(F.struct("post_pos", "post_title")).alias("post")))
+        F.struct(F.col("pos").alias("post_pos"), collapse(F.col("title")).alias("post_title")).alias("post"), text.alias("key"))
     d = scale.cut_lineage(d)
     terms = d.select("draft_id", F.explode("terms").alias("term")).where(F.char_length("term") >= 2)
-    inside_text = terms.join(_first_holding(p, terms), "term").select("draft_id", "post")
     longest = d.agg(F.max(F.char_length("name"))).first()[0] or 0
+    finder = term_finder(terms)
+    if finder is not None:  # a text is read where it lies; only one that fits into a name is kept
+        p = scale.cut_lineage(p.select(
+            "post", F.when(F.char_length("key") <= longest, F.col("key")).alias("key"), finder("key").alias("held")))
+        firsts = p.select("post", F.explode("held").alias("term")).groupBy("term").agg(F.min("post").alias("post"))
+        p = p.where("key IS NOT NULL")
+    # Equal texts conflict alike; only the earliest matters.
+    p = scale.cut_lineage(p.groupBy("key").agg(F.min("post").alias("post")))
+    if finder is None:
+        firsts = _first_holding(p, terms)
+    inside_text = terms.join(firsts, "term").select("draft_id", "post")
     names = d.select("draft_id", "name", F.explode(_grams(F.col("name"), [1, 2, 3, 4])).alias("gram"))
     heads = p.where((F.col("key") != "") & (F.char_length("key") <= longest)).withColumn("gram", F.substring("key", 1, GRAM))
     inside_name = scale.join_small_or_salted(heads, names, ["gram"], ["key"]).where(
