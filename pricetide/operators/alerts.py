@@ -9,6 +9,7 @@ from pricetide.functions import text as X
 from pricetide.functions.keys import normalize_display_mode, subscription_id, text_or_empty, user_keyword_id
 from pricetide.functions.times import as_ts
 from pricetide.operators import scale
+from pricetide.operators.terms import term_finder
 from pricetide.session import cut_lineage
 
 # Throttle window and digest limits.
@@ -41,8 +42,9 @@ def keyword_match(
     """(deal_id, uid, term) for every enabled subscription whose term occurs as a 1-3 word phrase.
 
     Deal text loses punctuation while a stored term keeps it, so ``strict`` (the stored behaviour)
-    can never match a term such as ``c++``; ``strict=False`` normalises both sides. Subscriptions are
-    broadcast while their checked number allows; beyond it a term in very many deals is salted by deal.
+    can never match a term such as ``c++``; ``strict=False`` normalises both sides. While the subscribed terms are few
+    enough to lie beside the texts, these are searched for them and their other phrases are never made. Subscriptions
+    are broadcast while their checked number allows; beyond it a term in very many deals is salted by deal.
     """
     term = X.normalize_term(F.col("term"))
     if not strict:
@@ -51,8 +53,18 @@ def keyword_match(
         subscriptions.where("enabled")
         .select(F.col("uid"), term.alias("term")).where("term <> '' AND uid IS NOT NULL").distinct()
     )
-    return scale.join_small_or_salted(deal_terms(deals, text_cols, deal_id), wanted, ["term"], ["deal_id"]).select(
-        "deal_id", "uid", "term")
+    words = F.size(F.split("term", " "))
+    phrase = words.between(1, X.PHRASE_WORDS) & F.char_length("term").between(X.PHRASE_MIN, X.PHRASE_MAX)
+    padded = F.concat(F.lit(" "), F.col("term"), F.lit(" "))
+    wanted = scale.cut_lineage(wanted)
+    finder = term_finder(wanted.where(phrase).select(padded.alias("term")))
+    if finder is None:
+        terms = deal_terms(deals, text_cols, deal_id)
+    else:  # a phrase of a normalised text is what lies in it between spaces
+        spaced = F.concat(F.lit(" "), X.normalize_text(*[F.col(c) for c in text_cols]), F.lit(" "))
+        held = deals.select(F.col(deal_id).alias("deal_id"), F.explode_outer(finder(spaced)).alias("term"))
+        terms = held.select("deal_id", F.trim("term").alias("term")).where("term IS NOT NULL")
+    return scale.join_small_or_salted(terms, wanted, ["term"], ["deal_id"]).select("deal_id", "uid", "term")
 
 
 def validate_subscription(matches: DataFrame, index: DataFrame, user_keywords: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pricetide.functions import text as X
+from pricetide.operators import alerts as A
 from pricetide.operators import similarity as B
 from pricetide.operators import terms as R
 
@@ -61,7 +62,7 @@ def test_product_cooldown_keeps_no_long_text(spark, monkeypatch):
 
 def test_texts_in_one_pass_are_as_in_many(spark):
     rng = random.Random(3)
-    bits = [" ", "\n", "\r\n", "\x0b", "\u0085", " ", " ", "a", "B", "é", "가", "(2024.1.2)", "2024/12/31)", "20240101", "http://x.y/z)", "HTTPS://Q",
+    bits = [" ", "\n", "\r\n", "\x0b", "\u0085", " ", "\u00a0", "a", "B", "é", "가", "(2024.1.2)", "2024/12/31)", "20240101", "http://x.y/z)", "HTTPS://Q",
             "<!--category:tips-->\n", "<!--x-->", "<b>", "<", "\n## 참고 자료\n", "#", "_", "'", "\\", "½", "\U0001F600", "word"]
     df = spark.createDataFrame([("".join(rng.choice(bits) for _ in range(rng.randrange(0, 12))),) for _ in range(4000)] + [(None,)], "t string")
     t = F.col("t")
@@ -75,3 +76,23 @@ def test_texts_in_one_pass_are_as_in_many(spark):
              "compact": (F.replace(similar, F.lit(" "), F.lit("")), X.compact_text(t))}
     for name, (many, one) in pairs.items():
         assert df.where(~many.eqNullSafe(one)).collect() == [], name
+
+
+def test_keyword_match_makes_no_phrase_that_nobody_wants(spark, monkeypatch):
+    """Same matches by either way; with few subscriptions the phrases of a text are not listed."""
+    deals = spark.createDataFrame([
+        (1, "Big <b>RED</b> lamp, cheap"), (2, "red-lamp"), (3, "reds lamp"), (4, None), (5, "red   lamp red lamp x"), (6, "c++ и Ёлка"), (None, "lamp")], "id int, t string")
+    subs = spark.createDataFrame([
+        (1, " Red  Lamp ", True), (2, "lamp", True), (2, "lamp", True), (3, "big red lamp cheap", True), (4, "c++", True), (5, "x", True), (6, "ёлка", True),
+        (7, "lamp", False), (None, "lamp", True), (8, "", True), (9, None, True), (10, "big red lamp", True), (11, "red\u00a0lamp", True)], "uid int, term string, enabled boolean")
+    def matches(strict):
+        return sorted(tuple(r) for r in A.keyword_match(deals.where("id IS NOT NULL"), subs, ["t"], strict=strict).collect())
+    found = [matches(True), matches(False)]
+    with monkeypatch.context() as m:
+        m.setattr(R, "TERM_ROWS", 0)
+        assert [matches(True), matches(False)] == found
+    monkeypatch.setattr(A, "deal_terms", lambda *a: pytest.fail("phrases were listed"))
+    want = sorted(
+        [(i, 1, "red lamp") for i in (1, 2, 5)] + [(i, 2, "lamp") for i in (1, 2, 3, 5)] + [(6, 6, "ёлка"), (1, 10, "big red lamp")])
+    assert found[0] == want and matches(True) == want
+    assert A.keyword_match(deals, subs, ["t"]).where("deal_id IS NULL").count() == 1
