@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -22,6 +21,11 @@ ALERT_SCHEMA = T.StructType([
     T.StructField("action", T.StringType()), T.StructField("pending_count", T.LongType()),
     T.StructField("digest_count", T.LongType()), T.StructField("digest_titles", T.StringType()), T.StructField("digest_ids", T.StringType()),
 ])
+# What leaves the processor: the alerts of a key beside it, so that a key is one row between Python and the JVM, not one per alert.
+KEYED_SCHEMA = T.StructType([*ALERT_SCHEMA.fields[:2], T.StructField("alerts", T.ArrayType(T.StructType(ALERT_SCHEMA.fields[2:])))])
+KEYED = Row(*KEYED_SCHEMA.names)
+# Most alerts in such a row.
+ALERT_CHUNK = 10_000
 STATE_SCHEMA = T.StructType([
     T.StructField("start", T.LongType()), T.StructField("pending", T.LongType()),
     T.StructField("titles", T.ArrayType(T.StringType())), T.StructField("deal_ids", T.ArrayType(T.StringType())),
@@ -52,38 +56,46 @@ class AlertThrottle(StatefulProcessor):
         self.handle = handle
         self.window = handle.getValueState("window", STATE_SCHEMA)
 
-    def _arm(self, start: int) -> None:
-        if self.flush:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer((start + self.width) // 1000 + 1)
+    def _timer(self, start: int) -> int:
+        return (start + self.width) // 1000 + 1
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         uid, term = key
-        start, pending, titles, ids, reachable = self.window.get() or (None, 0, [], [], True)
-        batch = pd.concat(list(rows)).sort_values(["at", "deal_id"], kind="stable")
-        out = []
-        for at, deal_id, title, subscribed, reachable in zip(batch["at"], batch["deal_id"], batch["title"], batch["subscribed"], batch["reachable"]):
-            at, deal_id = int(at), str(deal_id)
+        before, pending, titles, ids, reachable = self.window.get() or (None, 0, [], [], True)
+        start, moved = before, False
+        # Each call to the state is a message to the executor's JVM, so the state is read and written once per key and batch.
+        given, out = (r.asDict() for r in rows), []
+        batch = sorted(
+            ((g["at"], g["deal_id"] is None, g["deal_id"], g.get("title", ""), g.get("subscribed", True), g.get("reachable", True)) for g in given),
+            key=lambda r: r[:3])
+        for at, _, deal_id, title, subscribed, reachable in batch:
+            deal_id = str(deal_id)
+            if len(out) >= ALERT_CHUNK:
+                yield KEYED(uid, term, out)
+                out = []
             if not subscribed:
-                out.append((uid, term, deal_id, at, "skip", 0, 0, "", ""))
-                start, pending, titles, ids = None, 0, [], []
+                out.append((deal_id, at, "skip", 0, 0, "", ""))
+                start, pending, titles, ids, moved = None, 0, [], [], True
             elif start is None or at - start >= self.width:
-                out.append((uid, term, deal_id, at, "send", 0, pending, "|".join(titles), "|".join(ids)))
-                start, pending, titles, ids = at, 0, [], []
-                self._arm(start)
+                out.append((deal_id, at, "send", 0, pending, "|".join(titles), "|".join(ids)))
+                start, pending, titles, ids, moved = at, 0, [], [], True
             else:
                 pending += 1
                 titles = _kept(list(titles), str(title or "").strip(), A.MAX_PENDING_TITLES)
                 ids = _kept(list(ids), deal_id, A.MAX_PENDING_IDS)
-                out.append((uid, term, deal_id, at, "queue", pending, 0, "", ""))
+                out.append((deal_id, at, "queue", pending, 0, "", ""))
         if start is None:
             self.window.clear()
         else:
             self.window.update((start, pending, list(titles), list(ids), bool(reachable)))
-        yield pd.DataFrame(out, columns=ALERT_SCHEMA.names)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.flush and moved:  # a window has the one timer that its start gives
+            if before is not None and before != start:
+                self.handle.deleteTimer(self._timer(before))
+            if start is not None:
+                self.handle.registerTimer(self._timer(start))
+        yield KEYED(uid, term, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         uid, term = key
         state = self.window.get()
         if state is None:
@@ -94,12 +106,11 @@ class AlertThrottle(StatefulProcessor):
             self.window.clear()
         elif not reachable:
             self.window.update((start, 0, [], [], False))
-            yield pd.DataFrame([(uid, term, "", due, "no_tokens", 0, pending, "", "")], columns=ALERT_SCHEMA.names)
+            yield KEYED(uid, term, [("", due, "no_tokens", 0, pending, "", "")])
         else:
             self.window.update((due, 0, [], [], True))
-            self._arm(due)
-            yield pd.DataFrame(
-                [(uid, term, "", due, "digest", 0, pending, "|".join(titles), "|".join(ids))], columns=ALERT_SCHEMA.names)
+            self.handle.registerTimer(self._timer(due))
+            yield KEYED(uid, term, [("", due, "digest", 0, pending, "|".join(titles), "|".join(ids))])
 
     def close(self) -> None:
         pass
@@ -113,17 +124,16 @@ def alert_throttle_stream(
     State instants are plain microsecond numbers. Rows of one instant go in ``deal_id`` order, as in the
     batch form. Columns ``title``, ``subscribed`` and ``reachable`` may be absent: empty, true and true.
     """
-    def given(name: str, default) -> object:
-        return (F.coalesce(F.col(name), F.lit(default)) if name in matches.columns else F.lit(default)).alias(name)
-
+    defaults = {"title": "", "subscribed": True, "reachable": True}
     rows = matches.withWatermark("ts", delay) if flush else matches
     rows = rows.select(
         F.col("uid").cast("string").alias("uid"), F.col("term").cast("string").alias("term"),
-        "deal_id", given("title", ""), given("subscribed", True), given("reachable", True),
+        "deal_id", *[F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in defaults.items() if c in matches.columns],
         F.unix_micros("ts").alias("at"), *(["ts"] if flush else []))
-    return rows.groupBy("uid", "term").transformWithStateInPandas(
-        statefulProcessor=AlertThrottle(window_minutes, flush), outputStructType=ALERT_SCHEMA,
+    alerts = rows.groupBy("uid", "term").transformWithState(
+        statefulProcessor=AlertThrottle(window_minutes, flush), outputStructType=KEYED_SCHEMA,
         outputMode="append", timeMode="eventTime" if flush else "none")
+    return alerts.select("uid", "term", F.inline("alerts"))
 
 
 def alert_dedup_stream(matches: DataFrame, delay: str = "48 hours") -> DataFrame:
