@@ -162,3 +162,8 @@ def compact_text(col: Column) -> Column:
 def similarity_tokens(normalized: Column) -> Column:
     """Distinct words of two or more ASCII letters, digits or Hangul syllables."""
     return F.array_distinct(F.regexp_extract_all(normalized, F.lit(r"([0-9a-z가-힣]{2,})"), 1))
+
+
+def similarity_words(col: Column) -> Column:
+    """``similarity_tokens`` of ``similarity_text``: what that turns into spaces is no part of a word, so it stays as it is."""
+    return similarity_tokens(_unlinked(col))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricetide.functions.keys import text_or_empty
-from pricetide.functions.text import DATE_SUFFIX, URL_PATTERN, bind, collapse, compact_text, plain_body, similarity_text, similarity_tokens
+from pricetide.functions.text import DATE_SUFFIX, URL_PATTERN, bind, collapse, compact_text, plain_body, similarity_text, similarity_tokens, similarity_words
 from pricetide.functions.times import as_ts, kst_date
 from pricetide.functions.urls import video_key
 from pricetide.operators import scale
@@ -22,6 +22,8 @@ COOLDOWN_DAYS = 120
 GRAM = 4
 # Buckets of words whose rows are counted to put words in order.
 LABEL_BUCKETS = 1 << 18
+# Words of one side that a task keeps beside the rows of the other.
+KNOWN_WORDS = 1 << 20
 SEQUENCE_LIMIT = 0.8
 GENERIC_TERMS = [
     "가정용", "기기", "미니", "무선", "생활", "세트", "스마트", "용품", "유선", "제품", "핸디", "휴대용",
@@ -46,6 +48,35 @@ def _rarest_first(labels: DataFrame, column: str):
     return rarest
 
 
+def _may_be_alike(sets: DataFrame, threshold: float):
+    """A function of (rows, tokens): ``member, tokens`` of the rows whose word set may have a Jaccard >= threshold with one of ``sets``.
+
+    Two such sets share at least that part of the larger one. So the sizes of ``sets`` bound the size of what is alike, and
+    where their words are few enough to be kept beside the rows, that part of a row's words must be among them. The other
+    rows are left out where they are parsed. Words are looked up by number; a chance hit only keeps a row more.
+    """
+    size = F.size("tokens")
+    words, least, most = sets.where(size > 0).agg(F.sum(size), F.min(size), F.max(size)).first()
+    low, high = (least or 0) * threshold - 1e-9, (most or 0) / threshold + 1e-9
+    numbers = F.transform("tokens", lambda t: F.xxhash64(t))
+    held = None
+    if words and words <= KNOWN_WORDS:
+        known = np.sort(sets.select(F.explode(numbers).alias("label")).distinct().toPandas()["label"].to_numpy())
+
+        @F.pandas_udf("int")
+        def held(rows: pd.Series) -> pd.Series:
+            flat, ends = np.concatenate([np.zeros(0, dtype="int64"), *rows]), np.cumsum([0, *map(len, rows)])
+            hits = known[np.minimum(np.searchsorted(known, flat), len(known) - 1)] == flat
+            return pd.Series(np.diff(np.concatenate([[0], np.cumsum(hits)])[ends]))
+
+    def likely(rows: DataFrame, tokens: Column) -> DataFrame:
+        fitting = F.filter(F.array(tokens), lambda t: F.size(t).between(low, high))
+        rows = rows.select("member", F.explode_outer(fitting).alias("tokens")).where("tokens IS NOT NULL")
+        return rows if held is None else rows.where(held(numbers) >= size * threshold - 1e-9)
+
+    return likely
+
+
 def _alike(left: DataFrame, right: DataFrame, threshold: float, row_id: str = "id", text: str = "text") -> tuple[dict[str, DataFrame], DataFrame]:
     """J21, exact: rows by word set (``left_id, left_sig`` and ``right_id, right_sig``) and the pairs of word sets
     ``left_sig, right_sig, jaccard`` with Jaccard >= threshold.
@@ -53,13 +84,15 @@ def _alike(left: DataFrame, right: DataFrame, threshold: float, row_id: str = "i
     Texts with the same word set collapse to one representative, so copies cost nothing. Representatives meet on prefix
     tokens: words sorted rarest first, of which the first ``n - ceil(t*n) + 1`` must share one in any qualifying pair.
     Frequent words hardly ever lie in a prefix. Words meet by their 64-bit number; the sets themselves decide. A table
-    against itself is parsed once, and each of its pairs is weighed in one direction.
+    against itself is parsed once, and each of its pairs is weighed in one direction. Of two tables the left one is parsed
+    first, and right rows that are alike to nothing there by size and words are not kept.
     """
     itself = left is right
     parts, members = [], {}
     for name, df in (("left", left), ("right", right))[:1 if itself else 2]:
-        tokens = F.array_sort(similarity_tokens(similarity_text(F.col(text))))
-        sets = df.select(F.col(row_id).alias("member"), tokens.alias("tokens"))
+        tokens = F.sort_array(similarity_words(F.col("text")))
+        rows = df.select(F.col(row_id).alias("member"), F.col(text).alias("text"))
+        sets = rows.select("member", tokens.alias("tokens")) if name == "left" else _may_be_alike(sets, threshold)(rows, tokens)
         sets = scale.cut_lineage(sets.withColumn("sig", F.unhex(F.md5(F.array_join("tokens", " ")))))  # a text is parsed once
         for side in ("left", "right") if itself else (name,):
             members[side] = sets.select(F.col("member").alias(f"{side}_id"), F.col("sig").alias(f"{side}_sig"))
@@ -182,7 +215,7 @@ def similar_sequences(left: DataFrame, right: DataFrame, threshold: float = SEQU
 def source_keys(posts: DataFrame) -> DataFrame:
     """Video keys already used by the posts, from their picture and every link in the body."""
     links = F.transform(
-        F.regexp_extract_all(F.coalesce("body", F.lit("")), F.lit(f"({URL_PATTERN})"), 1),
+        F.when(F.contains("body", F.lit("://")), F.regexp_extract_all("body", F.lit(f"({URL_PATTERN})"), 1)).otherwise(F.array()),
         lambda u: F.regexp_replace(u, r"[.,]+$", ""))
     every = posts.select(F.explode(F.concat(F.array(text_or_empty(F.col("img"))), links)).alias("u"))
     return every.select(video_key(F.col("u")).alias("source_key")).where("source_key <> ''").distinct()
@@ -278,12 +311,13 @@ def draft_gate(
     ``drafts``: id, pos, title, body, product, source_url. ``posts``: id, pos, title, body, img,
     created_at. ``trusted``: url. Similar means a Jaccard of the word sets at the limit or above.
     """
-    # Both sides are parsed once and read by every rule.
+    # Both sides are read once; a body is written once, as it is.
     d = scale.cut_lineage(drafts.withColumn("_title", collapse(F.col("title"))).withColumn("_body", plain_body(F.col("body"))))
-    posts = scale.cut_lineage(posts.withColumn("_shown", collapse(F.col("title"))).withColumn("_plain", plain_body(F.col("body"))))
+    posts = scale.cut_lineage(posts.select("pos", "title", "body", "img", "created_at", collapse(F.col("title")).alias("_shown")))
     shown = F.col("_shown").alias("title")
     titles = first_similar(d.select("id", F.col("_title").alias("text")), posts.select("pos", shown, F.col("title").alias("text")), title_limit)
-    compared = posts.select("pos", shown, F.col("_plain").alias("text")).where(F.char_length("text") >= MIN_COMPARED_BODY)
+    plain = bind(plain_body(F.col("body")), lambda t: F.when(F.char_length(t) >= MIN_COMPARED_BODY, t))  # a short one has no words
+    compared = posts.select("pos", shown, plain.alias("text"))
     bodies = first_similar(d.select("id", F.col("_body").alias("text")), compared, body_limit)
 
     def first(hits: DataFrame, name: str) -> DataFrame:
