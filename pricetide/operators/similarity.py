@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +27,8 @@ GRAM = 4
 LABEL_BUCKETS = 1 << 18
 # Words of one side that a task keeps beside the rows of the other.
 KNOWN_WORDS = 1 << 20
+# Pairs of word sets that a task compares at once, and rows of two numbers that are broadcast.
+TILE_PAIRS, HELD_NUMBERS = 1 << 18, 1 << 19
 SEQUENCE_LIMIT = 0.8
 GENERIC_TERMS = [
     "가정용", "기기", "미니", "무선", "생활", "세트", "스마트", "용품", "유선", "제품", "핸디", "휴대용",
@@ -77,67 +82,141 @@ def _may_be_alike(sets: DataFrame, threshold: float):
     return likely
 
 
+def _listed(tokens: str) -> Column:
+    """The words of a staged set, which holds them as one text."""
+    return F.filter(F.split(tokens, " "), lambda w: w != "")
+
+
+def _meetings(size: Column) -> Column:
+    """Words that two sets must share in their prefixes, by the size of the smaller one.
+
+    A short set has no words to spare: its prefix would reach frequent ones. Long prefixes meet by chance more often.
+    """
+    return F.least(1 + F.floor(size / 16), 3 + F.floor(size / 128))
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``right_sig, least, left_sig`` with the neighbours of one right set as one row."""
+    for batch in batches:
+        right = batch["right_sig"].to_numpy()
+        if len(right):
+            starts = np.flatnonzero(np.concatenate([[True], right[1:] != right[:-1]]))
+            ends = pa.array(np.append(starts, len(right)), pa.int32())
+            rows = batch.take(pa.array(starts))
+            yield pa.RecordBatch.from_arrays([rows["right_sig"], rows["least"], pa.ListArray.from_arrays(ends, batch["left_sig"])], ["right_sig", "least", "left_sigs"])
+
+
+def _compared(threshold: float):
+    """A function of batches of ``tile, other, sig, tokens``, by tile the sets (no ``other``) before the pairs (no ``tokens``):
+    ``left_sig, right_sig, jaccard`` of the pairs with Jaccard >= threshold. It holds the sets and the pairs of one tile."""
+    def compared(sets: dict[int, np.ndarray], words: int, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+        marked, shared = np.zeros(words, dtype="int64"), np.zeros(len(left), dtype="int64")
+        cuts = np.flatnonzero(left[1:] != left[:-1]) + 1
+        for start, end in zip([0, *cuts], [*cuts, len(left)]):
+            own, others = sets[left[start]], [sets[x] for x in right[start:end]]
+            marked[own] = 1
+            shared[start:end] = np.add.reduceat(marked[np.concatenate(others)], np.cumsum([0, *map(len, others[:-1])]))
+            marked[own] = 0
+        jaccard = shared / (np.array([len(sets[x]) for x in left]) + np.array([len(sets[x]) for x in right]) - shared)
+        good = jaccard >= threshold
+        if good.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (left, right, jaccard)], ["left_sig", "right_sig", "jaccard"])
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets, numbers, pairs = None, {}, {}, []
+        for batch in batches:
+            tiles = batch["tile"].to_numpy()
+            cuts = (np.flatnonzero(tiles[1:] != tiles[:-1]) + 1).tolist()
+            for start, end in zip([0, *cuts], [*cuts, len(tiles)]):
+                if start == end:
+                    continue
+                if tiles[start] != at:
+                    if pairs:
+                        yield from compared(sets, len(numbers), *map(np.concatenate, zip(*pairs)))
+                    at, sets, numbers, pairs = tiles[start], {}, {}, []
+                rows = batch.slice(start, end - start)
+                n = rows["other"].null_count
+                for sig, tokens in zip(rows["sig"][:n].to_pylist(), rows["tokens"][:n].to_pylist()):
+                    sets[sig] = np.array([numbers.setdefault(w, len(numbers)) for w in tokens.split(" ")])
+                if n < len(rows):
+                    pairs.append((rows["other"][n:].to_numpy(), rows["sig"][n:].to_numpy()))
+        if pairs:
+            yield from compared(sets, len(numbers), *map(np.concatenate, zip(*pairs)))
+
+    return of
+
+
 def _alike(left: DataFrame, right: DataFrame, threshold: float, row_id: str = "id", text: str = "text") -> tuple[dict[str, DataFrame], DataFrame]:
     """J21, exact: rows by word set (``left_id, left_sig`` and ``right_id, right_sig``) and the pairs of word sets
     ``left_sig, right_sig, jaccard`` with Jaccard >= threshold.
 
-    Texts with the same word set collapse to one representative, so copies cost nothing. Representatives meet on prefix
-    tokens: words sorted rarest first, of which the first ``n - ceil(t*n) + 1`` must share one in any qualifying pair.
-    Frequent words hardly ever lie in a prefix. Words meet by their 64-bit number; the sets themselves decide. A table
-    against itself is parsed once, and each of its pairs is weighed in one direction. Of two tables the left one is parsed
-    first, and right rows that are alike to nothing there by size and words are not kept.
+    Texts with the same word set go by the first of them, so copies cost nothing. Word sets meet on prefix tokens: words
+    sorted rarest first, of which the first ``n - ceil(t*n) + k`` must share ``k`` in any qualifying pair (``_meetings``), at
+    places behind which enough words are left. Frequent words hardly ever lie in a prefix. Words meet by their 64-bit
+    number; the sets themselves decide. A table against itself is parsed once, and each of its pairs is weighed in one
+    direction. Of two tables the left one is parsed first, and right rows that are alike to nothing there by size and words
+    are not kept.
+
+    A set is not sent along with each of its pairs: those that met go to tiles, and a tile gets each of its sets once. The
+    pairs of a right set lie in the tile of the first left set it met, as those of its near copies mostly do. Where more
+    than ``TILE_PAIRS`` would meet, both sides are dealt over a square of tiles.
     """
     itself = left is right
-    parts, members = [], {}
+    members, reps = {}, {}
     for name, df in (("left", left), ("right", right))[:1 if itself else 2]:
         tokens = F.sort_array(similarity_words(F.col("text")))
         rows = df.select(F.col(row_id).alias("member"), F.col(text).alias("text"))
-        sets = rows.select("member", tokens.alias("tokens")) if name == "left" else _may_be_alike(sets, threshold)(rows, tokens)
-        sets = scale.cut_lineage(sets.withColumn("sig", F.unhex(F.md5(F.array_join("tokens", " ")))))  # a text is parsed once
+        rows = rows.select("member", tokens.alias("tokens")) if name == "left" else _may_be_alike(sets.select(_listed("tokens").alias("tokens")), threshold)(rows, tokens)
+        number = F.monotonically_increasing_id() * 2 + F.lit(int(name == "right"))  # no number on both sides
+        sets = scale.cut_lineage(rows.select("member", F.array_join("tokens", " ").alias("tokens"), number.alias("sig")))  # a text is parsed once
+        keyed = sets.select("sig", F.unhex(F.md5("tokens")).alias("words"))
+        several = keyed.groupBy("words").agg(F.min("sig").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        copies = scale.cut_lineage(scale.salted_join(keyed, scale.shuffled(several), ["words"], ["sig"]).where("sig <> first").select("sig", "first"))
+        few = scale.is_small(copies, HELD_NUMBERS)
+        copies = F.broadcast(copies) if few else scale.shuffled(copies)
+        reps[name] = sets.where("tokens <> ''").select("sig", "tokens").join(copies, "sig", "left_anti")
+        reps[name] = reps[name] if few else scale.cut_lineage(reps[name])
+        numbered = sets.select("member", "sig").join(copies, "sig", "left").select("member", F.coalesce("first", "sig").alias("sig"))
         for side in ("left", "right") if itself else (name,):
-            members[side] = sets.select(F.col("member").alias(f"{side}_id"), F.col("sig").alias(f"{side}_sig"))
-        parts.append(sets.select("sig", "tokens", F.lit(itself or name == "left").alias("l"), F.lit(itself or name == "right").alias("r")))
-    reps = scale.cut_lineage((parts[0] if itself else parts[0].unionByName(parts[1])).where(F.size("tokens") > 0).groupBy("sig").agg(
-        F.any_value("tokens").alias("tokens"), F.bool_or("l").alias("l"), F.bool_or("r").alias("r")))
-    size = F.size("tokens")
-    labelled = reps.select(
-        "sig", "l", "r", size.alias("n"), F.transform("tokens", lambda t: F.xxhash64(t)).alias("labels"),
-        (size - F.ceil(size * threshold) + 1).cast("int").alias("k"))
+            members[side] = numbered.select(F.col("member").alias(f"{side}_id"), F.col("sig").alias(f"{side}_sig"))
+    every = reps["left"] if itself else reps["left"].unionByName(reps["right"])
+    size = F.size("labels")
+    labelled = every.select("sig", F.transform(_listed("tokens"), lambda t: F.xxhash64(t)).alias("labels"))
     rarest = _rarest_first(labelled, "labels")
-    prefix = labelled.withColumn("head", rarest("labels", "k")).select("sig", "l", "r", "n", F.posexplode("head").alias("at", "token"))
+    heads = labelled.select("sig", size.alias("n"), rarest("labels", (size - F.ceil(size * threshold - F.lit(1e-9)) + _meetings(size)).cast("int")).alias("head"))
+    prefix = heads.select("sig", "n", F.posexplode("head").alias("at", "token"))
 
     def side(name: str) -> DataFrame:
-        return prefix.where(name[0]).select(
-            "token", F.col("sig").alias(f"{name}_sig"), F.col("n").alias(f"{name}_n"), F.col("at").alias(f"{name}_at"))
+        own = prefix if itself else prefix.where(F.col("sig") % 2 == int(name == "right"))
+        return own.select("token", F.col("sig").alias(f"{name}_sig"), F.col("n").alias(f"{name}_n"), F.col("at").alias(f"{name}_at"))
 
     small, big = F.least("left_n", "right_n"), F.greatest("left_n", "right_n")
     once = F.col("left_sig") < F.col("right_sig") if itself else F.lit(True)
-    met = (
-        scale.join_small_or_salted(side("right"), side("left"), ["token"], ["right_sig"])
-        .where((small >= big * threshold) & once)
-        .groupBy("left_sig", "right_sig").agg(
-            F.count(F.lit(1)).alias("_c"), F.max("left_n").alias("_ln"), F.max("right_n").alias("_rn"),
-            F.max("left_at").alias("_la"), F.max("right_at").alias("_ra"))
-    )
-    # Words are ordered alike in both sets, so what lies behind the last common prefix word bounds the rest.
-    most = F.col("_c") + F.least(F.col("_ln") - 1 - F.col("_la"), F.col("_rn") - 1 - F.col("_ra"))
-    needed = (F.col("_ln") + F.col("_rn")) * F.lit(threshold / (1 + threshold))
-    pairs = scale.cut_lineage(met.where(most >= needed - F.lit(1e-9)).select("left_sig", "right_sig"))
-
-    def words_of(name: str) -> DataFrame:
-        """The sets of a side; where few of them are in a pair, the others stay where they are."""
-        words = reps.where(name[0]).select(F.col("sig").alias(f"{name}_sig"), F.col("tokens").alias(f"{name}_tokens"))
-        paired = pairs.select(f"{name}_sig").distinct()
-        return words.join(F.broadcast(paired), f"{name}_sig", "left_semi") if scale.is_small(paired) else scale.shuffled(words)
-
-    both = pairs.join(words_of("left"), "left_sig").join(words_of("right"), "right_sig")
-    shared = F.size(F.array_intersect("left_tokens", "right_tokens"))
-    jaccard = shared / (F.size("left_tokens") + F.size("right_tokens") - shared)
-    good = scale.cut_lineage(both.withColumn("jaccard", jaccard).where(F.col("jaccard") >= threshold).select(
-        "left_sig", "right_sig", "jaccard"))
+    # Words are ordered alike in both sets, so what lies behind a common prefix word bounds the rest.
+    most = _meetings(small) + F.least(F.col("left_n") - 1 - F.col("left_at"), F.col("right_n") - 1 - F.col("right_at"))
+    needed = (F.col("left_n") + F.col("right_n")) * F.lit(threshold / (1 + threshold))
+    joined = scale.shuffled(side("right")).join(side("left"), "token") if itself else scale.join_small_or_salted(side("right"), side("left"), ["token"], ["right_sig"])
+    met = joined.where((small >= big * threshold - F.lit(1e-9)) & once & (most >= needed - F.lit(1e-9)))
+    shared = F.ceil(F.col("right_n") * threshold - F.lit(1e-9))  # at least, with a set that is alike and so has as many words
+    least = F.least(_meetings(shared), shared).cast("int").alias("least")
+    pairs = scale.cut_lineage(
+        met.select("right_sig", least, "left_sig").mapInArrow(_packed, "right_sig long, least int, left_sigs array<long>")
+        .repartition("right_sig").select("right_sig", "least", F.explode("left_sigs").alias("left_sig"))
+        .groupBy("right_sig", "least", "left_sig").agg(F.count(F.lit(1)).alias("n")).where("n >= least")
+        .select("left_sig", "right_sig", F.min("left_sig").over(Window.partitionBy("right_sig")).alias("home")))
+
+    wide = pairs.groupBy("home").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE_PAIRS).select("home", F.ceil(F.sqrt(F.col("n") / TILE_PAIRS)).alias("wide"))
+    part = lambda c: F.pmod(F.xxhash64(c), F.coalesce("wide", F.lit(1)))
+    tiled = scale.join_small_or_salted(pairs, wide, ["home"], ["right_sig"], "left").select(F.xxhash64("home", part("left_sig"), part("right_sig")).alias("tile"), "left_sig", "right_sig")
+    wanted = scale.cut_lineage(tiled.select("tile", F.explode(F.array("left_sig", "right_sig")).alias("sig")).distinct())
+    sent = every.join(F.broadcast(wanted) if scale.is_small(wanted, HELD_NUMBERS) else scale.shuffled(wanted), "sig")
+    rows = sent.select("tile", F.lit(None).cast("long").alias("other"), "sig", "tokens").unionByName(
+        tiled.select("tile", F.col("left_sig").alias("other"), F.col("right_sig").alias("sig"), F.lit(None).cast("string").alias("tokens")))
+    good = scale.cut_lineage(rows.repartition("tile").sortWithinPartitions("tile", "other").mapInArrow(
+        _compared(threshold), "left_sig long, right_sig long, jaccard double"))
     if itself:
         mirrored = good.select(F.col("right_sig").alias("left_sig"), F.col("left_sig").alias("right_sig"), "jaccard")
-        own = reps.select(F.col("sig").alias("left_sig"), F.col("sig").alias("right_sig"), F.lit(1.0).alias("jaccard"))
+        own = every.select(F.col("sig").alias("left_sig"), F.col("sig").alias("right_sig"), F.lit(1.0).alias("jaccard"))
         good = good.unionByName(mirrored).unionByName(own)
     return members, good
 
