@@ -103,7 +103,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts = np.flatnonzero(np.concatenate([[True], right[1:] != right[:-1]]))
             ends = pa.array(np.append(starts, len(right)), pa.int32())
             rows = batch.take(pa.array(starts))
-            yield pa.RecordBatch.from_arrays([rows["right_sig"], rows["least"], pa.ListArray.from_arrays(ends, batch["left_sig"])], ["right_sig", "least", "left_sigs"])
+            lists = pa.ListArray.from_arrays(ends, batch["left_sig"])
+            yield pa.RecordBatch.from_arrays([rows["right_sig"], rows["least"], lists], ["right_sig", "least", "left_sigs"])
 
 
 def _compared(threshold: float):
@@ -166,7 +167,10 @@ def _alike(left: DataFrame, right: DataFrame, threshold: float, row_id: str = "i
     for name, df in (("left", left), ("right", right))[:1 if itself else 2]:
         tokens = F.sort_array(similarity_words(F.col("text")))
         rows = df.select(F.col(row_id).alias("member"), F.col(text).alias("text"))
-        rows = rows.select("member", tokens.alias("tokens")) if name == "left" else _may_be_alike(sets.select(_listed("tokens").alias("tokens")), threshold)(rows, tokens)
+        if name == "left":
+            rows = rows.select("member", tokens.alias("tokens"))
+        else:
+            rows = _may_be_alike(sets.select(_listed("tokens").alias("tokens")), threshold)(rows, tokens)
         number = F.monotonically_increasing_id() * 2 + F.lit(int(name == "right"))  # no number on both sides
         sets = scale.cut_lineage(rows.select("member", F.array_join("tokens", " ").alias("tokens"), number.alias("sig")))  # a text is parsed once
         keyed = sets.select("sig", F.unhex(F.md5("tokens")).alias("words"))
@@ -183,7 +187,8 @@ def _alike(left: DataFrame, right: DataFrame, threshold: float, row_id: str = "i
     size = F.size("labels")
     labelled = every.select("sig", F.transform(_listed("tokens"), lambda t: F.xxhash64(t)).alias("labels"))
     rarest = _rarest_first(labelled, "labels")
-    heads = labelled.select("sig", size.alias("n"), rarest("labels", (size - F.ceil(size * threshold - F.lit(1e-9)) + _meetings(size)).cast("int")).alias("head"))
+    k = (size - F.ceil(size * threshold - F.lit(1e-9)) + _meetings(size)).cast("int")
+    heads = labelled.select("sig", size.alias("n"), rarest("labels", k).alias("head"))
     prefix = heads.select("sig", "n", F.posexplode("head").alias("at", "token"))
 
     def side(name: str) -> DataFrame:
@@ -195,7 +200,10 @@ def _alike(left: DataFrame, right: DataFrame, threshold: float, row_id: str = "i
     # Words are ordered alike in both sets, so what lies behind a common prefix word bounds the rest.
     most = _meetings(small) + F.least(F.col("left_n") - 1 - F.col("left_at"), F.col("right_n") - 1 - F.col("right_at"))
     needed = (F.col("left_n") + F.col("right_n")) * F.lit(threshold / (1 + threshold))
-    joined = scale.shuffled(side("right")).join(side("left"), "token") if itself else scale.join_small_or_salted(side("right"), side("left"), ["token"], ["right_sig"])
+    if itself:  # both sides read one shuffle
+        joined = scale.shuffled(side("right")).join(side("left"), "token")
+    else:
+        joined = scale.join_small_or_salted(side("right"), side("left"), ["token"], ["right_sig"])
     met = joined.where((small >= big * threshold - F.lit(1e-9)) & once & (most >= needed - F.lit(1e-9)))
     shared = F.ceil(F.col("right_n") * threshold - F.lit(1e-9))  # at least, with a set that is alike and so has as many words
     least = F.least(_meetings(shared), shared).cast("int").alias("least")
@@ -205,9 +213,11 @@ def _alike(left: DataFrame, right: DataFrame, threshold: float, row_id: str = "i
         .groupBy("right_sig", "least", "left_sig").agg(F.count(F.lit(1)).alias("n")).where("n >= least")
         .select("left_sig", "right_sig", F.min("left_sig").over(Window.partitionBy("right_sig")).alias("home")))
 
-    wide = pairs.groupBy("home").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE_PAIRS).select("home", F.ceil(F.sqrt(F.col("n") / TILE_PAIRS)).alias("wide"))
+    wide = pairs.groupBy("home").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE_PAIRS).select(
+        "home", F.ceil(F.sqrt(F.col("n") / TILE_PAIRS)).alias("wide"))
     part = lambda c: F.pmod(F.xxhash64(c), F.coalesce("wide", F.lit(1)))
-    tiled = scale.join_small_or_salted(pairs, wide, ["home"], ["right_sig"], "left").select(F.xxhash64("home", part("left_sig"), part("right_sig")).alias("tile"), "left_sig", "right_sig")
+    tiled = scale.join_small_or_salted(pairs, wide, ["home"], ["right_sig"], "left").select(
+        F.xxhash64("home", part("left_sig"), part("right_sig")).alias("tile"), "left_sig", "right_sig")
     wanted = scale.cut_lineage(tiled.select("tile", F.explode(F.array("left_sig", "right_sig")).alias("sig")).distinct())
     sent = every.join(F.broadcast(wanted) if scale.is_small(wanted, HELD_NUMBERS) else scale.shuffled(wanted), "sig")
     rows = sent.select("tile", F.lit(None).cast("long").alias("other"), "sig", "tokens").unionByName(
